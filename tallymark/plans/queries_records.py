@@ -83,12 +83,24 @@ def _(spark, folder):
 
 @query(
     "page_window_cer",
-    f"""WITH {FIELDS} SELECT id, field, cer, gt, hyp FROM field_rows WHERE "match" = 'page_window'""",
+    """WITH pages AS (
+      SELECT p_partkey AS id, p_name AS ref, 'no. ' || p_partkey || ' '
+        || replace(replace(p_name, 'e', 'a'), 'in', 'im') || ' x' AS page FROM part),
+    windows AS (
+      SELECT id, ref, w, i, substr(page, i, w) AS span, levenshtein(substr(page, i, w), ref) AS edits
+      FROM (SELECT *, unnest(range(greatest(1, length(ref) - 2), length(ref) + 3)) AS w FROM pages),
+           LATERAL (SELECT unnest(range(1, length(page) - w + 2)) AS i)),
+    best AS (SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY id ORDER BY edits, w, i) = 1)
+    SELECT id, ref, CASE WHEN contains(page, ref) THEN 0e0 WHEN edits < length(ref)
+        THEN edits::DOUBLE / length(ref) ELSE 1e0 END AS cer,
+      CASE WHEN contains(page, ref) THEN ref WHEN edits < length(ref) THEN span ELSE '' END AS hyp
+    FROM pages LEFT JOIN (SELECT id, edits, span FROM best) USING (id)""",
 )
 def _(spark, folder):
-    # Blocks far below the page length, so that every page goes the long way.
-    rows = cer_ops.field_rows(parts(spark, folder), block=8)
-    return rows.where(F.col("match") == "page_window").drop("match")
+    # Blocks below the page length, so that the pages go the long way.
+    pages = parts(spark, folder).select("id", F.col("gt_fields")["name"].alias("ref"), "page")
+    found = cer_ops.page_window_rows(pages, ["id"], block=8)
+    return found.select("id", "ref", "cer", "hyp")
 
 
 @query(
@@ -404,10 +416,10 @@ def _(spark, folder):
 @query(
     "holdout_train_filter",
     f"""WITH {SPLIT} SELECT c_name AS name, c_nationkey FROM customer
-    WHERE c_name IN (SELECT name FROM fx_split WHERE side = 'train') AND c_custkey % 4 <> 0""",
+    WHERE c_name IN (SELECT name FROM fx_split WHERE side = 'train') AND c_mktsegment <> 'MACHINERY'""",
 )
 def _(spark, folder):
-    files = table(spark, folder, "customer").where(F.col("c_custkey") % 4 != 0).select(
+    files = table(spark, folder, "customer").where(F.col("c_mktsegment") != "MACHINERY").select(
         F.col("c_name").alias("name"), "c_nationkey"
     )
     return splits.holdout_train_filter(files, split(spark, folder))
@@ -416,10 +428,10 @@ def _(spark, folder):
 @query(
     "missing_train_names",
     f"""WITH {SPLIT} SELECT name FROM fx_split WHERE side = 'train'
-    AND name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 4 <> 0)""",
+    AND name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment <> 'MACHINERY')""",
 )
 def _(spark, folder):
-    files = table(spark, folder, "customer").where(F.col("c_custkey") % 4 != 0)
+    files = table(spark, folder, "customer").where(F.col("c_mktsegment") != "MACHINERY")
     return splits.missing_train_names(
         files.select(F.col("c_name").alias("name")), split(spark, folder)
     )
@@ -427,12 +439,12 @@ def _(spark, folder):
 
 @query(
     "train_minus_eval",
-    """SELECT s_name AS path, false AS fallback FROM supplier WHERE s_suppkey % 3 <> 0""",
+    """SELECT s_name AS path, false AS fallback FROM supplier WHERE s_nationkey >= 8""",
 )
 def _(spark, folder):
     supplier = table(spark, folder, "supplier")
     evaluation = supplier.select(
-        F.col("s_name").alias("path"), F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(1).alias("label")
+        F.col("s_name").alias("path"), F.when(F.col("s_nationkey") < 8, 0).otherwise(1).alias("label")
     )
     return splits.train_minus_eval(supplier.select(F.col("s_name").alias("path")), evaluation)
 
@@ -450,12 +462,13 @@ def _(spark, folder):
 def dual(spark, folder) -> DataFrame:
     customer = table(spark, folder, "customer")
     supplier = table(spark, folder, "supplier")
-    generated = customer.where(F.col("c_custkey") % 4 == 1).select(
+    in_debt = F.col("c_acctbal") < 0
+    generated = customer.where(in_debt).select(
         F.concat(F.lit("gen/"), "c_name").alias("path"),
-        F.when(F.col("c_custkey") % 8 == 1, F.concat(F.lit("masks/"), "c_name")).alias("mask_path"),
+        F.when(F.col("c_nationkey") < 12, F.concat(F.lit("masks/"), "c_name")).alias("mask_path"),
     )
     return splits.dual_domain_manifest(
-        customer.where(F.col("c_custkey") % 4 == 0).select(F.concat(F.lit("auth/"), "c_name").alias("path")),
+        customer.where(~in_debt).select(F.concat(F.lit("auth/"), "c_name").alias("path")),
         generated,
         supplier.select(F.concat(F.lit("third/"), "s_name").alias("path")),
         caps=(200, None, 500),
@@ -464,10 +477,10 @@ def dual(spark, folder) -> DataFrame:
 
 DUAL = """
 auth AS (SELECT path, row_number() OVER (ORDER BY path) AS i FROM
-  (SELECT 'auth/' || c_name AS path FROM customer WHERE c_custkey % 4 = 0) QUALIFY i <= 200),
+  (SELECT 'auth/' || c_name AS path FROM customer WHERE c_acctbal >= 0) QUALIFY i <= 200),
 gen AS (SELECT path, mask_path, row_number() OVER (ORDER BY path) AS i FROM
-  (SELECT 'gen/' || c_name AS path, CASE WHEN c_custkey % 8 = 1 THEN 'masks/' || c_name END AS mask_path
-   FROM customer WHERE c_custkey % 4 = 1)),
+  (SELECT 'gen/' || c_name AS path, CASE WHEN c_nationkey < 12 THEN 'masks/' || c_name END AS mask_path
+   FROM customer WHERE c_acctbal < 0)),
 third AS (SELECT path, row_number() OVER (ORDER BY path) AS i FROM
   (SELECT 'third/' || s_name AS path FROM supplier) QUALIFY i <= 500),
 dual AS (
@@ -532,23 +545,22 @@ def _(spark, folder):
 @query(
     "train_pool",
     """SELECT 'authentic' AS pool, c_name AS path, NULL AS mask_path, 0 AS label FROM customer
-      WHERE c_custkey % 2 = 0
-    UNION ALL SELECT 'easy', p_name || p_partkey, 'm' || p_partkey, 1 FROM part WHERE p_partkey % 3 = 1
-    UNION ALL SELECT 'hard', s_name, 'm' || s_suppkey, 1 FROM supplier WHERE s_suppkey % 2 = 1""",
+    UNION ALL SELECT 'easy', p_name || p_partkey, 'm' || p_partkey, 1 FROM part WHERE p_size > 25
+    UNION ALL SELECT 'hard', s_name, 'm' || s_suppkey, 1 FROM supplier WHERE s_acctbal > 0""",
 )
 def _(spark, folder):
     part, supplier = table(spark, folder, "part"), table(spark, folder, "supplier")
     easy = part.select(
         F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"),
         F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("mask_path"),
-        (F.col("p_partkey") % 3).alias("label"),
+        (F.col("p_size") > 25).cast("int").alias("label"),
     )
     hard = supplier.select(
         F.col("s_name").alias("path"),
         F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("mask_path"),
-        (F.col("s_suppkey") % 2).alias("label"),
+        (F.col("s_acctbal") > 0).cast("int").alias("label"),
     )
-    authentic = table(spark, folder, "customer").where(F.col("c_custkey") % 2 == 0)
+    authentic = table(spark, folder, "customer")
     return splits.train_pool_assembly(
         authentic.select(F.col("c_name").alias("path")), {"easy": easy, "test": easy, "hard": hard}
     )
@@ -750,18 +762,18 @@ def _(spark, folder):
 
 @query(
     "missing_paths",
-    f"""WITH {MANIFEST} SELECT id, 'path' AS "column", path FROM fx_manifest WHERE id % 6 = 0
+    f"""WITH {MANIFEST} SELECT id, 'path' AS "column", path FROM fx_manifest WHERE lang = 'fr'
     UNION ALL SELECT id, 'mask_path', mask_path FROM fx_manifest
-      WHERE mask_path IS NOT NULL AND id % 5 <> 1""",
+      WHERE mask_path IS NOT NULL AND lang <> 'en'""",
 )
 def _(spark, folder):
     rows = manifest(spark, folder)
     key = F.col("doc_id").cast("string")
-    docs = table(spark, folder, "documents").select("doc_id")
-    images = docs.where(F.col("doc_id") % 6 != 0).select(
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    images = docs.where(F.col("lang") != "fr").select(
         F.concat(F.lit("img/"), key, F.lit(".jpg")).alias("rel_path")
     )
-    masks = docs.where(F.col("doc_id") % 5 == 1).select(F.concat(F.lit("masks/"), key).alias("rel_path"))
+    masks = docs.where(F.col("lang") == "en").select(F.concat(F.lit("masks/"), key).alias("rel_path"))
     return validation.missing_paths(rows, images.unionByName(masks), ["path", "mask_path"])
 
 
@@ -785,12 +797,12 @@ def _(spark, folder):
 @query(
     "score_join",
     """SELECT o_orderkey AS id, o_orderstatus AS domain, o_totalprice / 500000e0 AS score
-    FROM orders WHERE o_orderkey % 11 <> 0""",
+    FROM orders WHERE o_orderpriority <> '5-LOW'""",
 )
 def _(spark, folder):
     orders = table(spark, folder, "orders")
     records = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("domain"))
-    scored = orders.where(F.col("o_orderkey") % 11 != 0).select(
+    scored = orders.where(F.col("o_orderpriority") != "5-LOW").select(
         F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000.0).alias("score")
     )
     return validation.score_join(records, scored)
@@ -798,13 +810,13 @@ def _(spark, folder):
 
 @query(
     "unscored",
-    """SELECT o_orderkey AS id, 'no score' AS reason FROM orders WHERE o_orderkey % 11 = 0
-    UNION ALL SELECT o_orderkey, 'timeout' FROM orders WHERE o_orderkey % 11 = 5""",
+    """SELECT o_orderkey AS id, 'no score' AS reason FROM orders WHERE o_orderpriority = '5-LOW'
+    UNION ALL SELECT o_orderkey, 'timeout' FROM orders WHERE o_orderpriority = '1-URGENT'""",
 )
 def _(spark, folder):
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
-    scored = orders.where(F.col("id") % 11 != 0).withColumn(
-        "error", F.when(F.col("id") % 11 == 5, "timeout")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    scored = orders.where(F.col("o_orderpriority") != "5-LOW").withColumn(
+        "error", F.when(F.col("o_orderpriority") == "1-URGENT", "timeout")
     )
     return validation.unscored(orders, scored)
 
