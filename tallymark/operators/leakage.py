@@ -79,50 +79,48 @@ def _signed(bits: int) -> int:
 
 
 def _band_sets(bands: int, distance: int) -> list[tuple[int, int]]:
-    """(set of bands as bits, union of their masks) for every choice of intact bands."""
+    """(highest band, union of the masks) for every choice of intact bands."""
     masks = band_masks(bands)
-    keep = bands - distance
     return [
-        (sum(1 << b for b in chosen), _signed(sum(masks[b] % (1 << HASH_BITS) for b in chosen)))
-        for chosen in combinations(range(bands), keep)
+        (max(chosen), _signed(sum(masks[b] % (1 << HASH_BITS) for b in chosen)))
+        for chosen in combinations(range(bands), bands - distance)
     ]
 
 
 def _keyed(hashes: DataFrame, name: str, bands: int, distance: int) -> DataFrame:
-    choices = F.array(
-        *[
-            F.struct(F.lit(s).alias("chosen"), F.lit(m).cast("bigint").alias("mask"))
-            for s, m in _band_sets(bands, distance)
-        ]
+    """One row per choice of bands: the choice (mask, top) and the bits it keeps."""
+    structs = ", ".join(
+        f"named_struct('top', {top}, 'mask', bigint('{mask}'))"
+        for top, mask in _band_sets(bands, distance)
     )
+    choices = F.expr(f"array({structs})")
     return (
         hashes.withColumn("_c", F.explode(choices))
-        .withColumn("chosen", F.col("_c.chosen"))
-        .withColumn("bits", F.col(name).bitwiseAND(F.col("_c.mask")))
+        .withColumn("top", F.col("_c.top"))
+        .withColumn("mask", F.col("_c.mask"))
+        .withColumn("bits", F.col(name).bitwiseAND(F.col("mask")))
         .drop("_c")
     )
 
 
-def _lowest_intact(difference: Column, bands: int, keep: int) -> Column:
-    """Bit set of the lowest ``keep`` bands without a differing bit."""
-    intact = F.lit(0)
-    for b, mask in enumerate(band_masks(bands)):
-        intact = intact + F.when(difference.bitwiseAND(F.lit(mask).cast("bigint")) == 0, 1 << b).otherwise(0)
-    rest = intact
-    for _ in range(keep):
-        rest = rest.bitwiseAND(rest - 1)
-    return intact - rest
+def _intact_below(difference: str, top: str, bands: int) -> Column:
+    """Number of bands under ``top`` without a differing bit."""
+    terms = (
+        f"int({top} > {b} AND ({difference}) & bigint('{mask}') = 0)"
+        for b, mask in enumerate(band_masks(bands))
+    )
+    return F.expr(" + ".join(terms))
 
 
 def candidate_count(evaluation: DataFrame, train: DataFrame, bands: int, distance: int) -> int:
     """Comparisons a banding needs, from per-key counts only."""
     sides = [
         _keyed(side.select("phash"), "phash", bands, distance)
-        .groupBy("chosen", "bits")
+        .groupBy("mask", "bits")
         .agg(F.count(F.lit(1)).alias(name))
         for side, name in ((evaluation, "_e"), (train, "_t"))
     ]
-    row = sides[0].join(sides[1], ["chosen", "bits"]).agg(
+    row = sides[0].join(sides[1], ["mask", "bits"]).agg(
         F.sum(F.col("_e").cast("double") * F.col("_t")).alias("n")
     ).first()
     return int(row.n or 0)
@@ -170,16 +168,14 @@ def near_hash_pairs(
     ev = _per_value(evaluation, "phash", "eval", path).withColumnRenamed("phash", "eval_hash")
     tr = _per_value(train, "phash", "train", path).withColumnRenamed("phash", "train_hash")
     left = _keyed(ev, "eval_hash", bands, distance)
-    right = _keyed(tr, "train_hash", bands, distance).withColumnRenamed("chosen", "_chosen_t")
-    right = right.withColumnRenamed("bits", "_bits_t")
-    gap = F.col("eval_hash").bitwiseXOR(F.col("train_hash"))
-    met = (
-        (F.col("chosen") == F.col("_chosen_t"))
-        & (F.col("bits") == F.col("_bits_t"))
-        & (F.bit_count(gap) <= distance)
-        & (_lowest_intact(gap, bands, bands - distance) == F.col("chosen"))
+    right = _keyed(tr, "train_hash", bands, distance).drop("top")
+    gap = "eval_hash ^ train_hash"
+    met = left.join(right, ["mask", "bits"]).where(
+        (hamming(F.col("eval_hash"), F.col("train_hash")) <= distance)
+        # The chosen bands are the lowest agreeing ones: no other agrees below the highest.
+        & (_intact_below(gap, "top", bands) == bands - distance - 1)
     )
-    return left.join(right, met).select(
+    return met.select(
         "eval_hash",
         "train_hash",
         hamming(F.col("eval_hash"), F.col("train_hash")).alias("hamming_distance"),

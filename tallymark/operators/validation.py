@@ -225,8 +225,8 @@ def check_digit_tables() -> tuple[list[int], list[int]]:
 def check_digit_valid(number: Column) -> Column:
     """True when a string of digits carries a correct dihedral check digit."""
     product, position = check_digit_tables()
-    product_lit = F.array(*[F.lit(v) for v in product])
-    position_lit = F.array(*[F.lit(v) for v in position])
+    product_lit = F.expr(f"array({', '.join(map(str, product))})")
+    position_lit = F.expr(f"array({', '.join(map(str, position))})")
     digits = F.transform(
         F.sequence(F.lit(1), F.length(number)),
         lambda i: F.substring(F.reverse(number), i, F.lit(1)).cast("int"),

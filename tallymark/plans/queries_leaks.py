@@ -1 +1,234 @@
-"""Queries."""
+"""Overlap of training and evaluation sides, and dataset digests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallymark.functions.documents import document_key
+from tallymark.operators import fingerprint, leakage, sampling
+from tallymark.plans.catalog import query, table
+
+
+def sides(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt to training (even) and evaluation (odd), with the digest of their text."""
+    docs = table(spark, folder, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"),
+        F.sha2("text", 256).alias("sha256"),
+        F.concat_ws("/", F.col("lang"), F.floor(F.col("n_chars") / 1000).cast("string")).alias("source_id"),
+        (F.col("doc_id") % 2 == 0).alias("in_train"),
+    )
+    return docs.where("in_train").drop("in_train"), docs.where("NOT in_train").drop("in_train")
+
+
+SIDES = """
+docs AS (
+  SELECT 'doc_' || doc_id AS path, sha256(text) AS sha256, lang || '/' || n_chars // 1000 AS source_id,
+         doc_id % 2 = 0 AS in_train FROM documents),
+train AS (SELECT * FROM docs WHERE in_train),
+evals AS (SELECT * FROM docs WHERE NOT in_train)"""
+
+
+def shared_sql(key: str, train: str = "train", evals: str = "evals") -> str:
+    return f"""(
+      SELECT * FROM (SELECT {key}, count(*) AS n_eval, min(path) AS first_eval_path FROM {evals} GROUP BY {key})
+      JOIN (SELECT {key}, count(*) AS n_train, min(path) AS first_train_path FROM {train} GROUP BY {key})
+      USING ({key}))"""
+
+
+@query("leak_exact", f"WITH {SIDES} SELECT * FROM {shared_sql('sha256')}")
+def _(spark, folder):
+    return leakage.leak_exact(*sides(spark, folder))
+
+
+@query(
+    "leak_exact_rows",
+    f"""WITH {SIDES} SELECT path, sha256, n_train, first_train_path
+    FROM evals JOIN {shared_sql('sha256')} USING (sha256)""",
+)
+def _(spark, folder):
+    return leakage.leak_exact_rows(*sides(spark, folder))
+
+
+@query(
+    "leak_train_members",
+    f"""WITH {SIDES} SELECT path, sha256, source_id FROM train
+    WHERE sha256 IN (SELECT sha256 FROM evals)""",
+)
+def _(spark, folder):
+    train, evaluation = sides(spark, folder)
+    found = leakage.leak_exact(train, evaluation)
+    return leakage.leak_members(train, found, "sha256", "n_train")
+
+
+@query("leak_source", f"WITH {SIDES} SELECT * FROM {shared_sql('source_id')}")
+def _(spark, folder):
+    return leakage.leak_source(*sides(spark, folder))
+
+
+@query(
+    "leak_top50",
+    f"""WITH {SIDES} SELECT * FROM {shared_sql('sha256')} ORDER BY first_eval_path LIMIT 50""",
+)
+def _(spark, folder):
+    return sampling.top_samples(leakage.leak_exact(*sides(spark, folder)), ["first_eval_path"])
+
+
+def hashes(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """63 sign bits per vector; the evaluation side has up to eleven low bits flipped."""
+    bits = F.aggregate(
+        F.transform(
+            F.slice("embedding", 1, 63),
+            lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(
+                F.lit(0).cast("bigint")
+            ),
+        ),
+        F.lit(0).cast("bigint"),
+        lambda acc, b: acc.bitwiseOR(b),
+    )
+    vectors = table(spark, folder, "embeddings").select("vec_id", bits.alias("fp"))
+    key = F.col("vec_id").cast("string")
+    flipped = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("vec_id") % 12).cast("int")) - 1
+    train = vectors.select(F.concat(F.lit("t"), key).alias("path"), F.col("fp").alias("phash"))
+    evaluation = vectors.select(
+        F.concat(F.lit("e"), key).alias("path"), F.col("fp").bitwiseXOR(flipped).alias("phash")
+    )
+    return train, evaluation
+
+
+HASHES = """
+fps AS (
+  SELECT vec_id, list_reduce(list_transform(embedding[1:63],
+      lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END), lambda a, b: a | b) AS fp
+  FROM embeddings),
+train AS (SELECT 't' || vec_id AS path, fp AS phash FROM fps),
+evals AS (SELECT 'e' || vec_id AS path, xor(fp, (1::BIGINT << (vec_id % 12)::INTEGER) - 1) AS phash FROM fps),
+near AS (
+  SELECT e.phash AS eval_hash, t.phash AS train_hash, bit_count(xor(e.phash, t.phash))::INTEGER AS hamming_distance,
+         n_eval, n_train, first_eval_path, first_train_path
+  FROM (SELECT phash, count(*) AS n_eval, min(path) AS first_eval_path FROM evals GROUP BY phash) e,
+       (SELECT phash, count(*) AS n_train, min(path) AS first_train_path FROM train GROUP BY phash) t
+  WHERE bit_count(xor(e.phash, t.phash)) <= 6)"""
+
+
+@query("leak_near", f"WITH {HASHES} SELECT * FROM near")
+def near(spark, folder):
+    return leakage.near_hash_pairs(*hashes(spark, folder))
+
+
+@query(
+    "near_pair_count",
+    f"WITH {HASHES} SELECT sum(n_eval * n_train)::BIGINT AS near_duplicate_count FROM near",
+)
+def _(spark, folder):
+    return leakage.near_pair_count(near(spark, folder))
+
+
+@query(
+    "near_rows",
+    f"""WITH {HASHES} SELECT path, phash, sum(n_train)::BIGINT AS n_train,
+      min(hamming_distance) AS min_distance,
+      arg_min(first_train_path, printf('%02d', hamming_distance) || first_train_path) AS nearest_train_path
+    FROM evals JOIN near ON phash = eval_hash GROUP BY path, phash""",
+)
+def _(spark, folder):
+    train, evaluation = hashes(spark, folder)
+    return leakage.near_rows(evaluation, leakage.near_hash_pairs(train, evaluation))
+
+
+@query(
+    "leak_verdict",
+    f"""WITH {SIDES}, counts AS (SELECT 0::BIGINT AS name_overlap_count,
+      (SELECT count(*) FROM evals WHERE sha256 IN (SELECT sha256 FROM train)) AS exact_duplicate_count,
+      0::BIGINT AS near_duplicate_count,
+      (SELECT count(DISTINCT source_id) FROM evals WHERE source_id IN (SELECT source_id FROM train))
+        AS source_id_overlap_count)
+    SELECT *, CASE WHEN exact_duplicate_count > 0 THEN 'FAIL' WHEN source_id_overlap_count > 0 THEN 'CHECK'
+      ELSE 'PASS' END AS verdict FROM counts""",
+)
+def _(spark, folder):
+    train, evaluation = sides(spark, folder)
+    return leakage.leak_verdict(
+        train.select("path").intersect(evaluation.select("path")),
+        leakage.leak_exact(train, evaluation),
+        None,
+        leakage.leak_source(train, evaluation),
+    )
+
+
+@query(
+    "dataset_fingerprint",
+    """WITH entries AS (SELECT doc_id::VARCHAR AS name, sha256(text) AS digest FROM documents),
+    buckets AS (SELECT md5(name)[1:2] AS bucket,
+        sha256(string_agg(name || chr(0) || digest || chr(0), '' ORDER BY name)) AS hash, count(*) AS n
+      FROM entries GROUP BY bucket)
+    SELECT sum(n)::BIGINT AS n, sha256(string_agg(bucket || chr(0) || hash || chr(0), '' ORDER BY bucket))
+      AS fingerprint FROM buckets""",
+)
+def documents_fingerprint(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return fingerprint.dataset_fingerprint(docs, "doc_id", "digest")
+
+
+_FOLD = """
+(SELECT sha256(string_agg(bucket || chr(0) || hash || chr(0), '' ORDER BY bucket)) FROM (
+  SELECT md5(name)[1:2] AS bucket, sha256(string_agg(name || chr(0) || digest || chr(0), '' ORDER BY name)) AS hash
+  FROM (SELECT {id}::VARCHAR AS name, sha256({text}) AS digest FROM {source}) GROUP BY bucket))"""
+
+
+@query(
+    "combined_fingerprint",
+    f"""SELECT sha256('documents:' || {_FOLD.format(id='doc_id', text='text', source='documents')}
+      || chr(10) || 'pages:' || {_FOLD.format(id='page_id', text='html', source='pages')}) AS dataset_sha256""",
+)
+def _(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", F.sha2("html", 256).alias("digest"))
+    return fingerprint.combined_fingerprint(
+        [
+            ("documents", documents_fingerprint(spark, folder)),
+            ("pages", fingerprint.dataset_fingerprint(pages, "page_id", "digest")),
+        ]
+    )
+
+
+@query(
+    "document_key",
+    """WITH files AS (
+      SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'authentic/auth_' || printf('%04d', doc_id % 10000) || '.jpg'
+          WHEN 1 THEN 'images/fg_auth_' || printf('%04d', doc_id % 10000) || '.png'
+          WHEN 2 THEN 'images/fg_train_v2_' || printf('%04d', doc_id % 10000) || '.png'
+          WHEN 3 THEN 'images/other.name.' || doc_id || '.png' WHEN 4 THEN 'x/auth_' || doc_id || '.jpg'
+          ELSE 'images/fg_' || printf('%04d', doc_id % 10000) || '.png' END AS path,
+        CASE doc_id % 4 WHEN 0 THEN 'midv2020' WHEN 1 THEN 'auth_' || doc_id || '.v1.jpg' WHEN 2 THEN '' END AS source,
+        quality AS label FROM documents LEFT JOIN labels USING (doc_id)),
+    stems AS (SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM files)
+    SELECT id, CASE WHEN source LIKE 'auth%' THEN regexp_replace(source, '\\.[^.]*$', '')
+      WHEN label = 0 THEN stem WHEN stem LIKE 'fg\\_auth\\_%' ESCAPE '\\' THEN stem[4:]
+      WHEN path LIKE 'authentic/%' THEN stem
+      ELSE nullif(regexp_extract(stem, '^(?:auth|fg(?:_[A-Za-z0-9]+)*)_(\\d{4})$', 1), '') END AS document_key
+    FROM stems""",
+)
+def _(spark, folder):
+    key = F.col("doc_id")
+    four = F.format_string("%04d", key % 10000)
+    text = key.cast("string")
+    path = (
+        F.when(key % 6 == 0, F.concat(F.lit("authentic/auth_"), four, F.lit(".jpg")))
+        .when(key % 6 == 1, F.concat(F.lit("images/fg_auth_"), four, F.lit(".png")))
+        .when(key % 6 == 2, F.concat(F.lit("images/fg_train_v2_"), four, F.lit(".png")))
+        .when(key % 6 == 3, F.concat(F.lit("images/other.name."), text, F.lit(".png")))
+        .when(key % 6 == 4, F.concat(F.lit("x/auth_"), text, F.lit(".jpg")))
+        .otherwise(F.concat(F.lit("images/fg_"), four, F.lit(".png")))
+    )
+    source = (
+        F.when(key % 4 == 0, "midv2020")
+        .when(key % 4 == 1, F.concat(F.lit("auth_"), text, F.lit(".v1.jpg")))
+        .when(key % 4 == 2, "")
+    )
+    files = table(spark, folder, "documents").select("doc_id").join(
+        table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left"
+    ).select(key.alias("id"), path.alias("path"), source.alias("source"), F.col("quality").alias("label"))
+    return files.select(
+        "id",
+        document_key(F.col("path"), F.col("source"), F.col("label")).alias("document_key"),
+    )
