@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tallymark.functions.documents import region_name, region_value
 from tallymark.functions.geometry import flat_to_box
 from tallymark.functions.text import gt_text_join, script_of
-from tallymark.operators.joins import broadcast_if_small
 
 FACE_FIELDS = ("face", "photo", "portrait")
 
@@ -95,7 +94,8 @@ def template_field_join(
 ) -> DataFrame:
     """Captures with the fields and text of their template; none gives an empty map and ''."""
     empty = F.create_map().cast("map<string,string>")
-    side = broadcast_if_small(templates.select(*keys, "fields"))
+    # No hint: a template table of unknown size is broadcast only if measured small at run time.
+    side = templates.select(*keys, "fields")
     return (
         captures.join(side, list(keys), "left")
         .withColumn("gt_fields", F.coalesce("fields", empty))

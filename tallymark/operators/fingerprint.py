@@ -25,7 +25,7 @@ def _ordered_digest(name: str, digest: str) -> Column:
 
 
 def dataset_fingerprint(
-    df: DataFrame, name: str, digest: str, buckets_hex: int = 2
+    df: DataFrame, name: str, digest: str, buckets_hex: int = 4
 ) -> DataFrame:
     """One digest of (name, digest) rows: a hash per name bucket, then a hash of the hashes.
 

@@ -28,7 +28,3 @@ def hot_split_join(
         rows.join(hot_key_set, keys, "left_anti").join(cold, keys)
     )
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

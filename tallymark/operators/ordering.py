@@ -51,7 +51,7 @@ def seeded_rank(
     seed: int | str,
     keys: Sequence[str] = (),
     rank_col: str = "rank",
-    prefix: int = 3,
+    prefix: int = 4,
 ) -> DataFrame:
     """1-based dense rank of each row in seeded order, per key; exact for any group size.
 

@@ -159,7 +159,7 @@ def _(spark, folder):
 @query(
     "dataset_fingerprint",
     """WITH entries AS (SELECT doc_id::VARCHAR AS name, sha256(text) AS digest FROM documents),
-    buckets AS (SELECT md5(name)[1:2] AS bucket,
+    buckets AS (SELECT md5(name)[1:4] AS bucket,
         sha256(string_agg(name || chr(0) || digest || chr(0), '' ORDER BY name)) AS hash, count(*) AS n
       FROM entries GROUP BY bucket)
     SELECT sum(n)::BIGINT AS n, sha256(string_agg(bucket || chr(0) || hash || chr(0), '' ORDER BY bucket))
@@ -172,7 +172,7 @@ def documents_fingerprint(spark, folder):
 
 _FOLD = """
 (SELECT sha256(string_agg(bucket || chr(0) || hash || chr(0), '' ORDER BY bucket)) FROM (
-  SELECT md5(name)[1:2] AS bucket, sha256(string_agg(name || chr(0) || digest || chr(0), '' ORDER BY name)) AS hash
+  SELECT md5(name)[1:4] AS bucket, sha256(string_agg(name || chr(0) || digest || chr(0), '' ORDER BY name)) AS hash
   FROM (SELECT {id}::VARCHAR AS name, sha256({text}) AS digest FROM {source}) GROUP BY bucket))"""
 
 

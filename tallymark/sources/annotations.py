@@ -49,25 +49,22 @@ def annotation_read(spark: SparkSession, path: str) -> DataFrame:
 def regions_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
     """Regions of each image (annotation, code, idx, filename).
 
-    Entries match by file name, by code/name, by index, or by a base name that starts with the
-    index; the first matching entry counts. An image without a match takes all regions.
+    An entry belongs to an image when its base name starts with the image's index, which its file
+    name and ``code/name`` spellings do too; the first such entry counts. An image without one
+    takes all regions of its annotation file. Entries are looked up by the prefixes of their
+    names, so an annotation file with many images is not paired with each of them.
     """
     base = base_name(F.col("file"))
-    hit = (
-        F.col("file").isin(F.col("filename"), F.col("idx"))
-        | base.isin(F.col("filename"), F.col("idx"))
-        | (F.col("file") == F.concat("code", F.lit("/"), "filename"))
-        | F.startswith(base, F.col("idx"))
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.length(base)), lambda n: F.substring(base, F.lit(1), n)
     )
-    joined = images.join(regions, "annotation")
-    flagged = joined.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     first = (
-        flagged.where("_hit")
-        .groupBy("annotation", "code", "idx")
-        .agg(F.min("entry").alias("_first"))
-    )
-    return (
-        flagged.join(first, ["annotation", "code", "idx"], "left")
-        .where(F.col("_first").isNull() | (F.col("entry") == F.col("_first")))
-        .drop("_hit", "_first")
+        regions.where(F.length(base) > 0)
+        .select("annotation", "entry", F.explode(prefixes).alias("idx"))
+        .groupBy("annotation", "idx")
+        .agg(F.min("entry").alias("entry"))
     )
+    placed = images.join(first, ["annotation", "idx"], "left")
+    own = placed.where(F.col("entry").isNotNull()).join(regions, ["annotation", "entry"])
+    shared = placed.where(F.col("entry").isNull()).drop("entry").join(regions, "annotation")
+    return own.unionByName(shared)

@@ -26,18 +26,29 @@ def stream_lookup_cache(requests: DataFrame, ttl_seconds: float = 3600.0) -> Dat
             self.state = handle.getValueState("stored", "at double, status string")
 
         def handleInputRows(self, key, rows, timer_values):
+            import numpy as np
             import pandas as pd
 
             batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "request_id"])
             at, held = self.state.get() if self.state.exists() else (None, None)
-            statuses, hits = [], []
-            seconds = batch["ts"].astype("datetime64[us]").astype("int64") / 1e6
-            for now, live in zip(seconds, batch["status"]):
-                hit = at is not None and now - at <= ttl
-                if not hit and live in kept:
-                    at, held = float(now), live
-                statuses.append(held if hit else live)
-                hits.append(hit)
+            seconds = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+            status = batch["status"].to_numpy(dtype=object).copy()
+            storable = np.flatnonzero(batch["status"].isin(kept).to_numpy())
+            hits = np.zeros(len(batch), dtype=bool)
+            row = 0
+            # One step per stored result, not per request.
+            while row < len(batch):
+                if at is not None:
+                    fresh = int(np.searchsorted(seconds, at + ttl, side="right"))
+                    if fresh > row:
+                        hits[row:fresh], status[row:fresh] = True, held
+                        row = fresh
+                ahead = storable[np.searchsorted(storable, row) :]
+                if row >= len(batch) or not len(ahead):
+                    break
+                row = int(ahead[0])
+                at, held = float(seconds[row]), status[row]
+                row += 1
             if at is not None:
                 self.state.update((at, held))
             yield pd.DataFrame(
@@ -46,7 +57,7 @@ def stream_lookup_cache(requests: DataFrame, ttl_seconds: float = 3600.0) -> Dat
                     "source": batch["source"].to_numpy(),
                     "handle": batch["handle"].to_numpy(),
                     "ts": batch["ts"].to_numpy(),
-                    "status": statuses,
+                    "status": status,
                     "cached": hits,
                 }
             )
