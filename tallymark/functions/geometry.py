@@ -28,7 +28,7 @@ def flat_to_box(coords: Column) -> Column:
 
 
 def _clip90(angle: Column) -> Column:
-    return F.greatest(F.lit(-90.0), F.least(F.lit(90.0), angle))
+    return F.when(angle.isNotNull(), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), angle)))
 
 
 def eye_distance(landmarks: Column) -> Column:

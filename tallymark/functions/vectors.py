@@ -37,7 +37,8 @@ def missing_reason(reason_a: Column, reason_b: Column) -> Column:
 
 
 def clamp01(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    """Into [0, 1]; a missing score stays missing (least and greatest skip nulls)."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 def sigmoid(x: Column) -> Column:
