@@ -12,7 +12,8 @@ def sweep_csv_rows(sweep: DataFrame, metrics: Sequence[str], keep: Sequence[str]
     return sweep.select(
         *keep,
         F.format_string("%.2f", "threshold").alias("threshold"),
-        *[F.format_string("%.6f", m).alias(m) for m in metrics],
+        # Ties round to even first; the formatter alone would round them up.
+        *[F.format_string("%.6f", F.bround(F.col(m), 6)).alias(m) for m in metrics],
     )
 
 
