@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +23,14 @@ def url_distinct_sorted(urls: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(urls, lambda u: u.isNotNull())))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _first_group(text: Column, pattern: str) -> Column:
-    """Group 1 of the first match, null without a match."""
-    flagged = f"(?iU){pattern}"
-    return F.when(F.regexp_like(text, F.lit(flagged)), F.regexp_extract(text, flagged, 1))
+    """Group 1 of the first match, null without a match; the group is never empty."""
+    return F.nullif(F.regexp_extract(text, f"(?iU){pattern}", 1), F.lit(""))
 
 
 def percent_decode(text: Column) -> Column:
@@ -38,23 +44,24 @@ def normalize_handle(raw: Column) -> Column:
     return F.nullif(F.btrim(trimmed, F.lit(HANDLE_STRIP)), F.lit(""))
 
 
-def extract_handle(source: str, text: Column, urls: Column) -> Column:
-    """URL form in text then sorted URLs; else the ``source: handle`` label in text."""
-    candidates = F.array_join(
-        F.concat(F.array(text), url_distinct_sorted(urls)), "\n"
-    )
+def _extract_handle(source: str, text: Column, candidates: Column) -> Column:
+    """URL form in the candidates; else the ``source: handle`` label in the text."""
     by_url = _first_group(candidates, HANDLE_URL_PATTERNS[source])
     by_label = _first_group(text, rf"\b{source}\b{HANDLE_LABEL_SUFFIX}")
-    return normalize_handle(F.coalesce(by_url, by_label))
+    return _bind(F.coalesce(by_url, by_label), normalize_handle)
 
 
 def extract_handles(text: Column, urls: Column) -> Column:
-    """MAP<source, handle> with at most one handle per source."""
-    found = F.map_from_arrays(
-        F.array(*[F.lit(s) for s in PROFILE_SOURCES]),
-        F.array(*[extract_handle(s, text, urls) for s in PROFILE_SOURCES]),
-    )
-    return F.map_filter(found, lambda _, handle: handle.isNotNull())
+    """MAP<source, handle> with at most one handle per source, searched in text, then URLs."""
+    joined = F.array_join(F.concat(F.array(text), url_distinct_sorted(urls)), "\n")
+
+    def search(candidates: Column) -> Column:
+        return F.map_from_arrays(
+            F.array(*[F.lit(s) for s in PROFILE_SOURCES]),
+            F.array(*[_extract_handle(s, text, candidates) for s in PROFILE_SOURCES]),
+        )
+
+    return F.map_filter(_bind(joined, search), lambda _, handle: handle.isNotNull())
 
 
 def profile_url(source: Column, handle: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.documents import region_name, region_value
 from tallymark.functions.geometry import flat_to_box
+from tallymark.functions.rows import explode_array
 from tallymark.functions.text import gt_text_join, script_of
 
 FACE_FIELDS = ("face", "photo", "portrait")
@@ -129,27 +130,33 @@ _BLOCK = (
     " coordinate: STRING, box: STRING, score: DOUBLE, confidence: DOUBLE>"
 )
 _BLOCK_LIST_KEYS = ("parsing_res_list", "layout_det_res", "boxes", "blocks")
+_WRAPPER = f"STRUCT<res: STRING, {', '.join(f'{k}: STRING' for k in _BLOCK_LIST_KEYS)}>"
 _UNBOXED_TEXT_LABELS = ("ocr", "text", "block")
 
 
-def _blocks_json(raw: Column) -> Column:
-    """JSON text of the block list: bare, or under one of the known keys, or inside ``res``."""
-    level = F.coalesce(
-        F.when(
-            F.get_json_object(raw, "$.parsing_res_list").isNull(), F.get_json_object(raw, "$.res")
-        ),
-        raw,
+def _is_list(json_text: Column) -> Column:
+    return F.startswith(json_text, F.lit("["))
+
+
+def _blocks_json(results: DataFrame, id_col: str, raw: str) -> DataFrame:
+    """(id, blocks): JSON text of the block list, which is bare or under one of the known keys.
+
+    An object that holds only ``res`` is unwrapped first, up to twice. Each level is parsed once.
+    """
+    levels = results.select(
+        id_col, F.ltrim(raw).alias("_text"), F.from_json(raw, _WRAPPER).alias("_level")
     )
-    found = []
+    for _ in range(2):
+        wrapped = F.col("_level.parsing_res_list").isNull() & F.startswith("_level.res", F.lit("{"))
+        inner = F.when(wrapped, F.from_json("_level.res", _WRAPPER))
+        levels = levels.select(id_col, "_text", F.coalesce(inner, F.col("_level")).alias("_level"))
+    found = [F.when(_is_list(F.col("_text")), F.col("_text"))]
     for key in _BLOCK_LIST_KEYS:
-        direct = F.get_json_object(level, f"$.{key}")
-        nested = F.get_json_object(level, f"$.{key}.boxes")
-        found.append(
-            F.when(F.startswith(direct, F.lit("[")) & ~F.regexp_like(direct, F.lit(r"^\[\s*\]$")), direct)
-        )
-        found.append(F.when(F.startswith(nested, F.lit("[")), nested))
-    bare = F.when(F.startswith(F.ltrim(level), F.lit("[")), level)
-    return F.coalesce(bare, *found)
+        value = F.col(f"_level.{key}")
+        found.append(F.when(_is_list(value) & (F.regexp_replace(value, r"\s", "") != "[]"), value))
+        nested = F.get_json_object(value, "$.boxes")
+        found.append(F.when(F.startswith(value, F.lit("{")) & _is_list(nested), nested))
+    return levels.select(id_col, F.coalesce(*found).alias("blocks"))
 
 
 def _numbers(json_text: Column) -> Column:
@@ -169,16 +176,14 @@ def ocr_block_normalize(results: DataFrame, id_col: str = "id", raw: str = "raw"
 
     A block without a box has no value, except plain text blocks, which get the unit box.
     """
-    blocks = results.select(
-        id_col, F.from_json(_blocks_json(F.col(raw)), f"ARRAY<{_BLOCK}>").alias("_b")
-    ).select(id_col, F.posexplode("_b").alias("idx", "b"))
+    listed = F.from_json("blocks", f"ARRAY<{_BLOCK}>")
+    blocks = explode_array(_blocks_json(results, id_col, raw), [id_col], listed, "idx", "b")
     label = F.coalesce(_filled(F.col("b.label"), F.col("b.block_label"), F.col("b.type")), F.lit("block"))
     content = F.trim(F.coalesce("b.content", "b.block_content", "b.text"))
     box_text = F.coalesce(
         *[F.when(F.col(f"b.{c}") != "[]", F.col(f"b.{c}")) for c in ("bbox", "block_bbox", "coordinate", "box")]
     )
     score = F.coalesce(F.nullif("b.score", F.lit(0.0)), F.col("b.confidence"))
-    bbox = flat_to_box(_numbers(box_text))
     unit = F.array(*[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)])
     kept_text = F.lower(label).isin(*_UNBOXED_TEXT_LABELS) & (content != "")
     return blocks.select(
@@ -186,10 +191,10 @@ def ocr_block_normalize(results: DataFrame, id_col: str = "id", raw: str = "raw"
         "idx",
         F.concat(label, F.lit("_"), F.format_string("%03d", "idx")).alias("name"),
         content.alias("_content"),
-        bbox.alias("_bbox"),
+        _numbers(box_text).alias("_coords"),
         F.coalesce(kept_text, F.lit(False)).alias("_kept"),
         score.alias("confidence"),
-    ).select(
+    ).withColumn("_bbox", flat_to_box(F.col("_coords"))).select(
         id_col,
         "idx",
         "name",
@@ -271,7 +276,7 @@ def ocr_line_normalize(results: DataFrame, id_col: str = "id", raw: str = "raw")
         F.transform(texts, from_lists), F.transform(items, from_item), F.transform(pairs, from_pair)
     )
     read = F.filter(lines, lambda x: x["text"].isNotNull())
-    exploded = results.select(id_col, F.posexplode(read).alias("idx", "line"))
+    exploded = explode_array(results, [id_col], read, "idx", "line")
     xs = F.filter("line.coords", lambda _, i: i % 2 == 0)
     ys = F.filter("line.coords", lambda _, i: i % 2 == 1)
     box = F.when(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as tx
 from tallymark.functions.fields import field_lookup
+from tallymark.functions.rows import explode_map, explode_values
 from tallymark.operators.ordering import indexed_totals
 
 # Pages beyond this length are cut into blocks that become rows of their own.
@@ -17,10 +18,7 @@ PAGE_BLOCK = 4096
 
 def explode_gt_fields(records: DataFrame, keep: Sequence[str]) -> DataFrame:
     """(keep..., field, ref) per ground-truth field; null values are dropped."""
-    return (
-        records.select(*keep, F.explode("gt_fields").alias("field", "ref"))
-        .where(F.col("ref").isNotNull())
-    )
+    return explode_map(records, keep, "gt_fields", "field", "ref").where(F.col("ref").isNotNull())
 
 
 def page_window_rows(
@@ -43,11 +41,9 @@ def page_window_rows(
         "_found", tx.best_window_cer(p, r)
     )
     long = rows.where(F.coalesce(is_long, F.lit(False)))
-    blocks = long.select(
-        *keys,
-        r.alias("_ref"),
-        F.explode(F.sequence(F.lit(0), F.length(p) - 1, F.lit(block))).alias("_at"),
-        p.alias("_page"),
+    starts = F.sequence(F.lit(0), F.length(p) - 1, F.lit(block))
+    blocks = explode_values(
+        long, [*keys, r.alias("_ref"), p.alias("_page")], starts, "_at"
     ).select(
         *keys,
         "_ref",

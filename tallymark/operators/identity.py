@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.handles import handle_equal
+from tallymark.functions.rows import explode_map
 
 EXCUSED = ("unsupported", "not_provided")
 
 
 def handles_long(df: DataFrame, handles: str, person: str = "person", name: str = "handle"):
     """MAP<source, handle> column to (person, source, handle) rows."""
-    return df.select(person, F.explode(handles).alias("source", name))
+    return explode_map(df, [person], handles, "source", name)
 
 
 def _weight(weights: dict[str, float] | None) -> Column:

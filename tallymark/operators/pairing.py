@@ -18,7 +18,12 @@ from tallymark.fixedvalues import (
 )
 from tallymark.functions.documents import base_name, stem
 from tallymark.operators.ordering import positions, seeded_rank
-from tallymark.operators.sweep import PAIR_TARGETS, maximin_threshold, threshold_sweep
+from tallymark.operators.sweep import (
+    PAIR_TARGETS,
+    maximin_threshold,
+    score_histogram_counts,
+    sweep_from_counts,
+)
 
 
 def _path_order(path: str = "path") -> Column:
@@ -256,14 +261,19 @@ def scored_pair_sweep(
     pair is infeasible.
     """
     groups, targets = list(groups), targets or PAIR_TARGETS
-    counts = pairs.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("similarity").alias("n_scored"),
-        F.count_if(F.col("similarity").isNull()).alias("null_count"),
+    hist = score_histogram_counts(
+        pairs.withColumn("label", F.col("same").cast("int")),
+        groups,
+        score="similarity",
+        keep_missing=True,
+    )
+    size, missing = F.col("pos") + F.col("neg"), F.col("bucket").isNull()
+    counts = hist.groupBy(*groups).agg(
+        F.sum(size).alias("n"),
+        F.sum(F.when(missing, 0).otherwise(size)).alias("n_scored"),
+        F.sum(F.when(missing, size).otherwise(0)).alias("null_count"),
     )
-    sweep = threshold_sweep(
-        pairs.withColumn("label", F.col("same").cast("int")), groups, score="similarity"
-    ).withColumnRenamed("tpr", "sensitivity")
+    sweep = sweep_from_counts(hist.where(~missing), groups).withColumnRenamed("tpr", "sensitivity")
     operating = maximin_threshold(sweep, targets, groups)
     return counts.join(operating, groups, "left").withColumn(
         "infeasible", F.coalesce("infeasible", F.lit(True))

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from tallymark.fixedvalues import COLLAPSE_PATIENCE, COLLAPSE_STD, ROC_GATE_FPR, ROC_GATE_TPR
 from tallymark.operators.ordering import range_totals
-from tallymark.operators.sweep import FORGERY_TARGETS, feasible_interval, threshold_sweep
+from tallymark.operators.sweep import (
+    FORGERY_TARGETS,
+    feasible_interval,
+    grid_bucket,
+    sweep_from_counts,
+)
 from tallymark.session import shuffle_width
 
 
@@ -78,9 +83,11 @@ def rank_auc(
     scores: DataFrame, groups: Sequence[str] = (), score: str = "score", label: str = "label"
 ) -> DataFrame:
     """(groups, n_pos, n_neg, auc): mean-rank AUC; 0 when a class is empty."""
-    chunks = _with_group_totals(
-        score_chunks(score_counts(scores, groups, score, label), groups), groups
-    )
+    return rank_auc_from_counts(score_counts(scores, groups, score, label), groups)
+
+
+def rank_auc_from_counts(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    chunks = _with_group_totals(score_chunks(counts, groups), groups)
     wins = F.sum(F.col("wins") + F.col("pos") * F.col("neg_below").cast("double"))
     pairs = F.first("p").cast("double") * F.first("n").cast("double")
     return chunks.groupBy(*groups).agg(
@@ -104,49 +111,62 @@ def roc_gate(
     reaches ``tpr_min`` has the least false positive rate and decides alone. Without such a
     score, or when its rate is 1, the row holds (false, null, 0, 1).
     """
+    if not groups:
+        whole = scores.withColumn("_all", F.lit(0))
+        return roc_gate(whole, ["_all"], score, label, tpr_min, fpr_max).drop("_all")
+    return roc_gate_from_counts(score_counts(scores, groups, score, label), groups, tpr_min, fpr_max)
+
+
+def roc_gate_from_counts(
+    counts: DataFrame,
+    groups: Sequence[str],
+    tpr_min: float = ROC_GATE_TPR,
+    fpr_max: float = ROC_GATE_FPR,
+) -> DataFrame:
     groups = list(groups)
-    counts = score_counts(scores, groups, score, label)
     chunks = _with_group_totals(score_chunks(counts, groups), groups)
     tp_here = (F.col("pos_above") + F.col("pos")).cast("double")
     reaches = F.coalesce(F.try_divide(tp_here, F.col("p").cast("double")), F.lit(0.0)) >= tpr_min
-    # The chunk in which the rate is first reached, described by score values and outer counts.
+    # The chunk in which the rate is first reached, described by score values and outer counts,
+    # so that it means the same rows whichever way the scores were cut.
     crossing = chunks.groupBy(*groups).agg(
         F.max_by(
-            F.struct("lo", "hi", "pos_above", "neg_above"), F.when(reaches, F.col("lo"))
+            F.struct("lo", "hi", "pos_above", "neg_above"),
+            # Without positives no chunk reaches the rate; any one then stands for the group.
+            F.struct(reaches, F.col("lo")),
         ).alias("_c"),
         F.max("p").alias("p"),
         F.max("n").alias("n"),
     )
-    if groups:
-        narrowed = counts.join(crossing, groups)
-    else:
-        narrowed = counts.select("*", crossing.select(F.struct("_c", "p", "n")).scalar().alias("_x"))
-        narrowed = narrowed.select("score", "pos", "neg", "_x._c", "_x.p", "_x.n")
-    narrowed = narrowed.where(F.col("score").between(F.col("_c.lo"), F.col("_c.hi")))
+    # Inner, so that the few crossing rows can be the broadcast side of a large group. Null-safe
+    # conditions add no filters of their own, so both uses of the counts share one shuffle.
+    keyed = crossing.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_c", "p", "n")
+    meets = F.coalesce(F.col("score").between(F.col("_c.lo"), F.col("_c.hi")), F.lit(False))
+    for i, g in enumerate(groups):
+        meets = F.col(g).eqNullSafe(F.col(f"_g{i}")) & meets
+    inside = counts.join(keyed, meets)
     down = (
         Window.partitionBy(*groups)
         .orderBy(F.col("score").desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    points = (
-        narrowed.withColumn("tp", F.col("_c.pos_above") + F.sum("pos").over(down))
-        .withColumn("fp", F.col("_c.neg_above") + F.sum("neg").over(down))
-        .withColumn("tpr", F.col("tp") / F.col("p").cast("double"))
-        .withColumn(
-            "fpr", F.coalesce(F.try_divide("fp", F.col("n").cast("double")), F.lit(0.0))
-        )
-        .where(F.col("tpr") >= tpr_min)
-        .groupBy(*groups)
-        .agg(F.max_by(F.struct("score", "tpr", "fpr"), F.col("score")).alias("_at"))
-    )
-    everyone = counts.groupBy(*groups).agg(F.sum("pos").alias("_any"))
-    if groups:
-        joined = everyone.join(points, groups, "left")
-    else:
-        joined = everyone.select(points.select("_at").scalar().alias("_at"))
+    tp = F.col("_c.pos_above") + F.sum("pos").over(down)
+    fp = F.col("_c.neg_above") + F.sum("neg").over(down)
+    points = inside.select(
+        *groups,
+        "score",
+        *[
+            F.coalesce(F.try_divide(hits, F.col(total).cast("double")), F.lit(0.0)).alias(name)
+            for name, hits, total in (("tpr", tp, "p"), ("fpr", fp, "n"))
+        ],
+    )
+    reached = F.when(F.col("tpr") >= tpr_min, F.col("score"))
+    at = points.groupBy(*groups).agg(
+        F.max_by(F.struct("score", "tpr", "fpr"), reached).alias("_at")
+    )
     passed = F.coalesce(F.col("_at.fpr") <= fpr_max, F.lit(False))
     kept = passed | F.coalesce(F.col("_at.fpr") < 1.0, F.lit(False))
-    return joined.select(
+    return at.select(
         *groups,
         passed.alias("passed"),
         F.when(kept, F.col("_at.score")).alias("threshold"),
@@ -176,17 +196,22 @@ def epoch_metrics(
 ) -> DataFrame:
     """Per (run, epoch): auc, score_std, ROC gate, joint interval and its width."""
     keys = [run, epoch]
+    # The per-score counts are the one large intermediate, and all three metrics start from them.
+    counts = score_counts(scores, keys)
+    buckets = counts.groupBy(*keys, grid_bucket(F.col("score")).alias("bucket")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
     interval = feasible_interval(
-        threshold_sweep(scores, keys), targets or FORGERY_TARGETS, keys
+        sweep_from_counts(buckets, keys), targets or FORGERY_TARGETS, keys
     ).select(*keys, "t_min", "t_max", "width", "infeasible")
     spread = scores.groupBy(*keys).agg(F.stddev_pop("score").alias("score_std"))
-    gate = roc_gate(scores, keys).select(
+    gate = roc_gate_from_counts(counts, keys).select(
         *keys,
         F.col("passed").alias("gate_passed"),
         F.col("tpr").alias("gate_tpr"),
         F.col("fpr").alias("gate_fpr"),
     )
-    auc = rank_auc(scores, keys).select(*keys, "auc")
+    auc = rank_auc_from_counts(counts, keys).select(*keys, "auc")
     return spread.join(auc, keys, "left").join(gate, keys, "left").join(interval, keys, "left")
 
 

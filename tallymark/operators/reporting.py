@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,40 +130,59 @@ def gate_summary(
     mean_seconds. A missing run is N/A.
     """
     t = {**TARGETS, **(targets or {})}
-
-    def one(df: DataFrame | None, value: str, ok: Column, position: int, metric: str, target: float):
-        base = df if df is not None else spark.range(0)
-        if df is not None:
-            row = base.select(F.struct(F.col(value).cast("double").alias("value"), ok.alias("ok")))
-            result = row.scalar()
-            seen, val, good = result.isNotNull(), result["value"], result["ok"]
-        else:
-            seen, val, good = F.lit(False), F.lit(None).cast("double"), F.lit(None).cast("boolean")
-        return spark.range(1).select(
-            F.lit(position).alias("position"),
-            F.lit(metric).alias("metric"),
-            F.lit(float(target)).alias("target"),
-            val.alias("value"),
-            F.when(~seen, "N/A")
-            .when(F.coalesce(good, F.lit(False)), "PASS")
-            .otherwise("FAIL")
-            .alias("status"),
+    wanted = ("cer_max", "tpr_min", "f1_min", "sensitivity_min", "accuracy_min", "seconds_max")
+    frame = spark.range(1).select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("position"),
+                        F.lit(metric).alias("metric"),
+                        F.lit(float(t[key])).alias("target"),
+                    )
+                    for i, (metric, key) in enumerate(zip(GATE_TASKS, wanted), start=1)
+                ]
+            )
+        ).alias("_g")
+    ).select("_g.*")
+
+    def measured(run: DataFrame, values: dict[str, tuple[str, Column]]) -> DataFrame:
+        rows = F.array(
+            *[
+                F.struct(
+                    F.lit(metric).alias("metric"),
+                    F.col(column).cast("double").alias("value"),
+                    F.coalesce(ok, F.lit(False)).alias("ok"),
+                )
+                for metric, (column, ok) in values.items()
+            ]
         )
+        return run.select(F.explode(rows).alias("_m")).select("_m.*")
 
     feasible = ~F.col("infeasible")
-    rows = [
-        one(cer, "cer_field", F.col("cer_field") < t["cer_max"], 1, "cer", t["cer_max"]),
-        one(forgery, "tpr", feasible, 2, "tpr", t["tpr_min"]),
-        one(forgery, "f1", feasible, 3, "f1", t["f1_min"]),
-        one(faces, "sensitivity", feasible, 4, "sensitivity", t["sensitivity_min"]),
-        one(faces, "accuracy", feasible, 5, "accuracy", t["accuracy_min"]),
-        one(latency, "mean_seconds", F.col("mean_seconds") < t["seconds_max"], 6, "seconds",
-            t["seconds_max"]),
-    ]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+    parts = []
+    for run, values in (
+        (cer, {"cer": ("cer_field", F.col("cer_field") < t["cer_max"])}),
+        (forgery, {"tpr": ("tpr", feasible), "f1": ("f1", feasible)}),
+        (faces, {"sensitivity": ("sensitivity", feasible), "accuracy": ("accuracy", feasible)}),
+        (latency, {"seconds": ("mean_seconds", F.col("mean_seconds") < t["seconds_max"])}),
+    ):
+        if run is not None:
+            parts.append(measured(run, values))
+    if parts:
+        found = reduce(DataFrame.unionByName, parts)
+    else:
+        none = F.lit(None)
+        found = frame.limit(0).select(
+            "metric", none.cast("double").alias("value"), none.cast("boolean").alias("ok")
+        )
+    return frame.join(found, "metric", "left").select(
+        "position",
+        "metric",
+        "target",
+        "value",
+        F.when(F.col("ok").isNull(), "N/A").when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"),
+    )
 
 
 def backend_comparison(

@@ -63,10 +63,14 @@ def score_histogram_counts(
     label: str = "label",
     steps: int = 100,
     higher_is_positive: bool = True,
+    keep_missing: bool = False,
 ) -> DataFrame:
-    """(groups, bucket, pos, neg): additive counts that every sweep derives from."""
+    """(groups, bucket, pos, neg): additive counts that every sweep derives from.
+
+    Rows without a score are left out, or counted in a null bucket with ``keep_missing``.
+    """
     return (
-        scores.where(F.col(score).isNotNull())
+        (scores if keep_missing else scores.where(F.col(score).isNotNull()))
         .groupBy(*groups, grid_bucket(F.col(score), steps, higher_is_positive).alias("bucket"))
         .agg(
             F.count_if(F.col(label) == 1).alias("pos"),

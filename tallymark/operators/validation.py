@@ -13,6 +13,7 @@ from tallymark.fixedvalues import (
     FABRICATIONS,
     QUALITY_GATES,
 )
+from tallymark.functions.rows import explode_values
 from tallymark.operators.provenance import trial_valid_agg
 
 
@@ -34,7 +35,7 @@ def broken_rules(rules: dict[str, Column]) -> Column:
 
 def violations(df: DataFrame, rules: dict[str, Column], id_col: str = "id") -> DataFrame:
     """(id, rule) rows."""
-    return df.select(F.col(id_col).alias("id"), F.explode(broken_rules(rules)).alias("rule"))
+    return explode_values(df, [F.col(id_col).alias("id")], broken_rules(rules), "rule")
 
 
 def forgery_rules() -> dict[str, Column]:
@@ -240,15 +241,12 @@ def idnumber_checksum_scan(
     texts: DataFrame, groups: Sequence[str] = (), text: str = "text"
 ) -> DataFrame:
     """(groups, candidates, valid, invalid): 12-digit numbers in texts by check digit."""
-    numbers = texts.select(
-        *groups,
-        F.explode(
-            F.regexp_extract_all(F.col(text), F.lit(r"(?<![0-9])([0-9]{12})(?![0-9])"), F.lit(1))
-        ).alias("number"),
+    found = F.regexp_extract_all(
+        F.col(text), F.lit(r"(?<![0-9])([0-9]{12})(?![0-9])"), F.lit(1)
     )
-    valid = check_digit_valid(F.col("number"))
-    return numbers.groupBy(*groups).agg(
+    numbers = explode_values(texts, list(groups), found, "number")
+    counted = numbers.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("candidates"),
-        F.count_if(valid).alias("valid"),
-        F.count_if(~valid).alias("invalid"),
+        F.count_if(check_digit_valid(F.col("number"))).alias("valid"),
     )
+    return counted.withColumn("invalid", F.col("candidates") - F.col("valid"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.documents import base_name
+from tallymark.functions.rows import explode_array, explode_values
 from tallymark.schemas import ANNOTATION_FILE
 
 
@@ -16,16 +17,20 @@ def explode_regions(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """
     project = F.map_values("_via_img_metadata")
     single = F.array(F.struct(F.col("filename"), F.col("regions")))
-    entries = parsed.select(
-        *keep, F.when(F.size(project) > 0, project).otherwise(single).alias("_entries")
+    entries = explode_array(
+        parsed, keep, F.when(F.size(project) > 0, project).otherwise(single), "entry", "_e"
     )
     return (
-        entries.select(*keep, F.posexplode("_entries").alias("_entry", "_e"))
-        .select(*keep, "_entry", F.col("_e.filename").alias("file"),
-                F.posexplode("_e.regions").alias("ordinal", "_region"))
+        explode_array(
+            entries,
+            [*keep, "entry", F.col("_e.filename").alias("file")],
+            "_e.regions",
+            "ordinal",
+            "_region",
+        )
         .select(
             *keep,
-            F.col("_entry").alias("entry"),
+            "entry",
             "file",
             "ordinal",
             F.col("_region.shape_attributes").alias("shape"),
@@ -59,8 +64,13 @@ def regions_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.length(base)), lambda n: F.substring(base, F.lit(1), n)
     )
     first = (
-        regions.where(F.length(base) > 0)
-        .select("annotation", "entry", F.explode(prefixes).alias("idx"))
+        # The first region stands for its entry.
+        explode_values(
+            regions.where((F.col("ordinal") == 0) & (F.length(base) > 0)),
+            ["annotation", "entry"],
+            prefixes,
+            "idx",
+        )
         .groupBy("annotation", "idx")
         .agg(F.min("entry").alias("entry"))
     )
