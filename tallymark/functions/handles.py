@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from tallymark.fixedvalues import (
     PROFILE_BASES,
     PROFILE_SOURCES,
 )
+from tallymark.functions.rows import bind
 
 _LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029]"
 
@@ -23,11 +22,6 @@ def url_distinct_sorted(urls: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(urls, lambda u: u.isNotNull())))
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _first_group(text: Column, pattern: str) -> Column:
     """Group 1 of the first match, null without a match; the group is never empty."""
     return F.nullif(F.regexp_extract(text, f"(?iU){pattern}", 1), F.lit(""))
@@ -48,7 +42,7 @@ def _extract_handle(source: str, text: Column, candidates: Column) -> Column:
     """URL form in the candidates; else the ``source: handle`` label in the text."""
     by_url = _first_group(candidates, HANDLE_URL_PATTERNS[source])
     by_label = _first_group(text, rf"\b{source}\b{HANDLE_LABEL_SUFFIX}")
-    return _bind(F.coalesce(by_url, by_label), normalize_handle)
+    return bind(F.coalesce(by_url, by_label), normalize_handle)
 
 
 def extract_handles(text: Column, urls: Column) -> Column:
@@ -61,7 +55,7 @@ def extract_handles(text: Column, urls: Column) -> Column:
             F.array(*[_extract_handle(s, text, candidates) for s in PROFILE_SOURCES]),
         )
 
-    return F.map_filter(_bind(joined, search), lambda _, handle: handle.isNotNull())
+    return F.map_filter(bind(joined, search), lambda _, handle: handle.isNotNull())
 
 
 def profile_url(source: Column, handle: Column) -> Column:

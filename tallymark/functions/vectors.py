@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallymark.functions.rows import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -27,7 +29,7 @@ def cosine_unit(a: Column, b: Column, norm_a: Column | None = None, norm_b: Colu
     """Similarity in [0, 1]; null when either vector is missing."""
     na = norm(a) if norm_a is None else norm_a
     nb = norm(b) if norm_b is None else norm_b
-    return cosine_to_unit(F.try_divide(dot(a, b), na * nb))
+    return bind(F.try_divide(dot(a, b), na * nb), cosine_to_unit)
 
 
 def missing_reason(reason_a: Column, reason_b: Column) -> Column:

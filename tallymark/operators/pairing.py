@@ -273,7 +273,7 @@ def scored_pair_sweep(
         F.sum(F.when(missing, 0).otherwise(size)).alias("n_scored"),
         F.sum(F.when(missing, size).otherwise(0)).alias("null_count"),
     )
-    sweep = sweep_from_counts(hist.where(~missing), groups).withColumnRenamed("tpr", "sensitivity")
+    sweep = sweep_from_counts(hist, groups).withColumnRenamed("tpr", "sensitivity")
     operating = maximin_threshold(sweep, targets, groups)
     return counts.join(operating, groups, "left").withColumn(
         "infeasible", F.coalesce("infeasible", F.lit(True))

@@ -103,11 +103,14 @@ def sweep_from_counts(
     higher_is_positive: bool = True,
 ) -> DataFrame:
     """(groups, threshold, tp, fp, tn, fn, metrics...) at every grid point."""
-    # A group holds at most steps + 2 buckets here, so the array is bounded.
+    # A group holds at most steps + 3 buckets here, so the array is bounded. The null bucket is
+    # passed over rather than filtered out: a filter would move below the counting and compute
+    # every score again.
+    scored = F.col("bucket").isNotNull()
     grouped = counts.groupBy(*groups).agg(
         F.collect_list(F.struct("bucket", "pos", "neg")).alias("_hist"),
-        F.sum("pos").alias("_p"),
-        F.sum("neg").alias("_n"),
+        F.sum(F.when(scored, F.col("pos")).otherwise(0)).alias("_p"),
+        F.sum(F.when(scored, F.col("neg")).otherwise(0)).alias("_n"),
     )
 
     def passed(part: str) -> Column:
