@@ -14,7 +14,6 @@ from tallymark.operators.ordering import (
     GROUP_LIMIT_MAX,
     first_positions,
     positions,
-    seeded_rank,
     seeded_top,
 )
 
@@ -28,9 +27,7 @@ def holdout_split(
 ) -> DataFrame:
     """(name, side, seed): the first ``train_n`` names in seeded order train, the next evaluate."""
     names = df.select(name).distinct()
-    ranked = seeded_rank(names, name, seed)
-    total = train_n + eval_n
-    return ranked.where(F.col("rank") <= total).select(
+    return seeded_top(names, name, seed, train_n + eval_n).select(
         name,
         F.when(F.col("rank") <= train_n, "train").otherwise("eval").alias("side"),
         F.lit(seed).alias("seed"),

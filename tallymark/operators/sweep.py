@@ -158,6 +158,33 @@ def threshold_sweep(
     return sweep_from_counts(counts, groups, steps, higher_is_positive)
 
 
+def confusion(
+    scores: DataFrame,
+    threshold: float,
+    groups: Sequence[str] = (),
+    score: str = "score",
+    label: str = "label",
+    higher_is_positive: bool = True,
+) -> DataFrame:
+    """(groups, threshold, tp, fp, tn, fn, metrics...) at one threshold, on the grid or not."""
+    value = F.col(score)
+    hit = value >= threshold if higher_is_positive else value <= threshold
+    hit = hit & ~F.isnan(value)
+    positive, negative = F.col(label) == 1, F.col(label) == 0
+    counted = (
+        scores.where(value.isNotNull())
+        .groupBy(*groups)
+        .agg(
+            F.lit(float(threshold)).alias("threshold"),
+            F.count_if(hit & positive).alias("tp"),
+            F.count_if(hit & negative).alias("fp"),
+            F.count_if(~hit & negative).alias("tn"),
+            F.count_if(~hit & positive).alias("fn"),
+        )
+    )
+    return counted.select("*", *[m.alias(name) for name, m in metrics_from_counts().items()])
+
+
 def is_feasible(targets: Mapping[str, float]) -> Column:
     passed = F.lit(True)
     for metric, target in targets.items():

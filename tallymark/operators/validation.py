@@ -230,7 +230,8 @@ def check_digit_valid(number: Column) -> Column:
     position_lit = F.expr(f"array({', '.join(map(str, position))})")
     digits = F.transform(
         F.sequence(F.lit(1), F.length(number)),
-        lambda i: F.substring(F.reverse(number), i, F.lit(1)).cast("int"),
+        # From the last digit backwards.
+        lambda i: F.substring(number, -i, F.lit(1)).cast("int"),
     )
     permuted = F.transform(digits, lambda d, i: F.get(position_lit, (i % 8) * 10 + d))
     state = F.aggregate(permuted, F.lit(0), lambda acc, p: F.get(product_lit, acc * 10 + p))

@@ -13,6 +13,7 @@ from tallymark.plans.queries_people import RESOLVED, handle_rows, persons
 from tallymark.plans.queries_records import FIELDS, items, parts
 from tallymark.plans.queries_scores import SCORES, maximin_sql, scores, sweep_sql
 from tallymark.schemas import ANNOTATION_FILE
+from tallymark.session import materialize
 from tallymark.sources.annotations import explode_regions, regions_for_image
 
 
@@ -260,7 +261,8 @@ def annotated(spark, folder) -> DataFrame:
         F.concat(key, F.lit(".jpg")).alias("filename"),
         F.from_json(raw, ANNOTATION_FILE).alias("a"),
     )
-    regions = explode_regions(images.select("annotation", "a.*"), ["annotation"])
+    # Parsed once; finding each image's entry and taking its regions read the rows again.
+    regions = materialize(explode_regions(images.select("annotation", "a.*"), ["annotation"]))
     return regions_for_image(regions, images.drop("a"))
 
 

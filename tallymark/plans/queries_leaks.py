@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from tallymark.functions.documents import document_key
 from tallymark.operators import fingerprint, leakage, sampling
 from tallymark.plans.catalog import query, table
+from tallymark.session import materialize
 
 
-def sides(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Documents dealt to training (even) and evaluation (odd), with the digest of their text."""
+def sides(spark, folder, reread: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt to training (even) and evaluation (odd), with the digest of their text.
+
+    With ``reread`` the index is written once, as the texts are far larger than their digests.
+    """
     docs = table(spark, folder, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"),
         F.sha2("text", 256).alias("sha256"),
         F.concat_ws("/", F.col("lang"), F.floor(F.col("n_chars") / 1000).cast("string")).alias("source_id"),
         (F.col("doc_id") % 2 == 0).alias("in_train"),
     )
+    docs = materialize(docs) if reread else docs
     return docs.where("in_train").drop("in_train"), docs.where("NOT in_train").drop("in_train")
 
 
@@ -47,7 +52,7 @@ def _(spark, folder):
     FROM evals JOIN {shared_sql('sha256')} USING (sha256)""",
 )
 def _(spark, folder):
-    return leakage.leak_exact_rows(*sides(spark, folder))
+    return leakage.leak_exact_rows(*sides(spark, folder, reread=True))
 
 
 @query(
@@ -56,7 +61,7 @@ def _(spark, folder):
     WHERE sha256 IN (SELECT sha256 FROM evals)""",
 )
 def _(spark, folder):
-    train, evaluation = sides(spark, folder)
+    train, evaluation = sides(spark, folder, reread=True)
     found = leakage.leak_exact(train, evaluation)
     return leakage.leak_members(train, found, "sha256", "n_train")
 
@@ -86,7 +91,7 @@ def hashes(spark, folder) -> tuple[DataFrame, DataFrame]:
         F.lit(0).cast("bigint"),
         lambda acc, b: acc.bitwiseOR(b),
     )
-    vectors = table(spark, folder, "embeddings").select("vec_id", bits.alias("fp"))
+    vectors = materialize(table(spark, folder, "embeddings").select("vec_id", bits.alias("fp")))
     key = F.col("vec_id").cast("string")
     flipped = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("vec_id") % 12).cast("int")) - 1
     train = vectors.select(F.concat(F.lit("t"), key).alias("path"), F.col("fp").alias("phash"))
@@ -147,7 +152,7 @@ def _(spark, folder):
       ELSE 'PASS' END AS verdict FROM counts""",
 )
 def _(spark, folder):
-    train, evaluation = sides(spark, folder)
+    train, evaluation = sides(spark, folder, reread=True)
     return leakage.leak_verdict(
         train.select("path").intersect(evaluation.select("path")),
         leakage.leak_exact(train, evaluation),

@@ -11,6 +11,7 @@ from tallymark.functions.geometry import flat_to_box, quad_to_box
 from tallymark.operators import cer as cer_ops
 from tallymark.operators import provenance, sampling, splits, validation
 from tallymark.plans.catalog import query, table
+from tallymark.session import materialize
 
 # --- character error rates --------------------------------------------------------------------
 
@@ -148,7 +149,8 @@ def _(spark, folder):
       (PARTITION BY script ORDER BY id ROWS UNBOUNDED PRECEDING), 6) AS running_cer_field FROM items""",
 )
 def _(spark, folder):
-    out = cer_ops.running_cer(items(spark, folder), ["script"], chunk_rows=100)
+    # Chunk totals and rows both read the error rates.
+    out = cer_ops.running_cer(materialize(items(spark, folder)), ["script"], chunk_rows=100)
     return out.select(
         "id", "script", F.round("running_cer_field", 6).alias("running_cer_field")
     )

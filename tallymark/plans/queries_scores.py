@@ -170,6 +170,23 @@ def _(spark, folder):
     return sweep.feasible_interval(swept, TARGETS, ["domain"])
 
 
+@query(
+    "confusion",
+    f"""WITH {SCORES}, counted AS (
+      SELECT domain, 0.4321e0 AS threshold, count(*) FILTER (WHERE score >= 0.4321e0 AND label = 1) AS tp,
+        count(*) FILTER (WHERE score >= 0.4321e0 AND label = 0) AS fp,
+        count(*) FILTER (WHERE score < 0.4321e0 AND label = 0) AS tn,
+        count(*) FILTER (WHERE score < 0.4321e0 AND label = 1) AS fn FROM fx_scores GROUP BY domain)
+    SELECT domain, threshold, tp, fp, tn, fn, accuracy, tp::DOUBLE / (tp + fn) AS tpr,
+      fp::DOUBLE / (fp + tn) AS fpr, tp::DOUBLE / (tp + fp) AS "precision",
+      2e0 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn))
+        / (tp::DOUBLE / (tp + fp) + tp::DOUBLE / (tp + fn)) AS f1
+    FROM (SELECT *, (tp + tn)::DOUBLE / (tp + fp + tn + fn) AS accuracy FROM counted)""",
+)
+def _(spark, folder):
+    return sweep.confusion(scores(spark, folder), 0.4321, ["domain"])
+
+
 @query("maximin_threshold", f"{_BY_DOMAIN}, {maximin_sql()} SELECT * FROM operating")
 def maximin(spark, folder):
     swept = sweep.threshold_sweep(scores(spark, folder), ["domain"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
@@ -47,5 +47,15 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once, into the shared folder, what a job reads several times.
+
+    For small projections of costly inputs: digests of texts, parsed annotations, error rates.
+    The files survive lost executors and cut the lineage.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

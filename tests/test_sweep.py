@@ -41,6 +41,14 @@ def test_every_threshold_equals_brute_force(spark):
             assert (r.tp, r.fp, r.tn, r.fn) == confusion(rows, r.threshold, higher), r.threshold
 
 
+def test_confusion_at_one_threshold(spark):
+    rows = tricky()
+    for higher in (True, False):
+        for t in (0.29, 0.123456, 1.0):
+            r = sw.confusion(frame(spark, rows), t, ["g"], higher_is_positive=higher).first()
+            assert (r.tp, r.fp, r.tn, r.fn) == confusion(rows, t, higher)
+
+
 def test_null_scores_are_left_out_and_grid_is_exact(spark):
     out = sw.threshold_sweep(frame(spark, [("a", None, 1), ("a", 0.5, 1)]), ["g"]).collect()
     assert sorted(r.threshold for r in out) == GRID
