@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallymark.fixedvalues import NEAR_HASH_DISTANCE
 from tallymark.functions.vectors import hamming
 from tallymark.operators.joins import hot_split_join
+from tallymark.session import materialize
 
 HASH_BITS = 64
 
@@ -130,33 +131,34 @@ def choose_bands(
     evaluation: DataFrame,
     train: DataFrame,
     distance: int = NEAR_HASH_DISTANCE,
-    per_row: int = 200,
+    per_key: int = 500,
     most_keys: int = 1000,
 ) -> int:
-    """The fewest bands whose measured comparisons stay near ``per_row`` per distinct hash.
+    """The fewest bands whose measured comparisons are worth their keys.
 
-    With more bands each key keeps more bits, which also splits keys that many hashes share.
+    A key row is shuffled and a comparison is a few instructions, so ``per_key`` comparisons are
+    taken to cost as much as a key. With more bands a hash has more keys and each keeps more
+    bits, which also splits keys that many hashes share: the counts are those of the data.
     """
-    rows = evaluation.select("phash").unionByName(train.select("phash")).count()
+    rows = evaluation.count() + train.count()
     options = [
-        b for b in range(distance + 1, HASH_BITS)
-        if comb(b, distance) <= most_keys
+        bands
+        for bands in range(distance + 1, HASH_BITS)
+        if comb(bands, distance) <= most_keys
     ]
-    best, best_count = options[0], None
+    measured: dict[int, int] = {}
     for bands in options:
-        needed = candidate_count(evaluation, train, bands, distance)
-        if needed <= per_row * max(rows, 1):
+        measured[bands] = candidate_count(evaluation, train, bands, distance)
+        if measured[bands] <= per_key * comb(bands, distance) * rows:
             return bands
-        if best_count is None or needed < best_count:
-            best, best_count = bands, needed
-    return best
+    return min(options, key=lambda bands: measured[bands])
 
 
 def near_hash_pairs(
     train: DataFrame,
     evaluation: DataFrame,
     distance: int = NEAR_HASH_DISTANCE,
-    bands: int = 9,
+    bands: int | None = None,
     path: str = "path",
 ) -> DataFrame:
     """Pairs of distinct 64-bit hashes within ``distance``, with row counts on each side.
@@ -164,9 +166,17 @@ def near_hash_pairs(
     Two hashes that differ in at most d bits agree on at least b - d of b bands, so they meet in
     an equality join on some choice of b - d bands. Each pair is kept only at the choice made of
     its lowest agreeing bands, hence once, without a distinct. Rows without a hash are left out.
+    The number of bands is measured when not given, for which the distinct hashes are written.
     """
     ev = _per_value(evaluation, "phash", "eval", path).withColumnRenamed("phash", "eval_hash")
     tr = _per_value(train, "phash", "train", path).withColumnRenamed("phash", "train_hash")
+    if bands is None:
+        ev, tr = materialize(ev), materialize(tr)
+        bands = choose_bands(
+            ev.select(F.col("eval_hash").alias("phash")),
+            tr.select(F.col("train_hash").alias("phash")),
+            distance,
+        )
     left = _keyed(ev, "eval_hash", bands, distance)
     right = _keyed(tr, "train_hash", bands, distance).drop("top")
     gap = "eval_hash ^ train_hash"
