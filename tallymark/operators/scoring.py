@@ -59,11 +59,16 @@ def batch_score(
                 records = batch[fields].to_dict("records")
                 futures = [pool.submit(call, r) for r in records]
                 results = []
-                for future in futures:
+                for at in range(len(records)):
                     try:
-                        results.append(future.result(timeout_s))
+                        results.append(futures[at].result(timeout_s))
                     except CallTimeout:
                         results.append((None, timeout_s * 1000.0, f"timeout after {timeout_s}s"))
+                        # The stuck call keeps its thread; calls not begun move to a new pool.
+                        pool = ThreadPoolExecutor(max(1, concurrency))
+                        for later in range(at + 1, len(records)):
+                            if futures[later].cancel():
+                                futures[later] = pool.submit(call, records[later])
                 score, latency, error = zip(*results) if results else ((), (), ())
                 yield pd.DataFrame(
                     {

@@ -39,13 +39,14 @@ def test_retry_then_success(spark):
     assert sc.batch_score(docs(spark), make(), ["id"], retries=2, backoff_s=0.0).where("error is not null").count() == 20
 
 
-def test_timeout_disturbs_no_other_row(spark):
+@pytest.mark.parametrize("concurrency", [1, 6])
+def test_timeout_disturbs_no_other_row(spark, concurrency):
     def scorer(record):
         if record["id"] == 3:
             time.sleep(3)
         return 1.0
 
-    scored = sc.batch_score(docs(spark, 6), scorer, ["id"], retries=1, concurrency=6, timeout_s=0.5)
+    scored = sc.batch_score(docs(spark, 6).coalesce(1), scorer, ["id"], retries=1, concurrency=concurrency, timeout_s=0.5)
     out = {r.id: r for r in scored.collect()}
     assert out[3].error.startswith("timeout") and all(out[i].score == 1.0 for i in out if i != 3)
 
@@ -64,13 +65,13 @@ def test_waiting_calls_overlap(spark):
 
 def test_registry():
     registry = sc.ScorerRegistry()
-    registry.register("classic", "paddle", factory=lambda: (lambda r: 1.0))
+    registry.register("classic", "plain", factory=lambda: (lambda r: 1.0))
 
     def broken():
         raise ImportError("no model")
 
     registry.register("heavy", factory=broken)
-    assert registry.create(" Paddle ")({}) == 1.0
+    assert registry.create(" Plain ")({}) == 1.0
     with pytest.raises(sc.UnknownScorerError):
         registry.create("other")
     with pytest.raises(ImportError):
