@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tallymark.fixedvalues import DOC_TYPE_KEYWORDS, SCRIPT_BY_PREFIX, WIDE_ASPECT
 
 
-def blank_to_null(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
-
-
 def cer(hyp: Column, ref: Column) -> Column:
     """Edit distance over reference length; an empty reference costs 0 or 1."""
     return F.when(

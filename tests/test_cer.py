@@ -126,3 +126,24 @@ def test_gt_text(spark):
     assert df.select(tx.gt_text_join(F.col("f"))).first()[0] == "a: 1\nb: 2"
     nested = df.select(tx.gt_text_nested(F.map_concat("f", F.create_map(F.lit("subjects"), F.lit("{}"))), "subjects", F.col("s")))
     assert nested.first()[0] == "1\n2\nm: 9\nn: 8"
+
+
+def test_field_maps(spark):
+    from tallymark.functions import fields as fl
+
+    df = spark.sql(
+        """SELECT map('a', named_struct('value', 'x', 'bbox', array(0D, 0D, 1D, 1D), 'confidence', 0.5D),
+                      'b', named_struct('value', 'y', 'bbox', cast(null AS array<double>), 'confidence', 0.5D),
+                      'c', named_struct('value', cast(null AS string), 'bbox', array(0D, 0D, 1D, 1D), 'confidence', 0.5D)) AS f,
+                  map('a', 'x', 'b', cast(null AS string)) AS bare"""
+    )
+    row = df.select(
+        fl.unwrap_fields(F.col("f")).alias("located"),
+        fl.unwrap_bare(F.col("bare")).alias("bare"),
+        fl.bbox_fields(F.col("bare")).alias("boxless"),
+        fl.bbox_backed_text(F.col("f"), F.lit("page")).alias("text"),
+        fl.bbox_backed_text(fl.bbox_fields(F.col("bare")), F.lit("page")).alias("kept"),
+    ).first()
+    assert row.located == {"a": "x"} and row.bare == {"a": "x"}
+    assert set(row.boxless) == {"a", "b"} and row.boxless["a"].value is None and row.boxless["a"].bbox is None
+    assert (row.text, row.kept) == ("x", "page")

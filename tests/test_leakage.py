@@ -102,3 +102,14 @@ def test_verdict(spark):
     assert verdict(near=1, source=1) == "FAIL"
     assert verdict(exact=1) == "FAIL"
     assert verdict(names=1) == "FAIL"
+
+
+def test_hot_split_join_keeps_every_row(spark):
+    from tallymark.operators.joins import hot_split_join
+
+    # One key holds a third of the rows; some keys are in neither or only one side.
+    keys = [0] * 100 + [i % 20 for i in range(200)]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k int")
+    lookup = rows.where("k < 15").groupBy("k").count().withColumn("label", F.concat(F.lit("v"), F.col("k")))
+    got = hot_split_join(rows, lookup, ["k"], "count", hot_keys=2).collect()
+    assert sorted((r.id, r.label) for r in got) == [(i, f"v{k}") for i, k in enumerate(keys) if k < 15]
