@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tallymark.session import fresh_path
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 #: ASCII lower case; every byte that is no letter, digit or part of a longer character is a space.
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -50,7 +54,16 @@ def map_rows(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
                 )
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return arrow_map(df.select(*columns), run, schema)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this repository on the workers' module path."""
+    known = df.sparkSession.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
+    return df.mapInArrow(run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

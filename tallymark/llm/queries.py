@@ -32,3 +32,10 @@ def op1_licences(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.licences import licence_scan
 
     return licence_scan(table(spark, folder, "documents")).drop("spans")
+
+
+@register("op3_simhash")
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, folder, "documents"))
