@@ -88,6 +88,6 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def is_lowered(column: str):
+def lowered(column):
     """The column with A-Z, and nothing else, in lower case."""
-    return F.translate(F.col(column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

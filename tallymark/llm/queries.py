@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.llm import linededup
+from tallymark.llm.licences import licence_scan
+from tallymark.llm.simhash import simhash_groups
+
 Runner = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Runner] = {}
@@ -29,13 +33,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @register("op1_licences")
 def op1_licences(spark: SparkSession, folder: str) -> DataFrame:
-    from tallymark.llm.licences import licence_scan
-
     return licence_scan(table(spark, folder, "documents")).drop("spans")
 
 
 @register("op3_simhash")
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    from tallymark.llm.simhash import simhash_groups
-
     return simhash_groups(table(spark, folder, "documents"))
+
+
+@register("op6_line_dedup", linededup.ORACLE)
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
