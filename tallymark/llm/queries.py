@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import linededup
+from tallymark.llm import linededup, mixing
 from tallymark.llm.licences import licence_scan
 from tallymark.llm.simhash import simhash_groups
 
@@ -45,3 +45,9 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op9_mixing", mixing.ORACLE)
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, folder, "documents"))
+    return mixed.drop("u", "copies")
