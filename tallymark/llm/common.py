@@ -59,11 +59,16 @@ def map_rows(
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this repository on the workers' module path."""
-    known = df.sparkSession.sparkContext.environment
+    workers_know(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def workers_know(spark: SparkSession) -> None:
+    """Put this repository on the module path of the Python workers to come."""
+    known = spark.sparkContext.environment
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         known["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
-    return df.mapInArrow(run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

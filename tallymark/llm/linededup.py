@@ -17,11 +17,13 @@ lines. Rows that share an id are one document. An empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import lowered, map_rows, store
+from tallymark.llm.common import arrow_map, lowered, map_rows, store, unused
 from tallymark.operators.joins import hot_split_join
 from tallymark.session import fresh_path, shuffle_width
 
@@ -139,24 +141,71 @@ def dedup_lines(
     A key is a line without blanks at both ends, A-Z lowered. Keys of ``least`` code points or more
     stay only in the document of the smallest id that holds them, with all their lines there.
     """
-    drops = dropped_lines(docs, id_col, text_col, batches, fanout, least)
-    by_doc = drops.distinct().groupBy("id").agg(F.collect_list("at").alias("gone"))
-    rows = docs.select(F.col(id_col), F.col(text_col), F.col(id_col).cast("long").alias("id"))
-    rows = rows.join(by_doc, "id", "left").select(id_col, text_col, "gone")
+    rows = _with_drops(docs, id_col, text_col, batches, fanout, least, "gone")
+    rows = rows.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), "gone")
 
     def work(part: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {id_col: part[id_col], "n_lines": [], "n_dropped": [], "kept": []}
-        for text, gone in zip(part[text_col], part["gone"]):
-            lines = (text or "").split("\n")
-            absent = set(gone or ())
+        out: dict[str, list] = {id_col: part["key"], "n_lines": [], "n_dropped": [], "kept": []}
+        for text, gone in zip(part["text"], part["gone"]):
+            lines, kept = kept_lines(text, gone)
             out["n_lines"].append(len(lines))
-            out["n_dropped"].append(len(absent))
-            out["kept"].append("\n".join(x for i, x in enumerate(lines) if i not in absent))
+            out["n_dropped"].append(len(lines) - len(kept))
+            out["kept"].append("\n".join(kept))
         return out
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_lines long, n_dropped long, kept string"
-    return map_rows(rows, [id_col, text_col, "gone"], schema, work)
+    return map_rows(rows, ["key", "text", "gone"], schema, work)
+
+
+def without_repeated_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str | None = "n_chars",
+    batches: int = 4,
+    fanout: int = 2,
+    least: int = 10,
+) -> DataFrame:
+    """The documents, all columns, without the lines to drop; ``length_col`` follows the text."""
+    gone = unused(docs, "gone")
+    rows = _with_drops(docs, id_col, text_col, batches, fanout, least, gone)
+    at, size = docs.columns.index(text_col), None
+    if length_col in docs.columns:
+        size = docs.columns.index(length_col)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            texts, absent = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1)
+            for i, lines in enumerate(absent.to_pylist()):
+                if lines:
+                    texts[i] = "\n".join(kept_lines(texts[i], lines)[1])
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns[at] = pa.array(texts, columns[at].type)
+            if size is not None:
+                lengths = [n if t is None else len(t) for n, t in zip(columns[size].to_pylist(), texts)]
+                columns[size] = pa.array(lengths, columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return arrow_map(rows, run, docs.schema)
+
+
+def kept_lines(text: str | None, gone: list[int] | None) -> tuple[list[str], list[str]]:
+    """(all lines, lines that stay) of a text."""
+    lines = (text or "").split("\n")
+    absent = set(gone or ())
+    return lines, [x for i, x in enumerate(lines) if i not in absent]
+
+
+def _with_drops(
+    docs: DataFrame, id_col: str, text_col: str, batches: int, fanout: int, least: int, gone: str
+) -> DataFrame:
+    """The documents, all columns, and last the places of the lines to drop."""
+    drops = dropped_lines(docs, id_col, text_col, batches, fanout, least)
+    key = unused(docs, "key")
+    by_doc = drops.distinct().groupBy(F.col("id").alias(key)).agg(F.collect_list("at").alias(gone))
+    rows = docs.withColumn(key, F.col(id_col).cast("long")).join(by_doc, key, "left")
+    return rows.select(*docs.columns, gone)
 
 
 ORACLE = r"""

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import store
+from tallymark.llm.common import store, unused
 from tallymark.operators.joins import hot_split_join
 
 BINS = 16384
+SEED = 7
 
 
 def water_level(rows: DataFrame, within: list[str], order: list, total, cap, weight, fits) -> DataFrame:
@@ -123,7 +124,7 @@ def mix_sources(
     weights: tuple[int, ...] = (5, 2, 1),
     percent: int = 150,
     most: int = 2,
-    seed: int = 7,
+    seed: int = SEED,
 ) -> DataFrame:
     """(id, u, size, source_size, target, copies, taken), a row per document; ``u`` is its random number.
 
@@ -185,6 +186,32 @@ def mix_sources(
     )
 
 
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how
+) -> DataFrame:
+    """The mix itself: all columns, a row per copy taken, numbered from 1 in ``copy``.
+
+    A document of size 0 has no words to take and stays once.
+    """
+    u, key, copy = unused(docs, "u"), unused(docs, "key"), unused(docs, "copy")
+    many = unused(docs, "copies")
+    narrow = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")
+    )
+    mix = mix_sources(narrow, "id", "source", "text", **how)
+    taken = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
+    mix = mix.groupBy(
+        F.coalesce(F.col("id").cast("string"), F.lit("")).alias(key), F.col("u").alias(u)
+    ).agg(F.max(taken).alias(many))
+    seed = how.get("seed", SEED)
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    rows = rows.withColumn(u, random_share(id_col, text_col, seed)).join(mix, [key, u])
+    rows = rows.where(F.col(many) > 0)
+    return rows.select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), F.col(many).cast("int"))).alias(copy)
+    )
+
+
 ORACLE = r"""
 WITH rows AS (
     SELECT doc_id, source,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import linededup, mixing
+from tallymark.llm import ann, decontam, linededup, lm, mixing, pii, toxicity, urls
 from tallymark.llm.licences import licence_scan
 from tallymark.llm.simhash import simhash_groups
 
@@ -36,18 +36,53 @@ def op1_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licence_scan(table(spark, folder, "documents")).drop("spans")
 
 
+@register("op2_personal_data")
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data_counts(pii.find_personal_data(table(spark, folder, "documents")))
+
+
 @register("op3_simhash")
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"))
 
 
+@register("op4_decontamination")
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each document that covers a benchmark item; clean documents have none."""
+    return decontam.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+@register("op5_nearest")
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register("op6_line_dedup", linededup.ORACLE)
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op7_lm_scores")
+def op7_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents"))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score_toxicity(docs, model)
+
+
 @register("op9_mixing", mixing.ORACLE)
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
     return mixed.drop("u", "copies")
+
+
+@register("op10_urls", urls.ORACLE)
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(table(spark, folder, "pages")).drop("trust", "distrust")

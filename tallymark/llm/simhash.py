@@ -24,6 +24,7 @@ least id reached, null if none has one. Repeated rows are equal members. Empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import arrow_map, map_rows, space_words, store
+from tallymark.llm.common import arrow_map, map_rows, space_words, store, unused
 from tallymark.llm.components import connected_components
 from tallymark.operators.joins import hot_split_join
 
@@ -253,8 +255,10 @@ def simhash_groups(
     radius: int = 2,
     tables: int = 24,
     groups: int = 4,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, fingerprint hex, component_id): the least id reachable over links of ``radius`` bits.
+    """(id, carried columns, fingerprint hex, component_id): the least id reachable over links of
+    ``radius`` bits.
 
     ``words``: 64-bit words of a fingerprint. One word takes exact two-band keys; several take
     ``tables`` keys of ``groups`` strongest counters each.
@@ -279,10 +283,12 @@ def simhash_groups(
                         for i, m in enumerate(pairs)
                     ]
                 )
-        return {id_col: rows[id_col], "print": prints, "keys": keys}
+        return {name: rows[name] for name in kept} | {"print": prints, "keys": keys}
 
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, print binary, keys array<long>"
-    prints = store(map_rows(docs, [id_col, text_col], schema, work), "prints")
+    kept = [id_col, *carry]
+    kinds = [f"{name} {docs.schema[name].dataType.simpleString()}" for name in kept]
+    schema = ", ".join([*kinds, "print binary", "keys array<long>"])
+    prints = store(map_rows(docs, [*kept, text_col], schema, work), "prints")
     classes = store(
         prints.groupBy("print").agg(
             F.min(id_col).alias("least_id"), F.count("*").alias("n"), F.first("keys").alias("keys")
@@ -297,8 +303,42 @@ def simhash_groups(
     known = known.withColumn("root", label).select("print", "n", "root").join(least, "root")
     known = store(known.drop("root"), "members")
     text = F.lower(F.hex("print" if words > 1 else _descending("print")))
-    joined = hot_split_join(prints.select(id_col, "print"), known, ["print"], "n")
-    return joined.select(id_col, text.alias("fingerprint"), "component_id")
+    joined = hot_split_join(prints.select(*kept, "print"), known, ["print"], "n")
+    return joined.select(*kept, text.alias("fingerprint"), "component_id")
+
+
+#: Bits of 1024 in which texts whose shingle sets have a Jaccard similarity of 0.8 differ: sets of
+#: equal size then have cosine 2 * 0.8 / 1.8, and signs differ with the angle over pi. A few more
+#: bits make up for the spread of the estimate.
+WIDE_RADIUS = round(1024 * math.acos(1.6 / 1.8) / math.pi) + 4
+
+
+def without_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    words: int = 16,
+    radius: int = WIDE_RADIUS,
+) -> DataFrame:
+    """The documents, all columns, with one of each group of near copies: that of the least id.
+
+    Rows alike in id and text are one document. Rows without an id stay, unless alike in text to
+    another row without one.
+    """
+    digest, place = unused(docs, "digest"), unused(docs, "place")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    narrow = docs.select(
+        F.col(id_col).alias("key"), text.alias("text"), F.xxhash64(text).alias("digest")
+    )
+    members = simhash_groups(
+        narrow, "key", "text", shingle, words, radius, carry=("digest",)
+    )
+    gone = members.where("key IS NOT NULL AND key <> component_id")
+    gone = gone.select(F.col("key").alias(id_col), F.col("digest").alias(digest)).distinct()
+    rows = docs.withColumn(digest, F.xxhash64(text)).join(gone, [id_col, digest], "left_anti")
+    first = F.row_number().over(W.partitionBy(id_col, digest).orderBy(digest))
+    return rows.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)
 
 
 def _descending(column: str):
