@@ -11,7 +11,7 @@ up to ``SAMPLE_CHARS``), collected to the driver. As labels belong to whole text
 highest logit stand for them; vectors start from the log odds of words and trigrams in the sample.
 Scoring covers every window of every whole text, in place: nothing is shuffled.
 
-Defined cases: null and empty texts have no words and get the score of a window without words. Rows
+Defined cases: null and empty texts have no words, hence nothing that speaks for label 1: score 0. Rows
 of ``labels`` that repeat an id count as toxic if any is; a null label is not used. Without both
 labels in the sample the score is their share, or 0. Rows without an id are scored, and are not held
 out. Repeated rows score alike. Only the text is an input of a score.
@@ -19,6 +19,7 @@ out. Repeated rows score alike. Only the text is an input of a score.
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import reduce
 
@@ -38,7 +39,7 @@ CHAR_DIM = 8
 HIDDEN = 8
 WINDOW = 32
 STEP = 24
-EPOCHS = 5
+EPOCHS = 3
 CACHE_WORDS = 100_000
 
 
@@ -230,7 +231,7 @@ class ToxicityModel:
         return self.__dict__ | {"_inputs": None, "_table": []}
 
     def largest(self, texts: list[str | None]) -> np.ndarray:
-        """The largest window logit of each text."""
+        """The largest window logit of each text; minus infinity for a text without words."""
         if self._inputs is None or len(self._inputs.ids) > CACHE_WORDS:
             self._inputs, self._table = WordInputs(self.vocabulary), []
         row = self._inputs.row
@@ -244,12 +245,12 @@ class ToxicityModel:
         stacked, owners = np.concatenate(windows), np.concatenate(owner)
         logits = np.concatenate(
             [
-                self.network.forward(self._table, stacked[i : i + 2048])
-                for i in range(0, len(stacked), 2048)
+                self.network.forward(self._table, stacked[i : i + 256])
+                for i in range(0, len(stacked), 256)
             ]
         )
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, owners, logits)
+        np.maximum.at(out, owners[stacked[:, 0] >= 0], logits[stacked[:, 0] >= 0])
         return out
 
     def _grow(self) -> None:
@@ -263,7 +264,8 @@ class ToxicityModel:
             return []
         if self.constant is not None:
             return [self.constant] * len(texts)
-        return sigmoid(self.largest(texts) * self.scale + self.shift).tolist()
+        logits = np.clip(self.largest(texts) * self.scale + self.shift, -700, 700)
+        return (1 / (1 + np.exp(-logits))).tolist()
 
 
 def _log_odds(sets: list[set], labels: np.ndarray) -> dict:
@@ -279,8 +281,17 @@ def _log_odds(sets: list[set], labels: np.ndarray) -> dict:
     }
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> ToxicityModel:
-    """Train on whole texts: vectors from log odds, then gradient steps on windows that stand for them."""
+def fit(
+    texts: list[str],
+    labels: list[int],
+    epochs: int = EPOCHS,
+    seed: int = 11,
+    share: float | None = None,
+) -> ToxicityModel:
+    """Train on whole texts: vectors from log odds, then gradient steps on windows that stand for them.
+
+    ``share`` of label 1 among all labelled rows corrects for a sample with another share.
+    """
     target = np.array(labels, np.float32)
     words = [alnum_words(t) for t in texts]
     odds = _log_odds([set(w) for w in words], target)
@@ -328,16 +339,20 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 1
             grad["word"][0] = 0
             grad["gram"] = np.zeros_like(network.p["gram"])
             place = np.repeat(np.arange(len(used)), counts[used])
-            share = (d_vectors[:, WORD_DIM:] / counts[used][:, None])[place]
-            np.add.at(grad["gram"], [g for u in used for g in inputs.grams[u]], share)
+            spread = (d_vectors[:, WORD_DIM:] / counts[used][:, None])[place]
+            np.add.at(grad["gram"], [g for u in used for g in inputs.grams[u]], spread)
             adam.move(grad)
         table = network.project(network.vectors(inputs.ids, inputs.grams))
         logits = np.concatenate(
-            [network.forward(table, stacked[i : i + 2048]) for i in range(0, len(stacked), 2048)]
+            [network.forward(table, stacked[i : i + 256]) for i in range(0, len(stacked), 256)]
         )
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, logits)
-    model.scale, model.shift = calibrate(best, target)
+    told = np.array([len(w) > 0 for w in words])
+    model.scale, model.shift = calibrate(best[told], target[told])
+    if share is not None:
+        odds_of = lambda x: math.log(x / (1 - x))
+        model.shift += odds_of(min(max(share, 1e-3), 1 - 1e-3)) - odds_of(float(target.mean()))
     return model
 
 
@@ -383,7 +398,8 @@ def train(
         for value in (0, 1)
     ]
     found = reduce(DataFrame.unionByName, picked).collect()
-    return fit([r.text for r in found], [r.label for r in found], epochs)
+    share = told.agg(F.avg("label")).first()[0]
+    return fit([r.text for r in found], [r.label for r in found], epochs, share=share)
 
 
 def held_out(key, folds: int):
