@@ -7,13 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FLAT_LIMIT = 1_000_000
-
-
-class TooManyEntriesError(ValueError):
-    """A flat digest is sequential; beyond the limit use the bucketed one."""
-
-
 def _ordered_digest(name: str, digest: str) -> Column:
     """sha256 over (name, \\0, digest, \\0) in name order."""
     entries = F.array_sort(F.collect_list(F.struct(F.col(name), F.col(digest))))
@@ -25,19 +18,26 @@ def _ordered_digest(name: str, digest: str) -> Column:
 
 
 def dataset_fingerprint(
-    df: DataFrame, name: str, digest: str, buckets_hex: int = 4
+    df: DataFrame, name: str, digest: str, buckets_hex: int = 8, step: int = 2
 ) -> DataFrame:
-    """One digest of (name, digest) rows: a hash per name bucket, then a hash of the hashes.
+    """One digest of (name, digest) rows: a tree of digests over the leading hex digits of names.
 
-    Names are unique, so md5 buckets are even; ``buckets_hex`` digits give 16**digits of them,
-    which bounds both the rows of a bucket's task and the final list. The value depends only on
-    the rows and on ``buckets_hex``.
+    Names are unique, so md5 prefixes cut evenly. Leaves hash the rows that share ``buckets_hex``
+    digits, and every level above hashes 16**step digests of the one below, so no task holds more
+    than that many, nor a leaf more than its share of 16**buckets_hex. The value depends only on the
+    rows and on these two numbers.
     """
     rows = df.select(F.col(name).cast("string").alias("_name"), F.col(digest).alias("_digest"))
-    per_bucket = rows.groupBy(
-        F.substring(F.md5("_name"), 1, buckets_hex).alias("_bucket")
-    ).agg(_ordered_digest("_name", "_digest").alias("_hash"), F.count(F.lit(1)).alias("_n"))
-    return per_bucket.groupBy().agg(
+    level = rows.groupBy(F.substring(F.md5("_name"), 1, buckets_hex).alias("_bucket")).agg(
+        _ordered_digest("_name", "_digest").alias("_hash"), F.count(F.lit(1)).alias("_n")
+    )
+    for digits in range(buckets_hex - step, 0, -step):
+        above = F.substring("_bucket", 1, digits)
+        level = level.groupBy(above.alias("_above")).agg(
+            _ordered_digest("_bucket", "_hash").alias("_hash"), F.sum("_n").alias("_n")
+        )
+        level = level.withColumnRenamed("_above", "_bucket")
+    return level.groupBy().agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
         F.when(F.count(F.lit(1)) > 0, _ordered_digest("_bucket", "_hash"))
         .otherwise("none")
@@ -46,12 +46,8 @@ def dataset_fingerprint(
 
 
 def tree_fingerprint(files: DataFrame, name: str = "rel_path", digest: str = "sha256") -> DataFrame:
-    """The sequential digest of a file tree, for listings of checked size only."""
-    if files.limit(FLAT_LIMIT + 1).count() > FLAT_LIMIT:
-        raise TooManyEntriesError(f"more than {FLAT_LIMIT} files")
-    return files.groupBy().agg(
-        F.count(F.lit(1)).alias("n"), _ordered_digest(name, digest).alias("fingerprint")
-    )
+    """The digest of a file tree: that of its listing, the same way at every size."""
+    return dataset_fingerprint(files, name, digest)
 
 
 def combined_fingerprint(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:

@@ -8,6 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join in which null keys match null keys; the keys of ``left`` are kept."""
+    renamed = right.select(
+        *[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns]
+    )
+    meets = F.lit(True)
+    for key in keys:
+        meets = meets & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(renamed, meets, how).drop(*[f"_r_{key}" for key in keys])
+
+
 def hot_split_join(
     rows: DataFrame,
     lookup: DataFrame,

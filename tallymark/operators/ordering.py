@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import null_safe_join
 from tallymark.session import shared_dir, shuffle_width
 
 # Spark limits each task early for row_number() <= k only up to this k by default.
@@ -55,7 +56,7 @@ def seeded_rank(
 ) -> DataFrame:
     """1-based dense rank of each row in seeded order, per key; exact for any group size.
 
-    ``keys`` must not be null. ``prefix`` hex digits give 16**prefix chunks per group.
+    Null keys are a group, and null ids come first in it. ``prefix`` hex digits give 16**prefix chunks per group.
     """
     keys = list(keys)
     rows = df.withColumn("_digest", seeded_digest(id_col, seed)).withColumn(
@@ -65,7 +66,7 @@ def seeded_rank(
     offsets = _exclusive_offsets(totals, keys, "_chunk", {"_n": "_offset"})
     local = Window.partitionBy(*keys, "_chunk").orderBy("_digest", id_col)
     return (
-        rows.join(offsets, [*keys, "_chunk"])
+        null_safe_join(rows, offsets, [*keys, "_chunk"])
         .withColumn(rank_col, F.row_number().over(local) + F.col("_offset"))
         .drop("_digest", "_chunk", "_offset")
     )
@@ -112,7 +113,7 @@ def indexed_totals(
         .orderBy(index_col)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = rows.join(offsets, [*keys, "_chunk"])
+    out = null_safe_join(rows, offsets, [*keys, "_chunk"])
     for name in sums:
         out = out.withColumn(
             name,
@@ -153,7 +154,7 @@ def range_totals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = cut.join(offsets, [*keys, "_chunk"])
+    out = null_safe_join(cut, offsets, [*keys, "_chunk"])
     for name in sums:
         out = out.withColumn(
             name, F.coalesce(F.sum(f"_v_{name}").over(local), F.lit(0)) + F.col(f"_o_{name}")

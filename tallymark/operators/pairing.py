@@ -17,6 +17,7 @@ from tallymark.fixedvalues import (
     TOTAL_BAND,
 )
 from tallymark.functions.documents import stem
+from tallymark.operators.joins import null_safe_join
 from tallymark.operators.ordering import positions, seeded_rank
 from tallymark.operators.sweep import (
     PAIR_TARGETS,
@@ -275,6 +276,6 @@ def scored_pair_sweep(
     )
     sweep = sweep_from_counts(hist, groups).withColumnRenamed("tpr", "sensitivity")
     operating = maximin_threshold(sweep, targets, groups)
-    return counts.join(operating, groups, "left").withColumn(
+    return null_safe_join(counts, operating, groups, "left").withColumn(
         "infeasible", F.coalesce("infeasible", F.lit(True))
     )

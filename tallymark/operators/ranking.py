@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.fixedvalues import COLLAPSE_PATIENCE, COLLAPSE_STD, ROC_GATE_FPR, ROC_GATE_TPR
+from tallymark.operators.joins import null_safe_join
 from tallymark.operators.ordering import range_totals
 from tallymark.operators.sweep import (
     FORGERY_TARGETS,
@@ -212,7 +213,10 @@ def epoch_metrics(
         F.col("fpr").alias("gate_fpr"),
     )
     auc = rank_auc_from_counts(counts, keys).select(*keys, "auc")
-    return spread.join(auc, keys, "left").join(gate, keys, "left").join(interval, keys, "left")
+    out = spread
+    for part in (auc, gate, interval):
+        out = null_safe_join(out, part, keys, "left")
+    return out
 
 
 def best_checkpoint(epochs: DataFrame, run: str = "run", epoch: str = "epoch") -> DataFrame:

@@ -74,12 +74,13 @@ def dual_domain_manifest(
     authentic: DataFrame,
     generated: DataFrame,
     third_party: DataFrame,
-    caps: tuple[int | None, int | None, int | None] = (200, 200, 500),
+    caps: tuple[int | None, int | None, int | None] = (None, None, None),
     path: str = "path",
 ) -> DataFrame:
     """Authentic rows in both domains, generated forgeries in one, third-party in the other.
 
     Inputs hold a path; ids number each pool by path order. ``generated`` may hold mask_path.
+    ``caps`` keep the first so many of each pool; by default all rows stay.
     """
     auth = first_positions(authentic.select(path), [path], caps[0])
     gen_cols = [path, "mask_path"] if "mask_path" in generated.columns else [path]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.fixedvalues import (
-    CHECK_DIGIT_GENERATOR,
+    CHECK_DIGIT_POSITION,
+    CHECK_DIGIT_PRODUCT,
     EXPECTED_SERVICES,
     FABRICATIONS,
     QUALITY_GATES,
@@ -140,12 +141,30 @@ def response_contract(
 
 
 def score_join(manifest: DataFrame, scores: DataFrame, id_col: str = "id") -> DataFrame:
+    """Records with their scores; records without one drop out (see ``complete_scores``)."""
     return manifest.join(scores, id_col)
 
 
+def complete_scores(
+    manifest: DataFrame, scores: DataFrame, id_col: str = "id", value_col: str | None = None
+) -> DataFrame:
+    """Records with their scores, for metrics: raises if any record has no score or a failed one.
+
+    ``value_col`` names a score that must not be null.
+    """
+    findings = unscored(manifest, scores, id_col)
+    if value_col:
+        empty = manifest.select(id_col).join(scores, id_col).where(F.col(value_col).isNull())
+        findings = findings.unionByName(empty.select(id_col, F.lit("null score").alias("reason")))
+    abort_on_fatal(findings, [id_col, "reason"])
+    return score_join(manifest, scores, id_col)
+
+
 def unscored(manifest: DataFrame, scores: DataFrame, id_col: str = "id") -> DataFrame:
     """Records without a score, and scores that carry an error."""
-    bad = scores.where(F.col("error").isNotNull()) if "error" in scores.columns else scores.limit(0)
+    bad = scores.limit(0)
+    if "error" in scores.columns:
+        bad = scores.where(F.col("error").isNotNull()).join(manifest.select(id_col), id_col, "left_semi")
     missing = manifest.select(id_col).join(scores.select(id_col), id_col, "left_anti")
     reason = F.col("error") if "error" in scores.columns else F.lit(None).cast("string")
     return missing.select(id_col, F.lit("no score").alias("reason")).unionByName(
@@ -206,28 +225,10 @@ def endpoint_identity_check(observed: DataFrame, expected: dict[str, str] | None
 # --- check digits -----------------------------------------------------------------------------
 
 
-def _d5_product(a: int, b: int) -> int:
-    """Product in the dihedral group of the pentagon: 0-4 rotate, 5-9 reflect."""
-    if a < 5:
-        return (a + b) % 5 if b < 5 else 5 + (a + b - 5) % 5
-    return 5 + (a - 5 - b) % 5 if b < 5 else (a - b) % 5
-
-
-def check_digit_tables() -> tuple[list[int], list[int]]:
-    """Flattened 10x10 product table and 8x10 position table."""
-    product = [_d5_product(a, b) for a in range(10) for b in range(10)]
-    row, rows = list(range(10)), []
-    for _ in range(8):
-        rows.append(row)
-        row = [CHECK_DIGIT_GENERATOR[d] for d in row]
-    return product, [d for r in rows for d in r]
-
-
 def check_digit_valid(number: Column) -> Column:
     """True when a string of digits carries a correct dihedral check digit."""
-    product, position = check_digit_tables()
-    product_lit = F.expr(f"array({', '.join(map(str, product))})")
-    position_lit = F.expr(f"array({', '.join(map(str, position))})")
+    product_lit = F.array(*(F.lit(v) for row in CHECK_DIGIT_PRODUCT for v in row))
+    position_lit = F.array(*(F.lit(v) for row in CHECK_DIGIT_POSITION for v in row))
     digits = F.transform(
         F.sequence(F.lit(1), F.length(number)),
         # From the last digit backwards.

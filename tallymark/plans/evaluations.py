@@ -1,4 +1,8 @@
-"""The four evaluations, from records and scores to a one-row result."""
+"""The four evaluations, from records and scores to a one-row result.
+
+A record without a score, or with a failed one, voids an evaluation: building it raises
+``FatalRowsError``. Pairs whose similarity is null are counted, as a face may not be found.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ from tallymark.operators.provenance import (
 )
 from tallymark.operators.reporting import latency_summary
 from tallymark.operators.sweep import domain_gate, maximin_threshold, threshold_sweep
-from tallymark.operators.validation import score_join
+from tallymark.operators.validation import complete_scores
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,11 @@ class Evaluation:
     detail: dict[str, DataFrame]
 
 
+def _told(scores: DataFrame, *columns: str) -> DataFrame:
+    """Ids, the named columns, and the error column if there is one."""
+    return scores.select("id", *columns, *(["error"] if "error" in scores.columns else []))
+
+
 def evaluate_forgery(
     manifest: DataFrame, scores: DataFrame, targets: dict[str, float] | None = None,
     require_cross: bool = True,
@@ -39,7 +48,7 @@ def evaluate_forgery(
     records = forgery_migrate_legacy(manifest).withColumn(
         "domain", F.coalesce("eval_domain", F.lit("in_domain"))
     )
-    scored = score_join(records.select("id", "label", "domain"), scores.select("id", "score"))
+    scored = complete_scores(records.select("id", "label", "domain"), _told(scores, "score"), "id", "score")
     sweep = threshold_sweep(scored, ["domain"])
     operating = maximin_threshold(sweep, wanted, ["domain"])
     return Evaluation(
@@ -59,7 +68,7 @@ def evaluate_documents(
     records = cer_ops.scope_filter(manifest, scripts, countries).select(
         "id", script.alias("script"), country.alias("country"), "gt_fields", "origin"
     )
-    joined = records.join(hypotheses.select("id", "hyp_fields", "page"), "id")
+    joined = complete_scores(records, _told(hypotheses, "hyp_fields", "page"))
     rows = cer_ops.field_rows(joined)
     items = cer_ops.record_cer(joined.select("id", "script", "country", "origin"), rows)
     result = items.agg(
@@ -73,7 +82,7 @@ def evaluate_documents(
 
 def evaluate_faces(pairs: DataFrame, similarities: DataFrame) -> Evaluation:
     """Sensitivity and accuracy of a pair manifest, and whether a threshold may be locked."""
-    scored = score_join(pairs, similarities.select("id", "similarity", "backend"))
+    scored = complete_scores(pairs, _told(similarities, "similarity", "backend"))
     facts = pairs.agg(
         under_variation_agg().alias("under_variation"), trial_valid_agg().alias("trial_valid")
     )

@@ -362,30 +362,6 @@ def _(spark, folder):
     return scored.drop("latency_ms")
 
 
-@query("hash_embedding")
-def _(spark, folder):
-    docs = table(spark, folder, "documents")
-    vector = scoring.hash_embedding(F.encode("text", "UTF-8"), 32)
-    return docs.select(F.col("doc_id").alias("id"), vector.alias("vector"))
-
-
-@query(
-    "hash_embedding_norms",
-    "SELECT count(*) AS n, count(*) AS n_unit, count(DISTINCT text) AS n_distinct FROM documents",
-)
-def _(spark, folder):
-    from tallymark.functions.vectors import norm
-
-    docs = table(spark, folder, "documents")
-    vector = scoring.hash_embedding(F.encode("text", "UTF-8"), 32)
-    embedded = docs.select(vector.alias("v"))
-    return embedded.select(F.md5(F.to_json("v")).alias("h"), norm(F.col("v")).alias("norm")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.abs(F.col("norm") - 1.0) < 1e-9).alias("n_unit"),
-        F.count_distinct("h").alias("n_distinct"),
-    )
-
-
 # --- whole evaluations ------------------------------------------------------------------------
 
 
@@ -411,12 +387,17 @@ def _(spark, folder):
 @query(
     "evaluate_documents",
     f"""WITH {FIELDS} SELECT round(avg(cer_field), 6) AS cer_field, count(*) AS n, count(cer_field) AS n_with_gt_fields,
-      true AS trial_valid, avg(cer_field) < 0.21e0 AS passed FROM items WHERE lower(script) IN ('economy', 'promo')""",
+      bool_and(lower(script) = 'promo') AS trial_valid, avg(cer_field) < 0.21e0 AS passed
+      FROM items WHERE lower(script) IN ('economy', 'promo')""",
 )
 def _(spark, folder):
     records = parts(spark, folder)
     manifest = records.select(
-        "id", "script", F.lit("alb_id").alias("doc_type"), "gt_fields", F.lit("field_collected").alias("origin")
+        "id",
+        "script",
+        F.lit("alb_id").alias("doc_type"),
+        "gt_fields",
+        F.when(F.lower("script") == "promo", "field_collected").otherwise("public_dataset").alias("origin"),
     )
     done = evaluations.evaluate_documents(manifest, records, scripts=["Economy", "PROMO"])
     return done.result.withColumn("cer_field", F.round("cer_field", 6))
@@ -451,14 +432,19 @@ def _(spark, folder):
 
 @query(
     "freeze_strict",
-    """SELECT 'tree_dirty' AS rule, 'working tree has changes' AS message FROM documents LIMIT 1""",
+    """WITH frozen AS (SELECT lang, count(*) % 2 = 0 AS unknown, count(*) % 3 = 0 AS dirty,
+        min(length(text)) < 15 AS missing FROM documents GROUP BY lang)
+    SELECT 'model_missing' AS rule, 'no frozen model weights' AS message FROM frozen WHERE missing
+    UNION ALL SELECT 'commit_unknown', 'commit is unknown' FROM frozen WHERE unknown
+    UNION ALL SELECT 'tree_dirty', 'working tree has changes' FROM frozen WHERE dirty""",
 )
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    digest = fingerprint.dataset_fingerprint(docs, "doc_id", "digest")
-    freeze = digest.select(
-        F.col("fingerprint").alias("model_sha256"),
-        F.lit("abc").alias("git_commit"),
-        F.lit(True).alias("git_dirty"),
+    by_lang = table(spark, folder, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.length("text")).alias("least")
+    )
+    freeze = by_lang.select(
+        F.when(F.col("least") >= 15, "abc").alias("model_sha256"),
+        F.when(F.col("n") % 2 == 0, "unknown").otherwise("abc").alias("git_commit"),
+        (F.col("n") % 3 == 0).alias("git_dirty"),
     )
     return provenance.freeze_strict_rules(freeze)

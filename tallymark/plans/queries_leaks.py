@@ -161,30 +161,32 @@ def _(spark, folder):
     )
 
 
-@query(
-    "dataset_fingerprint",
-    """WITH entries AS (SELECT doc_id::VARCHAR AS name, sha256(text) AS digest FROM documents),
-    buckets AS (SELECT md5(name)[1:4] AS bucket,
-        sha256(string_agg(name || chr(0) || digest || chr(0), '' ORDER BY name)) AS hash, count(*) AS n
-      FROM entries GROUP BY bucket)
-    SELECT sum(n)::BIGINT AS n, sha256(string_agg(bucket || chr(0) || hash || chr(0), '' ORDER BY bucket))
-      AS fingerprint FROM buckets""",
-)
+def _tree(name: str, entries: str) -> str:
+    """The digest tree over (name, digest) rows: eight leading hex digits of md5(name), two a level."""
+    hashed = "sha256(string_agg({0} || chr(0) || {1} || chr(0), '' ORDER BY {0})) AS hash"
+    level = f"""(SELECT md5(name)[1:8] AS bucket, {hashed.format('name', 'digest')}, count(*) AS n
+      FROM {entries} GROUP BY 1)"""
+    for digits in (6, 4, 2):
+        level = f"""(SELECT bucket[1:{digits}] AS bucket, {hashed.format('bucket', 'hash')}, sum(n) AS n
+      FROM {level} GROUP BY bucket[1:{digits}])"""
+    return f"""(SELECT sum(n)::BIGINT AS n,
+      sha256(string_agg(bucket || chr(0) || hash || chr(0), '' ORDER BY bucket)) AS fingerprint FROM {level}) {name}"""
+
+
+_DOCUMENT_ENTRIES = "(SELECT doc_id::VARCHAR AS name, sha256(text) AS digest FROM documents)"
+_PAGE_ENTRIES = "(SELECT page_id::VARCHAR AS name, sha256(html) AS digest FROM pages)"
+
+
+@query("dataset_fingerprint", f"SELECT n, fingerprint FROM {_tree('t', _DOCUMENT_ENTRIES)}")
 def documents_fingerprint(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     return fingerprint.dataset_fingerprint(docs, "doc_id", "digest")
 
 
-_FOLD = """
-(SELECT sha256(string_agg(bucket || chr(0) || hash || chr(0), '' ORDER BY bucket)) FROM (
-  SELECT md5(name)[1:4] AS bucket, sha256(string_agg(name || chr(0) || digest || chr(0), '' ORDER BY name)) AS hash
-  FROM (SELECT {id}::VARCHAR AS name, sha256({text}) AS digest FROM {source}) GROUP BY bucket))"""
-
-
 @query(
     "combined_fingerprint",
-    f"""SELECT sha256('documents:' || {_FOLD.format(id='doc_id', text='text', source='documents')}
-      || chr(10) || 'pages:' || {_FOLD.format(id='page_id', text='html', source='pages')}) AS dataset_sha256""",
+    f"""SELECT sha256('documents:' || d.fingerprint || chr(10) || 'pages:' || p.fingerprint) AS dataset_sha256
+    FROM {_tree('d', _DOCUMENT_ENTRIES)}, {_tree('p', _PAGE_ENTRIES)}""",
 )
 def _(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", F.sha2("html", 256).alias("digest"))

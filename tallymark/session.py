@@ -37,6 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir: executors have folders of their own")
     fallback = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

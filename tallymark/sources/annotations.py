@@ -11,37 +11,34 @@ from tallymark.schemas import ANNOTATION_FILE
 
 
 def explode_regions(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per region of parsed files: (keep..., file, ordinal, shape, attrs).
+    """One row per region of parsed files: (keep..., entry, file, ordinal, shape, attrs).
 
-    A non-empty project map wins over top-level regions, as one file holds one layout.
+    A non-empty project map wins over top-level regions, as one file holds one layout. An entry
+    without regions keeps a row with null ordinal, shape and attrs, as its image is known.
     """
     project = F.map_values("_via_img_metadata")
     single = F.array(F.struct(F.col("filename"), F.col("regions")))
     entries = explode_array(
         parsed, keep, F.when(F.size(project) > 0, project).otherwise(single), "entry", "_e"
     )
-    return (
-        explode_array(
-            entries,
-            [*keep, "entry", F.col("_e.filename").alias("file")],
-            "_e.regions",
-            "ordinal",
-            "_region",
-        )
-        .select(
-            *keep,
-            "entry",
-            "file",
-            "ordinal",
-            F.col("_region.shape_attributes").alias("shape"),
-            F.coalesce("_region.region_attributes", F.create_map().cast("map<string,string>"))
-            .alias("attrs"),
-        )
+    bare = F.create_map().cast("map<string,string>")
+    return entries.select(
+        *keep,
+        "entry",
+        F.col("_e.filename").alias("file"),
+        F.posexplode_outer("_e.regions").alias("ordinal", "_region"),
+    ).select(
+        *keep,
+        "entry",
+        "file",
+        "ordinal",
+        F.col("_region.shape_attributes").alias("shape"),
+        F.when(F.col("ordinal").isNotNull(), F.coalesce("_region.region_attributes", bare)).alias("attrs"),
     )
 
 
 def annotation_read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per region, with the annotation file it comes from."""
+    """One row per region, and per entry without one, with the annotation file it comes from."""
     parsed = (
         spark.read.schema(ANNOTATION_FILE)
         .option("multiLine", "true")
@@ -64,9 +61,9 @@ def regions_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.length(base)), lambda n: F.substring(base, F.lit(1), n)
     )
     first = (
-        # The first region stands for its entry.
+        # The first row stands for its entry.
         explode_values(
-            regions.where((F.col("ordinal") == 0) & (F.length(base) > 0)),
+            regions.where((F.coalesce("ordinal", F.lit(0)) == 0) & (F.length(base) > 0)),
             ["annotation", "entry"],
             prefixes,
             "idx",
@@ -75,6 +72,7 @@ def regions_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
         .agg(F.min("entry").alias("entry"))
     )
     placed = images.join(first, ["annotation", "idx"], "left")
+    regions = regions.where(F.col("ordinal").isNotNull())
     own = placed.where(F.col("entry").isNotNull()).join(regions, ["annotation", "entry"])
     shared = placed.where(F.col("entry").isNull()).drop("entry").join(regions, "annotation")
     return own.unionByName(shared)

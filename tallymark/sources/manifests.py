@@ -17,7 +17,7 @@ def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank, non-comment lines with the file they come from; a missing path raises."""
     return (
         spark.read.text(path)
-        .select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("manifest"))
+        .select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"), F.col("_metadata.file_path").alias("manifest"))
         .where((F.col("line") != "") & ~F.startswith("line", F.lit("//")))
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +12,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 100) -> DataFrame:
-    """A Parquet table of a folder as a file stream."""
+    """A Parquet table of a folder as a file stream, be it one file or a folder of part files.
+
+    The pattern matches just the table's own name, and Spark lists what a matched folder holds.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
         .option("maxFilesPerTrigger", str(per_trigger))
-        .parquet(folder)
+        .parquet(f"{folder}/{table}.parque[t]")
     )
 
 
@@ -40,19 +41,22 @@ def drain_append(stream: DataFrame) -> DataFrame:
 
 
 def drain_complete(stream: DataFrame) -> DataFrame:
-    """Complete-mode result of a bounded aggregation (a fixed number of rows per small group)."""
+    """Complete-mode result of an aggregation, through Parquet files in the shared folder.
+
+    Each micro-batch writes the whole result anew; the last one is read.
+    """
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
+    out = fresh_path(spark, "stream-out")
+    spark.createDataFrame([], stream.schema).write.parquet(out)
     query = (
         stream.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
         .option("checkpointLocation", fresh_path(spark, "stream-state"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @contextmanager

@@ -1,6 +1,5 @@
 import time
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,12 +76,3 @@ def test_registry():
     with pytest.raises(ImportError):
         registry.create("heavy")
     assert registry.create("heavy", lambda reason: reason) == "heavy_unavailable: ImportError: no model"
-
-
-def test_hash_embedding(spark):
-    df = spark.createDataFrame([(b"abc",), (b"abc",), (b"abd",), (b"",), (None,)], "c binary")
-    rows = [r[0] for r in df.select(sc.hash_embedding(F.col("c"), 16)).collect()]
-    assert rows[0] == rows[1] != rows[2] and rows[4] is None
-    assert all(len(v) == 16 and np.linalg.norm(v) == pytest.approx(1.0) for v in rows[:4])
-    other = df.select(sc.hash_embedding(F.col("c"), 16, seed=1)).first()[0]
-    assert other != rows[0]

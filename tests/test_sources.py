@@ -73,14 +73,20 @@ def test_digests_checksums_and_tree_fingerprint(spark, tmp_path):
     for name, text in contents.items():
         write(root / name, text)
     digests = files.file_digests(spark, str(root))
-    want = hashlib.sha256()
-    for name in sorted(contents):
-        inner = hashlib.sha256(contents[name].encode()).hexdigest()
-        want.update(f"{name}\0{inner}\0".encode())
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    level = {}
+    for name, text in sorted(contents.items()):
+        prefix = hashlib.md5(name.encode()).hexdigest()[:8]
+        level.setdefault(prefix, []).append(f"{name}\0{sha(text)}\0")
+    for digits in (6, 4, 2, 0):
+        above = {}
+        for prefix, entries in sorted(level.items()):
+            above.setdefault(prefix[:digits], []).append(f"{prefix}\0{sha(''.join(entries))}\0")
+        level = above
+    line = sha("".join(level[""]))
     tree = tree_fingerprint(digests)
-    assert tree.first().fingerprint == want.hexdigest()
+    assert tree.first().fingerprint == line
     both = combined_fingerprint([("x", tree), ("y", tree)]).first()[0]
-    line = want.hexdigest()
     assert both == hashlib.sha256(f"x:{line}\ny:{line}".encode()).hexdigest()
 
     md5 = hashlib.md5(b"alpha").hexdigest()

@@ -62,3 +62,16 @@ def test_counts_add_up_over_batches(spark, tmp_path):
     swept = sweep_on_read(drain_complete(stream_threshold_counts(stream)))
     half = swept.where(F.col("threshold") == 0.5).first()
     assert (half.tp, half.fp) == (sum(s >= 0.5 and y == 1 for s, y in rows), sum(s >= 0.5 and y == 0 for s, y in rows))
+
+
+def test_table_of_one_file_or_many(spark, sf, tmp_path):
+    """A stream over a table reads the same rows whether it is one file or a folder of files."""
+    from tallymark.plans import load_catalog
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    (tmp_path / "events.parquet.bak").mkdir()
+    for name in ("stream_running_cer", "stream_latency_windows", "stream_threshold_counts"):
+        run = load_catalog()[name].run
+        many = sorted(map(tuple, run(spark, str(tmp_path)).collect()), key=str)
+        assert many and many == sorted(map(tuple, run(spark, sf).collect()), key=str)
