@@ -41,6 +41,10 @@ WINDOW = 32
 STEP = 24
 EPOCHS = 3
 CACHE_WORDS = 100_000
+BATCH = 128
+#: A small sample is gone through as often as it takes.
+LEAST_STEPS = 120
+HIDDEN_WORDS = 0.3
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -294,7 +298,12 @@ def fit(
     """
     target = np.array(labels, np.float32)
     words = [alnum_words(t) for t in texts]
-    odds = _log_odds([set(w) for w in words], target)
+    # Every fifth text of each label is left out of the fit and sets the calibration.
+    aside = np.zeros(len(texts), bool)
+    for value in (0, 1):
+        aside[np.flatnonzero(target == value)[4::5]] = True
+    shown_words = [[] if a else w for a, w in zip(aside, words)]
+    odds = _log_odds([set(w) for w in shown_words], target)
     often = sorted((w for w in odds if odds[w][1] > 1), key=lambda w: (-odds[w][1], w))[:VOCABULARY]
     vocabulary = {w: i + 1 for i, w in enumerate(often)}
     network = GatedNetwork(len(vocabulary) + 1, seed)
@@ -304,7 +313,7 @@ def fit(
         return model
     for w, i in vocabulary.items():
         network.p["word"][i, 0] = 0.5 * odds[w][0] * min(1.0, odds[w][1] / 5)
-    gram_sets = [{g for w in set(ws) for g in trigrams(w)} for ws in words]
+    gram_sets = [{g for w in set(ws) for g in trigrams(w)} for ws in shown_words]
     for g, (value, count) in _log_odds(gram_sets, target).items():
         network.p["gram"][g, 0] = 0.25 * value * min(1.0, count / 5)
 
@@ -314,28 +323,35 @@ def fit(
     owner = np.repeat(np.arange(len(texts)), [len(w) for w in windows])
     ids = np.array(inputs.ids)
     counts = np.array([len(g) for g in inputs.grams])
-    flat = np.concatenate([np.array(g) for g in inputs.grams])
-    of = np.repeat(np.arange(len(ids)), counts)
     adam = Adam(network.p, 0.01)
     draw = np.random.default_rng(seed)
     # Before the first epoch, the word of highest log odds tells which window stands for a text.
     start = network.vectors(inputs.ids, inputs.grams)[:, [0, WORD_DIM]].sum(axis=1)
     logits = np.where(stacked >= 0, start[np.maximum(stacked, 0)], -9).max(axis=1)
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = np.lexsort((-logits, owner))
-        first = np.flatnonzero(np.diff(owner[order], prepend=-1))
-        best = order[first]
-        others = np.flatnonzero(target[owner] == 0)
-        others = draw.choice(others, min(len(others), 2 * len(best)), replace=False)
-        chosen = draw.permutation(np.concatenate([best, others]))
-        for i in range(0, len(chosen), 128):
-            some = stacked[chosen[i : i + 128]]
+        best = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+        best = best[~aside[owner[best]]]
+        ones = best[target[owner[best]] > 0]
+        zeros = best[target[owner[best]] == 0]
+        others = np.flatnonzero((target[owner] == 0) & ~aside[owner])
+        others = draw.choice(others, min(len(others), max(len(zeros), len(ones))), replace=False)
+        zeros = np.concatenate([zeros, others])
+        # Both labels weigh alike; the calibration knows their shares.
+        chosen = np.concatenate([np.resize(draw.permutation(ones), len(zeros)), zeros])
+        passes = max(1, math.ceil(LEAST_STEPS / epochs / math.ceil(len(chosen) / BATCH)))
+        queue = np.concatenate([draw.permutation(chosen) for _ in range(passes)])
+        for i in range(0, len(queue), BATCH):
+            part = queue[i : i + BATCH]
+            some = stacked[part]
             used = np.unique(some[some >= 0])
             local = np.where(some >= 0, np.searchsorted(used, some), -1)
-            vectors = network.vectors(ids[used].tolist(), [inputs.grams[u] for u in used])
-            _, grad, d_vectors = network.gradients(vectors, local, target[owner[chosen[i : i + 128]]])
+            # Some words enter by their characters alone, so that no text is learnt by heart.
+            shown = np.where(draw.random(len(used)) < HIDDEN_WORDS, 0, ids[used])
+            vectors = network.vectors(shown.tolist(), [inputs.grams[u] for u in used])
+            _, grad, d_vectors = network.gradients(vectors, local, target[owner[part]])
             grad["word"] = np.zeros_like(network.p["word"])
-            np.add.at(grad["word"], ids[used], d_vectors[:, :WORD_DIM])
+            np.add.at(grad["word"], shown, d_vectors[:, :WORD_DIM])
             grad["word"][0] = 0
             grad["gram"] = np.zeros_like(network.p["gram"])
             place = np.repeat(np.arange(len(used)), counts[used])
@@ -349,26 +365,31 @@ def fit(
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, logits)
     told = np.array([len(w) > 0 for w in words])
-    model.scale, model.shift = calibrate(best[told], target[told])
-    if share is not None:
-        odds_of = lambda x: math.log(x / (1 - x))
-        model.shift += odds_of(min(max(share, 1e-3), 1 - 1e-3)) - odds_of(float(target.mean()))
+    if len(set(target[told & aside])) == 2:
+        told &= aside
+    if len(set(target[told])) == 2:
+        model.scale, model.shift = calibrate(best[told], target[told])
+        if share is not None:
+            odds_of = lambda x: math.log(x / (1 - x))
+            model.shift += odds_of(min(max(share, 1e-3), 1 - 1e-3)) - odds_of(float(target[told].mean()))
     return model
 
 
 def calibrate(logits: np.ndarray, target: np.ndarray) -> tuple[float, float]:
-    """Scale and shift by logistic regression on the largest logits (Newton steps)."""
+    """Scale and shift by logistic regression on the largest logits (bounded Newton steps)."""
     a, b = 1.0, 0.0
-    x = np.clip(logits, -30, 30)
+    center, width = float(logits.mean()), float(logits.std()) + 1e-6
+    x = (logits - center) / width
     goal = np.where(target > 0, (target.sum() + 1) / (target.sum() + 2), 1 / ((1 - target).sum() + 2))
-    for _ in range(50):
+    for _ in range(100):
         chance = sigmoid(a * x + b)
-        slope = np.maximum(chance * (1 - chance), 1e-6)
-        g = np.array([((chance - goal) * x).sum() + 1e-3 * (a - 1), (chance - goal).sum()])
-        h = np.array([[(slope * x * x).sum() + 1e-3, (slope * x).sum()], [(slope * x).sum(), slope.sum()]])
-        step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
+        slope = chance * (1 - chance)
+        g = np.array([((chance - goal) * x).sum() + 0.1 * a, (chance - goal).sum()])
+        h = np.array([[(slope * x * x).sum() + 0.1, (slope * x).sum()], [(slope * x).sum(), slope.sum()]])
+        step = np.clip(np.linalg.solve(h + 1e-6 * np.eye(2), g), -0.5, 0.5)
         a, b = a - step[0], b - step[1]
-    return (float(a), float(b)) if np.isfinite(a + b) and a > 0 else (1.0, 0.0)
+    a = max(a, 1e-3)
+    return float(a / width), float(b - a * center / width)
 
 
 def train(
