@@ -141,8 +141,8 @@ def dedup_lines(
     A key is a line without blanks at both ends, A-Z lowered. Keys of ``least`` code points or more
     stay only in the document of the smallest id that holds them, with all their lines there.
     """
-    rows = _with_drops(docs, id_col, text_col, batches, fanout, least, "gone")
-    rows = rows.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), "gone")
+    narrow = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    rows = _with_drops(narrow, "key", "text", batches, fanout, least, "gone")
 
     def work(part: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {id_col: part["key"], "n_lines": [], "n_dropped": [], "kept": []}

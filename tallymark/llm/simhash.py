@@ -11,8 +11,9 @@ Blocking keys:
 
 * narrow fingerprints with a small radius: cut into ``radius + 2`` bands, every two bands are a key.
   At most ``radius`` bands differ, so two agree: no link is lost;
-* wide fingerprints: per table, the strongest counter (and its sign) of some 64-bit groups. Strong
-  counters rarely flip between similar texts; the share of links found is measured in the tests.
+* wide fingerprints: per table, the strongest counter (and its sign) of some drawn sets of counters.
+  Strong counters rarely flip between similar texts; the share of links found is measured in the
+  tests.
 
 Buckets beyond a block are cut into chunks and every two chunks meet, so no task grows with a
 bucket. A block hands on a spanning forest of its links, never all pairs.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -93,20 +95,28 @@ def fingerprint(text: str | None, size: int, words: int = 1) -> tuple[bytes, np.
     return np.packbits(margins > 0, bitorder="little").tobytes(), margins
 
 
+@lru_cache(maxsize=4)
+def drawn_counters(tables: int, groups: int, counters: int) -> np.ndarray:
+    """For each table, ``groups`` drawn sets of 64 counters."""
+    draw = np.random.default_rng(SEED)
+    sets = [draw.choice(counters, 64, replace=False) for _ in range(tables * groups)]
+    return np.array(sets).reshape(tables, groups, 64)
+
+
 def strongest_keys(margins: np.ndarray, tables: int, groups: int) -> list[int]:
-    """Per table, the positions and signs of the strongest counter in ``groups`` 64-bit groups."""
-    rows = margins.reshape(-1, 64)
-    best = np.abs(rows).argmax(axis=1)
-    code = best * 2 + (rows[np.arange(len(rows)), best] > 0)
-    picks = np.random.default_rng(SEED)
-    keys = []
-    for table in range(tables):
-        chosen = picks.choice(len(rows), groups, replace=False)
-        key = table
-        for group in sorted(chosen):
-            key = key * 128 + int(code[group])
-        keys.append(key)
-    return keys
+    """Per table, the places and signs of the strongest counter in its drawn sets.
+
+    Similar texts often agree in their strongest counter, and tables draw sets of their own, so
+    that a pair missed by one table is met by another.
+    """
+    values = margins[drawn_counters(tables, groups, len(margins))]
+    best = np.abs(values).argmax(axis=2)
+    positive = np.take_along_axis(values, best[:, :, None], 2)[:, :, 0] > 0
+    code = best * 2 + positive
+    key = np.arange(tables)
+    for group in range(groups):
+        key = key * 128 + code[:, group]
+    return key.tolist()
 
 
 def within_radius(prints: np.ndarray, radius: int) -> np.ndarray:
@@ -253,15 +263,15 @@ def simhash_groups(
     shingle: int = 3,
     words: int = 1,
     radius: int = 2,
-    tables: int = 24,
-    groups: int = 4,
+    tables: int = 48,
+    groups: int = 3,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, carried columns, fingerprint hex, component_id): the least id reachable over links of
     ``radius`` bits.
 
     ``words``: 64-bit words of a fingerprint. One word takes exact two-band keys; several take
-    ``tables`` keys of ``groups`` strongest counters each.
+    ``tables`` keys of the strongest counters of ``groups`` drawn sets each.
     """
     bands = radius + 2
     edges = [64 * i // bands for i in range(bands + 1)]
@@ -310,7 +320,7 @@ def simhash_groups(
 #: Bits of 1024 in which texts whose shingle sets have a Jaccard similarity of 0.8 differ: sets of
 #: equal size then have cosine 2 * 0.8 / 1.8, and signs differ with the angle over pi. A few more
 #: bits make up for the spread of the estimate.
-WIDE_RADIUS = round(1024 * math.acos(1.6 / 1.8) / math.pi) + 4
+WIDE_RADIUS = round(1024 * math.acos(1.6 / 1.8) / math.pi) + 8
 
 
 def without_near_copies(
