@@ -43,7 +43,7 @@ EPOCHS = 3
 CACHE_WORDS = 100_000
 BATCH = 128
 #: A small sample is gone through as often as it takes.
-LEAST_STEPS = 120
+LEAST_STEPS = 240
 HIDDEN_WORDS = 0.3
 
 

@@ -47,7 +47,7 @@ def invented(draw, toxic, n):
 
 def test_held_out_accuracy_and_long_texts():
     draw = random.Random(1)
-    labels = [i % 2 for i in range(400)]
+    labels = [i % 2 for i in range(800)]
     model = fit([invented(draw, t, draw.randint(5, 200)) for t in labels], labels)
     told = [i % 2 for i in range(200)]
     scores = np.array(model.scores([invented(draw, t, draw.randint(5, 1500)) for t in told]))
