@@ -58,27 +58,31 @@ def trigrams(word: bytes) -> list[int]:
 
 
 class WordInputs:
-    """Row numbers of words in a growing table of word ids and trigram lists."""
+    """Row numbers of words, in order of their coming, and their trigrams laid end to end."""
 
-    def __init__(self, vocabulary: dict[bytes, int]) -> None:
-        self.vocabulary = vocabulary
+    def __init__(self) -> None:
         self.rows: dict[bytes, int] = {}
-        self.ids: list[int] = []
-        self.grams: list[list[int]] = []
+        self.grams: list[int] = []
+        self.counts: list[int] = []
 
     def row(self, word: bytes) -> int:
         found = self.rows.get(word)
         if found is None:
-            found = self.rows[word] = len(self.ids)
-            self.ids.append(self.vocabulary.get(word, 0))
-            self.grams.append(trigrams(word))
+            found = self.rows[word] = len(self.counts)
+            grams = trigrams(word)
+            self.grams += grams
+            self.counts.append(len(grams))
         return found
 
+    def table(self, text: str | None) -> np.ndarray:
+        words = alnum_words(text)
+        return np.fromiter(map(self.row, words), np.int32, len(words))
+
 
 def cut_windows(rows: np.ndarray) -> np.ndarray:
     """(windows, WINDOW) row numbers, -1 beyond the end; a text without words has one such window."""
     starts = range(0, max(1, len(rows) - (WINDOW - STEP)), STEP)
-    out = np.full((len(starts), WINDOW), -1, np.int64)
+    out = np.full((len(starts), WINDOW), -1, np.int32)
     for i, start in enumerate(starts):
         part = rows[start : start + WINDOW]
         out[i, : len(part)] = part
@@ -105,14 +109,12 @@ class GatedNetwork:
             self.p[f"in_{side}_0"] = np.zeros(3 * HIDDEN, np.float32)
             self.p[f"rec_{side}"] = small(HIDDEN, 3 * HIDDEN)
 
-    def vectors(self, ids: list[int], grams: list[list[int]]) -> np.ndarray:
-        """The input vectors of words."""
-        if not ids:
+    def vectors(self, ids: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The input vectors of words: their ids, trigrams laid end to end, and trigram counts."""
+        if not len(ids):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
-        counts = np.fromiter(map(len, grams), np.int64, len(grams))
-        flat = np.fromiter((g for gs in grams for g in gs), np.int64, int(counts.sum()))
-        sums = np.add.reduceat(self.p["gram"][flat], np.cumsum(counts) - counts, axis=0)
-        return np.hstack([self.p["word"][np.array(ids)], sums / counts[:, None].astype(np.float32)])
+        sums = np.add.reduceat(self.p["gram"][grams], np.cumsum(counts) - counts, axis=0)
+        return np.hstack([self.p["word"][ids], sums / counts[:, None].astype(np.float32)])
 
     def _recur(self, side: str, given: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """Hidden states of one direction; ``given``: inputs times weights, in reading order."""
@@ -236,17 +238,12 @@ class ToxicityModel:
 
     def largest(self, texts: list[str | None]) -> np.ndarray:
         """The largest window logit of each text; minus infinity for a text without words."""
-        if self._inputs is None or len(self._inputs.ids) > CACHE_WORDS:
-            self._inputs, self._table = WordInputs(self.vocabulary), []
-        row = self._inputs.row
-        windows, owner = [], []
-        for i, text in enumerate(texts):
-            words = alnum_words(text)
-            cut = cut_windows(np.fromiter(map(row, words), np.int64, len(words)))
-            windows.append(cut)
-            owner.append(np.full(len(cut), i))
+        if self._inputs is None or len(self._inputs.counts) > CACHE_WORDS:
+            self._inputs, self._table = WordInputs(), []
+        windows = [cut_windows(self._inputs.table(text)) for text in texts]
+        owners = np.repeat(np.arange(len(texts)), [len(w) for w in windows])
         self._grow()
-        stacked, owners = np.concatenate(windows), np.concatenate(owner)
+        stacked = np.concatenate(windows)
         logits = np.concatenate(
             [
                 self.network.forward(self._table, stacked[i : i + 256])
@@ -258,9 +255,14 @@ class ToxicityModel:
         return out
 
     def _grow(self) -> None:
+        """Add the words that have come since to the table of projected inputs."""
         done = len(self._table[0]) if self._table else 0
         net, ins = self.network, self._inputs
-        more = net.project(net.vectors(ins.ids[done:], ins.grams[done:]))
+        counts = np.array(ins.counts[done:], np.int64)
+        grams = np.array(ins.grams[len(ins.grams) - int(counts.sum()) :], np.int64)
+        fresh = list(ins.rows)[done:]
+        ids = np.array([self.vocabulary.get(word, 0) for word in fresh], np.int64)
+        more = net.project(net.vectors(ids, grams, counts))
         self._table = [np.concatenate(x) for x in zip(self._table, more)] if self._table else more
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -272,17 +274,13 @@ class ToxicityModel:
         return (1 / (1 + np.exp(-logits))).tolist()
 
 
-def _log_odds(sets: list[set], labels: np.ndarray) -> dict:
-    """Smoothed log odds of each member between texts of label 1 and 0, with how many hold it."""
-    counts: dict = {}
-    for members, label in zip(sets, labels):
-        for x in members:
-            counts.setdefault(x, [0, 0])[int(label)] += 1
-    ones, zeros = labels.sum() + 1, (1 - labels).sum() + 1
-    return {
-        x: (float(np.log((b + 0.5) / ones) - np.log((a + 0.5) / zeros)), a + b)
-        for x, (a, b) in counts.items()
-    }
+def _log_odds(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Smoothed log odds between labels 1 and 0; ``seen``: how many texts of each label hold it.
+
+    Shrunk where few texts hold it.
+    """
+    odds = np.log((seen[1] + 0.5) / (texts[1] + 1)) - np.log((seen[0] + 0.5) / (texts[0] + 1))
+    return odds * np.minimum(1, seen.sum(axis=0) / 5)
 
 
 def fit(
@@ -297,36 +295,50 @@ def fit(
     ``share`` of label 1 among all labelled rows corrects for a sample with another share.
     """
     target = np.array(labels, np.float32)
-    words = [alnum_words(t) for t in texts]
     # Every fifth text of each label is left out of the fit and sets the calibration.
     aside = np.zeros(len(texts), bool)
     for value in (0, 1):
         aside[np.flatnonzero(target == value)[4::5]] = True
-    shown_words = [[] if a else w for a, w in zip(aside, words)]
-    odds = _log_odds([set(w) for w in shown_words], target)
-    often = sorted((w for w in odds if odds[w][1] > 1), key=lambda w: (-odds[w][1], w))[:VOCABULARY]
-    vocabulary = {w: i + 1 for i, w in enumerate(often)}
+    inputs = WordInputs()
+    rows = [inputs.table(text) for text in texts]
+    counts = np.array(inputs.counts, np.int64)
+    grams, starts = np.array(inputs.grams, np.int64), np.cumsum(counts) - counts
+
+    def grams_of(used: np.ndarray) -> np.ndarray:
+        """The trigrams of words, laid end to end."""
+        many = counts[used]
+        return grams[np.repeat(starts[used] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+
+    held, grams_held, shown = np.zeros((2, len(counts))), np.zeros((2, TRIGRAMS)), np.zeros(2)
+    for own, label, out in zip(rows, labels, aside):
+        if not out:
+            used = np.unique(own)
+            held[label, used] += 1
+            grams_held[label, np.unique(grams_of(used))] += 1
+            shown[label] += 1
+    total = held.sum(axis=0)
+    names = list(inputs.rows)
+    often = [i for i in np.argsort(-total, kind="stable")[:VOCABULARY].tolist() if total[i] > 1]
+    vocabulary = {names[r]: i + 1 for i, r in enumerate(often)}
     network = GatedNetwork(len(vocabulary) + 1, seed)
     model = ToxicityModel(vocabulary, network)
     if len(set(labels)) < 2:
         model.constant = float(target.mean()) if len(labels) else 0.0
         return model
-    for w, i in vocabulary.items():
-        network.p["word"][i, 0] = 0.5 * odds[w][0] * min(1.0, odds[w][1] / 5)
-    gram_sets = [{g for w in set(ws) for g in trigrams(w)} for ws in shown_words]
-    for g, (value, count) in _log_odds(gram_sets, target).items():
-        network.p["gram"][g, 0] = 0.25 * value * min(1.0, count / 5)
-
-    inputs = WordInputs(vocabulary)
-    windows = [cut_windows(np.array([inputs.row(w) for w in ws], np.int64)) for ws in words]
+    network.p["word"][1:, 0] = 0.5 * _log_odds(held, shown)[often]
+    network.p["gram"][:, 0] = np.where(grams_held.sum(axis=0) > 0, 0.25 * _log_odds(grams_held, shown), 0)
+
+    ids = np.zeros(len(counts), np.int64)
+    ids[often] = np.arange(1, len(often) + 1)
+    windows = [cut_windows(own) for own in rows]
     stacked = np.concatenate(windows)
     owner = np.repeat(np.arange(len(texts)), [len(w) for w in windows])
-    ids = np.array(inputs.ids)
-    counts = np.array([len(g) for g in inputs.grams])
+    told = np.array([len(own) > 0 for own in rows])
+    del names, rows, windows, held
     adam = Adam(network.p, 0.01)
     draw = np.random.default_rng(seed)
     # Before the first epoch, the word of highest log odds tells which window stands for a text.
-    start = network.vectors(inputs.ids, inputs.grams)[:, [0, WORD_DIM]].sum(axis=1)
+    start = network.vectors(ids, grams, counts)[:, [0, WORD_DIM]].sum(axis=1)
     logits = np.where(stacked >= 0, start[np.maximum(stacked, 0)], -9).max(axis=1)
     for _ in range(epochs):
         order = np.lexsort((-logits, owner))
@@ -347,24 +359,24 @@ def fit(
             used = np.unique(some[some >= 0])
             local = np.where(some >= 0, np.searchsorted(used, some), -1)
             # Some words enter by their characters alone, so that no text is learnt by heart.
-            shown = np.where(draw.random(len(used)) < HIDDEN_WORDS, 0, ids[used])
-            vectors = network.vectors(shown.tolist(), [inputs.grams[u] for u in used])
+            known = np.where(draw.random(len(used)) < HIDDEN_WORDS, 0, ids[used])
+            own_grams = grams_of(used)
+            vectors = network.vectors(known, own_grams, counts[used])
             _, grad, d_vectors = network.gradients(vectors, local, target[owner[part]])
             grad["word"] = np.zeros_like(network.p["word"])
-            np.add.at(grad["word"], shown, d_vectors[:, :WORD_DIM])
+            np.add.at(grad["word"], known, d_vectors[:, :WORD_DIM])
             grad["word"][0] = 0
             grad["gram"] = np.zeros_like(network.p["gram"])
             place = np.repeat(np.arange(len(used)), counts[used])
             spread = (d_vectors[:, WORD_DIM:] / counts[used][:, None])[place]
-            np.add.at(grad["gram"], [g for u in used for g in inputs.grams[u]], spread)
+            np.add.at(grad["gram"], own_grams, spread)
             adam.move(grad)
-        table = network.project(network.vectors(inputs.ids, inputs.grams))
+        table = network.project(network.vectors(ids, grams, counts))
         logits = np.concatenate(
             [network.forward(table, stacked[i : i + 256]) for i in range(0, len(stacked), 256)]
         )
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, logits)
-    told = np.array([len(w) > 0 for w in words])
     if len(set(target[told & aside])) == 2:
         told &= aside
     if len(set(target[told])) == 2:
