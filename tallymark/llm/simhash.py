@@ -113,7 +113,7 @@ def strongest_keys(margins: np.ndarray, tables: int, groups: int) -> list[int]:
     best = np.abs(values).argmax(axis=2)
     positive = np.take_along_axis(values, best[:, :, None], 2)[:, :, 0] > 0
     code = best * 2 + positive
-    key = np.arange(tables)
+    key = np.zeros(tables, np.int64)
     for group in range(groups):
         key = key * 128 + code[:, group]
     return key.tolist()
@@ -235,15 +235,19 @@ def compare_blocks(rows: DataFrame, radius: int) -> DataFrame:
 def bucket_rows(keyed: DataFrame) -> DataFrame:
     """(bucket, print) for every key held by two fingerprints or more; ``keyed``: (print, keys).
 
+    Up to there a fingerprint is a hash of itself; only what shares a key is joined to its bits.
     Keys are counted by map-side aggregation. A key of more than ``BLOCK`` fingerprints is dealt
     into chunks by a hash of the fingerprint, and each two chunks form a bucket.
     """
-    single = keyed.select("print", F.explode("keys").alias("key"))
+    keyed = keyed.withColumn("member", F.xxhash64("print"))
+    single = keyed.select("member", F.posexplode("keys").alias("table", "key")).select(
+        "member", (F.shiftleft(F.col("table").cast("long"), 32) + F.col("key")).alias("key")
+    )
     counts = store(
         single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes"
     )
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("print"), chunks).cast("int")
+    own = F.pmod("member", chunks).cast("int")
     others = F.when(
         chunks > 1,
         F.transform(
@@ -252,7 +256,8 @@ def bucket_rows(keyed: DataFrame) -> DataFrame:
         ),
     ).otherwise(F.array("key"))
     met = hot_split_join(single, counts, ["key"], "n").withColumn("own", own)
-    buckets = met.select(F.explode(others).alias("bucket"), "print")
+    buckets = met.select(F.explode(others).alias("bucket"), "member")
+    buckets = buckets.join(keyed.select("member", "print"), "member").select("bucket", "print")
     return buckets.repartition("bucket").sortWithinPartitions("bucket")
 
 
@@ -263,8 +268,8 @@ def simhash_groups(
     shingle: int = 3,
     words: int = 1,
     radius: int = 2,
-    tables: int = 48,
-    groups: int = 3,
+    tables: int = 96,
+    groups: int = 4,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, carried columns, fingerprint hex, component_id): the least id reachable over links of
@@ -288,16 +293,13 @@ def simhash_groups(
             else:
                 number = int.from_bytes(found, "little")
                 keys.append(
-                    [
-                        xxhash.xxh64_intdigest((number & m).to_bytes(8, "little"), i) - (1 << 63)
-                        for i, m in enumerate(pairs)
-                    ]
+                    [xxhash.xxh32_intdigest((number & m).to_bytes(8, "little")) - (1 << 31) for m in pairs]
                 )
         return {name: rows[name] for name in kept} | {"print": prints, "keys": keys}
 
     kept = [id_col, *carry]
     kinds = [f"{name} {docs.schema[name].dataType.simpleString()}" for name in kept]
-    schema = ", ".join([*kinds, "print binary", "keys array<long>"])
+    schema = ", ".join([*kinds, "print binary", "keys array<int>"])
     prints = store(map_rows(docs, [*kept, text_col], schema, work), "prints")
     classes = store(
         prints.groupBy("print").agg(
