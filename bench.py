@@ -48,6 +48,10 @@ HEADLINE = (
     "gate_summary",
     "batch_score",
     "stream_threshold_counts",
+    "stream_lookup_cache",
+    "evaluate_documents",
+    "train_minus_eval",
+    "legacy_sample",
 )
 
 
