@@ -11,9 +11,13 @@ Blocking keys:
 
 * narrow fingerprints with a small radius: cut into ``radius + 2`` bands, every two bands are a key.
   At most ``radius`` bands differ, so two agree: no link is lost;
-* wide fingerprints: per table, the strongest counter (and its sign) of some drawn sets of counters.
-  Strong counters rarely flip between similar texts; the share of links found is measured in the
-  tests.
+* wide fingerprints: the least shingle hashes of a text, shingles met in many texts apart from the
+  others. Of two sets with similarity 0.8, each of the least hashes of both is shared with
+  probability 0.8.
+
+Near copies are decided by the exact similarity of the shingle sets. Links of wide fingerprints in a
+generous radius only say which texts are compared: each candidate component is a bucket, in which
+every two sets meet, so a link needs no fingerprint link of its own.
 
 Buckets beyond a block are cut into chunks and every two chunks meet, so no task grows with a
 bucket. A block hands on a spanning forest of its links, never all pairs.
@@ -25,9 +29,7 @@ least id reached, null if none has one. Repeated rows are equal members. Empty t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +45,13 @@ from tallymark.operators.joins import hot_split_join
 
 SEED = 42
 BLOCK = 2048
+#: Least shingle hashes of a text that are keys.
+SKETCH = 16
+#: Shingles of so many of one text in ``HOT_EVERY`` are kept apart in the sketches, the commonest
+#: ``HOT_MOST`` at most. Which these are changes the cost only.
+HOT_EVERY, HOT_LEAST, HOT_MOST = 32, 16, 100_000
+#: Shingles of a chunk of a candidate component.
+CHUNK = 250_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -83,40 +92,37 @@ def widened(hashes: np.ndarray, words: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(31))
 
 
-def fingerprint(text: str | None, size: int, words: int = 1) -> tuple[bytes, np.ndarray]:
-    """(fingerprint as little-endian bytes, twice the bit counts less the shingles).
-
-    One word: counts over all shingles, repeats included. Several: over the set of shingles.
-    """
+def fingerprint(text: str | None, size: int) -> tuple[bytes, np.ndarray]:
+    """(fingerprint as little-endian bytes, twice the bit counts less the shingles), repeats included."""
     hashes = shingle_hashes(text, size)
-    if words > 1:
-        hashes = widened(np.unique(hashes), words)
-    margins = 2 * bit_counts(hashes) - len(hashes) if len(hashes) else np.zeros(64 * words, np.int64)
+    margins = 2 * bit_counts(hashes) - len(hashes) if len(hashes) else np.zeros(64, np.int64)
     return np.packbits(margins > 0, bitorder="little").tobytes(), margins
 
 
-@lru_cache(maxsize=4)
-def drawn_counters(tables: int, groups: int, counters: int) -> np.ndarray:
-    """For each table, ``groups`` drawn sets of 64 counters."""
-    draw = np.random.default_rng(SEED)
-    sets = [draw.choice(counters, 64, replace=False) for _ in range(tables * groups)]
-    return np.array(sets).reshape(tables, groups, 64)
+def wide_print(hashes: np.ndarray, words: int) -> bytes:
+    """Fingerprint of ``words`` 64-bit words over a set of shingle hashes."""
+    if not len(hashes):
+        return bytes(8 * words)
+    margins = 2 * bit_counts(widened(hashes, words)) - len(hashes)
+    return np.packbits(margins > 0, bitorder="little").tobytes()
 
 
-def strongest_keys(margins: np.ndarray, tables: int, groups: int) -> list[int]:
-    """Per table, the places and signs of the strongest counter in its drawn sets.
+def sketch_keys(hashes: np.ndarray, hot: np.ndarray) -> list[int]:
+    """The ``SKETCH`` least of the shingle hashes that are not in ``hot``, and of those that are.
 
-    Similar texts often agree in their strongest counter, and tables draw sets of their own, so
-    that a pair missed by one table is met by another.
+    Each part counts if it is large enough to be shared: sets of similarity 0.8 differ by at most a
+    fifth of either, so both sets have the one part at 0.4 or more of the set, or both have the other
+    at 0.2 or more, and at least half of that part's union is shared.
     """
-    values = margins[drawn_counters(tables, groups, len(margins))]
-    best = np.abs(values).argmax(axis=2)
-    positive = np.take_along_axis(values, best[:, :, None], 2)[:, :, 0] > 0
-    code = best * 2 + positive
-    key = np.zeros(tables, np.int64)
-    for group in range(groups):
-        key = key * 128 + code[:, group]
-    return key.tolist()
+    if not len(hot):
+        return hashes[:SKETCH].view(np.int64).tolist()
+    common = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
+    keys = []
+    if 5 * np.count_nonzero(~common) >= 2 * len(hashes):
+        keys += hashes[~common][:SKETCH].view(np.int64).tolist()
+    if 5 * np.count_nonzero(common) >= len(hashes):
+        keys += hashes[common][:SKETCH].view(np.int64).tolist()
+    return keys
 
 
 def within_radius(prints: np.ndarray, radius: int) -> np.ndarray:
@@ -232,17 +238,21 @@ def compare_blocks(rows: DataFrame, radius: int) -> DataFrame:
     return arrow_map(rows, run, "a binary, b binary")
 
 
-def bucket_rows(keyed: DataFrame) -> DataFrame:
+def bucket_rows(keyed: DataFrame, places: bool = True) -> DataFrame:
     """(bucket, print) for every key held by two fingerprints or more; ``keyed``: (print, keys).
 
+    ``places``: keys count only as equal at the same place of the array.
+
     Up to there a fingerprint is a hash of itself; only what shares a key is joined to its bits.
     Keys are counted by map-side aggregation. A key of more than ``BLOCK`` fingerprints is dealt
     into chunks by a hash of the fingerprint, and each two chunks form a bucket.
     """
     keyed = keyed.withColumn("member", F.xxhash64("print"))
-    single = keyed.select("member", F.posexplode("keys").alias("table", "key")).select(
-        "member", (F.shiftleft(F.col("table").cast("long"), 32) + F.col("key")).alias("key")
-    )
+    single = keyed.select("member", F.posexplode("keys").alias("table", "key"))
+    if places:
+        key = F.shiftleft(F.col("table").cast("long"), 32) + F.col("key")
+        single = single.withColumn("key", key)
+    single = single.select("member", "key")
     counts = store(
         single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes"
     )
@@ -266,18 +276,9 @@ def simhash_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 3,
-    words: int = 1,
     radius: int = 2,
-    tables: int = 96,
-    groups: int = 4,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, carried columns, fingerprint hex, component_id): the least id reachable over links of
-    ``radius`` bits.
-
-    ``words``: 64-bit words of a fingerprint. One word takes exact two-band keys; several take
-    ``tables`` keys of the strongest counters of ``groups`` drawn sets each.
-    """
+    """(id, fingerprint hex, component_id): the least id reachable over links of ``radius`` bits."""
     bands = radius + 2
     edges = [64 * i // bands for i in range(bands + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
@@ -286,21 +287,17 @@ def simhash_groups(
     def work(rows: dict[str, list]) -> dict[str, list]:
         prints, keys = [], []
         for text in rows[text_col]:
-            found, margins = fingerprint(text, shingle, words)
+            found, _ = fingerprint(text, shingle)
             prints.append(found)
-            if words > 1:
-                keys.append(strongest_keys(margins, tables, groups))
-            else:
-                number = int.from_bytes(found, "little")
-                keys.append(
-                    [xxhash.xxh32_intdigest((number & m).to_bytes(8, "little")) - (1 << 31) for m in pairs]
-                )
-        return {name: rows[name] for name in kept} | {"print": prints, "keys": keys}
-
-    kept = [id_col, *carry]
-    kinds = [f"{name} {docs.schema[name].dataType.simpleString()}" for name in kept]
-    schema = ", ".join([*kinds, "print binary", "keys array<int>"])
-    prints = store(map_rows(docs, [*kept, text_col], schema, work), "prints")
+            number = int.from_bytes(found, "little")
+            keys.append(
+                [xxhash.xxh32_intdigest((number & m).to_bytes(8, "little")) - (1 << 31) for m in pairs]
+            )
+        return {id_col: rows[id_col], "print": prints, "keys": keys}
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {kind}, print binary, keys array<int>"
+    prints = store(map_rows(docs, [id_col, text_col], schema, work), "prints")
     classes = store(
         prints.groupBy("print").agg(
             F.min(id_col).alias("least_id"), F.count("*").alias("n"), F.first("keys").alias("keys")
@@ -308,21 +305,159 @@ def simhash_groups(
         "classes",
     )
     links = compare_blocks(bucket_rows(classes.select("print", "keys")), radius)
-    labels = store(connected_components(links), "labels").withColumnRenamed("node", "print")
-    known = classes.drop("keys").join(labels, "print", "left")
-    label = F.coalesce("label", "print")
-    least = known.groupBy(label.alias("root")).agg(F.min("least_id").alias("component_id"))
-    known = known.withColumn("root", label).select("print", "n", "root").join(least, "root")
-    known = store(known.drop("root"), "members")
-    text = F.lower(F.hex("print" if words > 1 else _descending("print")))
-    joined = hot_split_join(prints.select(*kept, "print"), known, ["print"], "n")
-    return joined.select(*kept, text.alias("fingerprint"), "component_id")
+    known = _least_members(classes.drop("keys"), links, "print")
+    text = F.lower(F.hex(_descending("print")))
+    joined = hot_split_join(prints.select(id_col, "print"), known, ["print"], "n")
+    return joined.select(id_col, text.alias("fingerprint"), "component_id")
+
+
+def _least_members(classes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """(node, n, component_id) of every class (node, least_id, n): the least id of its component."""
+    labels = store(connected_components(links), "labels").withColumnRenamed("node", node)
+    known = classes.join(labels, node, "left").withColumn("root", F.coalesce("label", node))
+    least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return store(known.select(node, "n", "root").join(least, "root").drop("root"), "members")
 
 
-#: Bits of 1024 in which texts whose shingle sets have a Jaccard similarity of 0.8 differ: sets of
-#: equal size then have cosine 2 * 0.8 / 1.8, and signs differ with the angle over pi. A few more
-#: bits make up for the spread of the estimate.
-WIDE_RADIUS = round(1024 * math.acos(1.6 / 1.8) / math.pi) + 8
+#: Bits of 1024 up to which texts may be near copies. Texts of similarity 0.8 are expected to differ
+#: in 155 bits, or 192 if they have four and five shingles, with a spread of up to 12.5.
+WIDE_RADIUS = 256
+
+
+def alike_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, root) links that connect all sets joined by similarities of 0.8 or more, exactly.
+
+    Members met once leave the postings, so that a group of sets alike costs one look at each.
+    """
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    starts = np.cumsum(sizes) - sizes
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    held, posts = codes[order], np.repeat(np.arange(n), sizes)[order]
+    numbers = np.arange(len(distinct) + 1)
+    edges = np.searchsorted(held, numbers)
+    left, standing, links = np.ones(n, bool), n, []
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue and left.any():
+            at = queue.pop()
+            mine = codes[starts[at] : starts[at] + sizes[at]]
+            length = edges[mine + 1] - edges[mine]
+            places = np.repeat(edges[mine] - (np.cumsum(length) - length), length)
+            met = np.bincount(posts[places + np.arange(len(places))], minlength=n)
+            found = np.flatnonzero(left & (5 * met >= 4 * (sizes + sizes[at] - met))).tolist()
+            left[found] = False
+            links += [(i, root) for i in found]
+            queue += found
+            if 2 * np.count_nonzero(left) < standing:
+                standing = np.count_nonzero(left)
+                stay = left[posts]
+                held, posts = held[stay], posts[stay]
+                edges = np.searchsorted(held, numbers)
+    return links
+
+
+def confirm_links(rows: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) of similarity 0.8 or more; ``rows``: (bucket, node, text), sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[bytes] = []
+        sets: list[np.ndarray] = []
+        bucket = None
+
+        def links() -> pa.RecordBatch:
+            forest = alike_forest(sets) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i, _ in forest], pa.binary()),
+                 pa.array([nodes[r] for _, r in forest], pa.binary())],
+                names=["a", "b"],
+            )
+
+        for batch in batches:
+            for i, at in enumerate(batch.column(0).to_pylist()):
+                if at != bucket:
+                    yield links()
+                    nodes.clear()
+                    sets.clear()
+                    bucket = at
+                nodes.append(batch.column(1)[i].as_py())
+                sets.append(np.unique(shingle_hashes(batch.column(2)[i].as_py(), shingle)))
+        yield links()
+
+    return arrow_map(rows, run, "a binary, b binary")
+
+
+def hot_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts hold, as a part of the texts shows; ``texts``:
+    (text, digest)."""
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        sets = [np.unique(shingle_hashes(text, shingle)) for text in rows["text"]]
+        return {"hash": [found.view(np.int64) for found in sets]}
+
+    some = texts.where(F.pmod("digest", F.lit(HOT_EVERY)) == 0)
+    held = map_rows(some, ["text"], "hash array<long>", work).select(F.explode("hash").alias("hash"))
+    often = held.groupBy("hash").count().where(F.col("count") >= HOT_LEAST)
+    rows = often.orderBy(F.desc("count"), "hash").limit(HOT_MOST).collect()
+    return np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64))
+
+
+def near_groups(docs: DataFrame, shingle: int, words: int, radius: int) -> DataFrame:
+    """(key, digest, component_id) of every row of ``docs`` (key, text, digest): the least key
+    reachable over similarities of 0.8 or more between shingle sets."""
+    docs = docs.withColumn("at", F.xxhash64("key", "digest"))
+    spark = docs.sparkSession
+    hot = spark.sparkContext.broadcast(hot_shingles(docs, shingle))
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {name: [] for name in ("node", "print", "keys", "size")}
+        for text in rows["text"]:
+            hashes = np.unique(shingle_hashes(text, shingle))
+            out["node"].append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            out["print"].append(wide_print(hashes, words))
+            out["keys"].append(sketch_keys(hashes, hot.value))
+            out["size"].append(len(hashes))
+        return out | {name: rows[name] for name in ("key", "digest", "at")}
+
+    kind = docs.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, digest long, at long, node binary, print binary, keys array<long>, size long"
+    prints = store(map_rows(docs, ["key", "digest", "at", "text"], schema, work), "prints")
+    classes = store(
+        prints.groupBy("node").agg(
+            F.min("key").alias("least_id"), F.count("*").alias("n"), F.min("at").alias("at"),
+            *(F.first(name).alias(name) for name in ("print", "keys", "size")),
+        ),
+        "classes",
+    )
+    # Candidate components, and the texts of those that have two different sets or more.
+    links = compare_blocks(bucket_rows(classes.select("print", "keys"), places=False), radius)
+    labels = store(connected_components(links), "labels").withColumnRenamed("node", "print")
+    rooted = classes.join(labels, "print", "left").select(
+        "node", "at", "size", F.coalesce("label", "print").alias("root")
+    )
+    rooted = store(rooted, "rooted")
+    sums = rooted.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
+    sums = store(sums.where("m > 1"), "candidates")
+    chunks = F.ceil(F.col("total") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    others = F.when(
+        F.col("chunks") > 1,
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("own")),
+            lambda j: F.xxhash64("root", F.least(j, "own"), F.greatest(j, "own")),
+        ),
+    ).otherwise(F.array(F.xxhash64("root")))
+    met = hot_split_join(rooted, sums, ["root"], "m").withColumn("chunks", chunks)
+    met = met.withColumn("own", own).select("at", "node", others.alias("buckets"))
+    texts = docs.select("at", "text").join(met, "at")
+    texts = texts.select(F.explode("buckets").alias("bucket"), "node", "text")
+    texts = texts.repartition("bucket").sortWithinPartitions("bucket")
+    known = _least_members(classes.select("node", "least_id", "n"), confirm_links(texts, shingle), "node")
+    return hot_split_join(prints.select("key", "digest", "node"), known, ["node"], "n").drop("n", "node")
 
 
 def without_near_copies(
@@ -343,9 +478,7 @@ def without_near_copies(
     narrow = docs.select(
         F.col(id_col).alias("key"), text.alias("text"), F.xxhash64(text).alias("digest")
     )
-    members = simhash_groups(
-        narrow, "key", "text", shingle, words, radius, carry=("digest",)
-    )
+    members = near_groups(narrow, shingle, words, radius)
     gone = members.where("key IS NOT NULL AND key <> component_id")
     gone = gone.select(F.col("key").alias(id_col), F.col("digest").alias(digest)).distinct()
     rows = docs.withColumn(digest, F.xxhash64(text)).join(gone, [id_col, digest], "left_anti")

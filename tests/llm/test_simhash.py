@@ -138,3 +138,37 @@ def test_near_copies_of_odd_rows(odd, none):
     assert 1 in ids and 2 not in ids and ids.count(1) == 1
     assert 3 in ids and 4 not in ids  # the empty text, and the null one that equals it
     assert without_near_copies(none).count() == 0
+
+
+def test_near_copies_are_those_of_exact_similarity(spark, monkeypatch):
+    """Similarities about 0.8, texts of 5 to 15 words, hot shingles and chunks against brute force."""
+    monkeypatch.setattr(simhash, "CHUNK", 3000)
+    monkeypatch.setattr(simhash, "HOT_EVERY", 2)
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts, low, high = [], 0, 0
+    while low < 80 or high < 80:
+        text = [word() for _ in range(draw.choice((60, 200)))]
+        other = list(text)
+        for _ in range(draw.randint(1, 5) * len(text) // 60):
+            other[draw.randrange(len(other))] = word()
+        share = jaccard(text, other)
+        if 0.7 <= share < 0.8 and low < 80 or 0.8 <= share < 0.88 and high < 80:
+            low, high = low + (share < 0.8), high + (share >= 0.8)
+            texts += [text, other]
+    for n in range(5, 16):
+        for _ in range(6):
+            text = [word() for _ in range(n)]
+            texts += [text, [*text, word()], [*text[:-1], word()]]
+    base = [word() for _ in range(100)]
+    for _ in range(60):  # one large group, about 0.8 from each other
+        other = list(base)
+        other[draw.randrange(100)] = word()
+        texts.append(other)
+    sets = [{hash(tuple(t[i : i + 5])) for i in range(max(1, len(t) - 4))} for t in texts]
+    links = [
+        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)
+    ]
+    want = {i for i, root in groups_of(links, range(len(texts))).items() if i == root}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in without_near_copies(docs).collect()} == want
