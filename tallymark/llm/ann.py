@@ -4,7 +4,8 @@ Every vector is known by the order of its nearest pivots. Vectors are dealt into
 posts each vector under its pivots with their ranks (pivot inverted files). A query walks the files
 of its own nearest pivots, which sums for each vector ``m - max(rank in vector, rank in query)``:
 the footrule distance of the two orders, with absent pivots at rank ``m``, falls as this grows. The
-best share of a shard is reranked by the exact inner product in double precision.
+best share of a shard is reranked by the exact inner product in double precision. A vector that many
+rows hold is indexed once, with the ``k + 1`` least ids that hold it: no other copy can be returned.
 
 Queries are dealt into blocks, and each block meets each shard in a task of its own, so a task holds
 one shard and one block, whatever the sizes. Each hands on ``k`` rows per query.
@@ -32,6 +33,8 @@ SHARD = 8192
 QUERY_BLOCK = 2048
 #: Pivots are distinct vectors out of a sample of at most this many.
 PIVOT_SAMPLE = 4096
+#: Parts in which the ids of one vector are gathered.
+SALTS = 1024
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -50,7 +53,7 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
-    """Distinct vectors of smallest id hash, one per row; fewer if the sample has fewer."""
+    """Distinct vectors of smallest id hash, one per row; fewer if there are fewer."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
     distinct = list(dict.fromkeys(tuple(r.vector) for r in sample))[:pivots]
     return np.array(distinct, np.float64)
@@ -71,8 +74,29 @@ def _matrix(column, width: int | None = None) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, width or 1)
 
 
-def permutation_index(rows: DataFrame, pivots: np.ndarray, top: float, kept: int, query: bool) -> DataFrame:
-    """``rows`` with ``pivot_list``: the numbers of the nearest pivots."""
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(ids, vector): every vector once, with the ``k + 1`` least ids that hold it, ascending, an id
+    of repeated rows up to ``k`` times.
+
+    Ids are first cut to ``k + 1`` within salted parts of a vector's rows, so that no task holds all
+    copies of one.
+    """
+    # -0.0 and 0.0 are one number.
+    rows = rows.select("vec_id", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
+    once = rows.groupBy("vector", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    salted = once.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    parts = salted.groupBy("vector", "salt").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+    parts = parts.select("vector", F.slice("ids", 1, k + 1).alias("ids"))
+    merged = parts.groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    least = F.slice(F.sort_array("ids"), 1, k + 1)
+    ids = F.flatten(F.transform(least, lambda x: F.array_repeat(x["vec_id"], x["n"])))
+    return merged.select(ids.alias("ids"), "vector")
+
+
+def permutation_index(
+    rows: DataFrame, key: str, pivots: np.ndarray, top: float, kept: int, query: bool
+) -> DataFrame:
+    """``rows`` (key, vector) with ``pivot_list``: the numbers of the nearest pivots."""
 
     def run(batches):
         for batch in batches:
@@ -80,45 +104,52 @@ def permutation_index(rows: DataFrame, pivots: np.ndarray, top: float, kept: int
             lists = pa.FixedSizeListArray.from_arrays(pa.array(order.ravel()), max(1, order.shape[1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), lists.cast(pa.list_(pa.int16()))],
-                names=["vec_id", "vector", "pivot_list"],
+                names=[key, "vector", "pivot_list"],
             )
 
-    schema = "vec_id long, vector array<double>, pivot_list array<short>"
-    return arrow_map(rows.select("vec_id", "vector"), run, schema)
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, vector array<double>, pivot_list array<short>"
+    return arrow_map(rows.select(key, "vector"), run, schema)
 
 
 def search_cell(shard: pa.Table, queries: pa.Table, k: int, share: float, pivots: int) -> pa.Table:
-    """The ``k`` best of one shard for each query of one block."""
-    ids = shard["vec_id"].to_numpy()
+    """The ``k`` best of one shard for each query of one block; the share counts distinct vectors."""
+    lists_of_ids = shard["ids"].to_pylist()
     asked = queries["vec_id"].to_numpy()
     found_query, found_id, found_score = [], [], []
-    if len(ids) and len(asked):
-        by_id = np.argsort(ids, kind="stable")
-        ids = ids[by_id]
+    if len(lists_of_ids) and len(asked):
+        by_id = np.array(sorted(range(len(lists_of_ids)), key=lambda i: lists_of_ids[i][0]))
+        counts = np.array([len(lists_of_ids[i]) for i in by_id])
+        flat_ids = np.array([x for i in by_id for x in lists_of_ids[i]], np.int64)
+        starts = np.cumsum(counts) - counts
         vectors = _matrix(shard["vector"])[by_id]
         lists = _matrix(shard["pivot_list"])[by_id]
-        kept = lists.shape[1]
+        kept, size = lists.shape[1], len(counts)
         # The inverted files: for each pivot, the vectors that list it and where.
         flat = np.argsort(lists.ravel(), kind="stable")
         edges = np.searchsorted(lists.ravel()[flat], np.arange(pivots + 1))
         member, rank = flat // kept, (flat % kept).astype(np.int32)
-        take = min(len(ids), max(512, int(np.ceil(share * len(ids)))))
-        places = np.arange(len(ids))
+        take = min(size, max(512, int(np.ceil(share * size))))
+        places = np.arange(size)
         for query, vector, own in zip(asked, _matrix(queries["vector"]), _matrix(queries["pivot_list"])):
-            shared = np.zeros(len(ids), np.int32)
+            shared = np.zeros(size, np.int32)
             for at, pivot in enumerate(own):
                 part = slice(edges[pivot], edges[pivot + 1])
                 shared[member[part]] += kept - np.maximum(rank[part], at)
-            if take < len(ids):
-                order = np.argpartition(places - shared.astype(np.int64) * len(ids), take - 1)[:take]
+            if take < size:
+                order = np.argpartition(places - shared.astype(np.int64) * size, take - 1)[:take]
                 order.sort()
             else:
                 order = places
-            order = order[ids[order] != query]
             score = (vectors[order] * vector).sum(axis=1)
-            best = np.lexsort((ids[order], -score))[:k]
+            held = counts[order]
+            part = np.repeat(starts[order] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+            ids, score = flat_ids[part], np.repeat(score, held)
+            other = ids != query
+            ids, score = ids[other], score[other]
+            best = np.lexsort((ids, -score))[:k]
             found_query.append(np.full(len(best), query))
-            found_id.append(ids[order][best])
+            found_id.append(ids[best])
             found_score.append(score[best])
     joined = [np.concatenate(x) if x else np.empty(0) for x in (found_query, found_id, found_score)]
     return pa.table(
@@ -147,41 +178,40 @@ def nearest(
     """
     workers_know(vectors.sparkSession)
     rows = usable_vectors(vectors, id_col, vec_col)
-    chosen = choose_pivots(rows, pivots)
-    total, top = rows.agg(
+    distinct = store(distinct_vectors(rows, k), "ann-vectors")
+    chosen = choose_pivots(distinct.select(F.col("ids")[0].alias("vec_id"), "vector"), pivots)
+    total, top = distinct.agg(
         F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     ).first()
     kept = max(1, min(kept, len(chosen)))
     count = len(chosen)
     shards = max(1, -(-total // SHARD))
 
-    def dealt(frame: DataFrame, query: bool) -> DataFrame:
+    def dealt(frame: DataFrame, key: str, query: bool) -> DataFrame:
         if not count:
             frame = frame.withColumn("pivot_list", F.array(F.lit(0).cast("short")))
         else:
-            frame = permutation_index(frame, chosen, top, kept, query)
+            frame = permutation_index(frame, key, chosen, top, kept, query)
         return frame.withColumn("place", F.monotonically_increasing_id())
 
-    index = store(dealt(rows, False), "ann-index").withColumn("shard", F.pmod("place", F.lit(shards)))
+    index = store(dealt(distinct, "ids", False), "ann-index").withColumn("shard", F.pmod("place", F.lit(shards)))
     asked = rows.where(query_filter).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = store(dealt(asked, True), "ann-queries")
+    asked = store(dealt(asked, "vec_id", True), "ann-queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod("place", F.lit(blocks)))
 
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    columns = ["shard", "block", "vec_id", "vector", "pivot_list"]
+    cells = [F.col("shard").cast("long"), F.col("block").cast("long")]
 
     def cell(shard: pa.Table, queries: pa.Table) -> pa.Table:
         return search_cell(shard, queries, k, share, count)
 
     found = (
-        left.select(F.col("shard").cast("long"), F.col("block").cast("long"), *columns[2:])
+        left.select(*cells, "ids", "vector", "pivot_list")
         .groupBy("shard", "block")
         .cogroup(
-            right.select(
-                F.col("shard").cast("long"), F.col("block").cast("long"), *columns[2:]
-            ).groupBy("shard", "block")
+            right.select(*cells, "vec_id", "vector", "pivot_list").groupBy("shard", "block")
         )
         .applyInArrow(cell, "query_id long, vec_id long, score double")
     )

@@ -62,3 +62,26 @@ def test_odd_vectors(spark):
     assert nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = vectors.where("vec_id < 3")
     assert nearest(few, F.col("vec_id") % 20 == 0).count() == 2
+
+
+def test_recall_near_a_vector_of_a_third_of_the_rows(spark):
+    """Every query near the copied vector finds its neighbours behind the copies."""
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(20, 64))
+    rows = centres[draw.integers(0, 20, 8000)] + 0.5 * draw.normal(size=(8000, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    near = np.argsort(-(rows @ rows[1]), kind="stable")[:300]
+    rows[draw.choice(np.setdiff1d(np.arange(8000), near), 2700, replace=False)] = rows[1]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    asked = [int(i) for i in near[1:101]]
+    score = rows[asked] @ rows.T
+    got = {}
+    for r in nearest(vectors, F.col("vec_id").isin(asked)).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    recall = []
+    for query, found in zip(asked, score):
+        least = np.sort(np.delete(found, query))[-20]
+        recall.append(np.mean(np.array(got[query]) >= least - 1e-9))
+        assert len(got[query]) == 20
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.8
