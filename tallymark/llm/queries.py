@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import ann, decontam, linededup, lm, mixing, pii, toxicity, urls
+from tallymark.llm import ann, bpe, decontam, linededup, lm, mixing, pii, toxicity, urls
 from tallymark.llm.licences import licence_scan
 from tallymark.llm.simhash import simhash_groups
 
@@ -86,3 +87,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_urls", urls.ORACLE)
 def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages")).drop("trust", "distrust")
+
+
+@register("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, folder, "documents")
+    return bpe.digests(bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, decoded=True))
