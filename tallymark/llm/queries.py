@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import ann, bpe, decontam, linededup, lm, mixing, pii, toxicity, urls
+from tallymark.llm import ann, bpe, decontam, linededup, lm, merkle, mixing, pii, toxicity, urls
+from tallymark.llm.common import lowered
 from tallymark.llm.licences import licence_scan
 from tallymark.llm.simhash import simhash_groups
 
@@ -94,3 +95,13 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, folder, "documents")
     return bpe.digests(bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, decoded=True))
+
+
+@register("op12_merkle", merkle.ORACLE)
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = merkle.merkle_manifest(
+        table(spark, folder, "documents"),
+        tampered={"text": lowered(F.col("text"))},
+        when=merkle.chosen_for_tampering(F.col("doc_id")),
+    )
+    return merkle.checked(manifest)
