@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import ann, bpe, decontam, linededup, lm, merkle, mixing, pii, toxicity, urls
+from tallymark.llm import ann, bpe, decontam, linededup, lm, merkle, mixing, pii, toxicity, urls, vectorcodes
 from tallymark.llm.common import lowered
 from tallymark.llm.licences import licence_scan
 from tallymark.llm.simhash import simhash_groups
@@ -105,3 +105,11 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
         when=merkle.chosen_for_tampering(F.col("doc_id")),
     )
     return merkle.checked(manifest)
+
+
+@register("op13_vector_codes", vectorcodes.ORACLE)
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, books = vectorcodes.compress_vectors(table(spark, folder, "embeddings"))
+    whole = vectorcodes.with_label_errors(codes)
+    digest = F.lit(vectorcodes.book_digest(books)).alias("codebooks_sha256")
+    return whole.select("vec_id", "code", "error", "label_error", digest)
