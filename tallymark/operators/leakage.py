@@ -7,6 +7,7 @@ semi join, one row per file.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -20,6 +21,9 @@ from tallymark.session import materialize
 
 HASH_BITS = 64
 
+# Comparisons that one key or pair of trie nodes may take, and bits of a trie level.
+CROWDED, TRIE_BITS = 1 << 16, 8
+
 
 def _per_value(side: DataFrame, value: str, prefix: str, path: str) -> DataFrame:
     """(value, n_<prefix>, first_<prefix>_path), combined map-side."""
@@ -134,11 +138,12 @@ def choose_bands(
     per_key: int = 500,
     most_keys: int = 1000,
 ) -> int:
-    """The fewest bands whose measured comparisons are worth their keys.
+    """The fewest bands whose measured comparisons are worth their keys, else those with the least.
 
     A key row is shuffled and a comparison is a few instructions, so ``per_key`` comparisons are
     taken to cost as much as a key. With more bands a hash has more keys and each keeps more
-    bits, which also splits keys that many hashes share: the counts are those of the data.
+    bits, which also splits keys that many hashes share: the counts are those of the data. Where
+    hashes crowd within a few bits, no banding may do; ``near_hash_pairs`` splits such keys apart.
     """
     rows = evaluation.count() + train.count()
     options = [
@@ -160,6 +165,7 @@ def near_hash_pairs(
     distance: int = NEAR_HASH_DISTANCE,
     bands: int | None = None,
     path: str = "path",
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """Pairs of distinct 64-bit hashes within ``distance``, with row counts on each side.
 
@@ -167,6 +173,8 @@ def near_hash_pairs(
     an equality join on some choice of b - d bands. Each pair is kept only at the choice made of
     its lowest agreeing bands, hence once, without a distinct. Rows without a hash are left out.
     The number of bands is measured when not given, for which the distinct hashes are written.
+    Keys of more than ``crowded`` comparisons, which no number of bands may split, are joined by
+    a bit trie instead. Runs jobs: counts of keys, and a level of the trie each.
     """
     ev = _per_value(evaluation, "phash", "eval", path).withColumnRenamed("phash", "eval_hash")
     tr = _per_value(train, "phash", "train", path).withColumnRenamed("phash", "train_hash")
@@ -179,8 +187,22 @@ def near_hash_pairs(
         )
     left = _keyed(ev, "eval_hash", bands, distance)
     right = _keyed(tr, "train_hash", bands, distance).drop("top")
+    full = materialize(_crowded_keys(left, right, crowded))
+    if full.isEmpty():
+        met = left.join(right, ["mask", "bits"])
+    else:
+        keys = full.select("mask", "bits")
+        met = _trie_join(
+            materialize(left.join(keys, ["mask", "bits"], "left_semi")),
+            materialize(right.join(keys, ["mask", "bits"], "left_semi")),
+            full,
+            distance,
+            crowded,
+        ).unionByName(
+            left.join(keys, ["mask", "bits"], "left_anti").join(right, ["mask", "bits"])
+        )
     gap = "eval_hash ^ train_hash"
-    met = left.join(right, ["mask", "bits"]).where(
+    met = met.where(
         (hamming(F.col("eval_hash"), F.col("train_hash")) <= distance)
         # The chosen bands are the lowest agreeing ones: no other agrees below the highest.
         & (_intact_below(gap, "top", bands) == bands - distance - 1)
@@ -196,6 +218,69 @@ def near_hash_pairs(
     )
 
 
+def _crowded_keys(left: DataFrame, right: DataFrame, crowded: int) -> DataFrame:
+    """(mask, bits, e, t) of the keys that would take more than ``crowded`` comparisons."""
+    counts = [
+        side.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias(name))
+        for side, name in ((left, "e"), (right, "t"))
+    ]
+    return counts[0].join(counts[1], ["mask", "bits"]).where(F.col("e") * F.col("t") > crowded)
+
+
+def _trie_join(
+    left: DataFrame, right: DataFrame, full: DataFrame, distance: int, crowded: int
+) -> DataFrame:
+    """Pairs of the crowded keys that may be within the distance, by a bit trie below each key.
+
+    A node is a key and the low bits of its hashes, eight more on each level. Pairs of an
+    evaluation and a training node start at the key; a pair of more than ``crowded`` comparisons
+    is replaced by the pairs of its children whose bits so far differ in at most ``distance``
+    places, found from counts of hashes per child (at most 256 x 256 per pair). Nodes cut the
+    hashes of a key apart, so that no pair of hashes is met twice, and nodes of all bits hold one
+    hash, so that every pair of nodes ends within the bound whatever the data. Runs a job a level.
+    """
+    pairs = full.select(
+        "mask", F.col("bits").alias("e_node"), F.col("bits").alias("t_node"), F.lit(0).alias("spent"),
+    )
+    met = []
+    for level in range(HASH_BITS // TRIE_BITS):
+        above = _signed((1 << TRIE_BITS * level) - 1)
+        below = _signed((1 << TRIE_BITS * (level + 1)) - 1)
+        own = _signed(((1 << TRIE_BITS) - 1) << TRIE_BITS * level)
+
+        def node(name: str, bits: int) -> Column:
+            return F.col(name).bitwiseAND(F.col("mask").bitwiseOR(F.lit(bits)))
+
+        def children(side: DataFrame, name: str, parent: str, child: str, count: str) -> DataFrame:
+            live = pairs.select("mask", parent).distinct()
+            rows = side.select("mask", node(name, above).alias(parent), node(name, below).alias(child))
+            return (
+                rows.groupBy("mask", parent, child).agg(F.count(F.lit(1)).alias(count))
+                .join(live, ["mask", parent], "left_semi")
+            )
+
+        apart = F.bit_count(F.col("e_child").bitwiseXOR(F.col("t_child")).bitwiseAND(F.lit(own)))
+        grown = (
+            pairs.join(children(left, "eval_hash", "e_node", "e_child", "e"), ["mask", "e_node"])
+            .join(children(right, "train_hash", "t_node", "t_child", "t"), ["mask", "t_node"])
+            .withColumn("spent", F.col("spent") + apart)
+            .where(F.col("spent") <= distance)
+            .select("mask", F.col("e_child").alias("e_node"), F.col("t_child").alias("t_node"), "spent", "e", "t")
+        )
+        grown = materialize(grown)
+        few = F.col("e") * F.col("t") <= crowded
+        met.append(
+            left.withColumn("e_node", node("eval_hash", below))
+            .join(grown.where(few).select("mask", "e_node", "t_node"), ["mask", "e_node"])
+            .join(right.drop("bits").withColumn("t_node", node("train_hash", below)), ["mask", "t_node"])
+            .drop("e_node", "t_node")
+        )
+        pairs = grown.where(~few).drop("e", "t")
+        if pairs.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, met)
+
+
 def near_pair_count(pairs: DataFrame) -> DataFrame:
     """Number of near file pairs, counted from the hash pairs."""
     return pairs.agg(
@@ -216,22 +301,24 @@ def near_rows(evaluation: DataFrame, pairs: DataFrame, path: str = "path") -> Da
 
 
 def leak_verdict(
-    name_overlap: DataFrame, exact: DataFrame, near: DataFrame | None, by_source: DataFrame
+    name_overlap: DataFrame, exact: DataFrame, near: DataFrame, by_source: DataFrame
 ) -> DataFrame:
-    """One row of counts and FAIL, CHECK or PASS."""
+    """One row of counts and FAIL, CHECK or PASS.
+
+    Names on both sides of the split, equal contents and near hashes fail; a shared source alone
+    asks for a check.
+    """
 
     def size(df: DataFrame) -> Column:
         return df.agg(F.count(F.lit(1))).scalar()
 
-    pairs = (
-        F.lit(0).cast("bigint")
-        if near is None
-        else near.agg(F.coalesce(F.sum(F.col("n_eval") * F.col("n_train")), F.lit(0))).scalar()
-    )
+    def total(df: DataFrame, value: Column) -> Column:
+        return df.agg(F.coalesce(F.sum(value), F.lit(0))).scalar()
+
     counts = name_overlap.sparkSession.range(1).select(
         size(name_overlap).alias("name_overlap_count"),
-        exact.agg(F.coalesce(F.sum("n_eval"), F.lit(0))).scalar().alias("exact_duplicate_count"),
-        pairs.alias("near_duplicate_count"),
+        total(exact, F.col("n_eval")).alias("exact_duplicate_count"),
+        total(near, F.col("n_eval") * F.col("n_train")).alias("near_duplicate_count"),
         size(by_source).alias("source_id_overlap_count"),
     )
     return counts.withColumn(

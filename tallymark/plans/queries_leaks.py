@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.documents import document_key
+from tallymark.functions.documents import base_name, document_key
 from tallymark.operators import fingerprint, leakage, sampling
 from tallymark.plans.catalog import query, table
+from tallymark.plans.leakcheck import check_leakage
 from tallymark.session import materialize
 
 
@@ -80,10 +83,10 @@ def _(spark, folder):
 
 
 def hashes(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """63 sign bits per vector; the evaluation side has up to eleven low bits flipped."""
+    """A sign bit for each element of a vector; the evaluation side has up to eleven low bits flipped."""
     bits = F.aggregate(
         F.transform(
-            F.slice("embedding", 1, 63),
+            "embedding",
             lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(
                 F.lit(0).cast("bigint")
             ),
@@ -103,8 +106,8 @@ def hashes(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 HASHES = """
 fps AS (
-  SELECT vec_id, list_reduce(list_transform(embedding[1:63],
-      lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END), lambda a, b: a | b) AS fp
+  SELECT vec_id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x <= 0 THEN 0::BIGINT
+      WHEN i = 64 THEN -9223372036854775808 ELSE 1::BIGINT << (i - 1) END), lambda a, b: a | b) AS fp
   FROM embeddings),
 train AS (SELECT 't' || vec_id AS path, fp AS phash FROM fps),
 evals AS (SELECT 'e' || vec_id AS path, xor(fp, (1::BIGINT << (vec_id % 12)::INTEGER) - 1) AS phash FROM fps),
@@ -141,24 +144,145 @@ def _(spark, folder):
     return leakage.near_rows(evaluation, leakage.near_hash_pairs(train, evaluation))
 
 
+def crowded_hashes(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Hashes of orders on both sides; a third of each side lies within five bits of one hash."""
+    number = F.col("o_orderkey").cast("string")
+
+    def hashed(text, first: int = 1, length: int = 15):
+        return F.conv(F.substring(F.md5(text), first, length), 16, 10).cast("bigint")
+
+    flips = F.lit(0x0F0F_3C3C_5A5A_7711).cast("bigint")
+    for i in range(5):
+        place = (hashed(number, 1 + 2 * i, 2) % 63).cast("int")
+        flips = flips.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+    rows = table(spark, folder, "orders").select(
+        F.concat(F.lit("o"), number).alias("path"),
+        F.when(hashed(number, 1, 8) % 3 == 0, flips).otherwise(hashed(number)).alias("phash"),
+        (F.col("o_custkey") % 2 == 0).alias("in_train"),
+    )
+    rows = materialize(rows)
+    return rows.where("in_train").drop("in_train"), rows.where("NOT in_train").drop("in_train")
+
+
 @query(
-    "leak_verdict",
-    f"""WITH {SIDES}, counts AS (SELECT 0::BIGINT AS name_overlap_count,
-      (SELECT count(*) FROM evals WHERE sha256 IN (SELECT sha256 FROM train)) AS exact_duplicate_count,
-      0::BIGINT AS near_duplicate_count,
-      (SELECT count(DISTINCT source_id) FROM evals WHERE source_id IN (SELECT source_id FROM train))
-        AS source_id_overlap_count)
-    SELECT *, CASE WHEN exact_duplicate_count > 0 THEN 'FAIL' WHEN source_id_overlap_count > 0 THEN 'CHECK'
-      ELSE 'PASS' END AS verdict FROM counts""",
+    "leak_near_crowded",
+    """WITH h AS (
+      SELECT o_orderkey::VARCHAR AS k, o_custkey % 2 = 0 AS in_train, md5(o_orderkey::VARCHAR) AS m FROM orders),
+    hashes AS (
+      SELECT 'o' || k AS path, in_train, CASE WHEN ('0x' || m[1:8])::BIGINT % 3 = 0
+        THEN list_reduce([1085152265131161361::BIGINT] || [1::BIGINT << (('0x' || m[2 * i + 1 : 2 * i + 2])::INTEGER % 63)
+          FOR i IN range(5)], lambda a, b: xor(a, b))
+        ELSE ('0x' || m[1:15])::BIGINT END AS phash FROM h)
+    SELECT e.phash AS eval_hash, t.phash AS train_hash, bit_count(xor(e.phash, t.phash))::INTEGER AS hamming_distance,
+      n_eval, n_train, first_eval_path, first_train_path
+    FROM (SELECT phash, count(*) AS n_eval, min(path) AS first_eval_path FROM hashes WHERE NOT in_train GROUP BY phash) e
+    JOIN (SELECT phash, count(*) AS n_train, min(path) AS first_train_path FROM hashes WHERE in_train GROUP BY phash) t
+      ON bit_count(xor(e.phash, t.phash)) <= 4""",
 )
 def _(spark, folder):
-    train, evaluation = sides(spark, folder, reread=True)
-    return leakage.leak_verdict(
-        train.select("path").intersect(evaluation.select("path")),
-        leakage.leak_exact(train, evaluation),
-        None,
-        leakage.leak_source(train, evaluation),
+    train, evaluation = crowded_hashes(spark, folder)
+    return leakage.near_hash_pairs(train, evaluation, distance=4, bands=6, crowded=1 << 12)
+
+
+# --- the whole check --------------------------------------------------------------------------
+
+
+def listed_files(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Every document as a training file and as an evaluation file, with what each leak would show.
+
+    The columns ``same_*`` and ``other_*`` are digests, hashes and paths that leak and that do not.
+    """
+    number = F.format_string("%07d", "doc_id")
+
+    def hashed(text):
+        return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+    docs = materialize(
+        table(spark, folder, "documents").select(
+            "doc_id", number.alias("number"), F.sha2("text", 256).alias("same_digest"),
+            F.sha2(F.concat("text", F.lit("#")), 256).alias("other_digest"),
+            hashed(number).alias("hash"),
+            hashed(F.concat(F.lit("other"), number)).alias("other_hash"),
+        )
     )
+    flipped = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("doc_id") % 12).cast("int")) - 1
+    train = docs.select(
+        F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("masks/fg_auth_"), "number", F.lit(".png")))
+        .otherwise(F.concat(F.lit("images/fg_auth_"), "number", F.lit(".PNG"))).alias("path"),
+        F.col("same_digest").alias("sha256"),
+        F.col("hash").alias("phash"),
+    )
+    evaluation = docs.select(
+        F.concat(F.lit("authentic/auth_"), "number", F.lit(".jpg")).alias("same_path"),
+        F.concat(F.lit("authentic/new_"), "number", F.lit(".jpg")).alias("other_path"),
+        "same_digest",
+        "other_digest",
+        F.col("hash").bitwiseXOR(flipped).alias("same_hash"),
+        "other_hash",
+        "number",
+        (F.col("doc_id") % 3 == 0).alias("held_back"),
+    )
+    return train, evaluation
+
+
+# What leaks in each case: (path, digest, hash), and whether the split names a file on both sides.
+LEAK_CASES = {
+    "names": ("other", "other", "other", True),
+    "exact": ("other", "same", "other", False),
+    "near": ("other", "other", "same", False),
+    "source": ("same", "other", "other", False),
+    "none": ("other", "other", "other", False),
+}
+
+
+def _leak_case_sql(case: str) -> str:
+    path, digest, hashed, both = LEAK_CASES[case]
+    stem = "auth" if path == "same" else "new"
+    return f"""(
+      WITH t AS (SELECT 'auth_' || number AS source_id, same_digest AS d, hash AS h FROM files WHERE doc_id % 11 <> 0),
+      e AS (SELECT '{stem}_' || number AS source_id, {digest}_digest AS d,
+              {'xor(hash, (1::BIGINT << (doc_id % 12)::INTEGER) - 1)' if hashed == 'same' else 'other_hash'} AS h
+            FROM files WHERE doc_id % 3 <> 0),
+      counts AS (SELECT '{case}' AS leak, (SELECT count(*) FROM t) AS n_train_files, (SELECT count(*) FROM e) AS n_eval_files,
+        (SELECT count(source_id) FROM t) AS n_train_with_source_id, (SELECT count(source_id) FROM e) AS n_eval_with_source_id,
+        {"(SELECT count(*) FROM files WHERE doc_id % 3 = 0)" if both else "0::BIGINT"} AS name_overlap_count,
+        (SELECT count(*) FROM e WHERE d IN (SELECT d FROM t)) AS exact_duplicate_count,
+        (SELECT count(*) FROM e JOIN t ON bit_count(xor(e.h, t.h)) <= 6) AS near_duplicate_count,
+        (SELECT count(*) FROM (SELECT DISTINCT source_id FROM e) WHERE source_id IN (SELECT source_id FROM t))
+          AS source_id_overlap_count)
+      SELECT *, CASE WHEN name_overlap_count + exact_duplicate_count + near_duplicate_count > 0 THEN 'FAIL'
+        WHEN source_id_overlap_count > 0 THEN 'CHECK' ELSE 'PASS' END AS verdict FROM counts)"""
+
+
+@query(
+    "leak_verdict",
+    f"""WITH files AS (
+      SELECT doc_id, printf('%07d', doc_id) AS number, sha256(text) AS same_digest, sha256(text || '#') AS other_digest,
+        ('0x' || md5(printf('%07d', doc_id))[1:15])::BIGINT AS hash,
+        ('0x' || md5('other' || printf('%07d', doc_id))[1:15])::BIGINT AS other_hash FROM documents)
+    {' UNION ALL '.join('SELECT * FROM ' + _leak_case_sql(case) for case in LEAK_CASES)}""",
+)
+def _(spark, folder):
+    train, evaluation = listed_files(spark, folder)
+    forged = train.select("path", F.lit(None).cast("string").alias("source"), F.lit(1).alias("label"))
+    reports = []
+    for case, (path, digest, hashed, both) in LEAK_CASES.items():
+        files = evaluation.select(
+            F.col(f"{path}_path").alias("path"),
+            F.col(f"{digest}_digest").alias("sha256"),
+            F.col(f"{hashed}_hash").alias("phash"),
+            "held_back",
+        )
+        names = files.select(base_name(F.col("path")).alias("name"), "held_back")
+        held = names.where("held_back").select("name", F.lit("train").alias("side"))
+        split = held.unionByName(
+            names.where(F.lit(both) | ~F.col("held_back")).select("name", F.lit("eval").alias("side"))
+        )
+        # A name on both sides may be evaluated, as the split says so; its file is left out here.
+        files = files.where(~F.col("held_back")).drop("held_back")
+        checked = check_leakage(train, files, forged, split=split)
+        reports.append(checked.report.select(F.lit(case).alias("leak"), "*"))
+    return reduce(DataFrame.unionByName, reports)
 
 
 def _tree(name: str, entries: str) -> str:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import leakage as lk
+from tallymark.plans.leakcheck import check_leakage
 
 
 def signed(v):
@@ -87,13 +88,10 @@ def test_exact_and_source(spark):
 
 
 def test_verdict(spark):
-    def verdict(names=0, exact=0, near=None, source=0):
-        pair = spark.range(near or 0).select(F.lit(1).alias("n_eval"), F.lit(1).alias("n_train"))
+    def verdict(names=0, exact=0, near=0, source=0):
+        pairs = spark.range(near).select(F.lit(1).alias("n_eval"), F.lit(1).alias("n_train"))
         row = lk.leak_verdict(
-            spark.range(names),
-            spark.range(exact).withColumn("n_eval", F.lit(1)),
-            None if near is None else pair,
-            spark.range(source),
+            spark.range(names), spark.range(exact).withColumn("n_eval", F.lit(1)), pairs, spark.range(source)
         ).first()
         return row.verdict
 
@@ -104,6 +102,76 @@ def test_verdict(spark):
     assert verdict(names=1) == "FAIL"
 
 
+@pytest.mark.parametrize("crowded", [1, 30, 400])
+def test_crowded_keys_go_down_a_trie(spark, crowded):
+    """A third of all hashes lies within a few bits of one: same pairs, each met once."""
+    rng = random.Random(crowded)
+    middle = rng.getrandbits(64)
+
+    def drawn():
+        value = rng.getrandbits(64)
+        if rng.random() < 1 / 3:
+            value = middle
+            for _ in range(rng.randrange(6)):
+                value ^= 1 << rng.randrange(64)
+        return signed(value)
+
+    train, ev = [drawn() for _ in range(250)], [drawn() for _ in range(250)] + [0, -1, None]
+    pairs = lk.near_hash_pairs(*frames(spark, train, ev), distance=5, bands=7, crowded=crowded).collect()
+    want = {(e, t, gap(e, t)) for e in ev if e is not None for t in train if gap(e, t) <= 5}
+    got = [(r.eval_hash, r.train_hash, r.hamming_distance) for r in pairs]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trie_nodes_stay_within_their_bound(spark):
+    """Comparisons of the pairs of nodes that are joined, counted: none above the bound."""
+    train = [i for i in range(600)]
+    t, e = frames(spark, train, train)
+    ev = lk._per_value(e, "phash", "eval", "path").withColumnRenamed("phash", "eval_hash")
+    tr = lk._per_value(t, "phash", "train", "path").withColumnRenamed("phash", "train_hash")
+    left, right = lk._keyed(ev, "eval_hash", 7, 6), lk._keyed(tr, "train_hash", 7, 6).drop("top")
+    full = lk._crowded_keys(left, right, 50)
+    assert full.agg(F.max(F.col("e") * F.col("t"))).first()[0] == 600 * 600
+    met = lk._trie_join(left, right, full, 6, 50)
+    assert met.where(F.bit_count(F.col("eval_hash").bitwiseXOR(F.col("train_hash"))) > 6).count() < met.count() / 3
+    twice = met.groupBy("mask", "eval_hash", "train_hash").count().where("count > 1")
+    assert twice.isEmpty()
+
+
+def listing(spark, rows):
+    return spark.createDataFrame(rows, "path string, sha256 string, phash long")
+
+
+def test_whole_check(spark):
+    train = listing(spark, [
+        ("pool/images/fg_auth_0001.png", "a", 0), ("pool/masks/fg_auth_0002.png", "b", 1), ("pool/notes.txt", "c", 2),
+        ("pool/x_pre_holdout/fg_auth_0003.png", "d", 3), ("pool/images/fg_0004.png", "e", 1 << 40),
+    ])
+    told = spark.createDataFrame(
+        [("pool/images/fg_auth_0001.png", None, 1), ("pool/images/fg_0004.png", "auth_0099.jpg", 1)],
+        "path string, source string, label int",
+    )
+    ev = listing(spark, [
+        ("set/authentic/auth_0001.jpg", "x", -1), ("set/authentic/auth_0099.jpg", "e", 7 << 20), ("set/authentic/auth_0005.jpg", "a", 0),
+    ])
+    split = spark.createDataFrame(
+        [("auth_0001.jpg", "eval"), ("auth_0099.jpg", "eval"), ("auth_0005.jpg", "train")], "name string, side string"
+    )
+    checked = check_leakage(train, ev, told, split=split)
+    report = checked.report.first()
+    # auth_0005.jpg is not on the evaluation side of the split, so its content is no finding.
+    assert (report.n_train_files, report.n_eval_files) == (2, 2)
+    assert (report.n_train_with_source_id, report.n_eval_with_source_id) == (2, 2)
+    assert (report.name_overlap_count, report.exact_duplicate_count, report.source_id_overlap_count) == (0, 1, 2)
+    assert report.near_duplicate_count == 2 and report.verdict == "FAIL"
+    assert {r.source_id for r in checked.by_source.collect()} == {"auth_0001", "auth_0099"}
+
+    everything = check_leakage(train.limit(0), ev).report.first()
+    assert everything.n_eval_files == 3 and everything.verdict == "PASS"
+    both = split.unionByName(split.where("name = 'auth_0001.jpg'").withColumn("side", F.lit("train")))
+    assert check_leakage(train.limit(0), ev, split=both).report.first().name_overlap_count == 1
+
+
 def test_hot_split_join_keeps_every_row(spark):
     from tallymark.operators.joins import hot_split_join
 
