@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallymark.fixedvalues import DOC_TYPE_KEYWORDS, SCRIPT_BY_PREFIX, WIDE_ASPECT
+from tallymark.functions.rows import bind
 
 
 def cer(hyp: Column, ref: Column) -> Column:
@@ -15,62 +16,125 @@ def cer(hyp: Column, ref: Column) -> Column:
     ).otherwise(F.levenshtein(hyp, ref) / F.length(ref).cast("double"))
 
 
-def _window_candidates(page: Column, ref: Column, first: Column, last: Column) -> Column:
-    """(edits, width, start) of every window that starts in [first, last] and fits the page."""
+# Start positions of a page looked at together: Spark counts characters from the front of a text.
+WINDOW_STRIDE = 512
+# Pieces whose first places on a page give the first bound.
+PROBES = (1, 3, 7)
+
+
+def _pieces(ref: Column, most: Column) -> Column:
+    """``most`` + 1 pieces of the reference, as even as can be: ARRAY<STRUCT(at, text)>, ``at`` from 0."""
+    n, count = F.length(ref), most + 1
+
+    def piece(j: Column) -> Column:
+        at, end = F.floor(j * n / count).cast("int"), F.floor((j + 1) * n / count).cast("int")
+        return F.struct(at.alias("at"), F.substring(ref, at + 1, end - at).alias("text"))
+
+    return F.transform(F.sequence(F.lit(0), most), piece)
+
+
+def _first_bound(page: Column, ref: Column) -> Column:
+    """Edits of some window of the page: where pieces of the reference first stand, at most n - 1."""
     n = F.length(ref)
 
-    def of_width(width: Column) -> Column:
-        stop = F.least(last, F.length(page) - width + 1)
-        return F.when(
-            stop >= first,
-            F.transform(
-                F.sequence(first, stop),
-                lambda start: F.struct(
-                    F.levenshtein(F.substring(page, start, width), ref).alias("edits"),
-                    width.alias("width"),
-                    start.alias("start"),
-                ),
-            ),
-        )
+    def edits(piece: Column) -> Column:
+        start = F.greatest(F.lit(1), F.least(F.instr(page, piece["text"]) - piece["at"], F.length(page) - n + 1))
+        return F.when(F.contains(page, piece["text"]), F.levenshtein(F.substring(page, start, n), ref))
+
+    probes = F.flatten(F.array(*[_pieces(ref, F.least(F.lit(p), n - 1)) for p in PROBES]))
+    found = F.array_min(F.transform(probes, edits))
+    return F.when(F.length(page) >= n, F.least(n - 1, F.coalesce(found, n - 1))).otherwise(n - 1)
 
+
+def window_search(page: Column, ref: Column) -> Column:
+    """STRUCT(best STRUCT(edits, width, start), calls) over the windows of a page, by piece filter.
+
+    Windows are n - 2 to n + 2 wide and the least (edits, width, start) wins; best is null where
+    none stays below n edits. A few aligned windows give a bound of k edits. Whatever beats or
+    meets it holds one of k + 1 pieces of the reference unchanged and at most k places aside, so
+    that only windows with such a piece are compared, and no further than k edits. Parts of the
+    page without a piece cost one search for each piece. ``calls`` counts the comparisons.
+    """
+    n = F.length(ref)
     widths = F.sequence(F.greatest(F.lit(1), n - 2), n + 2)
-    return F.flatten(F.filter(F.transform(widths, of_width), lambda found: found.isNotNull()))
 
+    def of_bound(most: Column) -> Column:
+        return bind(_pieces(ref, most), lambda pieces: _search(page, ref, widths, most, pieces))
 
-def window_best(page: Column, ref: Column, first: Column, last: Column) -> Column:
-    """Least (edits, width, start) among windows starting in [first, last]; null if none fits."""
-    return F.array_min(_window_candidates(page, ref, first, last))
+    return bind(_first_bound(page, ref), of_bound)
 
 
-def window_outcome(page: Column, ref: Column, best: Column) -> Column:
-    """STRUCT(cer, span) of the page search: a hit costs 0, no better window costs 1."""
+def _search(page: Column, ref: Column, widths: Column, most: Column, pieces: Column) -> Column:
     n = F.length(ref)
-    improves = best.isNotNull() & (best.getField("edits") < n)
-    return (
-        F.when(
-            n == 0,
-            F.struct(
-                F.when(F.length(page) == 0, F.lit(0.0)).otherwise(F.lit(1.0)).alias("cer"),
-                F.lit("").alias("span"),
-            ),
-        )
-        .when(F.contains(page, ref), F.struct(F.lit(0.0).alias("cer"), ref.alias("span")))
-        .when(
-            improves,
-            F.struct(
-                (best.getField("edits") / n.cast("double")).alias("cer"),
-                F.substring(page, best.getField("start"), best.getField("width")).alias("span"),
-            ),
+
+    def part(at: Column) -> Column:
+        # Holds every window that starts in the part.
+        text = F.substring(page, at + 1, F.lit(WINDOW_STRIDE + 1) + n)
+        return bind(text, lambda t: bind(
+            F.filter(pieces, lambda p: F.contains(t, p["text"])), lambda held: windows(at, t, held)
+        ))
+
+    def near(t: Column, start: Column, piece: Column) -> Column:
+        first = F.greatest(piece["at"] - most, F.lit(0))
+        region = F.substring(t, start + first, piece["at"] + most + F.length(piece["text"]) - first)
+        return F.contains(region, piece["text"])
+
+    def windows(at: Column, t: Column, held: Column) -> Column:
+        last = F.least(F.lit(WINDOW_STRIDE), F.length(t))
+        starts = F.when(
+            F.size(held) > 0,
+            F.filter(F.sequence(F.lit(1), last), lambda i: F.exists(held, lambda p: near(t, i, p))),
+        ).otherwise(F.array().cast("array<int>"))
+        return bind(starts, lambda kept: F.struct(
+            F.array_min(F.filter(
+                F.flatten(F.transform(kept, lambda i: F.transform(widths, lambda w: measured(at, t, i, w)))),
+                lambda found: found["edits"] >= 0,
+            )).alias("best"),
+            (F.size(kept) * F.size(widths)).alias("calls"),
+        ))
+
+    def measured(at: Column, t: Column, start: Column, width: Column) -> Column:
+        fits = start + width - 1 <= F.length(t)
+        edits = F.call_function("levenshtein", F.substring(t, start, width), ref, most)
+        return F.struct(
+            F.when(fits, edits).otherwise(F.lit(-1)).alias("edits"),
+            width.alias("width"),
+            (at + start).alias("start"),
         )
-        .otherwise(F.struct(F.lit(1.0).alias("cer"), F.lit("").alias("span")))
-    )
+
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.length(page) - 1, F.lit(0)), F.lit(WINDOW_STRIDE)), part)
+    return bind(parts, lambda found: F.struct(
+        F.array_min(F.transform(found, lambda f: f["best"])).alias("best"),
+        F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, f: acc + f["calls"]).alias("calls"),
+    ))
 
 
 def best_window_cer(page: Column, ref: Column) -> Column:
-    """Page search within one row; ``operators.cer`` spreads long pages over tasks instead."""
-    needs_scan = (F.length(ref) > 0) & ~F.contains(page, ref)
-    best = F.when(needs_scan, window_best(page, ref, F.lit(1), F.length(page)))
-    return window_outcome(page, ref, best)
+    """STRUCT(cer, span) of the page search: a hit costs 0, no better window costs 1."""
+    n = F.length(ref)
+    scan = F.when((n > 0) & (F.length(page) > 0) & ~F.contains(page, ref), window_search(page, ref)["best"])
+
+    def outcome(best: Column) -> Column:
+        return (
+            F.when(
+                n == 0,
+                F.struct(
+                    F.when(F.length(page) == 0, F.lit(0.0)).otherwise(F.lit(1.0)).alias("cer"),
+                    F.lit("").alias("span"),
+                ),
+            )
+            .when(F.contains(page, ref), F.struct(F.lit(0.0).alias("cer"), ref.alias("span")))
+            .when(
+                best["edits"] < n,
+                F.struct(
+                    (best["edits"] / n.cast("double")).alias("cer"),
+                    F.substring(page, best["start"], best["width"]).alias("span"),
+                ),
+            )
+            .otherwise(F.struct(F.lit(1.0).alias("cer"), F.lit("").alias("span")))
+        )
+
+    return bind(scan, outcome)
 
 
 def _prefix(doc_type: Column) -> Column:

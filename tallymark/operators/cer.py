@@ -9,104 +9,68 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as tx
 from tallymark.functions.fields import field_lookup
-from tallymark.functions.rows import explode_map, explode_values
+from tallymark.functions.rows import explode_map
 from tallymark.operators.ordering import indexed_totals
 
-# Pages beyond this length are cut into blocks that become rows of their own.
-PAGE_BLOCK = 4096
-
-
 def explode_gt_fields(records: DataFrame, keep: Sequence[str]) -> DataFrame:
     """(keep..., field, ref) per ground-truth field; null values are dropped."""
     return explode_map(records, keep, "gt_fields", "field", "ref").where(F.col("ref").isNotNull())
 
 
-def page_window_rows(
-    rows: DataFrame, keys: Sequence[str], page: str = "page", ref: str = "ref",
-    block: int = PAGE_BLOCK,
-) -> DataFrame:
-    """Adds ``cer`` and ``hyp`` of the best page window; ``keys`` identify a row.
+def page_window_rows(rows: DataFrame, page: str = "page", ref: str = "ref") -> DataFrame:
+    """Adds ``cer`` and ``hyp`` of the best page window, within the row whatever the page's length."""
+    found = rows.withColumn("_found", tx.best_window_cer(F.col(page), F.col(ref)))
+    return found.withColumns({"cer": F.col("_found.cer"), "hyp": F.col("_found.span")}).drop("_found")
 
-    A page of one block is searched within its row. A longer page is cut into blocks of start
-    positions, each carrying only its slice, and the best window of all blocks wins, so one long
-    page spreads over many tasks and no position is skipped.
-    """
-    keys = list(keys)
-    p, r = F.col(page), F.col(ref)
-    searched = F.length(p) <= block
-    scan = (F.length(r) > 0) & ~F.contains(p, r)
-    is_long = ~searched & scan
-
-    short = rows.where(~F.coalesce(is_long, F.lit(False))).withColumn(
-        "_found", tx.best_window_cer(p, r)
-    )
-    long = rows.where(F.coalesce(is_long, F.lit(False)))
-    starts = F.sequence(F.lit(0), F.length(p) - 1, F.lit(block))
-    blocks = explode_values(
-        long, [*keys, r.alias("_ref"), p.alias("_page")], starts, "_at"
-    ).select(
-        *keys,
-        "_ref",
-        "_at",
-        F.substring(F.col("_page"), F.col("_at") + 1, F.length("_ref") + block + 1).alias("_slice"),
-    )
-    # The slice ends with the last window of its last start position, or with the page.
-    local = tx.window_best(F.col("_slice"), F.col("_ref"), F.lit(1), F.lit(block))
-    best = blocks.withColumn("_best", local).where(F.col("_best").isNotNull()).groupBy(*keys).agg(
-        F.min(
-            F.struct(
-                F.col("_best.edits").alias("edits"),
-                F.col("_best.width").alias("width"),
-                (F.col("_at") + F.col("_best.start")).alias("start"),
-            )
-        ).alias("_best")
-    )
-    searched_long = (
-        long.join(best, keys, "left")
-        .withColumn("_found", tx.window_outcome(p, r, F.col("_best")))
-        .drop("_best")
+
+def _compared(exploded: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep..., field, cer, gt, hyp, match) of rows with hyp_fields and page; no shuffle."""
+    value = exploded.withColumn("_hyp", field_lookup(F.col("hyp_fields"), F.col("field")))
+    searched = (F.col("_hyp") == "") & (F.coalesce("page", F.lit("")) != "")
+    direct = F.struct(tx.cer(F.col("_hyp"), F.col("ref")).alias("cer"), F.col("_hyp").alias("span"))
+    found = value.select(
+        *keep,
+        "field",
+        "ref",
+        searched.alias("_searched"),
+        F.when(searched, tx.best_window_cer(F.col("page"), F.col("ref"))).otherwise(direct).alias("_found"),
     )
-    return (
-        short.unionByName(searched_long)
-        .withColumn("cer", F.col("_found.cer"))
-        .withColumn("hyp", F.col("_found.span"))
-        .drop("_found")
+    return found.select(
+        *keep,
+        "field",
+        F.col("_found.cer").alias("cer"),
+        F.col("ref").alias("gt"),
+        F.col("_found.span").alias("hyp"),
+        F.when(F.col("_searched"), "page_window").otherwise("fields").alias("match"),
     )
 
 
-def field_rows(
-    records: DataFrame, id_col: str = "id", keep: Sequence[str] = (), block: int = PAGE_BLOCK
-) -> DataFrame:
-    """(id, keep..., field, cer, gt, hyp, match) per ground-truth field.
+def field_rows(records: DataFrame, id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep..., field, cer, gt, hyp, match) per ground-truth field, in one pass.
 
     ``records`` holds gt_fields and hyp_fields (MAP<STRING, STRING>) and page. The value comes
     from the same key, from the first key equal in lower case, or from the page.
     """
-    exploded = explode_gt_fields(records, [id_col, *keep, "hyp_fields", "page"]).withColumn(
-        "hyp", field_lookup(F.col("hyp_fields"), F.col("field"))
-    )
-    use_page = (F.col("hyp") == "") & (F.coalesce("page", F.lit("")) != "")
-    direct = exploded.where(~use_page).select(
-        id_col,
-        *keep,
-        "field",
-        tx.cer(F.col("hyp"), F.col("ref")).alias("cer"),
-        F.col("ref").alias("gt"),
-        "hyp",
-        F.lit("fields").alias("match"),
+    kept = [id_col, *keep]
+    return _compared(explode_gt_fields(records, [*kept, "hyp_fields", "page"]), kept)
+
+
+def record_items(records: DataFrame, keep: Sequence[str] = (), id_col: str = "id") -> DataFrame:
+    """(id, keep..., cer_field, n_fields) of every record, in one pass and one shuffle by id.
+
+    ``cer_field`` is null, and ``n_fields`` 0, for a record without ground-truth fields; of equal
+    ids the first one's other columns are kept.
+    """
+    exploded = records.select(
+        id_col, *keep, "hyp_fields", "page", F.explode_outer("gt_fields").alias("field", "ref")
     )
-    paged = page_window_rows(
-        exploded.where(use_page).drop("hyp"), [id_col, "field"], block=block
-    ).select(
-        id_col,
-        *keep,
-        "field",
-        "cer",
-        F.col("ref").alias("gt"),
-        "hyp",
-        F.lit("page_window").alias("match"),
+    rows = _compared(exploded, [id_col, *keep])
+    weight = F.when(F.col("gt").isNotNull(), F.greatest(F.length("gt"), F.lit(1)).cast("double"))
+    return rows.groupBy(id_col).agg(
+        *[F.first(c).alias(c) for c in keep],
+        (F.sum(F.col("cer") * weight) / F.sum(weight)).alias("cer_field"),
+        F.count("gt").alias("n_fields"),
     )
-    return direct.unionByName(paged)
 
 
 def cer_micro(rows: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:

@@ -40,9 +40,7 @@ def parts(spark, folder) -> DataFrame:
 
 
 def items(spark, folder) -> DataFrame:
-    records = parts(spark, folder)
-    rows = cer_ops.field_rows(records)
-    return cer_ops.record_cer(records.select("id", "row_index", "country", "script"), rows)
+    return cer_ops.record_items(parts(spark, folder), ["row_index", "country", "script"])
 
 
 FIELDS = """
@@ -98,10 +96,8 @@ def _(spark, folder):
     FROM pages LEFT JOIN (SELECT id, edits, span FROM best) USING (id)""",
 )
 def _(spark, folder):
-    # Blocks below the page length, so that the pages go the long way.
     pages = parts(spark, folder).select("id", F.col("gt_fields")["name"].alias("ref"), "page")
-    found = cer_ops.page_window_rows(pages, ["id"], block=8)
-    return found.select("id", "ref", "cer", "hyp")
+    return cer_ops.page_window_rows(pages).select("id", "ref", "cer", "hyp")
 
 
 @query(

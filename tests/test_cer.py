@@ -39,22 +39,49 @@ def test_cer_edges(spark):
 
 def window_cases():
     rng = random.Random(1)
-    cases = [("", "abc"), ("ab", "abcdef"), ("xyz", ""), ("", ""), ("hello world", "wor"), ("zzzz", "ab")]
-    for _ in range(40):
+    cases = [("", "abc"), ("ab", "abcdef"), ("xyz", ""), ("", ""), ("hello world", "wor"), ("zzzz", "ab"), ("é漢字é", "漢é")]
+    for _ in range(60):
         page = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 40)))
         cases.append((page, "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))))
+    for _ in range(30):
+        # A distorted copy of the reference somewhere on a longer page.
+        ref = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(8, 25)))
+        near = "".join(c for c in ref if rng.random() > 0.1)
+        around = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(0, 90))) for _ in range(2)]
+        cases.append((near.join(around), ref))
     return [(i, p, r) for i, (p, r) in enumerate(cases)]
 
 
-@pytest.mark.parametrize("block", [4, 7, 4096])
-def test_page_window_equals_brute_force(spark, block):
+@pytest.mark.parametrize("stride", [3, 16, 512])
+def test_page_window_equals_brute_force(spark, stride, monkeypatch):
+    monkeypatch.setattr(tx, "WINDOW_STRIDE", stride)
     cases = window_cases()
     df = spark.createDataFrame(cases, "id int, page string, ref string")
-    out = {r.id: r for r in ops.page_window_rows(df, ["id"], block=block).collect()}
+    out = {r.id: r for r in ops.page_window_rows(df).collect()}
     for i, page, ref in cases:
         assert (out[i].cer, out[i].hyp) == best_window(page, ref), (page, ref)
 
 
+def test_few_windows_of_a_long_page_are_compared(spark):
+    rng = random.Random(2)
+    page = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60_000))
+    ref = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))
+    near = ref[:7] + "#" + ref[8:19] + ref[20:]
+    df = spark.createDataFrame([(page[:40_000] + near + page[40_000:], ref)], "page string, ref string")
+    found = df.select(tx.window_search(F.col("page"), F.col("ref")).alias("f")).select("f.*").first()
+    assert (found.best.edits, found.best.start) == (2, 40_001) and found.best.width == 23
+    # Of 300,000 windows.
+    assert found.calls < 3_000
+
+
+def test_error_rates_take_one_pass(spark):
+    df = records(spark, [("r", {"a": "abcd"}, {}, "xabcx")])
+    rows = ops.field_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in rows and rows.count("Scan ") == 1
+    items = ops.record_items(df)._jdf.queryExecution().executedPlan().toString()
+    assert items.count("Exchange hash") == 1 and items.count("Scan ") == 1
+
+
 def records(spark, rows):
     return spark.createDataFrame(
         rows, "id string, gt_fields map<string,string>, hyp_fields map<string,string>, page string"
@@ -91,6 +118,9 @@ def test_micro_weights_and_missing_fields(spark):
     items = {r.id: r.cer_field for r in ops.record_cer(df.select("id"), rows).collect()}
     assert items["r"] == pytest.approx((0.25 * 4 + 1.0) / 5)
     assert items["none"] is None
+    assert {r.id: (r.cer_field, r.n_fields) for r in ops.record_items(df).collect()} == {
+        "r": (items["r"], 2), "none": (None, 0),
+    }
     macro = ops.cer_macro(ops.record_cer(df.select("id"), rows)).first()
     assert (macro.n, macro.n_with_gt_fields) == (2, 1)
     assert ops.cer_macro(ops.record_cer(df.where("id = 'none'").select("id"), rows)).first().cer_field is None
