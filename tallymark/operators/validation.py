@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from tallymark.fixedvalues import (
 )
 from tallymark.functions.rows import explode_values
 from tallymark.operators.provenance import trial_valid_agg
+from tallymark.session import materialize
+
+# Begins the message of a job that met a failed record.
+FATAL_MARK = "failed record "
 
 
 class ValidationError(ValueError):
@@ -145,40 +151,77 @@ def score_join(manifest: DataFrame, scores: DataFrame, id_col: str = "id") -> Da
     return manifest.join(scores, id_col)
 
 
-def complete_scores(
+def score_reasons(
     manifest: DataFrame, scores: DataFrame, id_col: str = "id", value_col: str | None = None
 ) -> DataFrame:
-    """Records with their scores, for metrics: raises if any record has no score or a failed one.
+    """Records with their scores and ``reason``, why a record has none that counts; null when it has.
 
-    ``value_col`` names a score that must not be null.
+    One join, which reads either side once: no score, the score's own error, or a null value of
+    ``value_col``.
     """
-    findings = unscored(manifest, scores, id_col)
+    told = scores.withColumn("_told", F.lit(True))
+    why = F.when(F.col("_told").isNull(), "no score")
+    if "error" in scores.columns:
+        why = why.when(F.col("error").isNotNull(), F.col("error"))
     if value_col:
-        empty = manifest.select(id_col).join(scores, id_col).where(F.col(value_col).isNull())
-        findings = findings.unionByName(empty.select(id_col, F.lit("null score").alias("reason")))
-    abort_on_fatal(findings, [id_col, "reason"])
-    return score_join(manifest, scores, id_col)
+        why = why.when(F.col(value_col).isNull(), "null score")
+    return manifest.join(told, id_col, "left").withColumn("reason", why).drop("_told")
 
 
-def unscored(manifest: DataFrame, scores: DataFrame, id_col: str = "id") -> DataFrame:
-    """Records without a score, and scores that carry an error."""
-    bad = scores.limit(0)
-    if "error" in scores.columns:
-        bad = scores.where(F.col("error").isNotNull()).join(manifest.select(id_col), id_col, "left_semi")
-    missing = manifest.select(id_col).join(scores.select(id_col), id_col, "left_anti")
-    reason = F.col("error") if "error" in scores.columns else F.lit(None).cast("string")
-    return missing.select(id_col, F.lit("no score").alias("reason")).unionByName(
-        bad.select(id_col, reason.alias("reason"))
+def unscored(
+    manifest: DataFrame, scores: DataFrame, id_col: str = "id", value_col: str | None = None
+) -> DataFrame:
+    """(id, reason): records without a score, or with a failed or null one."""
+    found = score_reasons(manifest, scores, id_col, value_col)
+    return found.where(F.col("reason").isNotNull()).select(id_col, "reason")
+
+
+def complete_scores(
+    manifest: DataFrame, scores: DataFrame, id_col: str = "id", value_col: str | None = None
+) -> DataFrame:
+    """Records with their scores, for metrics: any job over them fails at a record without one.
+
+    The check is a filter of the job that computes the metrics, so that scores are read once;
+    see ``fatal_rows_listed`` for the listing. ``value_col`` names a score that must not be null.
+    """
+    found = score_reasons(manifest, scores, id_col, value_col)
+    told = F.concat(F.lit(FATAL_MARK), F.col(id_col).cast("string"), F.lit(": "), F.col("reason"))
+    # Conditions of later steps, such as a score that is not null, would go below a plain filter
+    # and take the failed records away before it; they do not pass a nondeterministic one.
+    sound = F.when(F.col("reason").isNull() & (F.spark_partition_id() >= 0), F.lit(True)).otherwise(
+        F.raise_error(told).cast("boolean")
     )
+    return found.where(sound).drop("reason")
+
+
+def fatal_report(findings: DataFrame, order: Sequence[str], shown: int = 50) -> DataFrame:
+    """The first findings in order, each with ``n_failed``, the number of all; read once and written."""
+    kept = materialize(findings)
+    total = kept.agg(F.count(F.lit(1))).scalar()
+    return kept.orderBy(*order).limit(shown).withColumn("n_failed", total)
 
 
 def abort_on_fatal(findings: DataFrame, order: Sequence[str], shown: int = 50) -> None:
     """One failed call voids the run; the first ones are listed."""
-    total = findings.count()
-    if total:
-        first = findings.orderBy(*order).limit(shown).collect()
-        lines = "\n  ".join(", ".join(str(v) for v in row) for row in first)
-        raise FatalRowsError(f"{total} failed calls:\n  {lines}")
+    first = fatal_report(findings, order, shown).collect()
+    if first:
+        lines = "\n  ".join(", ".join(str(v) for v in row[:-1]) for row in first)
+        raise FatalRowsError(f"{first[0].n_failed} failed calls:\n  {lines}")
+
+
+@contextmanager
+def fatal_rows_listed(findings: DataFrame, order: Sequence[str] = ("id", "reason")):
+    """Around the action of a job over ``complete_scores``: lists the findings if they end it.
+
+    Only then are they looked for.
+    """
+    try:
+        yield
+    except PySparkException as error:
+        if FATAL_MARK not in str(error):
+            raise
+        abort_on_fatal(findings, order)
+        raise
 
 
 def quality_flags(gates: dict[str, float] | None = None, eye_variant: bool = False) -> dict[str, Column]:

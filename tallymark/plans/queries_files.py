@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators import annotations, fingerprint, provenance, reporting, scoring, sweep
+from tallymark.operators import annotations, provenance, reporting, scoring, sweep, validation
+from tallymark.operators.pairing import scored_pair_sweep
 from tallymark.plans import evaluations
 from tallymark.plans.catalog import query, table
 from tallymark.plans.queries_pairs import PAIRS, pair_sweep_sql, pairs
@@ -147,22 +148,34 @@ def _(spark, folder):
     f"""WITH {FIELDS}, cer AS (SELECT avg(cer_field) AS v FROM items),
     {SCORES}, one AS (SELECT 1 AS g, score, label FROM fx_scores), {sweep_sql('one', 'g')}, {maximin_sql('g')},
     lat AS (SELECT avg(value * 10e0 / 1000e0) AS v FROM events),
+    faces AS (
+      SELECT s.tpr AS sensitivity, s.accuracy, row_number() OVER (ORDER BY
+        least((s.tpr - 0.84e0) / 0.84e0, (s.accuracy - 0.8e0) / 0.8e0) DESC, least(s.tpr, s.accuracy) DESC, s.threshold) AS place
+      FROM swept s WHERE s.tpr >= 0.84e0 AND s.accuracy >= 0.8e0),
+    face AS (SELECT max(sensitivity) AS sensitivity, max(accuracy) AS accuracy, count(*) = 0 AS infeasible
+      FROM faces WHERE place = 1),
     lines AS (
       SELECT 1 AS position, 'cer' AS metric, 0.21e0 AS target, v AS value,
              CASE WHEN v < 0.21e0 THEN 'PASS' ELSE 'FAIL' END AS status FROM cer
       UNION ALL SELECT 2, 'tpr', 0.88e0, tpr, CASE WHEN infeasible THEN 'FAIL' ELSE 'PASS' END FROM operating
       UNION ALL SELECT 3, 'f1', 0.79e0, f1, CASE WHEN infeasible THEN 'FAIL' ELSE 'PASS' END FROM operating
-      UNION ALL SELECT 4, 'sensitivity', 0.84e0, NULL, 'N/A'
-      UNION ALL SELECT 5, 'accuracy', 0.8e0, NULL, 'N/A'
+      UNION ALL SELECT 4, 'sensitivity', 0.84e0, sensitivity, CASE WHEN infeasible THEN 'FAIL' ELSE 'PASS' END FROM face
+      UNION ALL SELECT 5, 'accuracy', 0.8e0, accuracy, CASE WHEN infeasible THEN 'FAIL' ELSE 'PASS' END FROM face
       UNION ALL SELECT 6, 'seconds', 60e0, v, CASE WHEN v < 60 THEN 'PASS' ELSE 'FAIL' END FROM lat)
     SELECT position, metric, target, round(value, 6) AS value, status FROM lines""",
 )
 def _(spark, folder):
-    swept = sweep.threshold_sweep(scores(spark, folder))
+    rows = scores(spark, folder)
+    swept = sweep.threshold_sweep(rows)
+    # The same scores as similarities of pairs, judged on sensitivity and accuracy.
+    as_pairs = rows.select(
+        F.lit("only").alias("backend"), (F.col("label") == 1).alias("same"), F.col("score").alias("similarity")
+    )
     out = reporting.gate_summary(
         spark,
         cer=items(spark, folder).agg(F.avg("cer_field").alias("cer_field")),
         forgery=sweep.maximin_threshold(swept, sweep.FORGERY_TARGETS),
+        faces=scored_pair_sweep(as_pairs),
         latency=reporting.latency_summary(latency(spark, folder)),
     )
     return out.withColumn("value", F.round("value", 6))
@@ -365,49 +378,132 @@ def _(spark, folder):
 # --- whole evaluations ------------------------------------------------------------------------
 
 
-@query(
-    "evaluate_forgery",
-    f"""WITH {SCORES}, renamed AS (SELECT CASE WHEN domain = 'F' THEN 'cross_domain' ELSE 'in_domain' END AS domain,
-      score, label FROM fx_scores), {sweep_sql('renamed', 'domain')}, {maximin_sql()}
-    SELECT domain AS gate_domain, false AS missing_cross_domain, infeasible, recommended, tpr, f1, margin_tpr,
-      margin_f1, min_margin, t_min, t_max FROM operating WHERE domain = 'cross_domain'""",
-)
-def _(spark, folder):
+def forgery_run(spark, folder) -> evaluations.Evaluation:
     rows = scores(spark, folder)
     manifest = rows.select(
         "id",
         "label",
-        F.lit("public_dataset").alias("origin"),
+        F.when(F.col("domain") == "F", "field_collected").otherwise("public_dataset").alias("origin"),
         F.lit(None).cast("string").alias("fabrication"),
         F.when(F.col("domain") == "F", "cross_domain").when(F.col("domain") == "O", "in_domain").alias("eval_domain"),
     )
-    return evaluations.evaluate_forgery(manifest, rows.select("id", "score")).result
+    return evaluations.evaluate_forgery(manifest, rows.select("id", "score"))
+
+
+_FORGERY_DOMAINS = f"""
+    renamed AS (SELECT CASE WHEN domain = 'F' THEN 'cross_domain' ELSE 'in_domain' END AS domain,
+      score, label FROM fx_scores), {sweep_sql('renamed', 'domain')}, {maximin_sql()},
+    sizes AS (SELECT domain, count(*) FILTER (WHERE label = 1) AS n_positive,
+      count(*) FILTER (WHERE label = 0) AS n_negative FROM renamed GROUP BY domain),
+    gates AS (SELECT domain, bool_or(fpr <= 0.348e0 AND tpr >= 0.88e0) AS roc_gate_pass FROM swept GROUP BY domain),
+    best AS (SELECT domain, threshold AS best_threshold, tpr AS best_tpr, fpr AS best_fpr,
+        "precision" AS best_precision, f1 AS best_f1 FROM swept
+      QUALIFY row_number() OVER (PARTITION BY domain ORDER BY tpr - fpr DESC, threshold) = 1),
+    domains AS (SELECT * FROM sizes JOIN operating USING (domain) JOIN gates USING (domain) JOIN best USING (domain))"""
 
 
 @query(
-    "evaluate_documents",
-    f"""WITH {FIELDS} SELECT round(avg(cer_field), 6) AS cer_field, count(*) AS n, count(cer_field) AS n_with_gt_fields,
-      bool_and(lower(script) = 'promo') AS trial_valid, avg(cer_field) < 0.21e0 AS passed
-      FROM items WHERE lower(script) IN ('economy', 'promo')""",
+    "evaluate_forgery",
+    f"""WITH {SCORES}, {_FORGERY_DOMAINS}
+    SELECT domain AS gate_domain, (SELECT count(*) = 0 FROM renamed WHERE domain = 'cross_domain') AS missing_cross_domain,
+      * EXCLUDE (domain), (SELECT count(*) FROM fx_scores) AS n,
+      (SELECT bool_and(domain = 'F') FROM fx_scores) AS trial_valid
+    FROM domains ORDER BY domain <> 'cross_domain', domain <> 'in_domain', domain LIMIT 1""",
+)
+def _(spark, folder):
+    return forgery_run(spark, folder).result
+
+
+@query("evaluate_forgery_domains", f"WITH {SCORES}, {_FORGERY_DOMAINS} SELECT * FROM domains")
+def _(spark, folder):
+    return forgery_run(spark, folder).detail["domains"]
+
+
+@query(
+    "evaluate_forgery_origins",
+    f"""WITH {SCORES} SELECT CASE WHEN domain = 'F' THEN 'field_collected' ELSE 'public_dataset' END AS origin,
+      count(*) AS n FROM fx_scores GROUP BY 1""",
 )
 def _(spark, folder):
+    return forgery_run(spark, folder).detail["origins"]
+
+
+def document_run(spark, folder, **options) -> evaluations.Evaluation:
+    """Parts as records; the second letter of the type stands for a capture, the brand for a document type."""
     records = parts(spark, folder)
+    prefixes = F.array(*[F.lit(p) for p in ("alb_id", "grc_passport", "rus_x", "ita_id")])
     manifest = records.select(
-        "id",
+        F.concat(F.when(F.col("id") % 3 == 0, "scan_").when(F.col("id") % 3 == 1, "photo_").otherwise("x_"), F.col("id").cast("string")).alias("id"),
+        "row_index",
         "script",
-        F.lit("alb_id").alias("doc_type"),
+        F.get(prefixes, (F.col("id") % 4).cast("int")).alias("doc_type"),
         "gt_fields",
         F.when(F.lower("script") == "promo", "field_collected").otherwise("public_dataset").alias("origin"),
     )
-    done = evaluations.evaluate_documents(manifest, records, scripts=["Economy", "PROMO"])
+    keyed = records.drop("id").join(manifest.select("row_index", "id"), "row_index")
+    return evaluations.evaluate_documents(manifest, keyed.select("id", "hyp_fields", "page"), **options)
+
+
+_DOCUMENTS = f"""{FIELDS},
+    judged AS (
+      SELECT id AS row_index, CASE id % 3 WHEN 0 THEN 'scan_' WHEN 1 THEN 'photo_' ELSE 'x_' END || id AS id,
+        CASE id % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'photo' ELSE 'other' END AS capture, script,
+        CASE id % 4 WHEN 0 THEN 'alb' WHEN 1 THEN 'grc' WHEN 2 THEN 'rus' ELSE 'unknown' END AS country, cer_field,
+        lower(script) = 'promo' AS field_collected FROM items)"""
+
+_DOCUMENT_RESULT = """round(avg(cer_field), 6) AS cer_field, count(*) AS n, count(cer_field) AS n_with_gt_fields,
+      bool_and(field_collected) AS trial_valid, avg(cer_field) < 0.21e0 AS passed"""
+
+
+@query(
+    "evaluate_documents",
+    f"""WITH {_DOCUMENTS} SELECT {_DOCUMENT_RESULT} FROM judged WHERE lower(script) IN ('economy', 'promo')""",
+)
+def _(spark, folder):
+    done = document_run(spark, folder, scripts=["Economy", "PROMO"])
+    return done.result.withColumn("cer_field", F.round("cer_field", 6))
+
+
+@query(
+    "evaluate_documents_breakdown",
+    f"""WITH {_DOCUMENTS}, levels AS (
+      SELECT 'overall' AS level, '' AS key, avg(cer_field) AS c, count(*) AS n,
+             count(cer_field) AS n_with_gt_fields, NULL AS script FROM judged
+      UNION ALL SELECT 'script', script, avg(cer_field), count(*), count(cer_field), NULL FROM judged GROUP BY script
+      UNION ALL SELECT 'country', country, avg(cer_field), count(*), count(cer_field),
+             arg_min(script, row_index) FROM judged GROUP BY country)
+    SELECT level, key, round(c, 6) AS cer_field, n, n_with_gt_fields, script,
+      CASE WHEN level = 'country' THEN CASE key WHEN 'grc' THEN 'el' ELSE 'en' END END AS lang_code_used FROM levels""",
+)
+def _(spark, folder):
+    done = document_run(spark, folder, lang_by_country={"grc": "el", "rus": ""})
+    return done.detail["breakdown"].withColumn("cer_field", F.round("cer_field", 6))
+
+
+@query(
+    "evaluate_documents_sampled",
+    f"""WITH {_DOCUMENTS}, countries AS (
+      SELECT country, row_number() OVER (ORDER BY country) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT country FROM judged)),
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY country, capture ORDER BY md5('42:' || id), id) AS k FROM judged),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY capture = 'other', k, capture <> 'scan', id) AS turn
+      FROM drawn),
+    picked AS (SELECT t.* FROM turns t JOIN countries USING (country)
+      WHERE turn <= 101 // n + CASE WHEN place <= 101 - 101 // n * n THEN 1 ELSE 0 END)
+    SELECT {_DOCUMENT_RESULT} FROM picked""",
+)
+def _(spark, folder):
+    done = document_run(spark, folder, max_samples=101)
     return done.result.withColumn("cer_field", F.round("cer_field", 6))
 
 
 @query(
     "evaluate_faces",
-    f"""SELECT *, (SELECT bool_or(coalesce(pair_warning, '') LIKE 'under_variation%') FROM ({'WITH ' + PAIRS}
-      SELECT * FROM fx_pairs)) AS under_variation, 'blocked' AS threshold_lock, false AS trial_valid
-    FROM ({pair_sweep_sql(0.84, 0.8)})""",
+    f"""WITH {PAIRS}, facts AS (SELECT bool_or(coalesce(pair_warning, '') LIKE 'under_variation%'
+        OR coalesce(pair_warning, '') = 'single_image_augment_forbidden'
+        OR (same AND capture_a IN ('photo', 'scan', 'video_frame') AND capture_b IN ('photo', 'scan', 'video_frame')))
+        AS under_variation, bool_and(origin = 'field_collected') AS trial_valid FROM fx_pairs)
+    SELECT s.*, under_variation, CASE WHEN under_variation THEN 'blocked' ELSE 'ok' END AS threshold_lock, trial_valid
+    FROM ({pair_sweep_sql(0.84, 0.8)}) s, facts""",
 )
 def _(spark, folder):
     rows = pairs(spark, folder)
@@ -416,6 +512,43 @@ def _(spark, folder):
     ).result
 
 
+@query(
+    "fatal_report",
+    """WITH failed AS (
+      SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'no score'
+        WHEN o_orderpriority = '1-URGENT' THEN 'timeout' WHEN o_custkey % 7 = 0 THEN 'null score' END AS reason FROM orders)
+    SELECT id, reason, count(*) OVER () AS n_failed FROM failed WHERE reason IS NOT NULL ORDER BY id, reason LIMIT 50""",
+)
+def _(spark, folder):
+    """The report of a void run lists the first fifty failures."""
+    orders = table(spark, folder, "orders")
+    told = orders.where(F.col("o_orderpriority") != "5-LOW").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_totalprice") / 500000.0).alias("score"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "timeout").alias("error"),
+    )
+    failed = validation.unscored(orders.select(F.col("o_orderkey").alias("id")), told, "id", "score")
+    return validation.fatal_report(failed, ["id", "reason"])
+
+
+@query(
+    "endpoint_identity",
+    """WITH want(name, expected) AS (VALUES ('ocr', 'ocr'), ('face', 'face'), ('forgery', 'forgery'), ('identity', 'identity')),
+    seen AS (SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'face' ELSE 'forgery' END AS name,
+      CASE user_id % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN event_type END AS got FROM events)
+    SELECT name, expected, got, CASE WHEN seen.name IS NULL THEN 'missing'
+      WHEN got IS NULL OR got <> expected THEN 'wrong_service' END AS reason FROM want LEFT JOIN seen USING (name)""",
+)
+def _(spark, folder):
+    """Services as their events tell them: one right, one that answers as others, one nameless, one silent."""
+    kind = F.col("user_id") % 3
+    seen = table(spark, folder, "events").select(
+        F.when(kind == 0, "ocr").when(kind == 1, "face").otherwise("forgery").alias("name"),
+        F.when(kind == 0, F.lit("ocr")).when(kind == 1, F.col("event_type")).alias("service"),
+    )
+    return validation.endpoint_identity_check(seen.distinct())
+
+
 @query(
     "evaluate_identity",
     f"""WITH {RESOLVED} SELECT round(avg(coalesce(score, 0)), 6) AS mean_score, count(*) AS n

@@ -58,7 +58,7 @@ def test_missing_or_failed_scores_void_a_run(spark):
         scores.withColumn("score", F.when(F.col("id") > 0, F.col("score"))),
         scores.withColumn("error", F.when(F.col("id") == 3, F.lit("timeout"))),
     ):
-        with pytest.raises(FatalRowsError):
+        with pytest.raises(FatalRowsError, match="failed calls:\n  "):
             evaluations.evaluate_forgery(manifest, broken, require_cross=False)
     more = scores.unionByName(spark.createDataFrame([(99, 0.5)], "id long, score double"))
     assert complete_scores(manifest, more).count() == 10
