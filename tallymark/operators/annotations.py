@@ -11,6 +11,7 @@ from tallymark.functions.documents import region_name, region_value
 from tallymark.functions.geometry import flat_to_box
 from tallymark.functions.rows import explode_array
 from tallymark.functions.text import gt_text_join, script_of
+from tallymark.sources.annotations import for_images
 
 FACE_FIELDS = ("face", "photo", "portrait")
 
@@ -90,6 +91,16 @@ def face_region_box(regions: DataFrame, keys: Sequence[str], ordinal: str = "ord
     )
 
 
+def image_fields(regions: DataFrame, images: DataFrame) -> DataFrame:
+    """Images (annotation, code, idx, filename) with the field map of their regions."""
+    return for_images(regions, images, field_map_build)
+
+
+def image_face_boxes(regions: DataFrame, images: DataFrame) -> DataFrame:
+    """Images (annotation, code, idx, filename) with the box of their first face region."""
+    return for_images(regions, images, face_region_box)
+
+
 def template_field_join(
     captures: DataFrame, templates: DataFrame, keys: Sequence[str] = ("code", "idx")
 ) -> DataFrame:

@@ -13,9 +13,8 @@ from tallymark.plans.queries_pairs import PAIRS, pair_sweep_sql, pairs
 from tallymark.plans.queries_people import RESOLVED, handle_rows, persons
 from tallymark.plans.queries_records import FIELDS, items, parts
 from tallymark.plans.queries_scores import SCORES, maximin_sql, scores, sweep_sql
-from tallymark.schemas import ANNOTATION_FILE
 from tallymark.session import materialize
-from tallymark.sources.annotations import explode_regions, regions_for_image
+from tallymark.sources.annotations import annotation_entries, explode_regions
 
 
 def latency(spark, folder) -> DataFrame:
@@ -258,8 +257,8 @@ _SINGLE = (
 )
 
 
-def annotated(spark, folder) -> DataFrame:
-    """Regions of each part's image, out of one annotation text per part in either layout."""
+def annotated(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Regions of one annotation text per part, in either layout, and each part's image."""
     key = F.col("p_partkey").cast("string")
     raw = F.when(F.col("p_partkey") % 3 == 0, _SINGLE).otherwise(_PROJECT)
     for mark, value in (
@@ -267,16 +266,16 @@ def annotated(spark, folder) -> DataFrame:
         ("%s", F.col("p_size").cast("string")),
     ):
         raw = F.replace(raw, F.lit(mark), value)
-    images = table(spark, folder, "part").select(
+    rows = table(spark, folder, "part").select(
         key.alias("annotation"),
         F.col("p_type").alias("code"),
         key.alias("idx"),
         F.concat(key, F.lit(".jpg")).alias("filename"),
-        F.from_json(raw, ANNOTATION_FILE).alias("a"),
+        raw.alias("text"),
     )
-    # Parsed once; finding each image's entry and taking its regions read the rows again.
-    regions = materialize(explode_regions(images.select("annotation", "a.*"), ["annotation"]))
-    return regions_for_image(regions, images.drop("a"))
+    # Parsed once; finding each image's entry and summing up its regions read the rows again.
+    entries = annotation_entries(rows.select("annotation", "text"), ["annotation"])
+    return materialize(explode_regions(entries, ["annotation"])), rows.drop("text")
 
 
 @query(
@@ -287,7 +286,7 @@ def annotated(spark, folder) -> DataFrame:
       UNION ALL SELECT 'note', '' WHERE p_partkey % 3 <> 0)""",
 )
 def _(spark, folder):
-    built = annotations.field_map_build(annotated(spark, folder), ["annotation"])
+    built = annotations.image_fields(*annotated(spark, folder))
     return built.select("annotation", F.explode("fields").alias("field", "value"))
 
 
@@ -299,7 +298,7 @@ def _(spark, folder):
 def _(spark, folder):
     from tallymark.functions.text import gt_text_join
 
-    built = annotations.field_map_build(annotated(spark, folder), ["annotation"])
+    built = annotations.image_fields(*annotated(spark, folder))
     return built.select("annotation", gt_text_join(F.col("fields")).alias("gt_text"))
 
 
@@ -309,8 +308,9 @@ def _(spark, folder):
       ELSE concat_ws(',', least(1, p_size), 4, greatest(3, p_size) - least(1, p_size) + 1, 57) END AS face_box FROM part""",
 )
 def _(spark, folder):
-    boxes = annotations.face_region_box(annotated(spark, folder), ["annotation"])
-    return boxes.withColumn("face_box", F.array_join(F.transform("face_box", lambda v: v.cast("string")), ","))
+    boxes = annotations.image_face_boxes(*annotated(spark, folder))
+    shown = F.array_join(F.transform("face_box", lambda v: v.cast("string")), ",")
+    return boxes.select("annotation", shown.alias("face_box"))
 
 
 def captures(spark, folder) -> tuple[DataFrame, DataFrame]:

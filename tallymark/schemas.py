@@ -96,16 +96,6 @@ ANNOTATION_REGION = _struct(
     ),
     region_attributes=T.MapType(_S, _S),
 )
-ANNOTATION_FILE = T.StructType(
-    [
-        T.StructField(
-            "_via_img_metadata",
-            T.MapType(_S, _struct(filename=_S, regions=T.ArrayType(ANNOTATION_REGION))),
-        ),
-        T.StructField("filename", _S),
-        T.StructField("regions", T.ArrayType(ANNOTATION_REGION)),
-    ]
-)
 
 METRIC_RESULT = _struct(
     task=_S,

@@ -7,54 +7,72 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.documents import base_name
 from tallymark.functions.rows import explode_array, explode_values
-from tallymark.schemas import ANNOTATION_FILE
+from tallymark.schemas import ANNOTATION_REGION
 
+# Entries stay JSON text here, in the file's order; an object of VARIANT kind would sort its keys.
+_LAYOUT = "_via_img_metadata MAP<STRING, STRING>, filename STRING, regions STRING"
 
-def explode_regions(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per region of parsed files: (keep..., entry, file, ordinal, shape, attrs).
 
-    A non-empty project map wins over top-level regions, as one file holds one layout. An entry
-    without regions keeps a row with null ordinal, shape and attrs, as its image is known.
+def annotation_entries(files: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """(keep..., entry, file, regions VARIANT): one row per annotated image, in the file's order.
+
+    A non-empty project map wins over top-level regions, as one file holds one layout. Entries of
+    a project become rows before their regions are parsed, whatever fields those hold.
     """
-    project = F.map_values("_via_img_metadata")
-    single = F.array(F.struct(F.col("filename"), F.col("regions")))
+    layout = F.from_json(text, _LAYOUT)
+    opened = files.select(*keep, layout.alias("_l"))
+    project = F.map_values("_l._via_img_metadata")
+    single = F.array(
+        F.to_json(F.struct(F.col("_l.filename").alias("filename"), F.lit(None).cast("string").alias("regions")))
+    )
     entries = explode_array(
-        parsed, keep, F.when(F.size(project) > 0, project).otherwise(single), "entry", "_e"
+        opened.withColumn("_top", F.col("_l.regions")), [*keep, "_top"],
+        F.when(F.size(project) > 0, project).when(F.col("_l").isNotNull(), single), "entry", "_e",
     )
-    bare = F.create_map().cast("map<string,string>")
+    whole = F.try_parse_json("_e")
+    own = F.try_variant_get(whole, "$.regions", "variant")
     return entries.select(
         *keep,
         "entry",
-        F.col("_e.filename").alias("file"),
-        F.posexplode_outer("_e.regions").alias("ordinal", "_region"),
-    ).select(
+        F.try_variant_get(whole, "$.filename", "string").alias("file"),
+        F.coalesce(own, F.try_parse_json("_top")).alias("regions"),
+    )
+
+
+def explode_regions(entries: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., entry, file, ordinal, shape, attrs): one row per region.
+
+    An entry without regions keeps a row with null ordinal, shape and attrs, as its image is known.
+    """
+    shape = ANNOTATION_REGION["shape_attributes"].dataType.simpleString()
+    found = entries.select(*keep, "entry", "file", F.expr("try_cast(regions AS ARRAY<VARIANT>)").alias("_r"))
+    listed = found.select(*keep, "entry", "file", F.posexplode_outer("_r").alias("ordinal", "_region"))
+    attrs = F.try_variant_get("_region", "$.region_attributes", "map<string,string>")
+    bare = F.create_map().cast("map<string,string>")
+    return listed.select(
         *keep,
         "entry",
         "file",
         "ordinal",
-        F.col("_region.shape_attributes").alias("shape"),
-        F.when(F.col("ordinal").isNotNull(), F.coalesce("_region.region_attributes", bare)).alias("attrs"),
+        F.try_variant_get("_region", "$.shape_attributes", shape).alias("shape"),
+        F.when(F.col("ordinal").isNotNull(), F.coalesce(attrs, bare)).alias("attrs"),
     )
 
 
 def annotation_read(spark: SparkSession, path: str) -> DataFrame:
     """One row per region, and per entry without one, with the annotation file it comes from."""
-    parsed = (
-        spark.read.schema(ANNOTATION_FILE)
-        .option("multiLine", "true")
-        .json(path)
-        .withColumn("annotation", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("annotation"), F.col("value").alias("text")
     )
-    return explode_regions(parsed, ["annotation"])
+    return explode_regions(annotation_entries(files, ["annotation"]), ["annotation"])
 
 
-def regions_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
-    """Regions of each image (annotation, code, idx, filename).
+def entry_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
+    """Images (annotation, code, idx, filename) with ``entry``, null for an image without one.
 
     An entry belongs to an image when its base name starts with the image's index, which its file
-    name and ``code/name`` spellings do too; the first such entry counts. An image without one
-    takes all regions of its annotation file. Entries are looked up by the prefixes of their
-    names, so an annotation file with many images is not paired with each of them.
+    name and ``code/name`` spellings do too; the first such entry counts. Entries are looked up by
+    the prefixes of their names, so a file with many images is not paired with each of them.
     """
     base = base_name(F.col("file"))
     prefixes = F.transform(
@@ -71,8 +89,21 @@ def regions_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
         .groupBy("annotation", "idx")
         .agg(F.min("entry").alias("entry"))
     )
-    placed = images.join(first, ["annotation", "idx"], "left")
-    regions = regions.where(F.col("ordinal").isNotNull())
-    own = placed.where(F.col("entry").isNotNull()).join(regions, ["annotation", "entry"])
-    shared = placed.where(F.col("entry").isNull()).drop("entry").join(regions, "annotation")
-    return own.unionByName(shared)
+    return images.join(first, ["annotation", "idx"], "left")
+
+
+def for_images(regions: DataFrame, images: DataFrame, summary) -> DataFrame:
+    """``summary(regions, keys, ordinal)`` of each image's own entry, or of its whole file.
+
+    An image without an entry shares what its file's regions say together. They are summed up
+    once per entry and once per file, and images join the one row that is theirs.
+    """
+    placed = entry_for_image(regions, images)
+    named = regions.where(F.col("ordinal").isNotNull()).withColumn("_order", F.struct("entry", "ordinal"))
+    own = placed.where(F.col("entry").isNotNull()).join(
+        summary(named, ["annotation", "entry"], "_order"), ["annotation", "entry"]
+    )
+    lacking = placed.where(F.col("entry").isNull()).drop("entry")
+    files = named.join(lacking.select("annotation").distinct(), "annotation", "left_semi")
+    shared = lacking.join(summary(files, ["annotation"], "_order"), "annotation")
+    return own.drop("entry").unionByName(shared)

@@ -36,19 +36,50 @@ def file_inventory(
 
 
 def file_digests(
-    spark: SparkSession, root: str, suffixes: Sequence[str] | None = None
+    spark: SparkSession, root: str, suffixes: Sequence[str] | None = None, block: int = 1 << 20
 ) -> DataFrame:
-    """(rel_path, sha256, md5) of file contents."""
-    files = (
+    """(rel_path, length, sha256, md5) of file contents, read in blocks of ``block`` bytes.
+
+    Spark lists the files and deals them out by size; tasks stream each through its file system,
+    so that a file may be larger than a task's memory or a binary value. Empty and hidden files
+    are not listed, as in all of Spark's sources.
+    """
+    listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         if suffixes is None
         else _image_files(spark, root, suffixes)
     )
-    return files.select(
-        _relative(root).alias("rel_path"),
-        F.sha2("content", 256).alias("sha256"),
-        F.md5("content").alias("md5"),
-    )
+    listed = listed.select("path", _relative(root).alias("rel_path"))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def opened(path):
+            if path.startswith("file:"):
+                return fs.LocalFileSystem().open_input_stream("/" + path[5:].lstrip("/"))
+            system, place = fs.FileSystem.from_uri(path)
+            return system.open_input_stream(place)
+
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                sha, md5, length = hashlib.sha256(), hashlib.md5(), 0
+                with opened(path) as stream:
+                    while part := stream.read(block):
+                        sha.update(part)
+                        md5.update(part)
+                        length += len(part)
+                rows.append((length, sha.hexdigest(), md5.hexdigest()))
+            length, sha256, md5s = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rel_path"), pa.array(length, pa.int64()), pa.array(sha256, pa.string()), pa.array(md5s, pa.string())],
+                names=["rel_path", "length", "sha256", "md5"],
+            )
+
+    return listed.mapInArrow(run, "rel_path string, length bigint, sha256 string, md5 string")
 
 
 def _relative(root: str):

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions.rows import bind
 from tallymark.sources.lines import numbered_lines
+from tallymark.sources.receipts import write_lines
 
 CORRUPT = "_corrupt_line"
 
@@ -100,4 +101,5 @@ def manifest_read(
 
 
 def manifest_write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).json(path)
+    """JSON lines with a receipt; a failed job leaves what was there before."""
+    write_lines(df.select(F.to_json(F.struct("*")).alias("line")), path, "jsonl", mode=mode)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.sources.receipts import write_lines
+
 
 def sweep_csv_rows(sweep: DataFrame, metrics: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     return sweep.select(
@@ -31,18 +33,17 @@ def sweep_csv_write(
     )
 
 
-def result_json_write(summary: DataFrame, items: DataFrame | None, path: str) -> None:
-    """Metric payload as JSON; per-item rows beside it as Parquet, never in one document."""
-    summary.write.mode("overwrite").json(f"{path}/summary")
+def result_json_write(
+    summary: DataFrame, items: DataFrame | None, path: str, mode: str = "overwrite"
+) -> None:
+    """Metric payload as JSON lines with a receipt; per-item rows beside it as Parquet."""
+    write_lines(summary.select(F.to_json(F.struct("*")).alias("line")), f"{path}/summary", "json", mode=mode)
     if items is not None:
-        items.write.mode("overwrite").parquet(f"{path}/items")
+        items.write.mode(mode).parquet(f"{path}/items")
 
 
-def request_csv_export(manifest: DataFrame, path: str, root: str) -> None:
-    """(id, filepath) list for a load generator."""
-    (
-        manifest.select("id", F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("filepath"))
-        .write.mode("overwrite")
-        .option("header", "true")
-        .csv(path)
-    )
+def request_csv_export(manifest: DataFrame, path: str, root: str, mode: str = "overwrite") -> None:
+    """(id, filepath) list for a load generator, as CSV files with a header and a receipt."""
+    target = F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("filepath")
+    lines = manifest.select("id", target).select(F.to_csv(F.struct("id", "filepath")).alias("line"))
+    write_lines(lines, path, "csv", header="id,filepath", mode=mode)

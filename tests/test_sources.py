@@ -3,12 +3,14 @@ import json
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from tallymark import schemas
 from tallymark.operators import annotations as an
 from tallymark.operators.fingerprint import combined_fingerprint, tree_fingerprint
 from tallymark.operators.validation import missing_paths
-from tallymark.sources import annotations, files, logs, manifests, sinks
+from tallymark.sources import annotations, files, logs, manifests, receipts, sinks
+from tallymark.sources import lines as lines_source
 
 
 def write(path, text):
@@ -147,10 +149,138 @@ def test_annotation_files_in_both_layouts(spark, tmp_path):
         [(path, "code", "00", "00.tif"), (path, "code", "01", "01.tif"), (path, "code", "99", "99.tif")],
         "annotation string, code string, idx string, filename string",
     )
-    own = annotations.regions_for_image(regions, images)
-    counts = {r.idx: r["count"] for r in own.groupBy("idx").count().collect()}
-    assert counts == {"00": 3, "01": 1, "99": 4}  # 99 has no entry: it takes all regions
-    fields = {r.idx: r.fields for r in an.field_map_build(own, ["idx"]).collect()}
-    assert fields["00"] == {"surname": "Doe"}
-    boxes = {r.idx: r.face_box for r in an.face_region_box(own, ["idx"]).collect()}
-    assert boxes["00"] == [1, 2, 9, 7] and "01" not in boxes
+    fields = {r.idx: r.fields for r in an.image_fields(regions, images).collect()}
+    # 99 has no entry: the whole file's fields are its own.
+    assert fields == {"00": {"surname": "Doe"}, "01": {"surname": "Doe"}, "99": {"surname": "Doe"}}
+    boxes = {r.idx: r.face_box for r in an.image_face_boxes(regions, images).collect()}
+    assert boxes == {"00": [1, 2, 9, 7], "99": [1, 2, 9, 7]}
+
+
+def test_annotation_oddities(spark, tmp_path):
+    """Entries keep the file's order, other fields and kinds do no harm, broken files give no rows."""
+    text = json.dumps({"_via_settings": {"x": [1]}, "_via_img_metadata": {
+        "z": {"filename": "9.jpg", "size": 3, "regions": [
+            {"shape_attributes": {"name": "circle", "cx": 1, "r": "two"}, "region_attributes": {"name": "n", "value": 5}},
+            {"region_attributes": None, "extra": {"deep": [1, {"a": None}]}},
+        ], "file_attributes": {"note": "é"}},
+        "a": {"filename": "9x.jpg", "regions": []},
+        "m": {"filename": None, "regions": {"not": "a list"}},
+    }})
+    write(tmp_path / "ann" / "odd.json", text)
+    write(tmp_path / "ann" / "broken.json", '{"_via_img_metadata": ')
+    write(tmp_path / "ann" / "empty.json", "")
+    write(tmp_path / "ann" / "none.json", "{}")
+    rows = annotations.annotation_read(spark, str(tmp_path / "ann"))
+    odd = rows.where("annotation LIKE '%odd.json'").orderBy("entry", "ordinal").collect()
+    assert [(r.entry, r.file, r.ordinal) for r in odd] == [
+        (0, "9.jpg", 0), (0, "9.jpg", 1), (1, "9x.jpg", None), (2, None, None),
+    ]
+    assert odd[0].attrs == {"name": "n", "value": "5"} and odd[0].shape.name == "circle" and odd[1].attrs == {}
+    assert rows.where("annotation NOT LIKE '%odd.json' AND ordinal IS NOT NULL").isEmpty()
+
+
+def test_no_rows_of_images_times_regions(spark):
+    """A file of many regions that many images share: images join one summary of it."""
+    regions = spark.range(300).selectExpr(
+        "if(id < 0, 'g', 'f') AS annotation", "0 AS entry", "'other.jpg' AS file", "int(id) AS ordinal",
+        "cast(null AS struct<name: string>) AS shape", "map('name', 'n' || id % 5, 'value', string(id)) AS attrs",
+    )
+    images = spark.range(200).selectExpr("if(id < 0, 'g', 'f') AS annotation", "'c' AS code", "'i' || id AS idx", "'x' AS filename")
+    found = an.image_fields(regions, images)
+    rows = found.collect()
+    assert len(rows) == 200 and {r.fields["n4"] for r in rows} == {"299"}
+    metrics = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in metrics and "BroadcastNestedLoopJoin" not in metrics
+
+
+def test_receipts(spark, tmp_path):
+    lines = spark.range(100).select(F.concat(F.lit("línea "), F.col("id").cast("string")).alias("l")).repartition(4)
+    path = str(tmp_path / "out")
+    receipts.write_lines(lines, path, "txt", header="head")
+    files_told = receipts.read_receipt(spark, path).orderBy("name").collect()
+    assert [r.name for r in files_told] == [f"part-0000{i}.txt" for i in range(4)] and sum(r.rows for r in files_told) == 100
+    for told in files_told:
+        data = (tmp_path / "out" / told.name).read_bytes()
+        assert (told.length, told.sha256) == (len(data), hashlib.sha256(data).hexdigest()) and data.startswith(b"head\n")
+    with pytest.raises(receipts.WrittenBefore):
+        receipts.write_lines(lines, path)
+    (tmp_path / "out" / "part-00001.txt").write_text("changed")
+    (tmp_path / "out" / "part-00002.txt").unlink()
+    write(tmp_path / "out" / "other.txt", "x")
+    assert {r.name: r.status for r in receipts.verify_receipt(spark, path).collect()} == {
+        "part-00000.txt": "ok", "part-00001.txt": "mismatch", "part-00002.txt": "missing",
+        "part-00003.txt": "ok", "other.txt": "extra",
+    }
+    receipts.write_lines(lines.limit(3).coalesce(1), path, mode="overwrite")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["_receipt.json", "part-00000.txt"]
+
+
+def test_a_failed_job_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    receipts.write_lines(spark.range(3).coalesce(1), path)
+    before = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    value = F.when(F.col("id") == 399, F.raise_error(F.lit("broken row")).cast("string")).otherwise(F.col("id").cast("string"))
+    broken = spark.range(400).repartition(4).select(value.alias("v"))
+    with pytest.raises(Exception, match="broken row"):
+        receipts.write_lines(broken, path, mode="overwrite")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == before
+    with pytest.raises(Exception, match="broken row"):
+        receipts.write_lines(broken, str(tmp_path / "new"))
+    assert receipts.read_receipt(spark, str(tmp_path / "new")).isEmpty()
+    assert not [p for p in (tmp_path / "new").rglob("*") if p.is_file()]
+
+
+def test_rejected_lines(spark, tmp_path):
+    text = "timeStamp,elapsed,label,success\n1,100,x,true\n2,,x,true\n3,abc,x,true\n4,50\n5,,x,true,9,9\n"
+    path = write(tmp_path / "a.jtl", text)
+    assert [r.elapsed_ms for r in logs.latency_log_read(spark, path).orderBy("ts_ms").collect()] == [100.0, 50.0]
+    rejects = {(r.reason, r.text) for r in logs.latency_log_rejects(spark, path).collect()}
+    assert rejects == {("no value", '2,,x,true'), ("not a number", "3,abc,x,true"), ("wrong columns", "5,,x,true,9,9")}
+    good = '{"task":"cer","metric":"cer_field","value":0.1,"passed":true}'
+    path = write(tmp_path / "r.json", f'{good}\n{{"task": \n{{"task":"x","value":"high"}}\n')
+    assert [r.task for r in logs.results_read(spark, path).collect()] == ["cer"]
+    assert sorted(r.text for r in logs.results_rejects(spark, path).collect()) == ['{"task": ', '{"task":"x","value":"high"}']
+    assert logs.results_rejects(spark, str(tmp_path / "none.json")) is None
+
+
+def test_digests_of_files_in_blocks(spark, tmp_path):
+    write(tmp_path / "d" / "a b%20.bin", "x" * 10_001)
+    write(tmp_path / "d" / "sub" / "short", "y")
+    found = {r.rel_path: r for r in files.file_digests(spark, str(tmp_path / "d"), block=100).collect()}
+    assert set(found) == {"a b%20.bin", "sub/short"}
+    for name, text in (("a b%20.bin", b"x" * 10_001), ("sub/short", b"y")):
+        assert (found[name].length, found[name].md5) == (len(text), hashlib.md5(text).hexdigest())
+        assert found[name].sha256 == hashlib.sha256(text).hexdigest()
+
+
+def test_bad_lines_by_number(spark, tmp_path):
+    """Lines of files that are cut into many splits, against a loop over the lines."""
+    wanted = []
+    kinds = ["", "// note", "{bad", "[1]", '{"id":"a","label":"two"}', '{"id":"a"} more', '{"id":"a"}],[1', "null",
+             "{'id':'a'}", '{"id":"a"}},{"b":1', '{"id":"a","id":"b"}']
+    reasons = [None, None, "invalid JSON", "not an object", "wrong type", "invalid JSON", "invalid JSON", "not an object",
+               "invalid JSON", "invalid JSON", None]
+    for f in range(2):
+        lines = []
+        for i in range(900):
+            kind = (i * 7 + f) % 40
+            lines.append(kinds[kind] if kind < len(kinds) else f"  {GOOD} ")
+            if kind < len(kinds) and reasons[kind]:
+                wanted.append((f"m{f}.jsonl", i + 1, reasons[kind]))
+        path = tmp_path / "many" / f"m{f}.jsonl"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(("\r\n" if f else "\n").join(lines), newline="")
+    keys = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        splits = lines_source.split_offsets(spark, str(tmp_path / "many"))
+        assert splits.count() > 20
+        found = manifests.bad_lines(spark, str(tmp_path / "many"), schemas.FORGERY_MANIFEST).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.manifest.rsplit("/", 1)[1], r.line, r.reason) for r in found) == sorted(wanted)
+    with pytest.raises(manifests.ManifestError, match=r"m0.jsonl:2: not an object: null"):
+        manifests.manifest_read(spark, str(tmp_path / "many" / "m0.jsonl"), schemas.FORGERY_MANIFEST, shown=3)
