@@ -25,15 +25,23 @@ def dataset_fingerprint(
     Names are unique, so md5 prefixes cut evenly. Leaves hash the rows that share ``buckets_hex``
     digits, and every level above hashes 16**step digests of the one below, so no task holds more
     than that many, nor a leaf more than its share of 16**buckets_hex. The value depends only on the
-    rows and on these two numbers.
+    rows and on these two numbers. Rows are shuffled by half of the digits, which the levels that
+    have as many share: one shuffle serves them all.
     """
-    rows = df.select(F.col(name).cast("string").alias("_name"), F.col(digest).alias("_digest"))
-    level = rows.groupBy(F.substring(F.md5("_name"), 1, buckets_hex).alias("_bucket")).agg(
+    half = buckets_hex // 2
+    rows = df.select(
+        F.col(name).cast("string").alias("_name"),
+        F.col(digest).alias("_digest"),
+        F.substring(F.md5(F.col(name).cast("string")), 1, buckets_hex).alias("_bucket"),
+    )
+    level = rows.withColumn("_part", F.substring("_bucket", 1, half)).repartition("_part")
+    level = level.groupBy("_part", "_bucket").agg(
         _ordered_digest("_name", "_digest").alias("_hash"), F.count(F.lit(1)).alias("_n")
     )
     for digits in range(buckets_hex - step, 0, -step):
+        shared = ["_part"] if digits >= half else []
         above = F.substring("_bucket", 1, digits)
-        level = level.groupBy(above.alias("_above")).agg(
+        level = level.groupBy(*shared, above.alias("_above")).agg(
             _ordered_digest("_bucket", "_hash").alias("_hash"), F.sum("_n").alias("_n")
         )
         level = level.withColumnRenamed("_above", "_bucket")

@@ -16,7 +16,7 @@ from tallymark.operators.sweep import (
     grid_bucket,
     sweep_from_counts,
 )
-from tallymark.session import shuffle_width
+from tallymark.session import materialize, shuffle_width
 
 
 def score_counts(
@@ -34,18 +34,21 @@ def score_counts(
     )
 
 
-def score_chunks(counts: DataFrame, groups: Sequence[str] = (), chunks: int | None = None):
-    """(groups, chunk, lo, hi, pos, neg, wins) over consecutive score ranges.
+def cut_counts(counts: DataFrame, groups: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """The counts with ``_chunk``, a range of consecutive (group, score), each in one task.
+
+    The range shuffle samples, so a large group spreads over many chunks.
+    """
+    n = chunks or shuffle_width(counts.sparkSession)
+    return counts.repartitionByRange(n, *groups, "score").withColumn("_chunk", F.spark_partition_id())
+
+
+def score_chunks(cut: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, chunk, lo, hi, pos, neg, wins) of the chunks of counts.
 
     ``wins`` counts the positive-negative pairs inside a chunk that are in order, ties as half.
-    The range shuffle samples (group, score), so a large group spreads over many chunks; the
-    chunk rows are consumed once, hence a different cut in another run changes no result.
     """
     groups = list(groups)
-    n = chunks or shuffle_width(counts.sparkSession)
-    cut = counts.repartitionByRange(n, *groups, "score").withColumn(
-        "_chunk", F.spark_partition_id()
-    )
     below = (
         Window.partitionBy(*groups, "_chunk")
         .orderBy("score")
@@ -84,11 +87,11 @@ def rank_auc(
     scores: DataFrame, groups: Sequence[str] = (), score: str = "score", label: str = "label"
 ) -> DataFrame:
     """(groups, n_pos, n_neg, auc): mean-rank AUC; 0 when a class is empty."""
-    return rank_auc_from_counts(score_counts(scores, groups, score, label), groups)
+    return rank_auc_from_cut(cut_counts(score_counts(scores, groups, score, label), groups), groups)
 
 
-def rank_auc_from_counts(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    chunks = _with_group_totals(score_chunks(counts, groups), groups)
+def rank_auc_from_cut(cut: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    chunks = _with_group_totals(score_chunks(cut, groups), groups)
     wins = F.sum(F.col("wins") + F.col("pos") * F.col("neg_below").cast("double"))
     pairs = F.first("p").cast("double") * F.first("n").cast("double")
     return chunks.groupBy(*groups).agg(
@@ -110,42 +113,38 @@ def roc_gate(
 
     True and false positive rates only grow as the threshold falls, so the highest score that
     reaches ``tpr_min`` has the least false positive rate and decides alone. Without such a
-    score, or when its rate is 1, the row holds (false, null, 0, 1).
+    score, or when its rate is 1, the row holds (false, null, 0, 1). Runs the job of the counts.
     """
     if not groups:
         whole = scores.withColumn("_all", F.lit(0))
         return roc_gate(whole, ["_all"], score, label, tpr_min, fpr_max).drop("_all")
-    return roc_gate_from_counts(score_counts(scores, groups, score, label), groups, tpr_min, fpr_max)
+    cut = materialize(cut_counts(score_counts(scores, groups, score, label), groups))
+    return roc_gate_from_cut(cut, groups, tpr_min, fpr_max)
 
 
-def roc_gate_from_counts(
-    counts: DataFrame,
+def roc_gate_from_cut(
+    cut: DataFrame,
     groups: Sequence[str],
     tpr_min: float = ROC_GATE_TPR,
     fpr_max: float = ROC_GATE_FPR,
 ) -> DataFrame:
+    """The gate of counts that were cut and written: both readings must see the same chunks."""
     groups = list(groups)
-    chunks = _with_group_totals(score_chunks(counts, groups), groups)
+    chunks = _with_group_totals(score_chunks(cut, groups), groups)
     tp_here = (F.col("pos_above") + F.col("pos")).cast("double")
     reaches = F.coalesce(F.try_divide(tp_here, F.col("p").cast("double")), F.lit(0.0)) >= tpr_min
-    # The chunk in which the rate is first reached, described by score values and outer counts,
-    # so that it means the same rows whichever way the scores were cut.
+    # The chunk in which the rate is first reached; only its rows are looked at one by one.
     crossing = chunks.groupBy(*groups).agg(
         F.max_by(
-            F.struct("lo", "hi", "pos_above", "neg_above"),
+            F.struct("chunk", "pos_above", "neg_above"),
             # Without positives no chunk reaches the rate; any one then stands for the group.
             F.struct(reaches, F.col("lo")),
         ).alias("_c"),
         F.max("p").alias("p"),
         F.max("n").alias("n"),
     )
-    # Inner, so that the few crossing rows can be the broadcast side of a large group. Null-safe
-    # conditions add no filters of their own, so both uses of the counts share one shuffle.
-    keyed = crossing.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_c", "p", "n")
-    meets = F.coalesce(F.col("score").between(F.col("_c.lo"), F.col("_c.hi")), F.lit(False))
-    for i, g in enumerate(groups):
-        meets = F.col(g).eqNullSafe(F.col(f"_g{i}")) & meets
-    inside = counts.join(keyed, meets)
+    keyed = crossing.select(*groups, F.col("_c.chunk").alias("_chunk"), "_c", "p", "n")
+    inside = null_safe_join(cut, keyed, [*groups, "_chunk"])
     down = (
         Window.partitionBy(*groups)
         .orderBy(F.col("score").desc())
@@ -195,24 +194,24 @@ def tie_rank(
 def epoch_metrics(
     scores: DataFrame, run: str = "run", epoch: str = "epoch", targets: dict | None = None
 ) -> DataFrame:
-    """Per (run, epoch): auc, score_std, ROC gate, joint interval and its width."""
+    """Per (run, epoch): auc, score_std, ROC gate, joint interval and its width; runs the job of the counts."""
     keys = [run, epoch]
-    # The per-score counts are the one large intermediate, and all three metrics start from them.
-    counts = score_counts(scores, keys)
-    buckets = counts.groupBy(*keys, grid_bucket(F.col("score")).alias("bucket")).agg(
+    # The per-score counts are the one large intermediate; written in chunks, they serve all three metrics.
+    cut = materialize(cut_counts(score_counts(scores, keys), keys))
+    buckets = cut.groupBy(*keys, grid_bucket(F.col("score")).alias("bucket")).agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
     interval = feasible_interval(
         sweep_from_counts(buckets, keys), targets or FORGERY_TARGETS, keys
     ).select(*keys, "t_min", "t_max", "width", "infeasible")
     spread = scores.groupBy(*keys).agg(F.stddev_pop("score").alias("score_std"))
-    gate = roc_gate_from_counts(counts, keys).select(
+    gate = roc_gate_from_cut(cut, keys).select(
         *keys,
         F.col("passed").alias("gate_passed"),
         F.col("tpr").alias("gate_tpr"),
         F.col("fpr").alias("gate_fpr"),
     )
-    auc = rank_auc_from_counts(counts, keys).select(*keys, "auc")
+    auc = rank_auc_from_cut(cut, keys).select(*keys, "auc")
     out = spread
     for part in (auc, gate, interval):
         out = null_safe_join(out, part, keys, "left")

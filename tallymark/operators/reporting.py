@@ -11,23 +11,53 @@ from pyspark.sql import functions as F
 from tallymark.fixedvalues import CER_KEEP_EPSILON, TARGETS
 
 
+# Size parameter of the quantile sketches, and the rank error it keeps within (single-sided, of n).
+SKETCH_K, SKETCH_ERROR = 800, 0.005
+
+
+def latency_sketches(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, successes, failures, total_seconds, sketch): what summaries of parts merge from.
+
+    Small rows that may be kept for each day or log and merged by ``merged_latency``; the sketch
+    is a KLL sketch of the seconds.
+    """
+    seconds = F.col("elapsed_ms") / F.lit(1000.0)
+    return log.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("success")).alias("successes"),
+        F.count_if(~F.col("success")).alias("failures"),
+        F.sum(seconds).alias("total_seconds"),
+        F.kll_sketch_agg_double(seconds, SKETCH_K).alias("sketch"),
+    )
+
+
+def merged_latency(
+    sketches: DataFrame, target_max: float = TARGETS["seconds_max"], keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, n, successes, failures, mean_seconds, p50_seconds, p95_seconds, passed) of kept parts.
+
+    A percentile's rank is within ``SKETCH_ERROR`` of what was asked, whatever the parts.
+    """
+    merged = sketches.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "successes", "failures")],
+        F.coalesce(F.try_divide(F.sum("total_seconds"), F.sum("n")), F.lit(0.0)).alias("mean_seconds"),
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("_sketch"),
+    )
+    return merged.select(
+        *keys, "n", "successes", "failures", "mean_seconds",
+        *[
+            F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(q))).alias(name)
+            for name, q in (("p50_seconds", 0.5), ("p95_seconds", 0.95))
+        ],
+        (F.col("mean_seconds") < target_max).alias("passed"),
+    )
+
+
 def latency_summary(
     log: DataFrame, target_max: float = TARGETS["seconds_max"], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """(n, successes, failures, mean_seconds, p50, p95, passed); an empty log has mean 0."""
-    seconds = F.col("elapsed_ms") / F.lit(1000.0)
-    return (
-        log.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("success")).alias("successes"),
-            F.count_if(~F.col("success")).alias("failures"),
-            F.coalesce(F.avg(seconds), F.lit(0.0)).alias("mean_seconds"),
-            F.percentile_approx(seconds, 0.5, 10000).alias("p50_seconds"),
-            F.percentile_approx(seconds, 0.95, 10000).alias("p95_seconds"),
-        )
-        .withColumn("passed", F.col("mean_seconds") < target_max)
-    )
+    """(keys, n, successes, failures, mean_seconds, p50_seconds, p95_seconds, passed); an empty log has mean 0."""
+    return merged_latency(latency_sketches(log, keys), target_max, keys)
 
 
 def ablation_summary(rows: DataFrame, keys: Sequence[str] = ("ablation",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.documents import stem
 from tallymark.operators.ordering import first_positions, seeded_rank
+from tallymark.session import materialize
 
 
 class HoldoutError(ValueError):
@@ -46,20 +47,20 @@ def train_minus_eval(
 ) -> DataFrame:
     """Authentic rows outside evaluation's label-0 rows; if none is left, a seeded half.
 
-    Adds ``fallback``, true on rows of the seeded half.
+    Adds ``fallback``, true on rows of the seeded half. Runs and writes the difference first, as
+    only an empty one makes rows be put in order.
     """
-    held = authentic.join(
+    held = materialize(authentic.join(
         eval_rows.where(F.col("label") == 0).select(path).distinct(), path, "left_anti"
-    )
-    n_held = held.agg(F.count(F.lit(1))).scalar()
+    ))
+    if not held.isEmpty():
+        return held.withColumn("fallback", F.lit(False))
     n_all = authentic.agg(F.count(F.lit(1))).scalar()
-    half = (
+    return (
         seeded_rank(authentic, path, seed, rank_col="_rank")
-        .where((n_held == 0) & (n_all >= 2) & (F.col("_rank") <= F.floor(n_all / 2)))
+        .where((n_all >= 2) & (F.col("_rank") <= F.floor(n_all / 2)))
         .drop("_rank")
-    )
-    return held.withColumn("fallback", F.lit(False)).unionByName(
-        half.withColumn("fallback", F.lit(True))
+        .withColumn("fallback", F.lit(True))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-QUERY_MODULES = ("scores", "records", "pairs", "leaks", "people", "files", "streams")
+QUERY_MODULES = ("scores", "records", "pairs", "leaks", "people", "files", "sources", "streams")
 
 
 def load_catalog():

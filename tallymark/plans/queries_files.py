@@ -49,6 +49,42 @@ def _(spark, folder):
     return out.withColumn("mean_seconds", F.round("mean_seconds", 6)).drop("p50_seconds", "p95_seconds")
 
 
+@query(
+    "latency_percentiles",
+    """WITH s AS (SELECT event_type, value * 10e0 / 1000e0 AS x FROM events),
+    cuts AS (SELECT *, x <= quantile_disc(x, 0.505) OVER w AND x >= quantile_disc(x, 0.495) OVER w AS near50,
+        x <= quantile_disc(x, 0.955) OVER w AND x >= quantile_disc(x, 0.945) OVER w AS near95
+      FROM s WINDOW w AS (PARTITION BY event_type))
+    SELECT event_type, count(*) AS n, bool_or(near50) AS p50_in_error, bool_or(near95) AS p95_in_error FROM cuts GROUP BY event_type""",
+)
+def _(spark, folder):
+    """Sketches kept for each day and merged by type; their percentiles against the exact ranks."""
+    log = latency(spark, folder).withColumn("day", F.to_date("ts"))
+    kept = materialize(reporting.latency_sketches(log, ["event_type", "day"]))
+    merged = reporting.merged_latency(kept, keys=["event_type"])
+    seconds = F.col("elapsed_ms") / 1000.0
+    ranked = log.join(merged.select("event_type", "n", "p50_seconds", "p95_seconds"), "event_type").groupBy("event_type").agg(
+        F.first("n").alias("n"),
+        *[
+            agg.alias(f"{side}{p}")
+            for p in ("50", "95")
+            for side, agg in (
+                ("below", F.count_if(seconds < F.col(f"p{p}_seconds"))),
+                ("upto", F.count_if(seconds <= F.col(f"p{p}_seconds"))),
+            )
+        ],
+    )
+    error = reporting.SKETCH_ERROR
+    return ranked.select(
+        "event_type",
+        "n",
+        *[
+            ((F.col(f"below{p}") <= (q + error) * F.col("n")) & (F.col(f"upto{p}") >= (q - error) * F.col("n"))).alias(f"p{p}_in_error")
+            for p, q in (("50", 0.5), ("95", 0.95))
+        ],
+    )
+
+
 def histogram_sql(values: str, bins: str) -> str:
     return f"""WITH v AS ({values}),
     stats AS (SELECT min(x) AS lo, max(x) AS hi, {bins} AS bins FROM v),

@@ -452,10 +452,10 @@ def _(spark, folder):
 
 
 def fused(spark, folder) -> DataFrame:
-    """Detector score and a small probability map per vector, with every fusion of them."""
+    """Detector score and a probability map out of the elements of each vector, with every fusion of them."""
     vectors = table(spark, folder, "embeddings")
     det = sigmoid(F.col("embedding")[0].cast("double") * 4.0)
-    probs = F.transform(F.slice("embedding", 2, 40), lambda x: sigmoid(x.cast("double") * 4.0))
+    probs = F.transform(F.slice("embedding", 2, 63), lambda x: sigmoid(x.cast("double") * 4.0))
     based = vectors.select(
         F.col("vec_id").alias("id"),
         (F.col("label") % 2).alias("label"),
@@ -469,11 +469,11 @@ def fused(spark, folder) -> DataFrame:
 _FUSED = """
 parts AS (
   SELECT vec_id AS id, label % 2 AS label, 1e0 / (1e0 + exp(-(embedding[1]::DOUBLE * 4e0))) AS det,
-    list_transform(embedding[2:41], lambda x: 1e0 / (1e0 + exp(-(x::DOUBLE * 4e0)))) AS probs
+    list_transform(embedding[2:64], lambda x: 1e0 / (1e0 + exp(-(x::DOUBLE * 4e0)))) AS probs
   FROM embeddings),
 pooled AS (
   SELECT id, label, det, list_avg(probs) AS m, list_max(probs) AS x,
-         list_avg(list_reverse_sort(probs)[1:4]) AS t FROM parts),
+         list_avg(list_reverse_sort(probs)[1:6]) AS t FROM parts),
 fused AS (
   SELECT id, label, round(det, 9) AS det, round(m, 9) AS loc_mean, round(x, 9) AS loc_max,
     round(t, 9) AS loc_topk10, round(det * 0.5e0 + m * 0.5e0, 9) AS fuse_mean,

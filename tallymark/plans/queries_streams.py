@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallymark.plans.catalog import query
 from tallymark.plans.queries_scores import sweep_sql
-from tallymark.streaming.cache import stream_lookup_cache
-from tallymark.streaming.drain import drain_append, drain_complete, rocksdb_state, table_stream
+from tallymark.streaming.cache import drain_lookup_cache
+from tallymark.streaming.drain import drain_append, drain_complete, table_stream
 from tallymark.streaming.metrics import (
     stream_latency_windows,
     stream_running_cer,
@@ -83,9 +83,8 @@ def _(spark, folder):
     return sweep_on_read(counts, ["domain"])
 
 
-@query(
-    "stream_lookup_cache",
-    """WITH RECURSIVE requests AS (
+LOOKUPS = """
+    requests AS (
       SELECT event_id AS request_id, event_type AS source, 'User' || user_id % 20 AS handle, epoch_us(ts) AS us,
         CASE user_id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'not_found' ELSE 'ok' END AS status FROM events),
     storable AS (SELECT source, handle, us, request_id, status FROM requests WHERE status IN ('ok', 'not_found')),
@@ -98,14 +97,10 @@ def _(spark, folder):
     held AS (
       SELECT s.source, s.handle, s.us, arg_min(x.request_id, x.request_id) AS by_request,
              arg_min(x.status, x.request_id) AS held_status
-      FROM stores s JOIN storable x USING (source, handle, us) WHERE s.us IS NOT NULL GROUP BY ALL)
-    SELECT r.request_id, r.source, r.handle, coalesce(h.held_status, r.status) AS status,
-           h.us IS NOT NULL AS cached
-    FROM requests r LEFT JOIN held h ON h.source = r.source AND h.handle = r.handle
-      AND r.us BETWEEN h.us AND h.us + 86400000000
-      AND NOT (r.us = h.us AND r.request_id <= h.by_request)""",
-)
-def _(spark, folder):
+      FROM stores s JOIN storable x USING (source, handle, us) WHERE s.us IS NOT NULL GROUP BY ALL)"""
+
+
+def lookups(spark, folder):
     status = (
         F.when(F.col("user_id") % 5 == 0, "timeout").when(F.col("user_id") % 5 == 1, "not_found").otherwise("ok")
     )
@@ -116,6 +111,29 @@ def _(spark, folder):
         "ts",
         status.alias("status"),
     )
-    with rocksdb_state(spark):
-        out = drain_append(stream_lookup_cache(requests, ttl_seconds=86400.0))
-    return out.drop("ts")
+    return drain_lookup_cache(requests, ttl_seconds=86400.0)
+
+
+@query(
+    "stream_lookup_cache",
+    f"""WITH RECURSIVE {LOOKUPS}
+    SELECT r.request_id, r.source, r.handle, coalesce(h.held_status, r.status) AS status,
+           h.us IS NOT NULL AS cached
+    FROM requests r LEFT JOIN held h ON h.source = r.source AND h.handle = r.handle
+      AND r.us BETWEEN h.us AND h.us + 86400000000
+      AND NOT (r.us = h.us AND r.request_id <= h.by_request)""",
+)
+def _(spark, folder):
+    return lookups(spark, folder).rows.drop("ts")
+
+
+@query(
+    "stream_lookup_state",
+    f"""WITH RECURSIVE {LOOKUPS}
+    SELECT source, lower(handle) AS handle, us AS at_us, held_status AS status FROM held
+    WHERE us + 86400000000 >= (SELECT max(us) FROM requests)""",
+)
+def _(spark, folder):
+    """Results still held when the stream ends: those whose time has not run out."""
+    held = lookups(spark, folder).state
+    return held.select("source", "handle", F.round(F.col("at") * 1000000.0).cast("bigint").alias("at_us"), "status")

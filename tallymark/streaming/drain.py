@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.session import fresh_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def table_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 100) -> DataFrame:
     """A Parquet table of a folder as a file stream, be it one file or a folder of part files.
@@ -57,18 +53,3 @@ def drain_complete(stream: DataFrame) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
-
-
-@contextmanager
-def rocksdb_state(spark: SparkSession):
-    """State store that keyed state processors need, for streams started inside the block."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)

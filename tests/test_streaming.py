@@ -2,8 +2,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tallymark.streaming.cache import stream_lookup_cache
-from tallymark.streaming.drain import drain_append, drain_complete, rocksdb_state
+from tallymark.streaming.cache import drain_lookup_cache, lookup_cache_batch
+from tallymark.streaming.drain import drain_append, drain_complete
 from tallymark.streaming.metrics import stream_latency_windows, stream_threshold_counts, sweep_on_read
 
 START = datetime(2024, 1, 1)
@@ -34,13 +34,54 @@ def test_cache_over_batches(spark, tmp_path):
         ],
         schema,
     )
-    with rocksdb_state(spark):
-        out = {r.request_id: (r.status, r.cached) for r in drain_append(stream_lookup_cache(stream)).collect()}
+    run = drain_lookup_cache(stream)
+    out = {r.request_id: (r.status, r.cached) for r in run.rows.collect()}
     assert out == {
         1: ("ok", False), 2: ("ok", True), 3: ("timeout", False),
         4: ("not_found", False), 5: ("ok", True), 6: ("not_found", False),
         7: ("not_found", True), 8: ("not_found", True),
     }
+    # eve's result of minute 30 ended with minute 90, before the last request; bob's of minute 61 did not.
+    assert {(r.handle, r.status) for r in run.state.collect()} == {("bob", "not_found")}
+
+
+def test_expired_results_leave_no_state(spark, tmp_path):
+    schema = "request_id long, source string, handle string, ts timestamp, status string"
+    batches = [
+        [(i, "github", f"user{i}", START + timedelta(minutes=i), "ok") for i in range(50)],
+        [(99, "github", "late", START + timedelta(hours=9), "ok")],
+        [(100, "github", "user3", START + timedelta(hours=9, minutes=1), "not_found")],
+    ]
+    run = drain_lookup_cache(files(spark, tmp_path, batches, schema))
+    assert {(r.handle, r.status) for r in run.state.collect()} == {("late", "ok"), ("user3", "not_found")}
+    assert not [r for r in run.rows.collect() if r.cached]
+
+
+def test_a_hot_key_is_walked_in_arrow_batches(spark):
+    """A key over many Arrow batches gives what a loop over its requests gives."""
+    rows = [(i, "s" if i % 3 else None, "Hot", START + timedelta(seconds=(i * 7919) % 20_000), ("ok", "error", "not_found")[i % 3 if i % 5 else 1]) for i in range(4000)]
+    requests = spark.createDataFrame(rows, "request_id long, source string, handle string, ts timestamp, status string")
+    held = spark.createDataFrame([("s", "hot", START.timestamp() - 500.0, "not_found")], "source string, handle string, at double, status string")
+    expected, left = {}, {}
+    for source in ("s", None):
+        at, result = (START.timestamp() - 500.0, "not_found") if source else (None, None)
+        for i, _, _, ts, status in sorted((r for r in rows if r[1] == source), key=lambda r: (r[3], r[0])):
+            second = ts.timestamp()
+            if at is not None and second - at <= 900:
+                expected[i] = (result, True)
+                continue
+            expected[i] = (status, False)
+            if status in ("ok", "not_found"):
+                at, result = second, status
+        left[source] = (at, result)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = lookup_cache_batch(requests, held, 900.0, 10_000.0).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.request_id: (r.status, r.cached) for r in out if r.kind == "row"} == expected
+    assert {r.source: (r["at"], r.status) for r in out if r.kind == "state"} == left
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
