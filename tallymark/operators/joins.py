@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.session import materialize
+
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
@@ -32,8 +34,10 @@ def hot_split_join(
 
     The ``hot_keys`` heaviest keys are joined by broadcast, which is at most ``hot_keys`` rows
     whatever the data; every other key holds at most 1/``hot_keys`` of the rows and is shuffled.
+    The lookup, which is read three times, is written first.
     """
     keys = list(keys)
+    lookup = materialize(lookup)
     hot = lookup.orderBy(F.col(weight_col).desc(), *keys).limit(hot_keys)
     hot_key_set = F.broadcast(hot.select(*keys))
     cold = lookup.join(hot_key_set, keys, "left_anti")

@@ -29,57 +29,110 @@ def batch_score(
     """(id, score, latency_ms, error): the scorer's result on each record of a batch.
 
     A failing call is retried after ``backoff_s`` times the attempt; a call that still fails, or
-    exceeds ``timeout_s``, becomes an error row and disturbs no other. ``concurrency`` calls of a
-    batch run at once, for scorers that wait on something.
+    exceeds ``timeout_s`` with its retries, becomes an error row and disturbs no other. With a
+    timeout, calls run in ``concurrency`` child processes of the task, which are ended at the
+    deadline, as they are if they die on their own; without one they run in as many threads. At
+    most that many records are out at a time.
     """
     fields, key = list(inputs), id_col
 
-    def run(batches):
+    def call(record):
         import time
+
+        for attempt in range(1, retries + 1):
+            started = time.perf_counter()
+            try:
+                score = float(scorer(record))
+                return score, (time.perf_counter() - started) * 1000.0, None
+            except Exception as error:  # noqa: BLE001 - isolation is the contract
+                failure = f"{type(error).__name__}: {error}"
+                if attempt < retries:
+                    time.sleep(backoff_s * attempt)
+        return None, (time.perf_counter() - started) * 1000.0, failure
+
+    def in_threads(records):
         from concurrent.futures import ThreadPoolExecutor
-        from concurrent.futures import TimeoutError as CallTimeout
 
-        import pandas as pd
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            return list(pool.map(call, records))
 
-        def call(record):
-            for attempt in range(1, retries + 1):
-                started = time.perf_counter()
-                try:
-                    score = float(scorer(record))
-                    return score, (time.perf_counter() - started) * 1000.0, None
-                except Exception as error:  # noqa: BLE001 - isolation is the contract
-                    failure = f"{type(error).__name__}: {error}"
-                    if attempt < retries:
-                        time.sleep(backoff_s * attempt)
-            return None, (time.perf_counter() - started) * 1000.0, failure
-
-        pool = ThreadPoolExecutor(max(1, concurrency))
+    def in_children(records):
+        """Results in order; ``children`` holds (process, pipe, place of its record, deadline)."""
+        import multiprocessing as mp
+        import time
+        from multiprocessing.connection import wait
+
+        # Forked, so that the scorer need not be pickled.
+        context = mp.get_context("fork")
+
+        def serve(pipe, others):
+            # A pipe's other copies are closed, so that it ends with the task's side of it.
+            for other in others:
+                other.close()
+            try:
+                while (record := pipe.recv()) is not None:
+                    pipe.send(call(record))
+            except EOFError:
+                pass
+
+        def started():
+            mine, theirs = context.Pipe()
+            process = context.Process(target=serve, args=(theirs, [mine, *(c[1] for c in busy), *(i[1] for i in idle)]), daemon=True)
+            process.start()
+            theirs.close()
+            return process, mine
+
+        def ended(process, pipe):
+            pipe.close()
+            process.kill()
+            process.join()
+
+        results, waiting, idle, busy = [None] * len(records), list(enumerate(records))[::-1], [], []
         try:
-            for batch in batches:
-                records = batch[fields].to_dict("records")
-                futures = [pool.submit(call, r) for r in records]
-                results = []
-                for at in range(len(records)):
-                    try:
-                        results.append(futures[at].result(timeout_s))
-                    except CallTimeout:
-                        results.append((None, timeout_s * 1000.0, f"timeout after {timeout_s}s"))
-                        # The stuck call keeps its thread; calls not begun move to a new pool.
-                        pool = ThreadPoolExecutor(max(1, concurrency))
-                        for later in range(at + 1, len(records)):
-                            if futures[later].cancel():
-                                futures[later] = pool.submit(call, records[later])
-                score, latency, error = zip(*results) if results else ((), (), ())
-                yield pd.DataFrame(
-                    {
-                        key: batch[key].to_numpy(),
-                        "score": pd.Series(score, dtype="float64"),
-                        "latency_ms": pd.Series(latency, dtype="float64"),
-                        "error": pd.Series(error, dtype="object"),
-                    }
-                )
+            while waiting or busy:
+                while waiting and len(busy) < max(1, concurrency):
+                    place, record = waiting.pop()
+                    process, pipe = idle.pop() if idle else started()
+                    pipe.send(record)
+                    busy.append((process, pipe, place, time.monotonic() + timeout_s))
+                soonest = min(b[3] for b in busy)
+                ready = wait([b[1] for b in busy], max(0.0, soonest - time.monotonic()))
+                now, still = time.monotonic(), []
+                for process, pipe, place, deadline in busy:
+                    if pipe in ready:
+                        try:
+                            results[place] = pipe.recv()
+                            idle.append((process, pipe))
+                        except (EOFError, OSError):
+                            process.join(1.0)
+                            results[place] = (None, 0.0, f"process ended with {process.exitcode}")
+                            ended(process, pipe)
+                    elif now >= deadline:
+                        results[place] = (None, timeout_s * 1000.0, f"timeout after {timeout_s}s")
+                        ended(process, pipe)
+                    else:
+                        still.append((process, pipe, place, deadline))
+                busy = still
+            return results
         finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+            for process, pipe, *_ in [*busy, *idle]:
+                ended(process, pipe)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            records = batch[fields].to_dict("records")
+            results = in_threads(records) if timeout_s is None else in_children(records)
+            score, latency, error = zip(*results) if results else ((), (), ())
+            yield pd.DataFrame(
+                {
+                    key: batch[key].to_numpy(),
+                    "score": pd.Series(score, dtype="float64"),
+                    "latency_ms": pd.Series(latency, dtype="float64"),
+                    "error": pd.Series(error, dtype="object"),
+                }
+            )
 
     id_type = df.schema[id_col].dataType.simpleString()
     columns = list(dict.fromkeys([id_col, *fields]))

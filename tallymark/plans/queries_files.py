@@ -411,6 +411,26 @@ def _(spark, folder):
     return scored.drop("latency_ms")
 
 
+@query(
+    "batch_score_timeout",
+    """SELECT doc_id AS id, CASE WHEN doc_id % 500 <> 3 THEN length(text)::DOUBLE / 20000e0 END AS score,
+      CASE WHEN doc_id % 500 = 3 THEN 'timeout after 4.0s' END AS error FROM documents""",
+)
+def _(spark, folder):
+    """Some calls never return: their processes are ended, and no other record is disturbed."""
+
+    def scorer(record):
+        import time
+
+        while record["id"] % 500 == 3:
+            time.sleep(60)
+        return len(record["text"]) / 20000.0
+
+    docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
+    scored = scoring.batch_score(docs, scorer, ["id", "text"], retries=1, concurrency=4, timeout_s=4.0)
+    return scored.drop("latency_ms")
+
+
 # --- whole evaluations ------------------------------------------------------------------------
 
 

@@ -1,4 +1,6 @@
+import os
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,35 @@ def test_timeout_disturbs_no_other_row(spark, concurrency):
     assert out[3].error.startswith("timeout") and all(out[i].score == 1.0 for i in out if i != 3)
 
 
+@pytest.mark.parametrize("concurrency", [1, 3])
+def test_calls_that_never_return_leave_nothing_behind(spark, concurrency, tmp_path):
+    """A scorer that ignores everything short of being killed, and one that ends its process."""
+    folder = str(tmp_path)
+
+    def scorer(record):
+        import signal
+
+        Path(folder, f"pid-{os.getpid()}").touch()
+        if record["id"] % 4 == 1:
+            signal.signal(signal.SIGTERM, signal.SIG_IGN)
+            while True:
+                time.sleep(1)
+        if record["id"] == 2:
+            os._exit(7)
+        return float(record["id"])
+
+    scored = sc.batch_score(docs(spark, 9).coalesce(1), scorer, ["id"], retries=2, concurrency=concurrency, timeout_s=0.6)
+    out = {r.id: r for r in scored.collect()}
+    assert len(out) == 9
+    assert all(out[i].error == "timeout after 0.6s" for i in (1, 5)) and out[2].error == "process ended with 7"
+    assert all(out[i].score == float(i) for i in (0, 3, 4, 6, 7, 8))
+    pids = [int(p.name[4:]) for p in tmp_path.iterdir()]
+    deadline = time.time() + 5
+    while time.time() < deadline and any(Path(f"/proc/{p}").exists() for p in pids):
+        time.sleep(0.1)
+    assert pids and not [p for p in pids if Path(f"/proc/{p}").exists()]
+
+
 def test_waiting_calls_overlap(spark):
     def scorer(record):
         time.sleep(1.0)
