@@ -257,7 +257,7 @@ def matcher(least: int = 3, gap: int = 8, coverage: float = 0.6) -> LicenceMatch
 
 
 SCHEMA = (
-    "{id} long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
+    "{id} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
     "labels string, score double, spans array<struct<label: string, first: long, end: long, "
     "coverage: double>>"
 )
@@ -292,4 +292,5 @@ def licence_scan(
         ]
         return out
 
-    return map_rows(docs, [id_col, text_col], SCHEMA.format(id=id_col), work)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_rows(docs, [id_col, text_col], SCHEMA.format(id=id_col, kind=kind), work)

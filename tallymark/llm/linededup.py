@@ -10,8 +10,11 @@ A line is dropped where its key belongs to a document of a smaller id. A key tha
 documents share is one row after map-side aggregation; marking its lines takes the broadcast path
 of the hot split join. Hashes are 128 bits long.
 
-Defined cases: a null or empty text is one empty line. Rows without an id take no part and keep all
-lines. Rows that share an id are one document. An empty table gives no rows.
+Defined cases: a null or empty text is one empty line; a text of any length is split whole. Rows
+without an id take no part and keep all lines. Rows that share an id are one document in several
+texts: lines are dropped from each text by its own places, and none because another of them holds
+it. Ids may be of any type with an order. Ties cannot arise, as one key has one least id. Extra
+columns may bear any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tallymark.llm.common import arrow_map, lowered, map_rows, store, unused
 from tallymark.operators.joins import hot_split_join
@@ -43,7 +47,7 @@ class LineRuns:
 
     def earlier(self, keys: DataFrame) -> DataFrame:
         """``keys`` (hash, ...) with ``earlier``: the document that holds the key in a run, or null."""
-        found = keys.withColumn("earlier", F.lit(None).cast("long"))
+        found = keys.withColumn("earlier", F.lit(None).cast(keys.schema["first"].dataType))
         for run in self.runs():
             run = run.withColumnRenamed("first", "held")
             found = (
@@ -83,45 +87,65 @@ class LineRuns:
 
 
 def line_keys(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, at, hash) of every line whose key has ``least`` code points or more."""
+    """(id, mark, at, hash) of every line whose key has ``least`` code points or more.
+
+    ``mark`` tells the texts of one id apart.
+    """
     lines = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("mark"),
         F.posexplode_outer(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("at", "line"),
     )
     key = lowered(F.trim("line", F.lit(BLANKS)))
-    return lines.where(F.length(key) >= least).select("id", "at", F.unhex(F.md5(key)).alias("hash"))
+    return lines.where(F.length(key) >= least).select("id", "mark", "at", F.unhex(F.md5(key)).alias("hash"))
+
+
+def batch_cuts(docs: DataFrame, id_col: str, batches: int, looked_at: int = 1000) -> list:
+    """Ids that cut the documents into batches of about the same size."""
+    shares = [i / batches for i in range(1, batches)]
+    if not shares:
+        return []
+    if isinstance(docs.schema[id_col].dataType, NumericType):
+        cuts = docs.select(F.percentile_approx(id_col, shares, 10000)).first()[0]
+        return cuts or []
+    # Ids that are no numbers: by the order of those with the least hashes. Any cuts do.
+    some = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"))
+    found = sorted(r.id for r in some.limit(looked_at).collect())
+    return [found[int(share * len(found))] for share in shares] if found else []
 
 
 def dropped_lines(
     docs: DataFrame, id_col: str, text_col: str, batches: int, fanout: int, least: int
 ) -> DataFrame:
-    """(id, at): the lines to drop, one batch of ids after the other."""
+    """(id, mark, at): the lines to drop, one batch of ids after the other."""
     spark = docs.sparkSession
     keys = line_keys(docs, id_col, text_col, least)
-    shares = [i / batches for i in range(1, batches)]
-    cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), shares, 10000)).first()[0]
-    batch = sum((F.col("id") > cut).cast("int") for cut in cuts or []) + F.lit(0)
+    cuts = batch_cuts(docs, id_col, batches)
+    batch = sum(((F.col("id") > F.lit(cut)).cast("int") for cut in cuts), F.lit(0))
     path = fresh_path(spark, "line-keys")
     keys.withColumn("batch", batch).write.partitionBy("batch").parquet(path)
-    lines = spark.read.schema("id long, at int, hash binary, batch int").parquet(path)
+    kind = docs.schema[id_col].dataType.simpleString()
+    lines = spark.read.schema(f"id {kind}, mark long, at int, hash binary, batch int").parquet(path)
     index, drops = LineRuns(spark, fanout), []
-    for number in range(batches):
-        arriving = lines.where(F.col("batch") == number).drop("batch")
-        one_row = arriving.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-        known = store(index.earlier(one_row), "line-known")
-        index.add(known.where("earlier IS NULL").select("hash", "first"))
-        decisive = known.where("earlier IS NOT NULL OR n > 1").select(
-            "hash", "n", F.coalesce("earlier", "first").alias("first")
-        )
-        drops.append(
-            store(
-                hot_split_join(arriving, decisive, ["hash"], "n")
-                .where("id > first")
-                .select("id", "at"),
-                "line-drops",
+    try:
+        for number in range(batches):
+            arriving = lines.where(F.col("batch") == number).drop("batch")
+            one_row = arriving.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+            known = store(index.earlier(one_row), "line-known")
+            index.add(known.where("earlier IS NULL").select("hash", "first"))
+            decisive = known.where("earlier IS NOT NULL OR n > 1").select(
+                "hash", "n", F.coalesce("earlier", "first").alias("first")
             )
-        )
-    index.forget()
+            drops.append(
+                store(
+                    hot_split_join(arriving, decisive, ["hash"], "n")
+                    .where("id > first")
+                    .select("id", "mark", "at"),
+                    "line-drops",
+                )
+            )
+    finally:
+        index.forget()
     out = drops[0]
     for other in drops[1:]:
         out = out.unionByName(other)
@@ -202,10 +226,11 @@ def _with_drops(
 ) -> DataFrame:
     """The documents, all columns, and last the places of the lines to drop."""
     drops = dropped_lines(docs, id_col, text_col, batches, fanout, least)
-    key = unused(docs, "key")
-    by_doc = drops.distinct().groupBy(F.col("id").alias(key)).agg(F.collect_list("at").alias(gone))
-    rows = docs.withColumn(key, F.col(id_col).cast("long")).join(by_doc, key, "left")
-    return rows.select(*docs.columns, gone)
+    key, mark = unused(docs, "key"), unused(docs, "mark")
+    places = drops.distinct().groupBy(F.col("id").alias(key), F.col("mark").alias(mark))
+    by_text = places.agg(F.collect_list("at").alias(gone))
+    rows = docs.withColumns({key: F.col(id_col), mark: F.xxhash64(text_col)})
+    return rows.join(by_text, [key, mark], "left").select(*docs.columns, gone)
 
 
 ORACLE = r"""

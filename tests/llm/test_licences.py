@@ -46,3 +46,8 @@ def test_odd_rows(odd, none):
             assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
             assert 0 <= r.score <= 1 and set(r.base_labels.split(",")) <= set(r.labels.split(","))
     assert licence_scan(none).count() == 0
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("a", "under the MIT license"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id: r.base_labels for r in licence_scan(docs).collect()} == {"a": "mit", None: ""}

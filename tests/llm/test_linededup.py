@@ -43,6 +43,29 @@ def test_odd_rows(spark, odd, none):
     assert kept[0].count("same") == 3 and all("same" not in kept[i] for i in range(1, 300))
 
 
+def test_rows_that_share_an_id(spark):
+    """Each text of an id loses its own lines, at its own places."""
+    shared = "a line that others hold too"
+    rows = [
+        (1, f"{shared}\nfirst of one"), (2, f"{shared}\nfirst text of two\n{shared}"), (2, f"only in the second text\n{shared}"),
+        (2, f"only in the second text\n{shared}"), (2, None), (3, "only in the second text\nfirst text of two"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    for batches in (1, 3):
+        got = [tuple(r) for r in dedup_lines(docs, batches=batches).collect()]
+        assert sorted(got, key=str) == brute(rows)
+    kept = [r.text for r in without_repeated_lines(docs, length_col=None).where("doc_id = 2").collect()]
+    assert sorted(map(str, kept)) == ["None", "first text of two", "only in the second text", "only in the second text"]
+
+
+def test_string_ids(spark):
+    rows = [(f"id-{i % 37:02d}", f"line number {i % 11} of all\nown line of {i}") for i in range(90)] + [(None, "line number 1 of all")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    for batches in (1, 4):
+        got = [tuple(r) for r in dedup_lines(docs, batches=batches).collect()]
+        assert sorted(got, key=str) == brute(rows)
+
+
 def test_documents_keep_columns(odd):
     got = without_repeated_lines(odd)
     assert got.schema == odd.schema
