@@ -29,15 +29,16 @@ def hot_split_join(
     keys: Sequence[str],
     weight_col: str,
     hot_keys: int = 1000,
+    write_lookup: bool = False,
 ) -> DataFrame:
     """Inner join of ``rows`` with a unique-key ``lookup`` whose ``weight_col`` counts its rows.
 
     The ``hot_keys`` heaviest keys are joined by broadcast, which is at most ``hot_keys`` rows
     whatever the data; every other key holds at most 1/``hot_keys`` of the rows and is shuffled.
-    The lookup, which is read three times, is written first.
+    The lookup is read three times; ``write_lookup`` computes and writes it first.
     """
     keys = list(keys)
-    lookup = materialize(lookup)
+    lookup = materialize(lookup) if write_lookup else lookup
     hot = lookup.orderBy(F.col(weight_col).desc(), *keys).limit(hot_keys)
     hot_key_set = F.broadcast(hot.select(*keys))
     cold = lookup.join(hot_key_set, keys, "left_anti")

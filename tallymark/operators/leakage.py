@@ -53,7 +53,7 @@ def leak_exact_rows(
         digest, "n_eval", "n_train", "first_train_path"
     )
     return hot_split_join(
-        evaluation.select(path, digest), shared, [digest], "n_eval"
+        evaluation.select(path, digest), shared, [digest], "n_eval", write_lookup=True
     ).drop("n_eval")
 
 
@@ -70,7 +70,7 @@ def leak_source(
 
 def leak_members(side: DataFrame, findings: DataFrame, key: str, count: str) -> DataFrame:
     """Rows of one side that take part in a finding; ``count`` is that side's n_ column."""
-    return hot_split_join(side, findings.select(key, count), [key], count).drop(count)
+    return hot_split_join(side, findings.select(key, count), [key], count, write_lookup=True).drop(count)
 
 
 def band_masks(bands: int) -> list[int]:
@@ -297,7 +297,8 @@ def near_rows(evaluation: DataFrame, pairs: DataFrame, path: str = "path") -> Da
         F.min_by("first_train_path", F.struct("hamming_distance", "first_train_path"))
         .alias("nearest_train_path"),
     )
-    return hot_split_join(evaluation.select(path, "phash"), per_hash, ["phash"], "_n").drop("_n")
+    rows = evaluation.select(path, "phash")
+    return hot_split_join(rows, per_hash, ["phash"], "_n", write_lookup=True).drop("_n")
 
 
 def leak_verdict(
