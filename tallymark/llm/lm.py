@@ -1,136 +1,245 @@
 """Language-model scoring with causal self-attention over subword ids, in numpy.
 
-Words become subword ids of a public vocabulary, each word with the blank before it, so that ids
-spell the text; one id ends a text. An id's probability is that of its class given the ids before,
-times its share of the class in the training corpus. Classes are cut by corpus counts of all training
-texts, apart for ids that begin a word and ids that go on. A causal self-attention layer with a feed
-forward layer predicts the class. A text is read in windows that overlap: each id is scored once,
-with at least ``CONTEXT`` ids before it in view (fewer at the beginning of the text); windows of many
+The tokens of a text are its words and one end. A word comes in by the subword ids of a public
+vocabulary that it begins and ends with, and by its class. Its probability is that of its class
+given the words before, from a causal self-attention layer with a feed forward layer, times its
+share of the class. Shares are corpus counts, with what a Good-Turing estimate leaves for new words
+spread over all spellings: by pairs of their subword ids, and by known words with other marks
+around them. Shares sum to one at most, so a score is a proper log probability. A text is read in windows that overlap: each token is scored
+once, with at least ``CONTEXT`` tokens before it in view (fewer at the beginning); windows of many
 texts are worked on together under one mask.
 
-Counts of words and ids are Spark aggregations over every training text. The layer is first fitted
-on the driver to a bounded sample; then ``REPLICAS`` copies are fitted in tasks to their part of one
-training text in ``TRAIN_EVERY``, and averaged.
+Classes are topics cut into bands of frequency. A pass over all training texts counts each word
+and sums, over its places, random signatures of the words around it in its text; Spark adds both
+up per word, and the signatures of frequent words are clustered into topics (of this corpus: its
+languages). Words beyond those take the topic that their subword ids point to.
 
-The base score needs each word's count. The ``TOP_WORDS`` most frequent words of up to
-``TOP_BYTES`` bytes travel with the tasks, a bounded list; the words a text has besides are joined
-to the counts by a shuffle.
+The layer starts from a fit to a bounded sample on the driver. Then every task trains a copy of it
+on all windows of all its training texts, and the copies are averaged, sixty-four at a time.
 
-Defined cases: a null or empty text is its end alone. Rows without an id are training rows, as their
-remainder is none. Repeated rows count and score each. Without training rows, counts are zero and
-the layer stays at its first values; scores are finite.
+The ``TOP_WORDS`` most frequent words of up to ``TOP_BYTES`` bytes travel with the tasks, a bounded
+list; the words a text has besides are joined to the counts by a shuffle, for the base and the
+score alike. Building runs jobs: counts, classes, the layer, and the scores of texts are written.
+
+Defined cases: a null or empty text is its end alone; texts of any length are read whole. Rows
+without an id are training rows, as their remainder is none. Repeated rows count and score each.
+Words of equal count are put in order by their bytes. Without training rows counts are zero and the
+layer stays at its first values; scores are finite. Extra columns are not read, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import base64
+import itertools
 import math
-from collections import Counter
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import arrow_map, map_rows, space_words, store
+from tallymark.llm.bpe import read_ranks, slices, tokens_of
+from tallymark.llm.common import _arrow_schema, arrow_map, space_words, store
 from tallymark.llm.toxicity import Adam
 
-VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces that merges do not cross: letters, digits, other marks, each with a blank before it.
 PIECES = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 TOP_WORDS = 200_000
-COUNTED = 400_000
 TOP_BYTES = 64
-CLASSES = 32  # for ids that begin a word, and as many for ids that go on
-DIM = 16
-CONTEXT = 16
-SCORED = 32
+#: Words a task counts before it hands them on, and words it remembers besides the top ones.
+COUNTED, REMEMBERED = 400_000, 200_000
+SIGNATURE, TOPICS, BANDS = 8, 6, 8
+#: Most frequent words whose signatures are clustered.
+CLUSTERED = 20_000
+DIM, BUCKETS = 16, 2048
+CONTEXT, SCORED = 12, 20
 WINDOW = CONTEXT + SCORED
-BUCKETS = 4096
-CACHE_WORDS = 200_000
-SAMPLE_TEXTS = 300
-SAMPLE_CHARS = 20_000
-REPLICAS = 32
-TRAIN_EVERY = 32
-BATCH = 64
+SAMPLE_TEXTS, SAMPLE_CHARS = 300, 20_000
+BATCH = 192
+#: Bytes of texts worked on together, and windows.
+TEXT_BYTES, TOGETHER = 2 << 20, 128
+
+
+#: Pairs of subword ids whose own counts are used; the places of others follow the second id alone.
+TOP_PAIRS = 300_000
+#: What counts of a pair's first id are raised by, spread as the second ids are.
+PAIR_PRIOR = 5.0
+#: Marks that may stand around a word.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 @lru_cache(maxsize=2)
-def subwords(path: str):
-    """(encoder, ids that begin with a blank, number of ids, the end's id)."""
+def subwords(ranks: bytes):
+    """(encoder of text into ids, number of ids)."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    end = max(ranks.values()) + 1
-    begins = np.zeros(end + 1, bool)
-    begins[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
-    coder = tiktoken.Encoding("subwords", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-    return coder, begins, end + 1, end
-
-
-class WordCoder:
-    """Ids of words, with a bounded cache."""
-
-    def __init__(self, path: str) -> None:
-        self.encode = subwords(path)[0].encode_ordinary
-        self.cache: dict[bytes, list[int]] = {}
-
-    def ids(self, words: list[bytes]) -> list[int]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        cache, out = self.cache, []
-        for word in words:
-            found = cache.get(word)
-            if found is None:
-                found = cache[word] = self.encode(" " + word.decode("utf-8", "replace"))
-            out += found
-        return out
-
-
-class Classes:
-    """Class of each id and the log10 share of the id in its class, from corpus counts."""
-
-    def __init__(self, counts: np.ndarray, begins: np.ndarray) -> None:
-        self.of = np.zeros(len(counts), np.int64)
-        for group, first in ((begins, 0), (~begins, CLASSES)):
-            members = np.flatnonzero(group[:-1])
-            members = members[np.lexsort((members, -counts[members]))]
-            mass = np.cumsum(counts[members] + 0.5)
-            total = mass[-1] if len(mass) else 1.0
-            self.of[members] = first + np.minimum((mass - 0.25) * CLASSES // total, CLASSES - 1)
-        self.of[-1] = 2 * CLASSES
-        weight = counts + 0.5
-        sums = np.bincount(self.of, weights=weight, minlength=2 * CLASSES + 1)
-        self.share = np.log10(weight / sums[self.of])
-        self.prior = np.log((sums + 1e-9) / sums.sum()).astype(np.float32)
-
-
-def windows_of(ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(given, wanted) of one text: ids in view, -2 for none and -1 for the beginning; ids to score."""
-    n = len(ids)
-    count = -(-n // SCORED)
-    wanted = np.full(count * SCORED, -2, np.int64)
-    wanted[:n] = ids
-    given = np.full(CONTEXT + count * SCORED, -2, np.int64)
-    given[CONTEXT] = -1
-    given[CONTEXT + 1 : CONTEXT + n] = ids[:-1]
-    spans = np.lib.stride_tricks.sliding_window_view(given, WINDOW)[::SCORED]
-    return spans, wanted.reshape(-1, SCORED)
+    tokens = tokens_of(ranks)
+    coder = tiktoken.Encoding("subwords", pat_str=PIECES, mergeable_ranks=tokens, special_tokens={})
+    return coder.encode_ordinary, max(tokens.values()) + 1
+
+
+class Lexicon:
+    """What is known of words without their counts: a row each, the top words first."""
+
+    def __init__(self, ranks: bytes, top: list[bytes], kinds: np.ndarray, topic_of: np.ndarray) -> None:
+        self.ranks, self.top, self.topic_of = ranks, top, topic_of
+        self.n_top, self.top_kinds = len(top), kinds
+        self.spelling: Spelling | None = None
+        self.rows: dict[bytes, int] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"rows": {}}
+
+    def places(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The rows of all words of the texts, one after the other; words not known yet are added."""
+        words = set(itertools.chain.from_iterable(texts))
+        if not self.rows or len(self.rows) + len(words) > self.n_top + REMEMBERED + len(words) // 2:
+            self._add(self.top, fresh=True)
+        new = sorted(words - self.rows.keys())
+        if new:
+            self._add(new)
+        flat = itertools.chain.from_iterable(texts)
+        return np.fromiter(map(self.rows.__getitem__, flat), np.int64, sum(map(len, texts)))
+
+    def _add(self, words: list[bytes], fresh: bool = False) -> None:
+        encode = subwords(self.ranks)[0]
+        ids = [encode(" " + w.decode("utf-8", "replace")) for w in words]
+        first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
+        last = np.fromiter((i[-1] for i in ids), np.int64, len(ids))
+        if fresh:
+            self.rows, kinds = {}, self.top_kinds
+        else:
+            kinds = (self.topic_of[first] + self.topic_of[last]).argmax(axis=1) * BANDS + BANDS - 1
+        spelled = np.zeros(len(ids))
+        if self.spelling is not None:
+            tops = {w: i for i, w in enumerate(words)} if fresh else self.rows
+            spelled = self.spelling.chances(words, ids, tops)
+        made = [first % BUCKETS, last % BUCKETS, kinds, spelled]
+        held = [] if fresh else [self.first, self.last, self.kind, self.spelled]
+        joined = [np.concatenate([h, m]) for h, m in zip(held, made)] if held else made
+        self.first, self.last, self.kind, self.spelled = joined
+        start = len(self.rows)
+        self.rows.update(zip(words, range(start, start + len(words))))
+
+
+def id_pairs(ids: list[list[int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, word) of neighbours in each word, its beginning and end included, one number a pair."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    start = np.cumsum(lengths + 2) - lengths - 2
+    flat = np.full(int((lengths + 2).sum()), size, np.int64)
+    inside = np.repeat(start + 1, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    flat[inside] = np.fromiter(itertools.chain.from_iterable(ids), np.int64, len(inside))
+    flat[start + lengths + 1] = size + 1
+    kept = np.ones(max(len(flat) - 1, 0), bool)
+    kept[start[1:] - 1] = False  # from one word's end to the next one's beginning
+    pair = flat[:-1] * (size + 2) + flat[1:]
+    return pair[kept], np.repeat(np.arange(len(ids)), lengths + 1)
+
+
+class Spelling:
+    """log10 chance of a word's spelling, out of all words counted, each once."""
+
+    def __init__(
+        self, uses: np.ndarray, pairs: np.ndarray, times: np.ndarray, top: list[bytes], top_c: np.ndarray
+    ) -> None:
+        # Ids, then a word's beginning and end; what follows an id is an id or the end.
+        self.size = len(uses) - 2
+        chance = uses + 0.5
+        chance[self.size] = 0.0
+        self.alone = chance / chance.sum()
+        after = uses.copy()
+        after[self.size] = uses[self.size + 1]  # words have as many beginnings as ends
+        order = np.argsort(pairs)
+        self.pairs, self.times = pairs[order], times[order]
+        told = np.bincount(pairs // len(uses), times, len(uses))
+        self.after, self.rest = after + PAIR_PRIOR, after - told + PAIR_PRIOR
+        # Words without marks around them, and the marks of those with some, by side.
+        self.word = np.log10(top_c / top_c.sum()) if len(top_c) else top_c
+        self.marks = np.zeros((2, 256))
+        sides = np.ones((2, 256))
+        sides[:, 0] = len(top) + 1.0
+        for word in top:
+            core = word.strip(MARKS)
+            if core and len(core) < len(word):
+                at = word.index(core)
+                for side, marks in enumerate((word[:at], word[at + len(core) :])):
+                    for mark in marks:
+                        sides[side, mark] += 1.0
+        self.marks = np.log10(sides / sides.sum(axis=1, keepdims=True))
+
+    def chances(self, words: list[bytes], ids: list[list[int]], tops: dict[bytes, int]) -> np.ndarray:
+        pair, owner = id_pairs(ids, self.size)
+        place = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+        times = np.where(self.pairs[place] == pair, self.times[place], 0.0) if len(self.pairs) else 0.0
+        before, then = pair // (self.size + 2), pair % (self.size + 2)
+        chance = (times + self.rest[before] * self.alone[then]) / self.after[before]
+        by_ids = np.bincount(owner, np.log10(chance), len(ids))
+        by_marks = np.full(len(words), -np.inf)
+        for i, word in enumerate(words):
+            core = word.strip(MARKS)
+            if core and len(core) < len(word) and (row := tops.get(core, len(self.word))) < len(self.word):
+                at = word.index(core)
+                around = self.marks[0, 0] + self.marks[1, 0]
+                for side, marks in enumerate((word[:at], word[at + len(core) :])):
+                    for mark in marks:
+                        around += self.marks[side, mark]
+                by_marks[i] = self.word[row] + around
+        mixed = np.stack([by_ids, by_marks]) + math.log10(0.5)
+        top = mixed.max(axis=0)
+        return top + np.log10((10.0 ** (mixed - top)).sum(axis=0))
+
+
+def windows_of(first: np.ndarray, last: np.ndarray, kind: np.ndarray, lengths: np.ndarray, end: int):
+    """(inputs (3, windows, WINDOW), wanted (windows, SCORED), owner) of texts, one after the other.
+
+    Inputs are the words before: their first and last subwords and classes, then marks for the
+    beginning and for no word. ``wanted`` holds classes, the ``end`` last, and -1 beyond a text.
+    """
+    tokens = lengths + 1
+    counts = -(-tokens // SCORED)
+    padded = CONTEXT + counts * SCORED
+    start = np.cumsum(padded) - padded
+    total = int(padded.sum())
+    at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at += np.repeat(start, lengths) + CONTEXT
+    flat = np.empty((3, total), np.int64)
+    flat[0], flat[1], flat[2] = BUCKETS + 1, BUCKETS + 1, end + 2
+    flat[:, start + CONTEXT] = [[BUCKETS], [BUCKETS], [end + 1]]
+    flat[0, at + 1], flat[1, at + 1], flat[2, at + 1] = first, last, kind
+    target = np.full(total, -1, np.int64)
+    target[at] = kind
+    target[start + CONTEXT + lengths] = end
+    owner = np.repeat(np.arange(len(lengths)), counts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = start[owner] + number * SCORED
+    spans = begin[:, None] + np.arange(WINDOW)
+    return flat[:, spans], target[spans[:, CONTEXT:]], owner
+
+
+#: 0 where a scored place may look, at itself and before; far below elsewhere.
+CAUSAL = np.where(
+    np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], np.float32(0), np.float32(-1e9)
+)
 
 
 class AttentionLayer:
-    """Causal self-attention and feed forward over windows; predicts the class of each wanted id."""
+    """Causal self-attention and feed forward over windows; predicts the class of each wanted token."""
 
     def __init__(self, prior: np.ndarray, seed: int = 5) -> None:
         draw = np.random.default_rng(seed)
         some = lambda *shape: draw.normal(0, 0.5 / np.sqrt(shape[0]), shape).astype(np.float32)
+        near = lambda size, *shape: draw.normal(0, size, shape).astype(np.float32)
         classes = len(prior)
         self.p = {
-            "id": draw.normal(0, 0.1, (BUCKETS + 2, DIM)).astype(np.float32),
-            "class": draw.normal(0, 0.3, (classes + 2, DIM)).astype(np.float32),
-            "place": draw.normal(0, 0.1, (WINDOW, DIM)).astype(np.float32),
+            "first": near(0.1, BUCKETS + 2, DIM),
+            "last": near(0.1, BUCKETS + 2, DIM),
+            "kind": near(0.3, classes + 2, DIM),
+            "place": near(0.1, WINDOW, DIM),
             "query": some(DIM, DIM),
             "key": some(DIM, DIM),
             "value": some(DIM, DIM),
@@ -139,7 +248,7 @@ class AttentionLayer:
             "wide_0": np.zeros(2 * DIM, np.float32),
             "narrow": some(2 * DIM, DIM),
             "out": some(DIM, classes) * 0.2,
-            "out_0": prior.copy(),
+            "out_0": prior.astype(np.float32),
         }
 
     def flat(self) -> np.ndarray:
@@ -151,19 +260,27 @@ class AttentionLayer:
             self.p[name] = np.asarray(flat[at : at + v.size], np.float32).reshape(v.shape).copy()
             at += v.size
 
-    def forward(self, given: np.ndarray, of: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Log class probabilities, (windows, SCORED, classes)."""
+    def tables(self) -> list[np.ndarray]:
+        """Each input's vector with its query, key and value beside it, as those are linear."""
         p = self.p
-        classes = p["out"].shape[1]
-        known = given >= 0
-        bucket = np.where(known, given % BUCKETS, BUCKETS - given - 1)
-        kind = np.where(known, of[given], classes - given - 1)
-        x = p["id"][bucket] + p["class"][kind] + p["place"]
-        late = x[:, CONTEXT:]
-        query, key, value = late @ p["query"], x @ p["key"], x @ p["value"]
-        score = query @ key.transpose(0, 2, 1) * np.float32(DIM**-0.5)
+        turn = np.concatenate([np.eye(DIM, dtype=p["query"].dtype), p["query"], p["key"], p["value"]], axis=1)
+        return [p[name] @ turn for name in ("first", "last", "kind", "place")]
+
+    def forward(self, inputs: np.ndarray, tables: list[np.ndarray], keep: dict | None = None) -> np.ndarray:
+        """Logits of classes (windows, SCORED, classes)."""
+        p = self.p
+        x = tables[0][inputs[0]]
+        x += tables[1][inputs[1]]
+        x += tables[2][inputs[2]]
+        x += tables[3]
+        late, query = x[:, CONTEXT:, :DIM], x[:, CONTEXT:, DIM : 2 * DIM]
+        key, value = x[:, :, 2 * DIM : 3 * DIM], x[:, :, 3 * DIM :]
+        score = query @ key.transpose(0, 2, 1)
+        score *= np.float32(DIM**-0.5)
         score += CAUSAL
-        score += np.where(given == -2, np.float32(-1e9), np.float32(0))[:, None, :]
+        absent = inputs[0][:, :CONTEXT] == BUCKETS + 1
+        if absent.any():
+            score[:, :, :CONTEXT] += np.where(absent, np.float32(-1e9), np.float32(0))[:, None, :]
         score -= score.max(axis=2, keepdims=True)
         np.exp(score, out=score)
         score /= score.sum(axis=2, keepdims=True)
@@ -171,26 +288,24 @@ class AttentionLayer:
         mixed = late + seen @ p["mix"]
         wide = np.maximum(mixed @ p["wide"] + p["wide_0"], 0)
         top = mixed + wide @ p["narrow"]
-        logit = top @ p["out"] + p["out_0"]
-        logit -= logit.max(axis=2, keepdims=True)
-        logit -= np.log(np.exp(logit).sum(axis=2, keepdims=True))
         if keep is not None:
-            keep.update(bucket=bucket, kind=kind, x=x, late=late, query=query, key=key, value=value)
+            keep.update(x=x[:, :, :DIM], late=late, query=query, key=key, value=value)
             keep.update(score=score, seen=seen, mixed=mixed, wide=wide, top=top)
-        return logit
+        return top @ p["out"] + p["out_0"]
 
-    def gradients(self, given: np.ndarray, wanted: np.ndarray, of: np.ndarray):
+    def gradients(self, inputs: np.ndarray, wanted: np.ndarray):
         """(mean loss, gradients) of the class log likelihood."""
         k: dict = {}
-        log = self.forward(given, of, k)
         p, real = self.p, wanted >= 0
-        target = np.where(real, of[wanted], 0)
+        logit = self.forward(inputs, self.tables(), k)
+        logit -= logit.max(axis=2, keepdims=True)
+        chance = np.exp(logit)
+        total = chance.sum(axis=2, keepdims=True)
+        target = np.where(real, wanted, 0)[:, :, None]
         n = max(1, int(real.sum()))
-        picked = np.take_along_axis(log, target[:, :, None], 2)[:, :, 0]
-        d_logit = np.exp(log)
-        np.put_along_axis(
-            d_logit, target[:, :, None], np.take_along_axis(d_logit, target[:, :, None], 2) - 1, 2
-        )
+        picked = np.take_along_axis(logit, target, 2)[:, :, 0] - np.log(total[:, :, 0])
+        d_logit = chance / total
+        np.put_along_axis(d_logit, target, np.take_along_axis(d_logit, target, 2) - 1, 2)
         d_logit *= (real / np.float32(n))[:, :, None]
         two = lambda a: a.reshape(-1, a.shape[-1])
         grad = {"out": two(k["top"]).T @ two(d_logit), "out_0": two(d_logit).sum(axis=0)}
@@ -211,36 +326,32 @@ class AttentionLayer:
         d_x = d_key @ p["key"].T + d_value @ p["value"].T
         d_x[:, CONTEXT:] += d_mixed + d_query @ p["query"].T
         grad["place"] = d_x.sum(axis=0)
-        for name, rows in (("id", k["bucket"]), ("class", k["kind"])):
-            grad[name] = np.zeros_like(p[name])
-            np.add.at(grad[name], rows.ravel(), two(d_x))
+        flat = two(d_x)
+        for i, name in enumerate(("first", "last", "kind")):
+            rows, size = inputs[i].ravel(), len(p[name])
+            grad[name] = np.stack([np.bincount(rows, flat[:, j], size) for j in range(DIM)], axis=1).astype(flat.dtype)
         return -float((picked * real).sum()) / n, grad
 
-    def train(self, given: np.ndarray, wanted: np.ndarray, of: np.ndarray, rate: float, rounds: int = 1) -> None:
-        adam, draw = Adam(self.p, rate), np.random.default_rng(len(given))
-        for _ in range(rounds):
-            order = draw.permutation(len(given))
-            for i in range(0, len(order), BATCH):
-                part = order[i : i + BATCH]
-                adam.move(self.gradients(given[part], wanted[part], of)[1])
-
-    def log10(self, given: np.ndarray, wanted: np.ndarray, classes: Classes) -> np.ndarray:
-        """log10 probability summed over each window."""
-        out = np.empty(len(given))
-        for i in range(0, len(given), 128):
-            some = wanted[i : i + 128]
+    def train(self, inputs: np.ndarray, wanted: np.ndarray, adam: Adam, draw: np.random.Generator) -> None:
+        """One step for each ``BATCH`` windows, in random order."""
+        order = draw.permutation(len(wanted))
+        for i in range(0, len(order), BATCH):
+            part = order[i : i + BATCH]
+            adam.move(self.gradients(inputs[:, part], wanted[part])[1])
+
+    def log10(self, inputs: np.ndarray, wanted: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of the wanted classes, summed over each window."""
+        out = np.empty(len(wanted))
+        for i in range(0, len(wanted), TOGETHER):
+            some = wanted[i : i + TOGETHER]
             real = some >= 0
-            log = self.forward(given[i : i + 128], classes.of)
-            picked = np.take_along_axis(log, np.where(real, classes.of[some], 0)[:, :, None], 2)[:, :, 0]
-            value = picked.astype(np.float64) / math.log(10) + classes.share[some]
-            out[i : i + 128] = np.where(real, value, 0).sum(axis=1)
-        return out
-
-
-#: 0 where a scored place may look, at itself and before; far below elsewhere.
-CAUSAL = np.where(
-    np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], np.float32(0), np.float32(-1e9)
-)
+            logit = self.forward(inputs[:, i : i + TOGETHER], tables)
+            picked = np.take_along_axis(logit, np.where(real, some, 0)[:, :, None], 2)[:, :, 0]
+            logit -= (top := logit.max(axis=2, keepdims=True))
+            np.exp(logit, out=logit)
+            value = picked - top[:, :, 0] - np.log(logit.sum(axis=2))
+            out[i : i + TOGETHER] = np.where(real, value, 0).sum(axis=1, dtype=np.float64)
+        return out / math.log(10)
 
 
 def held_out(key, folds: int, fold: int):
@@ -248,92 +359,216 @@ def held_out(key, folds: int, fold: int):
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(False))
 
 
-def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, c) over all texts: each task counts, handing on what it holds at ``COUNTED`` words."""
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts are worked on together; a very long text alone."""
+    sizes = [len(t.as_py() or "") for t in batch.column(column)]
+    for part in slices(list(range(batch.num_rows)), sizes, TEXT_BYTES):
+        yield batch.slice(part[0], len(part))
 
-    def run(batches):
-        counted: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counted.update(space_words(text.as_py()))
-                if len(counted) >= COUNTED:
-                    yield told(counted)
-                    counted = Counter()
-        yield told(counted)
 
-    def told(counted: Counter) -> pa.RecordBatch:
-        words = pa.array([w.decode("utf-8", "replace") for w in counted], pa.string())
-        return pa.RecordBatch.from_arrays(
-            [words, pa.array(list(counted.values()), pa.int64())], names=["word", "c"]
-        )
+def signs_of(words: list[bytes]) -> np.ndarray:
+    """The signature of each word alone: signs by the bits of its CRC32."""
+    bits = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    return ((bits[:, None] >> np.arange(SIGNATURE)) & 1) * 2.0 - 1.0
 
-    counted = arrow_map(texts.select(text_col), run, "word string, c long")
-    return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
+def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(word, c, s0, s1, ...): places of each word, and the summed mean signatures around them."""
+    names = [f"s{j}" for j in range(SIGNATURE)]
 
-def id_counts(counts: DataFrame, path: str) -> np.ndarray:
-    """Corpus count of every subword id, from the counts of words."""
+    def run(batches):
+        rows: dict[bytes, int] = {}
+        signs, counts, sums = np.zeros((0, SIGNATURE)), np.zeros(0, np.int64), np.zeros((0, SIGNATURE))
+        for batch in batches:
+            for part in text_slices(batch, 0):
+                split = [space_words(t) for t in part.column(0).to_pylist()]
+                new = sorted(set(itertools.chain.from_iterable(split)) - rows.keys())
+                rows.update(zip(new, range(len(rows), len(rows) + len(new))))
+                signs = np.concatenate([signs, signs_of(new)])
+                lengths = np.array([len(w) for w in split])
+                at = np.fromiter(map(rows.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lengths.sum()))
+                owner = np.repeat(np.arange(len(split)), lengths)
+                others = np.maximum(lengths - 1, 1)[owner]
+                grown = np.zeros((len(rows), SIGNATURE))
+                grown[: len(sums)] = sums
+                for j in range(SIGNATURE):
+                    own = signs[at, j]
+                    around = np.bincount(owner, own, len(split))[owner] - own
+                    grown[:, j] += np.bincount(at, around / others, len(rows))
+                sums, held = grown, counts
+                counts = np.bincount(at, minlength=len(rows))
+                counts[: len(held)] += held
+                if len(rows) >= COUNTED:
+                    yield told(rows, counts, sums)
+                    rows, signs = {}, np.zeros((0, SIGNATURE))
+                    counts, sums = np.zeros(0, np.int64), np.zeros((0, SIGNATURE))
+        yield told(rows, counts, sums)
+
+    def told(rows: dict[bytes, int], counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        words = pa.array([w.decode("utf-8", "replace") for w in rows], pa.string())
+        columns = [pa.array(sums[:, j].astype(np.float32)) for j in range(SIGNATURE)]
+        return pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64()), *columns], names=["word", "c", *names])
+
+    schema = "word string, c long, " + ", ".join(f"{n} float" for n in names)
+    counted = arrow_map(texts.select(text_col), run, schema).groupBy("word")
+    return counted.agg(F.sum("c").alias("c"), *[F.sum(n).cast("float").alias(n) for n in names])
+
+
+def cluster(signatures: np.ndarray, counts: np.ndarray, clusters: int) -> np.ndarray:
+    """The cluster of each row (most frequent rows first) by direction from the mean."""
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    means = signatures / counts[:, None]
+    means = means - np.average(means, axis=0, weights=counts)
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+    some, weight = unit[:CLUSTERED], np.sqrt(counts[:CLUSTERED])
+    centres = some[:1]
+    while len(centres) < min(clusters, len(some)):
+        centres = np.concatenate([centres, some[[((some @ centres.T).max(axis=1) * weight - 2 * weight).argmin()]]])
+    for _ in range(20):
+        near = (some @ centres.T).argmax(axis=1)
+        sums = np.stack([np.bincount(near, weight * some[:, j], len(centres)) for j in range(some.shape[1])], axis=1)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-9), centres)
+    return (unit @ centres.T).argmax(axis=1)
+
+
+def bands_of(topics: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Class of each row (most frequent first): topic, and band of about equal mass within it."""
+    kinds = topics * BANDS
+    for topic in range(TOPICS):
+        mine = np.flatnonzero(topics == topic)
+        mass = np.cumsum(counts[mine].astype(float))
+        if len(mine):
+            kinds[mine] += np.minimum((mass - counts[mine] / 2) * BANDS // mass[-1], BANDS - 1).astype(np.int64)
+    return kinds
+
+
+def make_lexicon(counts: DataFrame, ranks: bytes, top_words: int) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon of the most frequent words, and their counts."""
+    short = counts.where(F.octet_length("word") <= TOP_BYTES)
+    top = short.orderBy(F.desc("c"), "word").limit(top_words).toArrow()  # bounded by top_words
+    words = [w.encode() for w in top.column("word").to_pylist()]
+    c = top.column("c").to_numpy().astype(np.float64)
+    signatures = np.stack([top.column(f"s{j}").to_numpy() for j in range(SIGNATURE)], axis=1).astype(np.float64)
+    topics = cluster(signatures, c, TOPICS)
+    encode, size = subwords(ranks)
+    weight = np.full((size, TOPICS), 0.5)
+    ids = [encode(" " + w.decode()) for w in words]
+    for end in (0, -1):
+        np.add.at(weight, (np.array([i[end] for i in ids], np.int64), topics), np.sqrt(c))
+    topic_of = np.log(weight / weight.sum(axis=0))
+    return Lexicon(ranks, words, bands_of(topics, c), topic_of.astype(np.float32)), c
+
+
+def corpus_shape(counts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
+    """(uses, pairs, times, places, new) from all counted words.
+
+    ``uses`` counts each subword id in words, each word once, then beginnings and ends; ``pairs``
+    and ``times`` are the ``TOP_PAIRS`` most frequent pairs of neighbours. ``places`` are those of
+    words by class, and ``new`` the words that stand in one place, which tell how many new words
+    to expect.
+    """
+    size, classes = subwords(lexicon.ranks)[1], TOPICS * BANDS
 
     def run(batches):
-        coder, total = WordCoder(path), np.zeros(subwords(path)[2], np.int64)
+        lexicon.rows = {}
+        encode = subwords(lexicon.ranks)[0]
+        places, new, uses = np.zeros(classes), np.zeros(classes), np.zeros(size + 2)
+        pairs, times = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
-            words, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            coded = [coder.encode(" " + word) for word in words]
-            weights = np.repeat(np.array(times, np.float64), [len(ids) for ids in coded])
-            flat = np.fromiter((i for ids in coded for i in ids), np.int64, len(weights))
-            total += np.bincount(flat, weights=weights, minlength=len(total)).astype(np.int64)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "c"])
-
-    rows = arrow_map(counts.select("word", "c"), run, "id long, c long")
-    out = np.zeros(subwords(path)[2], np.float64)
-    for r in rows.groupBy("id").agg(F.sum("c").alias("c")).collect():  # at most the vocabulary
-        out[r.id] = r.c
-    return out
-
-
-def stacked_windows(texts: list[str | None], coder: WordCoder, end: int):
-    """(given, wanted, owner): the windows of many texts and which text each belongs to."""
-    parts = [windows_of([*coder.ids(space_words(t)), end]) for t in texts]
-    owner = np.repeat(np.arange(len(parts)), [len(g) for g, _ in parts])
-    if not parts:
-        return np.empty((0, WINDOW), np.int64), np.empty((0, SCORED), np.int64), owner
-    return np.concatenate([g for g, _ in parts]), np.concatenate([w for _, w in parts]), owner
-
-
-def fit_layer(texts: DataFrame, text_col: str, key: str, classes: Classes, path: str) -> AttentionLayer:
-    """The layer, fitted to a bounded sample on the driver and then by averaged replicas."""
-    end = subwords(path)[3]
-    layer = AttentionLayer(classes.prior)
-    rows = texts.select(F.xxhash64(key, text_col).alias("hash"), F.col(text_col).alias("text"))
-    rows = rows.where("text IS NOT NULL")
-    sample = rows.where(F.length("text") <= SAMPLE_CHARS).orderBy("hash", "text").limit(SAMPLE_TEXTS)
-    given, wanted, _ = stacked_windows([r.text for r in sample.collect()], WordCoder(path), end)
-    if len(given):
-        layer.train(given, wanted, classes.of, rate=0.005, rounds=3)
-    start = layer.flat()
+            words = [w.encode() for w in batch.column(0).to_pylist()]
+            if not words:
+                continue
+            c = batch.column(1).to_numpy()
+            at = lexicon.places([words])
+            kinds = lexicon.kind[at]
+            places += np.bincount(kinds, c, classes)
+            new += np.bincount(kinds[c == 1], minlength=classes)
+            met = id_pairs([encode(" " + w.decode("utf-8", "replace")) for w in words], size)[0]
+            uses += np.bincount(met % (size + 2), minlength=size + 2)
+            found, n = np.unique(met, return_counts=True)
+            pairs, back = np.unique(np.concatenate([pairs, found]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, n]))
+        for what, (keys, n) in enumerate([
+            *((np.flatnonzero(x), x[np.flatnonzero(x)]) for x in (uses, places, new)), (pairs, times),
+        ]):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), what), pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.float64())],
+                names=["what", "key", "n"],
+            )
+
+    rows = arrow_map(counts.select("word", "c"), run, "what int, key long, n double")
+    rows = store(rows.groupBy("what", "key").agg(F.sum("n").alias("n")), "lm-shape")
+    out = (np.zeros(size + 2), np.zeros(classes), np.zeros(classes))
+    whole = rows.where("what < 3").toArrow()  # no more than these arrays hold
+    what, key, n = (whole.column(c).to_numpy() for c in ("what", "key", "n"))
+    for i, found in enumerate(out):
+        found[key[what == i]] = n[what == i]
+    top = rows.where("what = 3").orderBy(F.desc("n"), "key").limit(TOP_PAIRS).toArrow()
+    return out[0], top.column("key").to_numpy(), top.column("n").to_numpy(), out[1], out[2]
+
+
+def stacked_windows(texts: list[str | None], lexicon: Lexicon):
+    """(rows of all words, words in each text, inputs, wanted, owner) of many texts."""
+    split = [space_words(t) for t in texts]
+    at = lexicon.places(split)
+    lengths = np.array([len(w) for w in split], np.int64)
+    windows = windows_of(lexicon.first[at], lexicon.last[at], lexicon.kind[at], lengths, TOPICS * BANDS)
+    return at, lengths, *windows
+
+
+def fit_layer(texts: DataFrame, text_col: str, key: str, lexicon: Lexicon, prior: np.ndarray) -> AttentionLayer:
+    """The layer, fitted to a bounded sample on the driver and then by averaged copies to all texts."""
+    layer = AttentionLayer(prior)
+    rows = texts.select(F.col(text_col).alias("text"))
+    order = F.xxhash64(key, text_col)
+    sample = texts.where(F.length(text_col) <= SAMPLE_CHARS).orderBy(order, text_col).limit(SAMPLE_TEXTS)
+    found = [r[0] for r in sample.select(text_col).collect()]
+    if found:
+        _, _, inputs, wanted, _ = stacked_windows(found, lexicon)
+        adam, draw = Adam(layer.p, 0.01), np.random.default_rng(7)
+        for _ in range(3):
+            layer.train(inputs, wanted, adam, draw)
+    sent = texts.sparkSession.sparkContext.broadcast((lexicon, layer.flat()))
 
     def run(batches):
-        coder, own, done = WordCoder(path), AttentionLayer(classes.prior), 0
+        from pyspark import TaskContext
+
+        known, start = sent.value
+        own, done = AttentionLayer(prior), 0
         own.load(start)
+        adam, draw = Adam(own.p, 0.002), np.random.default_rng(11)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200).column(1).to_pylist()
-                given, wanted, _ = stacked_windows(part, coder, end)
-                own.train(given, wanted, classes.of, rate=0.001)
-                done += len(given)
+            for part in text_slices(batch, 0):
+                _, _, inputs, wanted, _ = stacked_windows(part.column(0).to_pylist(), known)
+                own.train(inputs, wanted, adam, draw)
+                done += len(wanted)
         if done:
-            value = pa.array([own.flat()], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([done]), value], names=["n", "value"])
-
-    some = rows.where(F.pmod("hash", F.lit(TRAIN_EVERY)) == 0)
-    dealt = some.repartition(REPLICAS, F.xxhash64("hash")).select("hash", "text")
-    fitted = arrow_map(dealt, run, "n long, value array<float>")
-    fitted = fitted.select("n", F.posexplode("value").alias("at", "x")).groupBy("at")
-    mean = fitted.agg((F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n")).alias("x"))
-    found = mean.orderBy("at").collect()  # as many rows as the layer has numbers
-    if found:
-        layer.load(np.array([r.x for r in found]))
+            value = (own.flat().astype(np.float64) * done).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([done], pa.int64()), pa.array([value], pa.binary())],
+                names=["slot", "n", "value"],
+            )
+
+    def added(table: pa.Table) -> pa.Table:
+        """The sum of at most sixty-four copies."""
+        total = sum(np.frombuffer(v, np.float64) for v in table.column("value").to_pylist())
+        return pa.table({
+            "slot": pa.array([table.column("slot")[0].as_py() // 64], pa.int64()),
+            "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()),
+            "value": pa.array([total.tobytes()], pa.binary()),
+        })
+
+    schema = "slot long, n long, value binary"
+    copies = store(arrow_map(rows, run, schema), "lm-copies")
+    for _ in range(4):
+        if copies.limit(2).count() < 2:
+            break
+        copies = store(copies.groupBy(F.expr("slot div 64")).applyInArrow(added, schema), "lm-copies")
+    whole = copies.collect()
+    if whole:
+        layer.load(sum(np.frombuffer(r.value, np.float64) for r in whole) / sum(r.n for r in whole))
     return layer
 
 
@@ -347,6 +582,7 @@ def score_texts(
     top_words: int = TOP_WORDS,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document."""
+    ranks = read_ranks(path)
     aside = held_out(F.col(id_col), folds, fold)
     training = docs.where(~aside)
     counts = store(word_counts(training, text_col), "word-counts")
@@ -354,53 +590,74 @@ def score_texts(
     ends = training.count()
     total, distinct = n_words + ends, n_distinct + (ends > 0)
     floor = math.log10(total + distinct + 1)
-    short = counts.where(F.octet_length("word") <= TOP_BYTES)
-    top = short.orderBy(F.desc("c"), "word").limit(top_words).collect()
-    known = {r.word.encode(): math.log10(r.c + 1) for r in top}
-
-    id_count = id_counts(counts, path)
-    end = subwords(path)[3]
-    id_count[end] = ends
-    classes = Classes(id_count, subwords(path)[1])
-    layer = fit_layer(training, text_col, id_col, classes, path)
-    sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast((known, classes, layer))  # bounded by top_words, vocabulary and layer
-
-    def work(rows: dict[str, list], coder: list = []) -> dict[str, list]:
-        known, classes, layer = shipped.value
-        if not coder:
-            coder.append(WordCoder(path))
-        out: dict[str, list] = {name: [] for name in ("n_tokens", "n_top", "top_sum", "rare")}
-        for text in rows[text_col]:
-            words = space_words(text)
-            found = list(map(known.get, words))
-            rare = [w.decode("utf-8", "replace") for w, x in zip(words, found) if x is None]
-            out["n_tokens"].append(len(words) + 1)
-            out["n_top"].append(len(words) - len(rare))
-            out["top_sum"].append(math.fsum(x for x in found if x is not None))
-            out["rare"].append([{"word": w, "times": c} for w, c in Counter(rare).items()])
-        given, wanted, owner = stacked_windows(rows[text_col], coder[0], end)
-        sums = layer.log10(given, wanted, classes)
-        out["score"] = np.bincount(owner, weights=sums, minlength=len(rows[text_col])).tolist()
-        return out | {id_col: rows[id_col], "row": rows["row"], "aside": rows["aside"]}
+
+    lexicon, top_c = make_lexicon(counts, ranks, top_words)
+    uses, pairs, times, places, new = corpus_shape(counts, lexicon)
+    lexicon.spelling, lexicon.rows = Spelling(uses, pairs, times, lexicon.top, top_c), {}
+    left = new + 1.0  # what is kept for new words of a class
+    whole = places + left
+    prior = np.log(np.concatenate([whole, [ends + 1.0]]) / (whole.sum() + ends + 1.0))
+    layer = fit_layer(training, text_col, id_col, lexicon, prior)
+    lexicon.rows = {}
+    shares = (np.log10(left), np.log10(whole), np.log10(top_c + 1.0))
+    # Bounded by top_words, the vocabulary and the layer.
+    shipped = docs.sparkSession.sparkContext.broadcast((lexicon, layer, shares, top_c))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    numbered = docs.select(id_col, text_col, aside.alias("aside"))
-    numbered = numbered.withColumn("row", F.monotonically_increasing_id())
     schema = (
-        f"row long, {id_col} {kind}, aside boolean, n_tokens long, n_top long, top_sum double, "
-        "rare array<struct<word: string, times: long>>, score double"
+        f"row long, id {kind}, aside boolean, n_tokens long, n_top long, top_sum double, "
+        "rare array<struct<word: string, times: long, spelled: double, whole: double>>, score double"
     )
-    scored = store(map_rows(numbered, [id_col, text_col, "aside", "row"], schema, work), "lm-scores")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    met = rare.join(counts, "word").groupBy("row")
+    arrow = _arrow_schema(docs.sparkSession, schema)
+
+    def run(batches):
+        lexicon, layer, (left, whole, top_base), top_c = shipped.value
+        tables, n_top = layer.tables(), lexicon.n_top
+        top_share = None
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                at, lengths, inputs, wanted, owner = stacked_windows(part.column(1).to_pylist(), lexicon)
+                if top_share is None:
+                    k = lexicon.kind[:n_top]
+                    top_share = np.log10(top_c + 10.0 ** (left[k] + lexicon.spelled[:n_top])) - whole[k]
+                n = len(lengths)
+                score = np.bincount(owner, layer.log10(inputs, wanted, tables), n)
+                text = np.repeat(np.arange(n), lengths)
+                common = at < n_top
+                score += np.bincount(text[common], top_share[at[common]], n)
+                base = np.bincount(text[common], top_base[at[common]], n)
+                words = list(lexicon.rows)
+                rare: list[list[dict]] = [[] for _ in range(n)]
+                pairs, times = np.unique(text[~common] * len(words) + at[~common], return_counts=True)
+                places = pairs % max(len(words), 1)
+                k = lexicon.kind[places]
+                told = zip(
+                    (pairs // max(len(words), 1)).tolist(), places.tolist(), times.tolist(),
+                    (left[k] + lexicon.spelled[places]).tolist(), whole[k].tolist(),
+                )
+                for i, place, c, spelled, of_class in told:
+                    word = words[place].decode("utf-8", "replace")
+                    rare[i].append({"word": word, "times": c, "spelled": spelled, "whole": of_class})
+                yield pa.RecordBatch.from_arrays([
+                    part.column(3), part.column(0).cast(arrow.field(1).type), part.column(2),
+                    pa.array(lengths + 1), pa.array(np.bincount(text[common], minlength=n)), pa.array(base),
+                    pa.array(rare, arrow.field(6).type), pa.array(score),
+                ], schema=arrow)
+
+    numbered = docs.select(id_col, text_col, aside.alias("aside")).withColumn("row", F.monotonically_increasing_id())
+    scored = store(arrow_map(numbered, run, schema), "lm-scores")
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+    met = rare.join(counts.select("word", "c"), "word", "left").groupBy("row")
+    share = F.when(F.col("c").isNull(), F.col("spelled")).otherwise(F.log10(F.col("c") + F.pow(F.lit(10.0), "spelled")))
     met = met.agg(
-        F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_sum")
+        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
+        F.coalesce(F.sum(F.col("times") * F.log10(F.col("c") + 1)), F.lit(0.0)).alias("rare_sum"),
+        F.sum(F.col("times") * (share - F.col("whole"))).alias("rare_score"),
     )
     joined = scored.drop("rare").join(met, "row", "left")
     end_sum = math.log10(ends + 1)
     return joined.select(
-        id_col,
+        F.col("id").alias(id_col),
         F.col("aside").alias("held_out"),
         "n_tokens",
         (F.col("n_top") + F.coalesce("n_rare", F.lit(0)) + int(ends > 0)).alias("n_known"),
@@ -408,5 +665,5 @@ def score_texts(
         (
             F.col("top_sum") + F.coalesce("rare_sum", F.lit(0.0)) + end_sum - F.col("n_tokens") * floor
         ).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

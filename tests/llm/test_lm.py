@@ -5,8 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.llm import lm
+from tallymark.llm.toxicity import Adam
+
+RANKS = lm.read_ranks(lm.VOCABULARY_FILE)
+END = lm.TOPICS * lm.BANDS
 
 
 def brute_base(rows):
@@ -32,72 +37,178 @@ def test_base_against_brute_force(spark, sf, top):
         assert math.isfinite(r.score) and r.score < 0
 
 
-def test_windows_score_each_id_once():
-    for n in (1, 31, 32, 33, 100):
-        ids = list(range(10, 10 + n))
-        given, wanted = lm.windows_of(ids)
-        assert [x for w in wanted for x in w if x >= 0] == ids
-        for g, w in zip(given, wanted):
-            for i, x in enumerate(w):
-                if x >= 0:
-                    before = g[lm.CONTEXT + i]
-                    assert before == (-1 if x == 10 else x - 1)
+def test_windows_score_each_token_once():
+    lengths = np.array([0, 1, 19, 20, 21, 100])
+    n = int(lengths.sum())
+    kind = np.arange(n) % END
+    inputs, wanted, owner = lm.windows_of(np.arange(n), np.arange(n) + 5000, kind, lengths, END)
+    at = np.split(np.arange(n), np.cumsum(lengths)[:-1])
+    for i in range(len(lengths)):
+        mine = owner == i
+        assert wanted[mine][wanted[mine] >= 0].tolist() == [*kind[at[i]], END]
+        before = [lm.BUCKETS, *at[i]]
+        seen = [int(inputs[0, w, lm.CONTEXT + j]) for w in np.flatnonzero(mine) for j in range(lm.SCORED) if wanted[w, j] >= 0]
+        assert seen == before
+        for w in np.flatnonzero(mine)[1:]:
+            # Enough is in view before the first scored token of a later window.
+            assert (inputs[0, w, : lm.CONTEXT] != lm.BUCKETS + 1).all()
 
 
 def small_layer():
-    counts = np.ones(20)
-    begins = np.arange(20) % 2 == 0
-    classes = lm.Classes(counts, begins)
-    layer = lm.AttentionLayer(classes.prior)
+    layer = lm.AttentionLayer(np.log(np.full(END + 1, 1 / (END + 1))))
     layer.p = {k: v.astype(np.float64) for k, v in layer.p.items()}
-    return layer, classes
-
-
-def test_probabilities_sum_to_one_and_look_back_only():
-    layer, classes = small_layer()
-    draw = np.random.default_rng(1)
-    given, wanted = lm.windows_of(draw.integers(0, 19, 80).tolist())
-    log = layer.forward(given, classes.of)
-    assert np.allclose(np.exp(log).sum(axis=2), 1)
-    for c in set(classes.of):
-        assert abs((10 ** classes.share[classes.of == c]).sum() - 1) < 1e-9
-    later = given.copy()
-    later[:, 40:] = 3
-    assert np.allclose(layer.forward(later, classes.of)[:, : 40 - lm.CONTEXT], log[:, : 40 - lm.CONTEXT])
+    return layer
+
+
+def some_windows(seed, n):
+    draw = np.random.default_rng(seed)
+    buckets = draw.integers(0, lm.BUCKETS, (2, n))
+    return lm.windows_of(*buckets, draw.integers(0, END, n), np.array([n]), END)
+
+
+def test_forward_against_loops():
+    """One head, place by place, without tables or masks."""
+    layer, (inputs, wanted, _) = small_layer(), some_windows(1, 50)
+    p, logit = layer.p, layer.forward(inputs, layer.tables())
+    for w in range(len(inputs[0])):
+        x = [p["first"][a] + p["last"][b] + p["kind"][c] + p["place"][j] for j, (a, b, c) in enumerate(inputs[:, w].T)]
+        for s in range(lm.SCORED):
+            if wanted[w, s] < 0:
+                continue
+            here = lm.CONTEXT + s
+            seen = [j for j in range(here + 1) if inputs[0, w, j] != lm.BUCKETS + 1]
+            score = np.array([(x[here] @ p["query"]) @ (x[j] @ p["key"]) / math.sqrt(lm.DIM) for j in seen])
+            weight = np.exp(score) / np.exp(score).sum()
+            mixed = x[here] + sum(a * (x[j] @ p["value"]) for a, j in zip(weight, seen)) @ p["mix"]
+            top = mixed + np.maximum(mixed @ p["wide"] + p["wide_0"], 0) @ p["narrow"]
+            assert np.allclose(logit[w, s], top @ p["out"] + p["out_0"])
+    log = layer.log10(inputs, wanted, layer.tables())
+    chance = np.exp(logit) / np.exp(logit).sum(axis=2, keepdims=True)
+    slow = [sum(math.log10(chance[w, s, k]) for s, k in enumerate(wanted[w]) if k >= 0) for w in range(len(wanted))]
+    assert np.allclose(log, slow)
 
 
 def test_gradients_against_differences():
-    layer, classes = small_layer()
+    layer, (inputs, wanted, _) = small_layer(), some_windows(2, 70)
     draw = np.random.default_rng(2)
-    given, wanted = lm.windows_of(draw.integers(0, 19, 70).tolist())
-    _, grad = layer.gradients(given, wanted, classes.of)
-    for name in ("query", "key", "value", "mix", "wide", "narrow", "out", "class", "place"):
+    _, grad = layer.gradients(inputs, wanted)
+    assert set(grad) == set(layer.p)
+    for name in layer.p:
         for _ in range(4):
             at = tuple(draw.integers(0, s) for s in layer.p[name].shape)
+            if name in ("first", "last"):
+                at = (inputs[0 if name == "first" else 1].ravel()[at[0] % 60], at[1])
             losses = []
             for step in (1e-4, -2e-4):
                 layer.p[name][at] += step
-                losses.append(layer.gradients(given, wanted, classes.of)[0])
+                losses.append(layer.gradients(inputs, wanted)[0])
             layer.p[name][at] += 1e-4
             assert abs((losses[0] - losses[1]) / 2e-4 - grad[name][at]) < 2e-3
 
 
-def test_learns_beyond_class_shares(spark, sf):
-    """Held-out texts get a higher probability than from the corpus shares of ids alone."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    aside = docs.where(lm.held_out(docs.doc_id, 7, 2))
+def test_a_layer_learns_an_order():
+    n = 4000
+    kind = np.arange(n) % 7
+    inputs, wanted, _ = lm.windows_of(kind, kind, kind, np.array([n]), END)
+    layer = lm.AttentionLayer(np.log(np.full(END + 1, 1 / (END + 1))))
+    adam, draw = Adam(layer.p, 0.01), np.random.default_rng(1)
+    for _ in range(40):
+        layer.train(inputs, wanted, adam, draw)
+    assert layer.log10(inputs, wanted, layer.tables()).sum() / n > math.log10(0.8)
+
+
+def parts(docs, top_words):
+    """The model in parts, and the counts of training words, by the module's own steps."""
     training = docs.where(~lm.held_out(docs.doc_id, 7, 2))
-    path = lm.VOCABULARY_FILE
-    counts = lm.id_counts(lm.word_counts(training, "text"), path)
-    end = lm.subwords(path)[3]
-    counts[end] = training.count()
-    classes = lm.Classes(counts, lm.subwords(path)[1])
-    layer = lm.fit_layer(training, "text", "doc_id", classes, path)
-    texts = [r.text for r in aside.collect()]
-    given, wanted, _ = lm.stacked_windows(texts, lm.WordCoder(path), end)
-    ids = wanted[wanted >= 0]
-    shares = (classes.share[ids] + classes.prior[classes.of[ids]] / math.log(10)).sum()
-    assert layer.log10(given, wanted, classes).sum() > shares + 0.05 * len(ids)
+    counts = lm.store(lm.word_counts(training, "text"), "counts")
+    lexicon, top_c = lm.make_lexicon(counts, RANKS, top_words)
+    uses, pairs, times, places, new = lm.corpus_shape(counts, lexicon)
+    lexicon.spelling, lexicon.rows = lm.Spelling(uses, pairs, times, lexicon.top, top_c), {}
+    return training, {r.word: r.c for r in counts.collect()}, lexicon, places, new
+
+
+def test_counts_and_shape_against_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    training, counts, lexicon, places, new = parts(docs, 300)
+    texts = [lm.space_words(r.text) for r in training.collect()]
+    assert counts == {w.decode(): c for w, c in Counter(w for t in texts for w in t).items()}
+    words = [w.encode() for w in counts]
+    kinds = lexicon.kind[at] if len(at := lexicon.places([words])) else None
+    slow_places, slow_new = np.zeros(END), np.zeros(END)
+    for w, k in zip(words, kinds):
+        slow_places[k] += counts[w.decode()]
+        slow_new[k] += counts[w.decode()] == 1
+    assert (places == slow_places).all() and (new == slow_new).all()
+    sums = np.zeros(lm.SIGNATURE)
+    word = lexicon.top[0]
+    for t in texts:
+        if word in t:
+            signs = lm.signs_of(t)
+            own = lm.signs_of([word])[0]
+            sums += t.count(word) * (signs.sum(axis=0) - own) / max(len(t) - 1, 1)
+    row = lm.word_counts(training, "text").where(F.col("word") == word.decode()).first()
+    assert np.allclose([row[f"s{j}"] for j in range(lm.SIGNATURE)], sums, rtol=1e-3, atol=1e-2)
+
+
+def test_shares_sum_to_one_at_most():
+    encode, size = lm.subwords(RANKS)
+    words = [b"the", b"then", b"there,", b"(the", b"a", b"an", "ê".encode()]
+    uses, met = np.zeros(size + 2), Counter()
+    for w in words:
+        ids = [size, *encode(" " + w.decode()), size + 1]
+        for a, b in zip(ids, ids[1:]):
+            uses[b] += 1
+            met[a * (size + 2) + b] += 1
+    some = sorted(met)[:6]  # the others follow the second id alone
+    spelling = lm.Spelling(uses, np.array(some), np.array([float(met[p]) for p in some]), words, np.arange(1.0, 8.0))
+    assert abs(spelling.alone.sum() - 1) < 1e-9
+    for before in {p // (size + 2) for p in met}:
+        told = {p % (size + 2): met[p] for p in some if p // (size + 2) == before}
+        whole = sum(told.values()) + spelling.rest[before] * spelling.alone.sum()
+        assert abs(whole / spelling.after[before] - 1) < 1e-9
+    assert np.allclose((10.0**spelling.marks).sum(axis=1), 1)
+    pair, owner = lm.id_pairs([encode(" " + w.decode()) for w in words], size)
+    assert Counter(pair.tolist()) == met and owner.tolist() == sorted(owner.tolist())
+    # Known words with marks are likelier than strange ones.
+    tops = {w: i for i, w in enumerate(words)}
+    near, strange = spelling.chances([b"the,", b"xqj,"], [encode(" the,"), encode(" xqj,")], tops)
+    assert near > strange
+
+
+@pytest.mark.parametrize("top", [100, 200_000])
+def test_scores_against_a_plain_sum(spark, sf, top):
+    """Class by class from the layer, share by share from counts, without the join."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    training, counts, lexicon, places, new = parts(docs, top)
+    left, ends = new + 1.0, training.count()
+    whole = places + left
+    prior = np.log(np.concatenate([whole, [ends + 1.0]]) / (whole.sum() + ends + 1.0))
+    layer = lm.fit_layer(training, "text", "doc_id", lexicon, prior)
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, top_words=top).collect()}
+    for row in docs.limit(40).collect():
+        at, lengths, inputs, wanted, _ = lm.stacked_windows([row.text], lexicon)
+        want = layer.log10(inputs, wanted, layer.tables()).sum()
+        for word, i in zip(lm.space_words(row.text), at):
+            k = lexicon.kind[i]
+            want += math.log10((counts.get(word.decode(), 0) + left[k] * 10.0 ** lexicon.spelled[i]) / whole[k])
+        assert abs(got[row.doc_id] - want) < 1e-4 * abs(want)
+
+
+def test_beats_its_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    aside = lm.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert aside[0] / aside[2] > aside[1] / aside[2] + 0.05
+
+
+def test_every_text_trains_the_layer(spark):
+    """Copies of many tasks are averaged by their windows."""
+    rows = [(i, " ".join("abcdefg"[(i + j) % 7] * 3 for j in range(200))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(130)
+    training, _, lexicon, places, new = parts(docs, 100)
+    prior = np.log(np.full(END + 1, 1 / (END + 1)))
+    layer = lm.fit_layer(training, "text", "doc_id", lexicon, prior)
+    _, lengths, inputs, wanted, _ = lm.stacked_windows([r[1] for r in rows[:20]], lexicon)
+    assert layer.log10(inputs, wanted, layer.tables()).sum() / lengths.sum() > math.log10(0.5)
 
 
 def test_odd_rows(odd, none):
@@ -107,3 +218,8 @@ def test_odd_rows(odd, none):
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(math.isfinite(g[6]) for g in got)
     assert lm.score_texts(none).count() == 0
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one two two"), ("b", None), (None, "three")], "doc_id string, text string")
+    assert {r.doc_id: r.n_tokens for r in lm.score_texts(docs).collect()} == {"a": 4, "b": 1, None: 2}
