@@ -30,5 +30,5 @@ def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "line_dedup", "near_dedup", "decontamination", "mixing",
     ]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
