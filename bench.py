@@ -52,6 +52,14 @@ HEADLINE = (
     "evaluate_documents",
     "train_minus_eval",
     "legacy_sample",
+    "leak_near_crowded",
+    "leak_verdict",
+    "manifest_bad_lines",
+    "annotation_read",
+    "file_digests",
+    "latency_percentiles",
+    "evaluate_forgery_domains",
+    "evaluate_documents_breakdown",
 )
 
 
