@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ def fatal_rows_listed(findings: DataFrame, order: Sequence[str] = ("id", "reason
     """
     try:
         yield
-    except PySparkException as error:
+    except (PySparkException, Py4JError) as error:
         if FATAL_MARK not in str(error):
             raise
         abort_on_fatal(findings, order)
