@@ -204,7 +204,7 @@ def _(spark, folder):
     swept = sweep.threshold_sweep(rows)
     # The same scores as similarities of pairs, judged on sensitivity and accuracy.
     as_pairs = rows.select(
-        F.lit("only").alias("backend"), (F.col("label") == 1).alias("same"), F.col("score").alias("similarity")
+        F.when(F.col("id").isNotNull(), "only").alias("backend"), (F.col("label") == 1).alias("same"), F.col("score").alias("similarity")
     )
     out = reporting.gate_summary(
         spark,
