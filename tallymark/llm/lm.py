@@ -95,6 +95,10 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"rows": {}}
 
+    def without_spelling(self) -> Lexicon:
+        """The same words; what they cost to spell is not worked out."""
+        return Lexicon(self.ranks, self.top, self.top_kinds, self.topic_of)
+
     def places(self, texts: list[list[bytes]]) -> np.ndarray:
         """The rows of all words of the texts, one after the other; words not known yet are added."""
         words = set(itertools.chain.from_iterable(texts))
@@ -227,6 +231,11 @@ CAUSAL = np.where(
 )
 
 
+def times(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``a @ weights`` as one product of two matrices, not one for each window."""
+    return (a.reshape(-1, a.shape[-1]) @ weights).reshape(*a.shape[:-1], weights.shape[1])
+
+
 class AttentionLayer:
     """Causal self-attention and feed forward over windows; predicts the class of each wanted token."""
 
@@ -285,13 +294,13 @@ class AttentionLayer:
         np.exp(score, out=score)
         score /= score.sum(axis=2, keepdims=True)
         seen = score @ value
-        mixed = late + seen @ p["mix"]
-        wide = np.maximum(mixed @ p["wide"] + p["wide_0"], 0)
-        top = mixed + wide @ p["narrow"]
+        mixed = late + times(seen, p["mix"])
+        wide = np.maximum(times(mixed, p["wide"]) + p["wide_0"], 0)
+        top = mixed + times(wide, p["narrow"])
         if keep is not None:
             keep.update(x=x[:, :, :DIM], late=late, query=query, key=key, value=value)
             keep.update(score=score, seen=seen, mixed=mixed, wide=wide, top=top)
-        return top @ p["out"] + p["out_0"]
+        return times(top, p["out"]) + p["out_0"]
 
     def gradients(self, inputs: np.ndarray, wanted: np.ndarray):
         """(mean loss, gradients) of the class log likelihood."""
@@ -309,13 +318,13 @@ class AttentionLayer:
         d_logit *= (real / np.float32(n))[:, :, None]
         two = lambda a: a.reshape(-1, a.shape[-1])
         grad = {"out": two(k["top"]).T @ two(d_logit), "out_0": two(d_logit).sum(axis=0)}
-        d_top = d_logit @ p["out"].T
+        d_top = times(d_logit, p["out"].T)
         grad["narrow"] = two(k["wide"]).T @ two(d_top)
-        d_wide = (d_top @ p["narrow"].T) * (k["wide"] > 0)
+        d_wide = times(d_top, p["narrow"].T) * (k["wide"] > 0)
         grad["wide"], grad["wide_0"] = two(k["mixed"]).T @ two(d_wide), two(d_wide).sum(axis=0)
-        d_mixed = d_top + d_wide @ p["wide"].T
+        d_mixed = d_top + times(d_wide, p["wide"].T)
         grad["mix"] = two(k["seen"]).T @ two(d_mixed)
-        d_seen = d_mixed @ p["mix"].T
+        d_seen = times(d_mixed, p["mix"].T)
         d_weight = d_seen @ k["value"].transpose(0, 2, 1)
         d_value = k["score"].transpose(0, 2, 1) @ d_seen
         d_score = k["score"] * (d_weight - (d_weight * k["score"]).sum(axis=2, keepdims=True))
@@ -323,8 +332,8 @@ class AttentionLayer:
         d_query, d_key = d_score @ k["key"], d_score.transpose(0, 2, 1) @ k["query"]
         grad["query"] = two(k["late"]).T @ two(d_query)
         grad["key"], grad["value"] = two(k["x"]).T @ two(d_key), two(k["x"]).T @ two(d_value)
-        d_x = d_key @ p["key"].T + d_value @ p["value"].T
-        d_x[:, CONTEXT:] += d_mixed + d_query @ p["query"].T
+        d_x = times(d_key, p["key"].T) + times(d_value, p["value"].T)
+        d_x[:, CONTEXT:] += d_mixed + times(d_query, p["query"].T)
         grad["place"] = d_x.sum(axis=0)
         flat = two(d_x)
         for i, name in enumerate(("first", "last", "kind")):
@@ -391,10 +400,11 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
                 others = np.maximum(lengths - 1, 1)[owner]
                 grown = np.zeros((len(rows), SIGNATURE))
                 grown[: len(sums)] = sums
+                share = 1.0 / others
                 for j in range(SIGNATURE):
-                    own = signs[at, j]
-                    around = np.bincount(owner, own, len(split))[owner] - own
-                    grown[:, j] += np.bincount(at, around / others, len(rows))
+                    own = signs[:, j][at]
+                    around = (np.bincount(owner, own, len(split))[owner] - own) * share
+                    grown[:, j] += np.bincount(at, around, len(rows))
                 sums, held = grown, counts
                 counts = np.bincount(at, minlength=len(rows))
                 counts[: len(held)] += held
@@ -520,7 +530,7 @@ def stacked_windows(texts: list[str | None], lexicon: Lexicon):
 
 def fit_layer(texts: DataFrame, text_col: str, key: str, lexicon: Lexicon, prior: np.ndarray) -> AttentionLayer:
     """The layer, fitted to a bounded sample on the driver and then by averaged copies to all texts."""
-    layer = AttentionLayer(prior)
+    layer, lexicon = AttentionLayer(prior), lexicon.without_spelling()
     rows = texts.select(F.col(text_col).alias("text"))
     order = F.xxhash64(key, text_col)
     sample = texts.where(F.length(text_col) <= SAMPLE_CHARS).orderBy(order, text_col).limit(SAMPLE_TEXTS)
@@ -621,11 +631,12 @@ def score_texts(
                     k = lexicon.kind[:n_top]
                     top_share = np.log10(top_c + 10.0 ** (left[k] + lexicon.spelled[:n_top])) - whole[k]
                 n = len(lengths)
-                score = np.bincount(owner, layer.log10(inputs, wanted, tables), n)
+                score = np.bincount(owner, layer.log10(inputs, wanted, tables), n).astype(np.float64)
                 text = np.repeat(np.arange(n), lengths)
                 common = at < n_top
                 score += np.bincount(text[common], top_share[at[common]], n)
-                base = np.bincount(text[common], top_base[at[common]], n)
+                # Without a word there is nothing to add up, and numpy counts in whole numbers.
+                base = np.bincount(text[common], top_base[at[common]], n).astype(np.float64)
                 words = list(lexicon.rows)
                 rare: list[list[dict]] = [[] for _ in range(n)]
                 pairs, times = np.unique(text[~common] * len(words) + at[~common], return_counts=True)

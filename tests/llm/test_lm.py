@@ -223,3 +223,5 @@ def test_odd_rows(odd, none):
 def test_string_ids(spark):
     docs = spark.createDataFrame([("a", "one two two"), ("b", None), (None, "three")], "doc_id string, text string")
     assert {r.doc_id: r.n_tokens for r in lm.score_texts(docs).collect()} == {"a": 4, "b": 1, None: 2}
+    alone = lm.score_texts(docs.where("doc_id = 'b'").repartition(1)).first()
+    assert alone.n_tokens == 1 and math.isfinite(alone.score)
