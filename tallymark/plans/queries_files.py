@@ -310,7 +310,9 @@ def annotated(spark, folder) -> tuple[DataFrame, DataFrame]:
         raw.alias("text"),
     )
     # Parsed once; finding each image's entry and summing up its regions read the rows again.
-    entries = annotation_entries(rows.select("annotation", "text"), ["annotation"])
+    # Dealt out first, as a small compressed file holds many texts.
+    dealt = rows.select("annotation", "text").repartition("annotation")
+    entries = annotation_entries(dealt, ["annotation"])
     return materialize(explode_regions(entries, ["annotation"])), rows.drop("text")
 
 

@@ -73,6 +73,8 @@ def entry_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
     An entry belongs to an image when its base name starts with the image's index, which its file
     name and ``code/name`` spellings do too; the first such entry counts. Entries are looked up by
     the prefixes of their names, so a file with many images is not paired with each of them.
+    Neither side is bounded, so the join is a shuffled one: a broadcast would be chosen by the size
+    of compressed files, and its rows gathered in the driver.
     """
     base = base_name(F.col("file"))
     prefixes = F.transform(
@@ -89,21 +91,21 @@ def entry_for_image(regions: DataFrame, images: DataFrame) -> DataFrame:
         .groupBy("annotation", "idx")
         .agg(F.min("entry").alias("entry"))
     )
-    return images.join(first, ["annotation", "idx"], "left")
+    return images.join(first.hint("merge"), ["annotation", "idx"], "left")
 
 
 def for_images(regions: DataFrame, images: DataFrame, summary) -> DataFrame:
     """``summary(regions, keys, ordinal)`` of each image's own entry, or of its whole file.
 
     An image without an entry shares what its file's regions say together. They are summed up
-    once per entry and once per file, and images join the one row that is theirs.
+    once per entry and once per file, and images join the one row that is theirs, by shuffles.
     """
     placed = entry_for_image(regions, images)
     named = regions.where(F.col("ordinal").isNotNull()).withColumn("_order", F.struct("entry", "ordinal"))
     own = placed.where(F.col("entry").isNotNull()).join(
-        summary(named, ["annotation", "entry"], "_order"), ["annotation", "entry"]
+        summary(named, ["annotation", "entry"], "_order").hint("merge"), ["annotation", "entry"]
     )
     lacking = placed.where(F.col("entry").isNull()).drop("entry")
-    files = named.join(lacking.select("annotation").distinct(), "annotation", "left_semi")
-    shared = lacking.join(summary(files, ["annotation"], "_order"), "annotation")
+    files = named.join(lacking.select("annotation").distinct().hint("merge"), "annotation", "left_semi")
+    shared = lacking.join(summary(files, ["annotation"], "_order").hint("merge"), "annotation")
     return own.drop("entry").unionByName(shared)

@@ -156,6 +156,21 @@ def test_annotation_files_in_both_layouts(spark, tmp_path):
     assert boxes == {"00": [1, 2, 9, 7], "99": [1, 2, 9, 7]}
 
 
+def test_image_joins_gather_no_side_in_the_driver(spark):
+    """Small by the size of its files, an image list may hold many rows: no join broadcasts it."""
+    entry, one = F.col("id").cast("int").alias("entry"), F.expr("concat('f', id div 100)").alias("annotation")
+    regions = spark.range(3).select(
+        one, entry, F.format_string("%d.jpg", "id").alias("file"), F.lit(0).alias("ordinal"),
+        F.lit(None).cast("string").alias("shape"), F.create_map(F.lit("name"), F.lit("n"), F.lit("value"), entry.cast("string")).alias("attrs"),
+    )
+    images = spark.range(1, 10, 8).select(
+        one, F.lit("c").alias("code"), F.col("id").cast("string").alias("idx"), F.lit("x").alias("filename")
+    )
+    built = an.image_fields(regions, images)
+    assert "Broadcast" not in built._jdf.queryExecution().executedPlan().toString()
+    assert {r.idx: r.fields for r in built.collect()} == {"1": {"n": "1"}, "9": {"n": "2"}}
+
+
 def test_annotation_oddities(spark, tmp_path):
     """Entries keep the file's order, other fields and kinds do no harm, broken files give no rows."""
     text = json.dumps({"_via_settings": {"x": [1]}, "_via_img_metadata": {
