@@ -123,6 +123,15 @@ def test_crowded_keys_go_down_a_trie(spark, crowded):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("crowded", [1, 1 << 16])
+def test_near_pairs_gather_no_side_in_the_driver(spark, crowded):
+    """Hashes, keys and trie nodes grow with the data: no join broadcasts them, however small they seem."""
+    side = spark.range(40).select(F.concat(F.lit("p"), "id").alias("path"), F.col("id").alias("phash"))
+    pairs = lk.near_hash_pairs(side, side, distance=1, bands=3, crowded=crowded)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == sum(gap(a, b) <= 1 for a in range(40) for b in range(40))
+
+
 def test_trie_nodes_stay_within_their_bound(spark):
     """Comparisons of the pairs of nodes that are joined, counted: none above the bound."""
     train = [i for i in range(600)]
