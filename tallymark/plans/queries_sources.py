@@ -14,11 +14,22 @@ from tallymark.sources import annotations, files, logs, manifests, receipts, sin
 def written(rows: DataFrame, key: str, order: list[str], purpose: str) -> str:
     """Text files of the column ``value``, one below the folder of each key, lines in order; their root."""
     root = fresh_path(rows.sparkSession, purpose)
-    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    dealt = rows.repartition(sort_tasks(rows, key), key).sortWithinPartitions(key, *order)
     dealt.select(key, "value").write.partitionBy(key).text(root)
     return root
 
 
+#: Rows that a task sorts, unless a key alone has more.
+SORTED = 20_000
+
+
+def sort_tasks(rows: DataFrame, key: str) -> int:
+    """Tasks that sort the rows by key: as many as the rows need, as no fixed number of them stays
+    small, and one for each key at most. Runs a job over the key."""
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("keys")).first()
+    return max(1, min(told["keys"], -(-told["n"] // SORTED)))
+
+
 def folder_of(path: str | Column, key: str) -> Column:
     """The key of the folder that a file lies in."""
     return F.regexp_extract(path, rf"{key}=([^/]*)/", 1)

@@ -299,3 +299,16 @@ def test_bad_lines_by_number(spark, tmp_path):
     assert sorted((r.manifest.rsplit("/", 1)[1], r.line, r.reason) for r in found) == sorted(wanted)
     with pytest.raises(manifests.ManifestError, match=r"m0.jsonl:2: not an object: null"):
         manifests.manifest_read(spark, str(tmp_path / "many" / "m0.jsonl"), schemas.FORGERY_MANIFEST, shown=3)
+
+
+def test_files_are_sorted_by_as_many_tasks_as_rows_need(spark):
+    """More tasks than the session's eight, each key in one file, lines in order."""
+    from pathlib import Path
+
+    from tallymark.plans.queries_sources import written
+
+    rows = spark.range(400_000).select(F.expr("id % 90").alias("part"), "id", F.col("id").cast("string").alias("value"))
+    found = sorted(Path(written(rows, "part", ["id"], "sorted").removeprefix("file:")).glob("part=*/part-*"))
+    assert len(found) == 90 and len({f.name.split("-")[1] for f in found}) > 8
+    lines = [int(x) for x in found[0].read_text().split()]
+    assert lines == sorted(lines) and len(lines) in (4444, 4445)
