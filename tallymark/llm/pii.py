@@ -7,21 +7,21 @@
    the loose spans of a corpus, so boosted depth-two trees learn from its strict ones: those that
    pass, rewritten into each loose form in their own context, are the positives; those that fail,
    rewritten alike, and the loose spans found as they are, are the others. The few true ones among
-   the latter are what is to be found: they look like the positives and unlike their fellows. The
-   sample is bounded per kind; each level of a tree is one aggregation to gradient sums per feature
-   and value.
-4. On the part of the sample that no tree has seen, the least score whose precision is high enough
-   becomes the threshold of the kind. Loose candidates above it whose plain form (marks undone)
+   the latter are what is to be found: they look like the positives and unlike their fellows. All
+   candidates count, as rows of equal features with their numbers; each level of a tree is one
+   aggregation to gradient sums per feature and value.
+4. On the fifth of the candidates that no tree has seen, the least score whose precision is high
+   enough becomes the threshold of the kind. Loose candidates above it whose plain form (marks undone)
    passes the kind's check are added to the base spans.
 
 Texts are read once. What is shuffled are candidates, a few dozen characters each, by a number of
-their row, so that equal ids do not meet and no id is hot. Building runs jobs: candidates and the
-sample are written, and each tree takes two.
+their row, so that equal ids do not meet and no id is hot. Building runs jobs: candidates and their
+counted features are written, and each tree takes two.
 
 Defined cases: a null or empty text has no spans; texts of any length are searched whole. Repeated
-rows and rows without an id each keep a row. Candidates of equal hash are put in order by row and
-place. Extra columns are not read, whatever their names. Patterns repeat groups possessively, so that runs of any
-length need no stack. With an empty table, or a sample of one class, nothing is added.
+rows and rows without an id each keep a row. Gradients are added as whole numbers, so their order
+does not matter. Extra columns are not read, whatever their names. Patterns repeat groups possessively, so that runs of any
+length need no stack. With an empty table, or candidates of one class, nothing is added.
 """
 
 from __future__ import annotations
@@ -77,11 +77,11 @@ CONTEXT = {
     "secret": r"(?i)(?:token|secret|passw|key|auth)",
 }
 
-#: Most candidates of a kind that the trees are fitted to: loose ones, and strict ones to rewrite.
-SAMPLE = 4_000
 TREES = 8
 RATE = 0.5
 PRECISION = 0.9
+#: Parts of one in which gradients are added.
+GRAIN = 1_000_000
 
 
 def proposals(text: Column, generator: str, kind: str, pattern: str, guard: str | None) -> Column:
@@ -281,21 +281,22 @@ def _best_split(sums: list[tuple[str, int, float, float]]) -> tuple[float, tuple
 
 def fit_trees(sample: DataFrame, names: list[str], trees: int, rate: float) -> list[Tree]:
     """Gradient boosting for the logistic loss; ``sample``: features, ``label``, ``n`` rows alike."""
+    whole = lambda column: F.round(column * GRAIN).cast("decimal(38,0)")
     out: list[Tree] = []
 
     def sums(score: Column, side: Column) -> dict[int, list[tuple[str, int, float, float]]]:
         chance = 1 / (1 + F.exp(-score))
         told = sample.select(
             side.alias("side"),
-            (F.col("n") * (F.col("label") - chance)).alias("g"),
-            (F.col("n") * chance * (1 - chance)).alias("h"),
+            whole(F.col("n") * (F.col("label") - chance)).alias("g"),
+            whole(F.col("n") * chance * (1 - chance)).alias("h"),
             F.explode(
                 F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).cast("int").alias("value")) for x in names))
             ).alias("f"),
         )
         found: dict[int, list] = {0: [], 1: []}
         for r in told.groupBy("side", "f.name", "f.value").agg(F.sum("g"), F.sum("h")).collect():
-            found[r[0]].append(tuple(r[1:]))
+            found[r[0]].append((r[1], r[2], float(r[3]) / GRAIN, float(r[4]) / GRAIN))
         return found
 
     for _ in range(trees):
@@ -341,37 +342,30 @@ def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_size: int = SAMPLE,
     trees: int = TREES,
     rate: float = RATE,
     precision: float = PRECISION,
 ) -> DataFrame:
     """(id, spans array<struct<start, order, kind, end, base, score>>), a row per document, in order.
 
-    The sample is the ``sample_size`` loose candidates of least hash of each kind, and as many
-    strict ones, each in all its loose forms; a fifth of it sets the thresholds.
+    The trees learn from all loose candidates and all strict ones, each of these in all its loose
+    forms; a fifth of both sets the thresholds instead.
     """
     rows, found = candidates(docs, id_col, text_col)
     base = F.col("strict") & passes(F.col("name"), F.col("match"))
     found = store(found.withColumnRenamed("kind", "name").withColumn("base", base), "pii-candidates")
     parts = features(F.col("name"), F.col("match"), F.col("before"), F.col("after"))
     hashed = found.withColumn("hash", F.xxhash64("row", "name", "start"))
-    least_first = W.partitionBy("name").orderBy("hash", "row", "start", "end")
-
-    def some(of: DataFrame) -> DataFrame:
-        """The candidates of least hash of each kind; tasks keep no more than those."""
-        return of.withColumn("turn", F.row_number().over(least_first)).where(F.col("turn") <= sample_size).drop("turn")
-
     hexes = F.col("match").rlike(r"[0-9]") & F.col("match").rlike(r"[A-Za-z]") & (F.length("match") >= 20)
-    natural = some(hashed.where("NOT strict")).withColumn("label", ((F.col("name") == "secret") & hexes).cast("int"))
+    natural = hashed.where("NOT strict").withColumn("label", ((F.col("name") == "secret") & hexes).cast("int"))
     forms = loose_forms(F.col("name"), F.col("match"))
-    rewritten = some(hashed.where("strict")).withColumn("label", F.col("base").cast("int")).withColumn(
+    rewritten = hashed.where("strict").withColumn("label", F.col("base").cast("int")).withColumn(
         "match", F.explode(forms)
     )
     sample = natural.unionByName(rewritten).withColumn("unseen", F.pmod("hash", F.lit(5)) == 0)
     sample = sample.select("unseen", "label", *(column.alias(name) for name, column in parts.items()))
     sample = sample.groupBy("unseen", "label", *parts).agg(F.count("*").alias("n"))
-    sample = store(sample.coalesce(1), "pii-sample")
+    sample = store(sample, "pii-features")
     names = list(parts)
     model = fit_trees(sample.where("NOT unseen"), names, trees, rate)
     raw = reduce(lambda a, t: a + t.score(), model, F.lit(0.0))

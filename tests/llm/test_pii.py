@@ -160,3 +160,21 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count()
     assert all(tuple(r)[1:6] == brute(texts[r.doc_id])[0] for r in got if r.doc_id is not None)
     assert find_personal_data(none).count() == 0
+
+
+def test_every_candidate_reaches_the_trees_and_thresholds(spark, monkeypatch):
+    seen = []
+    fit = pii.fit_trees
+
+    def counted(sample, *more):
+        whole = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in sample.inputFiles()})
+        seen.append({r.kind: r.n for r in whole.groupBy("kind").agg(F.sum("n").alias("n")).collect()})
+        return fit(sample, *more)
+
+    monkeypatch.setattr(pii, "fit_trees", counted)
+    texts = [f"the host 10.{i % 200}.{i // 200}.1 and 10[.]{i % 200}[.]{i // 200}[.]1 here" for i in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = find_personal_data(docs)
+    # Each strict address in four forms, and each loose one.
+    assert seen[0][pii.KINDS.index("ip")] == 5 * len(texts)
+    assert found.count() == len(texts)
