@@ -47,9 +47,11 @@ SEED = 42
 BLOCK = 2048
 #: Least shingle hashes of a text that are keys.
 SKETCH = 16
-#: Shingles of so many of one text in ``HOT_EVERY`` are kept apart in the sketches, the commonest
-#: ``HOT_MOST`` at most. Which these are changes the cost only.
+#: Shingles held by ``HOT_EVERY * HOT_LEAST`` texts or more are kept apart in the sketches, the
+#: commonest ``HOT_MOST`` at most; buckets of the others are cut into chunks like any.
 HOT_EVERY, HOT_LEAST, HOT_MOST = 32, 16, 100_000
+#: Shingle hashes that a task adds up before it hands them on, and parts of them by leading bits.
+HELD, PART_BITS = 1 << 21, 12
 #: Shingles of a chunk of a candidate component.
 CHUNK = 250_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -392,17 +394,71 @@ def confirm_links(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def hot_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted hashes of shingles that many texts hold, as a part of the texts shows; ``texts``:
-    (text, digest)."""
+    """Sorted hashes of shingles that many texts hold, counted over all texts; ``texts``: (text, ...).
 
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        sets = [np.unique(shingle_hashes(text, shingle)) for text in rows["text"]]
-        return {"hash": [found.view(np.int64) for found in sets]}
+    Tasks add up hashes and shuffle them as sorted arrays by their leading bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        fill = 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(np.unique(shingle_hashes(text.as_py(), shingle)))
+                fill += len(held[-1])
+                if fill >= HELD:
+                    yield told(held)
+                    held, fill = [], 0
+        if fill:
+            yield told(held)
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+        parts = (hashes >> np.uint64(64 - PART_BITS)).astype(np.int32)
+        starts = np.flatnonzero(np.diff(parts, prepend=-1))
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(hashes)]))
+        counts = counts.astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(parts[starts]), pa.array([hashes[i:j].tobytes() for i, j in spans], pa.binary()),
+             pa.array([counts[i:j].tobytes() for i, j in spans], pa.binary())],
+            names=["part", "hashes", "counts"],
+        )
+
+    least = HOT_EVERY * HOT_LEAST
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, fill = None, 0
+        hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+
+        def often() -> pa.RecordBatch:
+            distinct, n = merged()
+            many = n >= least
+            return pa.RecordBatch.from_arrays(
+                [pa.array(distinct[many].view(np.int64)), pa.array(n[many])], names=["hash", "n"]
+            )
 
-    some = texts.where(F.pmod("digest", F.lit(HOT_EVERY)) == 0)
-    held = map_rows(some, ["text"], "hash array<long>", work).select(F.explode("hash").alias("hash"))
-    often = held.groupBy("hash").count().where(F.col("count") >= HOT_LEAST)
-    rows = often.orderBy(F.desc("count"), "hash").limit(HOT_MOST).collect()
+        for batch in batches:
+            for at, some, times in zip(*(column.to_pylist() for column in batch.columns)):
+                if at != part:
+                    yield often()
+                    part, fill = at, 0
+                    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+                hashes.append(np.frombuffer(some, np.uint64))
+                counts.append(np.frombuffer(times, np.int32))
+                fill += len(hashes[-1])
+                if fill >= HELD:
+                    distinct, n = merged()
+                    hashes, counts, fill = [distinct], [n], 0
+        yield often()
+
+    held = arrow_map(texts.select("text"), run, "part int, hashes binary, counts binary")
+    held = held.repartition("part").sortWithinPartitions("part")
+    often = arrow_map(held, add_up, "hash long, n long")
+    rows = often.orderBy(F.desc("n"), "hash").limit(HOT_MOST).collect()
     return np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64))
 
 

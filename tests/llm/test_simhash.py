@@ -172,3 +172,15 @@ def test_near_copies_are_those_of_exact_similarity(spark, monkeypatch):
     want = {i for i, root in groups_of(links, range(len(texts))).items() if i == root}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id for r in without_near_copies(docs).collect()} == want
+
+
+def test_hot_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_EVERY", 2)
+    monkeypatch.setattr(simhash, "HELD", 100)  # so that counts of a hash meet in the shuffle
+    least = 2 * simhash.HOT_LEAST
+    texts = ["a b c d e" + (" f" if i else "") for i in range(least)] + ["g h i j k"] * (least - 1)
+    texts += [f"x{i} y{i} z{i} u{i} v{i} w{i}" for i in range(300)] + [None, ""]
+    docs = spark.createDataFrame([(t, 1) for t in texts], "text string, digest long").repartition(4)
+    want = simhash.shingle_hashes("a b c d e", 5)
+    assert simhash.hot_shingles(docs, 5).tolist() == want.tolist()
+    assert len(simhash.hot_shingles(docs.limit(0), 5)) == 0
