@@ -32,7 +32,8 @@ def batch_score(
     exceeds ``timeout_s`` with its retries, becomes an error row and disturbs no other. With a
     timeout, calls run in ``concurrency`` child processes of the task, which are ended at the
     deadline, as they are if they die on their own; without one they run in as many threads. At
-    most that many records are out at a time.
+    most that many records are out at a time. The processes are children of one that starts before
+    the task reads its first batch, so none holds a copy of its rows, and they serve all its batches.
     """
     fields, key = list(inputs), id_col
 
@@ -56,8 +57,8 @@ def batch_score(
         with ThreadPoolExecutor(max(1, concurrency)) as pool:
             return list(pool.map(call, records))
 
-    def in_children(records):
-        """Results in order; ``children`` holds (process, pipe, place of its record, deadline)."""
+    def children():
+        """(results in order of records, end) by processes of one process that starts now."""
         import multiprocessing as mp
         import time
         from multiprocessing.connection import wait
@@ -65,74 +66,112 @@ def batch_score(
         # Forked, so that the scorer need not be pickled.
         context = mp.get_context("fork")
 
-        def serve(pipe, others):
-            # A pipe's other copies are closed, so that it ends with the task's side of it.
-            for other in others:
-                other.close()
+        def manage(calls, other_side):
+            """Answers (place, record) with (place, result); ``busy`` holds (process, pipe, place, deadline)."""
+            other_side.close()
+            idle, busy = [], []
+
+            def serve(pipe, others):
+                # A pipe's other copies are closed, so that it ends with the manager's side of it.
+                for other in others:
+                    other.close()
+                try:
+                    while (record := pipe.recv()) is not None:
+                        pipe.send(call(record))
+                except EOFError:
+                    pass
+
+            def started():
+                mine, theirs = context.Pipe()
+                others = [calls, mine, *(c[1] for c in busy), *(i[1] for i in idle)]
+                process = context.Process(target=serve, args=(theirs, others), daemon=True)
+                process.start()
+                theirs.close()
+                return process, mine
+
+            def ended(process, pipe):
+                pipe.close()
+                process.kill()
+                process.join()
+
             try:
-                while (record := pipe.recv()) is not None:
-                    pipe.send(call(record))
-            except EOFError:
-                pass
-
-        def started():
-            mine, theirs = context.Pipe()
-            process = context.Process(target=serve, args=(theirs, [mine, *(c[1] for c in busy), *(i[1] for i in idle)]), daemon=True)
-            process.start()
-            theirs.close()
-            return process, mine
-
-        def ended(process, pipe):
-            pipe.close()
-            process.kill()
-            process.join()
-
-        results, waiting, idle, busy = [None] * len(records), list(enumerate(records))[::-1], [], []
-        try:
-            while waiting or busy:
-                while waiting and len(busy) < max(1, concurrency):
-                    place, record = waiting.pop()
-                    process, pipe = idle.pop() if idle else started()
-                    pipe.send(record)
-                    busy.append((process, pipe, place, time.monotonic() + timeout_s))
-                soonest = min(b[3] for b in busy)
-                ready = wait([b[1] for b in busy], max(0.0, soonest - time.monotonic()))
-                now, still = time.monotonic(), []
-                for process, pipe, place, deadline in busy:
-                    if pipe in ready:
-                        try:
-                            results[place] = pipe.recv()
-                            idle.append((process, pipe))
-                        except (EOFError, OSError):
-                            process.join(1.0)
-                            results[place] = (None, 0.0, f"process ended with {process.exitcode}")
+                while True:
+                    left = max(0.0, min(b[3] for b in busy) - time.monotonic()) if busy else None
+                    ready = wait([calls, *(b[1] for b in busy)], left)
+                    if calls in ready:
+                        place, record = calls.recv()
+                        process, pipe = idle.pop() if idle else started()
+                        busy.append((process, pipe, place, time.monotonic() + timeout_s))
+                        pipe.send(record)
+                    now, still = time.monotonic(), []
+                    for process, pipe, place, deadline in busy:
+                        if pipe in ready:
+                            try:
+                                result = pipe.recv()
+                                idle.append((process, pipe))
+                            except (EOFError, OSError):
+                                process.join(1.0)
+                                result = (None, 0.0, f"process ended with {process.exitcode}")
+                                ended(process, pipe)
+                            calls.send((place, result))
+                        elif now >= deadline:
                             ended(process, pipe)
-                    elif now >= deadline:
-                        results[place] = (None, timeout_s * 1000.0, f"timeout after {timeout_s}s")
-                        ended(process, pipe)
-                    else:
-                        still.append((process, pipe, place, deadline))
-                busy = still
+                            calls.send((place, (None, timeout_s * 1000.0, f"timeout after {timeout_s}s")))
+                        else:
+                            still.append((process, pipe, place, deadline))
+                    busy = still
+            except (EOFError, ConnectionError):
+                pass  # the task has ended
+            finally:
+                for process, pipe, *_ in [*busy, *idle]:
+                    ended(process, pipe)
+
+        asked, theirs = context.Pipe()
+        manager = context.Process(target=manage, args=(theirs, asked))
+        manager.start()
+        theirs.close()
+
+        def results_of(records, n):
+            results, out = [None] * n, 0
+            for at, record in enumerate(records):
+                if out == max(1, concurrency):
+                    place, results[place] = asked.recv()
+                    out -= 1
+                asked.send((at, record))
+                out += 1
+            for _ in range(out):
+                place, results[place] = asked.recv()
             return results
-        finally:
-            for process, pipe, *_ in [*busy, *idle]:
-                ended(process, pipe)
+
+        def end():
+            asked.close()
+            manager.join()
+
+        return results_of, end
+
+    def records_of(batch):
+        """The records of a batch, made a few at a time."""
+        for at in range(0, len(batch), 64):
+            yield from batch[fields].iloc[at : at + 64].to_dict("records")
 
     def run(batches):
         import pandas as pd
 
-        for batch in batches:
-            records = batch[fields].to_dict("records")
-            results = in_threads(records) if timeout_s is None else in_children(records)
-            score, latency, error = zip(*results) if results else ((), (), ())
-            yield pd.DataFrame(
-                {
-                    key: batch[key].to_numpy(),
-                    "score": pd.Series(score, dtype="float64"),
-                    "latency_ms": pd.Series(latency, dtype="float64"),
-                    "error": pd.Series(error, dtype="object"),
-                }
-            )
+        results_of, end = children() if timeout_s is not None else (lambda records, n: in_threads(records), lambda: None)
+        try:
+            for batch in batches:
+                results = results_of(records_of(batch), len(batch))
+                score, latency, error = zip(*results) if results else ((), (), ())
+                yield pd.DataFrame(
+                    {
+                        key: batch[key].to_numpy(),
+                        "score": pd.Series(score, dtype="float64"),
+                        "latency_ms": pd.Series(latency, dtype="float64"),
+                        "error": pd.Series(error, dtype="object"),
+                    }
+                )
+        finally:
+            end()
 
     id_type = df.schema[id_col].dataType.simpleString()
     columns = list(dict.fromkeys([id_col, *fields]))

@@ -107,3 +107,24 @@ def test_registry():
     with pytest.raises(ImportError):
         registry.create("heavy")
     assert registry.create("heavy", lambda reason: reason) == "heavy_unavailable: ImportError: no model"
+
+
+def test_children_serve_all_batches_and_hold_none(spark):
+    """Two children for a hundred batches, and none that is forked from the task beside its rows."""
+    def scorer(record):
+        if record["id"] == 500:
+            time.sleep(30)
+        return float(os.getpid()) if record["id"] % 2 else float(os.getppid())
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 10)
+    try:
+        scored = sc.batch_score(docs(spark, 1000).coalesce(1), scorer, ["id"], retries=1, concurrency=2, timeout_s=1.0)
+        out = {r.id: r for r in scored.collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert out.pop(500).error == "timeout after 1.0s" and len(out) == 999
+    pids = {r.score for i, r in out.items() if i % 2}
+    parents = {r.score for i, r in out.items() if not i % 2}
+    assert len(pids) <= 3 and len(parents) == 1
