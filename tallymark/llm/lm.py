@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -61,8 +62,10 @@ CONTEXT, SCORED = 12, 20
 WINDOW = CONTEXT + SCORED
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 20_000
 BATCH = 192
-#: Bytes of texts worked on together, and windows.
-TEXT_BYTES, TOGETHER = 2 << 20, 128
+#: Bytes of texts worked on together.
+TEXT_BYTES = 2 << 20
+#: Windows worked on at once, so few that what the layer makes of them stays in a core's cache.
+AT_ONCE = 64
 
 
 #: Pairs of subword ids whose own counts are used; the places of others follow the second id alone.
@@ -76,11 +79,52 @@ MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 @lru_cache(maxsize=2)
 def subwords(ranks: bytes):
     """(encoder of text into ids, number of ids)."""
+    coder, blank = _coder(ranks)
+    return coder.encode_ordinary, len(blank)
+
+
+#: White space other than a blank, which may stand inside words and would join pieces across them.
+ODD_SPACE = re.compile(r"[^\S ]")
+
+
+@lru_cache(maxsize=2)
+def _coder(ranks: bytes):
+    """(library encoder, whether each id begins with a blank)."""
     import tiktoken
 
     tokens = tokens_of(ranks)
-    coder = tiktoken.Encoding("subwords", pat_str=PIECES, mergeable_ranks=tokens, special_tokens={})
-    return coder.encode_ordinary, max(tokens.values()) + 1
+    blank = np.zeros(max(tokens.values()) + 1, bool)
+    blank[[i for token, i in tokens.items() if token[:1] == b" "]] = True
+    return tiktoken.Encoding("subwords", pat_str=PIECES, mergeable_ranks=tokens, special_tokens={}), blank
+
+
+def encoded(ranks: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, ids in each word): each word's as with a blank before it.
+
+    Words are encoded many at a time, as no piece crosses a blank, and cut apart where an id begins
+    with one.
+    """
+    coder, blank = _coder(ranks)
+    ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), 256):
+        some = words[i : i + 256]
+        text = " " + b" ".join(some).decode("utf-8", "replace")
+        apart = [text] if ODD_SPACE.search(text) is None else [" " + w.decode("utf-8", "replace") for w in some]
+        found = [np.asarray(coder.encode_to_numpy(t, disallowed_special=()), np.int64) for t in apart]
+        if len(apart) == 1:
+            lengths.append(np.diff(np.flatnonzero(blank[found[0]]), append=len(found[0])))
+        else:
+            lengths.append(np.array([len(f) for f in found]))
+        ids.extend(found)
+    return np.concatenate(ids), np.concatenate(lengths)
+
+
+class Numbered(dict):
+    """Numbers of words, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 class Lexicon:
@@ -91,58 +135,69 @@ class Lexicon:
         self.n_top, self.top_kinds = len(top), kinds
         self.spelling: Spelling | None = None
         self.rows: dict[bytes, int] = {}
+        self._ready: tuple | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"rows": {}}
 
     def without_spelling(self) -> Lexicon:
         """The same words; what they cost to spell is not worked out."""
-        return Lexicon(self.ranks, self.top, self.top_kinds, self.topic_of)
+        plain = Lexicon(self.ranks, self.top, self.top_kinds, self.topic_of)
+        first, last, kinds, _ = self.ready()
+        plain._ready = (None, [first, last, kinds, np.zeros(len(first))])
+        return plain
+
+    def ready(self) -> list[np.ndarray]:
+        """What is known of the top words, worked out once and sent along."""
+        if self._ready is None or self._ready[0] is not self.spelling:
+            tops = {w: i for i, w in enumerate(self.top)}
+            self._ready = (self.spelling, self._made(self.top, self.top_kinds, tops))
+        return self._ready[1]
 
     def places(self, texts: list[list[bytes]]) -> np.ndarray:
         """The rows of all words of the texts, one after the other; words not known yet are added."""
-        words = set(itertools.chain.from_iterable(texts))
-        if not self.rows or len(self.rows) + len(words) > self.n_top + REMEMBERED + len(words) // 2:
-            self._add(self.top, fresh=True)
-        new = sorted(words - self.rows.keys())
-        if new:
-            self._add(new)
+        if not self.rows or len(self.rows) > self.n_top + REMEMBERED:
+            self.rows = Numbered(zip(self.top, range(self.n_top)))
+            self.first, self.last, self.kind, self.spelled = self.ready()
+        known = len(self.rows)
         flat = itertools.chain.from_iterable(texts)
-        return np.fromiter(map(self.rows.__getitem__, flat), np.int64, sum(map(len, texts)))
-
-    def _add(self, words: list[bytes], fresh: bool = False) -> None:
-        encode = subwords(self.ranks)[0]
-        ids = [encode(" " + w.decode("utf-8", "replace")) for w in words]
-        first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
-        last = np.fromiter((i[-1] for i in ids), np.int64, len(ids))
-        if fresh:
-            self.rows, kinds = {}, self.top_kinds
-        else:
+        at = np.fromiter(map(self.rows.__getitem__, flat), np.int64, sum(map(len, texts)))
+        if len(self.rows) > known:
+            made = self._made(list(itertools.islice(self.rows, known, None)), None, self.rows)
+            held = [self.first, self.last, self.kind, self.spelled]
+            self.first, self.last, self.kind, self.spelled = (np.concatenate(both) for both in zip(held, made))
+        return at
+
+    def _made(self, words: list[bytes], kinds: np.ndarray | None, tops: dict[bytes, int]) -> list[np.ndarray]:
+        """(first, last, kind, spelled) of words."""
+        ids, lengths = encoded(self.ranks, words)
+        stop = np.cumsum(lengths)
+        first, last = ids[stop - lengths], ids[stop - 1]
+        if kinds is None:
             kinds = (self.topic_of[first] + self.topic_of[last]).argmax(axis=1) * BANDS + BANDS - 1
-        spelled = np.zeros(len(ids))
+        spelled = np.zeros(len(words))
         if self.spelling is not None:
-            tops = {w: i for i, w in enumerate(words)} if fresh else self.rows
-            spelled = self.spelling.chances(words, ids, tops)
-        made = [first % BUCKETS, last % BUCKETS, kinds, spelled]
-        held = [] if fresh else [self.first, self.last, self.kind, self.spelled]
-        joined = [np.concatenate([h, m]) for h, m in zip(held, made)] if held else made
-        self.first, self.last, self.kind, self.spelled = joined
-        start = len(self.rows)
-        self.rows.update(zip(words, range(start, start + len(words))))
+            spelled = self.spelling.chances_of(words, ids, lengths, tops)
+        return [first % BUCKETS, last % BUCKETS, kinds, spelled]
 
 
 def id_pairs(ids: list[list[int]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(pair, word) of neighbours in each word, its beginning and end included, one number a pair."""
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return pairs_of(np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(lengths.sum())), lengths, size)
+
+
+def pairs_of(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``id_pairs`` of words whose ids stand one after the other."""
     start = np.cumsum(lengths + 2) - lengths - 2
     flat = np.full(int((lengths + 2).sum()), size, np.int64)
     inside = np.repeat(start + 1, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    flat[inside] = np.fromiter(itertools.chain.from_iterable(ids), np.int64, len(inside))
+    flat[inside] = ids
     flat[start + lengths + 1] = size + 1
     kept = np.ones(max(len(flat) - 1, 0), bool)
     kept[start[1:] - 1] = False  # from one word's end to the next one's beginning
     pair = flat[:-1] * (size + 2) + flat[1:]
-    return pair[kept], np.repeat(np.arange(len(ids)), lengths + 1)
+    return pair[kept], np.repeat(np.arange(len(lengths)), lengths + 1)
 
 
 class Spelling:
@@ -177,12 +232,16 @@ class Spelling:
         self.marks = np.log10(sides / sides.sum(axis=1, keepdims=True))
 
     def chances(self, words: list[bytes], ids: list[list[int]], tops: dict[bytes, int]) -> np.ndarray:
-        pair, owner = id_pairs(ids, self.size)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return self.chances_of(words, np.array(list(itertools.chain.from_iterable(ids)), np.int64), lengths, tops)
+
+    def chances_of(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray, tops: dict[bytes, int]) -> np.ndarray:
+        pair, owner = pairs_of(ids, lengths, self.size)
         place = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
         times = np.where(self.pairs[place] == pair, self.times[place], 0.0) if len(self.pairs) else 0.0
         before, then = pair // (self.size + 2), pair % (self.size + 2)
         chance = (times + self.rest[before] * self.alone[then]) / self.after[before]
-        by_ids = np.bincount(owner, np.log10(chance), len(ids))
+        by_ids = np.bincount(owner, np.log10(chance), len(lengths))
         by_marks = np.full(len(words), -np.inf)
         for i, word in enumerate(words):
             core = word.strip(MARKS)
@@ -225,10 +284,21 @@ def windows_of(first: np.ndarray, last: np.ndarray, kind: np.ndarray, lengths: n
     return flat[:, spans], target[spans[:, CONTEXT:]], owner
 
 
-#: 0 where a scored place may look, at itself and before; far below elsewhere.
-CAUSAL = np.where(
-    np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], np.float32(0), np.float32(-1e9)
-)
+#: 1 where a scored place may look, at itself and before.
+CAUSAL = np.tri(SCORED, WINDOW, CONTEXT, np.float32)
+#: Exponents beyond this are cut to it, so that sums of single precision stay finite.
+FAR = 60.0
+
+
+def summed_by(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values' rows that share a number, a row for each number below ``size``."""
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    if len(rows):
+        order = np.argsort(rows.astype(np.int16), kind="stable")  # a radix sort
+        ordered = rows[order]
+        start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        out[ordered[start]] = np.add.reduceat(values.take(order, axis=0), start, axis=0)
+    return out
 
 
 def times(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -270,76 +340,109 @@ class AttentionLayer:
             at += v.size
 
     def tables(self) -> list[np.ndarray]:
-        """Each input's vector with its query, key and value beside it, as those are linear."""
+        """Vectors of each input, and what turns a place's into its query, key and value."""
         p = self.p
-        turn = np.concatenate([np.eye(DIM, dtype=p["query"].dtype), p["query"], p["key"], p["value"]], axis=1)
-        return [p[name] @ turn for name in ("first", "last", "kind", "place")]
+        turn = np.concatenate([p["query"] * DIM**-0.5, p["key"], p["value"]], axis=1)
+        return [*(p[name] for name in ("first", "last", "kind", "place")), turn.astype(p["query"].dtype)]
 
     def forward(self, inputs: np.ndarray, tables: list[np.ndarray], keep: dict | None = None) -> np.ndarray:
-        """Logits of classes (windows, SCORED, classes)."""
-        p = self.p
-        x = tables[0][inputs[0]]
-        x += tables[1][inputs[1]]
-        x += tables[2][inputs[2]]
+        """Logits of classes (windows, SCORED, classes).
+
+        Exponents are held within ``FAR``, which stands in for taking the largest from them, and
+        weights are divided by their sum after they have met the values: fewer passes, same result.
+        """
+        p, n = self.p, inputs.shape[1]
+        x = tables[0].take(inputs[0], axis=0)
+        x += tables[1].take(inputs[1], axis=0)
+        x += tables[2].take(inputs[2], axis=0)
         x += tables[3]
-        late, query = x[:, CONTEXT:, :DIM], x[:, CONTEXT:, DIM : 2 * DIM]
-        key, value = x[:, :, 2 * DIM : 3 * DIM], x[:, :, 3 * DIM :]
-        score = query @ key.transpose(0, 2, 1)
-        score *= np.float32(DIM**-0.5)
-        score += CAUSAL
+        turned = times(x, tables[4])
+        query, key, value = turned[:, CONTEXT:, :DIM], turned[:, :, DIM : 2 * DIM], turned[:, :, 2 * DIM :]
+        weight = query @ key.transpose(0, 2, 1)
+        np.clip(weight, -FAR, FAR, out=weight)
+        np.exp(weight, out=weight)
+        weight *= CAUSAL
         absent = inputs[0][:, :CONTEXT] == BUCKETS + 1
         if absent.any():
-            score[:, :, :CONTEXT] += np.where(absent, np.float32(-1e9), np.float32(0))[:, None, :]
-        score -= score.max(axis=2, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(axis=2, keepdims=True)
-        seen = score @ value
-        mixed = late + times(seen, p["mix"])
-        wide = np.maximum(times(mixed, p["wide"]) + p["wide_0"], 0)
-        top = mixed + times(wide, p["narrow"])
+            weight[:, :, :CONTEXT] *= ~absent[:, None, :]
+        total = weight.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), weight.dtype)
+        seen = (weight @ value).reshape(-1, DIM)
+        seen /= total
+        mixed = seen @ p["mix"]
+        mixed += x[:, CONTEXT:].reshape(-1, DIM)
+        wide = mixed @ p["wide"]
+        wide += p["wide_0"]
+        np.maximum(wide, 0, out=wide)
+        top = wide @ p["narrow"]
+        top += mixed
         if keep is not None:
-            keep.update(x=x[:, :, :DIM], late=late, query=query, key=key, value=value)
-            keep.update(score=score, seen=seen, mixed=mixed, wide=wide, top=top)
-        return times(top, p["out"]) + p["out_0"]
+            keep.update(x=x, query=query, key=key, value=value, weight=weight, total=total)
+            keep.update(seen=seen, mixed=mixed, wide=wide, top=top)
+        logit = top @ p["out"]
+        logit += p["out_0"]
+        return logit.reshape(n, SCORED, -1)
+
+    def likelihood(self, logit: np.ndarray, wanted: np.ndarray):
+        """(log chance of each wanted class, exponents, their sums), a row a place; ``logit`` is used up."""
+        logit = logit.reshape(-1, logit.shape[-1])
+        np.clip(logit, -FAR, FAR, out=logit)
+        picked = logit[np.arange(len(logit)), np.maximum(wanted.ravel(), 0)]
+        np.exp(logit, out=logit)
+        total = logit @ np.ones(logit.shape[1], logit.dtype)
+        return picked - np.log(total), logit, total
 
     def gradients(self, inputs: np.ndarray, wanted: np.ndarray):
-        """(mean loss, gradients) of the class log likelihood."""
-        k: dict = {}
-        p, real = self.p, wanted >= 0
-        logit = self.forward(inputs, self.tables(), k)
-        logit -= logit.max(axis=2, keepdims=True)
-        chance = np.exp(logit)
-        total = chance.sum(axis=2, keepdims=True)
-        target = np.where(real, wanted, 0)[:, :, None]
-        n = max(1, int(real.sum()))
-        picked = np.take_along_axis(logit, target, 2)[:, :, 0] - np.log(total[:, :, 0])
-        d_logit = chance / total
-        np.put_along_axis(d_logit, target, np.take_along_axis(d_logit, target, 2) - 1, 2)
-        d_logit *= (real / np.float32(n))[:, :, None]
-        two = lambda a: a.reshape(-1, a.shape[-1])
-        grad = {"out": two(k["top"]).T @ two(d_logit), "out_0": two(d_logit).sum(axis=0)}
-        d_top = times(d_logit, p["out"].T)
-        grad["narrow"] = two(k["wide"]).T @ two(d_top)
-        d_wide = times(d_top, p["narrow"].T) * (k["wide"] > 0)
-        grad["wide"], grad["wide_0"] = two(k["mixed"]).T @ two(d_wide), two(d_wide).sum(axis=0)
-        d_mixed = d_top + times(d_wide, p["wide"].T)
-        grad["mix"] = two(k["seen"]).T @ two(d_mixed)
-        d_seen = times(d_mixed, p["mix"].T)
-        d_weight = d_seen @ k["value"].transpose(0, 2, 1)
-        d_value = k["score"].transpose(0, 2, 1) @ d_seen
-        d_score = k["score"] * (d_weight - (d_weight * k["score"]).sum(axis=2, keepdims=True))
-        d_score *= np.float32(DIM**-0.5)
-        d_query, d_key = d_score @ k["key"], d_score.transpose(0, 2, 1) @ k["query"]
-        grad["query"] = two(k["late"]).T @ two(d_query)
-        grad["key"], grad["value"] = two(k["x"]).T @ two(d_key), two(k["x"]).T @ two(d_value)
-        d_x = times(d_key, p["key"].T) + times(d_value, p["value"].T)
-        d_x[:, CONTEXT:] += d_mixed + times(d_query, p["query"].T)
+        """(mean loss, gradients) of the class log likelihood, added up over a few windows at a time."""
+        tables, n = self.tables(), max(1, int((wanted >= 0).sum()))
+        d_x = np.empty((*inputs.shape[1:], DIM), self.p["query"].dtype)
+        loss, grad = 0.0, {}
+        for i in range(0, len(wanted), AT_ONCE):
+            some = slice(i, i + AT_ONCE)
+            gained, part = self._part(inputs[:, some], wanted[some], tables, n, d_x[some])
+            loss -= gained
+            for name, value in part.items():
+                grad[name] = grad[name] + value if i else value
+        turn = grad.pop("turn")
+        grad["query"] = turn[:, :DIM] * d_x.dtype.type(DIM**-0.5)
+        grad["key"], grad["value"] = turn[:, DIM : 2 * DIM], turn[:, 2 * DIM :]
         grad["place"] = d_x.sum(axis=0)
-        flat = two(d_x)
+        flat = d_x.reshape(-1, DIM)
         for i, name in enumerate(("first", "last", "kind")):
-            rows, size = inputs[i].ravel(), len(p[name])
-            grad[name] = np.stack([np.bincount(rows, flat[:, j], size) for j in range(DIM)], axis=1).astype(flat.dtype)
-        return -float((picked * real).sum()) / n, grad
+            grad[name] = summed_by(inputs[i].ravel(), flat, len(self.p[name]))
+        return loss, grad
+
+    def _part(self, inputs: np.ndarray, wanted: np.ndarray, tables: list[np.ndarray], n: int, d_x: np.ndarray):
+        """(log likelihood over n, gradients) of some windows; those of their inputs go into ``d_x``."""
+        k: dict = {}
+        p = self.p
+        told, d_logit, total = self.likelihood(self.forward(inputs, tables, k), wanted)
+        share = ((wanted >= 0).ravel() / n).astype(d_logit.dtype)
+        d_logit *= (share / total)[:, None]
+        d_logit[np.arange(len(d_logit)), np.maximum(wanted.ravel(), 0)] -= share
+        ones = np.ones(len(d_logit), d_logit.dtype)
+        grad = {"out": k["top"].T @ d_logit, "out_0": ones @ d_logit}
+        d_mixed = d_logit @ p["out"].T
+        grad["narrow"] = k["wide"].T @ d_mixed
+        d_wide = d_mixed @ p["narrow"].T
+        d_wide *= k["wide"] > 0
+        grad["wide"], grad["wide_0"] = k["mixed"].T @ d_wide, ones @ d_wide
+        d_mixed += d_wide @ p["wide"].T
+        grad["mix"] = k["seen"].T @ d_mixed
+        d_seen = d_mixed @ p["mix"].T
+        d_seen /= k["total"]
+        around = np.einsum("ij,ij->i", d_seen, k["seen"]).reshape(*wanted.shape, 1)
+        d_seen = d_seen.reshape(*wanted.shape, DIM)
+        d_score = d_seen @ k["value"].transpose(0, 2, 1)
+        d_score -= around
+        d_score *= k["weight"]
+        d_turned = np.zeros((*inputs.shape[1:], 3 * DIM), d_logit.dtype)
+        d_turned[:, CONTEXT:, :DIM] = d_score @ k["key"]
+        d_turned[:, :, DIM : 2 * DIM] = d_score.transpose(0, 2, 1) @ k["query"]
+        d_turned[:, :, 2 * DIM :] = k["weight"].transpose(0, 2, 1) @ d_seen
+        grad["turn"] = k["x"].reshape(-1, DIM).T @ d_turned.reshape(-1, 3 * DIM)
+        d_x[:] = times(d_turned, tables[4].T)
+        d_x[:, CONTEXT:] += d_mixed.reshape(*wanted.shape, DIM)
+        return float(told @ share), grad
 
     def train(self, inputs: np.ndarray, wanted: np.ndarray, adam: Adam, draw: np.random.Generator) -> None:
         """One step for each ``BATCH`` windows, in random order."""
@@ -351,15 +454,10 @@ class AttentionLayer:
     def log10(self, inputs: np.ndarray, wanted: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """log10 probability of the wanted classes, summed over each window."""
         out = np.empty(len(wanted))
-        for i in range(0, len(wanted), TOGETHER):
-            some = wanted[i : i + TOGETHER]
-            real = some >= 0
-            logit = self.forward(inputs[:, i : i + TOGETHER], tables)
-            picked = np.take_along_axis(logit, np.where(real, some, 0)[:, :, None], 2)[:, :, 0]
-            logit -= (top := logit.max(axis=2, keepdims=True))
-            np.exp(logit, out=logit)
-            value = picked - top[:, :, 0] - np.log(logit.sum(axis=2))
-            out[i : i + TOGETHER] = np.where(real, value, 0).sum(axis=1, dtype=np.float64)
+        for i in range(0, len(wanted), AT_ONCE):
+            some = wanted[i : i + AT_ONCE]
+            told = self.likelihood(self.forward(inputs[:, i : i + AT_ONCE], tables), some)[0].reshape(some.shape)
+            out[i : i + AT_ONCE] = np.where(some >= 0, told, 0).sum(axis=1, dtype=np.float64)
         return out / math.log(10)
 
 
@@ -386,38 +484,37 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     names = [f"s{j}" for j in range(SIGNATURE)]
 
     def run(batches):
-        rows: dict[bytes, int] = {}
-        signs, counts, sums = np.zeros((0, SIGNATURE)), np.zeros(0, np.int64), np.zeros((0, SIGNATURE))
+        rows, signs, sums = Numbered(), np.zeros((SIGNATURE, 0)), np.zeros((SIGNATURE + 1, 0))
         for batch in batches:
             for part in text_slices(batch, 0):
                 split = [space_words(t) for t in part.column(0).to_pylist()]
-                new = sorted(set(itertools.chain.from_iterable(split)) - rows.keys())
-                rows.update(zip(new, range(len(rows), len(rows) + len(new))))
-                signs = np.concatenate([signs, signs_of(new)])
-                lengths = np.array([len(w) for w in split])
-                at = np.fromiter(map(rows.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lengths.sum()))
+                lengths, known = np.array([len(w) for w in split]), len(rows)
+                flat = itertools.chain.from_iterable(split)
+                at = np.fromiter(map(rows.__getitem__, flat), np.int64, int(lengths.sum()))
+                n = len(rows)
+                if n > sums.shape[1]:  # room for as many again
+                    room = ((0, 0), (0, 2 * n - sums.shape[1]))
+                    signs, sums = np.pad(signs, room), np.pad(sums, room)
+                signs[:, known:n] = signs_of(list(itertools.islice(rows, known, None))).T
                 owner = np.repeat(np.arange(len(split)), lengths)
-                others = np.maximum(lengths - 1, 1)[owner]
-                grown = np.zeros((len(rows), SIGNATURE))
-                grown[: len(sums)] = sums
-                share = 1.0 / others
+                share = (1.0 / np.maximum(lengths - 1, 1))[owner]
                 for j in range(SIGNATURE):
-                    own = signs[:, j][at]
-                    around = (np.bincount(owner, own, len(split))[owner] - own) * share
-                    grown[:, j] += np.bincount(at, around, len(rows))
-                sums, held = grown, counts
-                counts = np.bincount(at, minlength=len(rows))
-                counts[: len(held)] += held
-                if len(rows) >= COUNTED:
-                    yield told(rows, counts, sums)
-                    rows, signs = {}, np.zeros((0, SIGNATURE))
-                    counts, sums = np.zeros(0, np.int64), np.zeros((0, SIGNATURE))
-        yield told(rows, counts, sums)
-
-    def told(rows: dict[bytes, int], counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+                    own = signs[j].take(at)
+                    around = np.bincount(owner, own, len(split)).take(owner)
+                    around -= own
+                    around *= share
+                    sums[j, :n] += np.bincount(at, around, n)
+                sums[SIGNATURE, :n] += np.bincount(at, minlength=n)
+                if n >= COUNTED:
+                    yield told(rows, sums[:, :n])
+                    rows, signs, sums = Numbered(), np.zeros((SIGNATURE, 0)), np.zeros((SIGNATURE + 1, 0))
+        yield told(rows, sums[:, : len(rows)])
+
+    def told(rows: dict[bytes, int], sums: np.ndarray) -> pa.RecordBatch:
         words = pa.array([w.decode("utf-8", "replace") for w in rows], pa.string())
-        columns = [pa.array(sums[:, j].astype(np.float32)) for j in range(SIGNATURE)]
-        return pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64()), *columns], names=["word", "c", *names])
+        columns = [pa.array(sums[j].astype(np.float32)) for j in range(SIGNATURE)]
+        counts = pa.array(sums[SIGNATURE].astype(np.int64))
+        return pa.RecordBatch.from_arrays([words, counts, *columns], names=["word", "c", *names])
 
     schema = "word string, c long, " + ", ".join(f"{n} float" for n in names)
     counted = arrow_map(texts.select(text_col), run, schema).groupBy("word")
@@ -462,11 +559,11 @@ def make_lexicon(counts: DataFrame, ranks: bytes, top_words: int) -> tuple[Lexic
     c = top.column("c").to_numpy().astype(np.float64)
     signatures = np.stack([top.column(f"s{j}").to_numpy() for j in range(SIGNATURE)], axis=1).astype(np.float64)
     topics = cluster(signatures, c, TOPICS)
-    encode, size = subwords(ranks)
-    weight = np.full((size, TOPICS), 0.5)
-    ids = [encode(" " + w.decode()) for w in words]
-    for end in (0, -1):
-        np.add.at(weight, (np.array([i[end] for i in ids], np.int64), topics), np.sqrt(c))
+    weight = np.full((subwords(ranks)[1], TOPICS), 0.5)
+    ids, lengths = encoded(ranks, words)
+    stop = np.cumsum(lengths)
+    for end in (ids[stop - lengths], ids[stop - 1]):
+        np.add.at(weight, (end, topics), np.sqrt(c))
     topic_of = np.log(weight / weight.sum(axis=0))
     return Lexicon(ranks, words, bands_of(topics, c), topic_of.astype(np.float32)), c
 
@@ -480,10 +577,10 @@ def corpus_shape(counts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     to expect.
     """
     size, classes = subwords(lexicon.ranks)[1], TOPICS * BANDS
+    lexicon.ready()
 
     def run(batches):
         lexicon.rows = {}
-        encode = subwords(lexicon.ranks)[0]
         places, new, uses = np.zeros(classes), np.zeros(classes), np.zeros(size + 2)
         pairs, times = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
@@ -495,7 +592,7 @@ def corpus_shape(counts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
             kinds = lexicon.kind[at]
             places += np.bincount(kinds, c, classes)
             new += np.bincount(kinds[c == 1], minlength=classes)
-            met = id_pairs([encode(" " + w.decode("utf-8", "replace")) for w in words], size)[0]
+            met = pairs_of(*encoded(lexicon.ranks, words), size)[0]
             uses += np.bincount(met % (size + 2), minlength=size + 2)
             found, n = np.unique(met, return_counts=True)
             pairs, back = np.unique(np.concatenate([pairs, found]), return_inverse=True)
@@ -608,7 +705,7 @@ def score_texts(
     whole = places + left
     prior = np.log(np.concatenate([whole, [ends + 1.0]]) / (whole.sum() + ends + 1.0))
     layer = fit_layer(training, text_col, id_col, lexicon, prior)
-    lexicon.rows = {}
+    lexicon.ready()
     shares = (np.log10(left), np.log10(whole), np.log10(top_c + 1.0))
     # Bounded by top_words, the vocabulary and the layer.
     shipped = docs.sparkSession.sparkContext.broadcast((lexicon, layer, shares, top_c))
@@ -637,22 +734,21 @@ def score_texts(
                 score += np.bincount(text[common], top_share[at[common]], n)
                 # Without a word there is nothing to add up, and numpy counts in whole numbers.
                 base = np.bincount(text[common], top_base[at[common]], n).astype(np.float64)
-                words = list(lexicon.rows)
-                rare: list[list[dict]] = [[] for _ in range(n)]
-                pairs, times = np.unique(text[~common] * len(words) + at[~common], return_counts=True)
-                places = pairs % max(len(words), 1)
+                size = len(lexicon.rows)
+                pairs, times = np.unique(text[~common] * size + at[~common], return_counts=True)
+                places, names = pairs % size, list(itertools.islice(lexicon.rows, n_top, None))
                 k = lexicon.kind[places]
-                told = zip(
-                    (pairs // max(len(words), 1)).tolist(), places.tolist(), times.tolist(),
-                    (left[k] + lexicon.spelled[places]).tolist(), whole[k].tolist(),
+                words = pa.array([names[i].decode("utf-8", "replace") for i in (places - n_top).tolist()], pa.string())
+                told = [words, pa.array(times), pa.array(left[k] + lexicon.spelled[places]), pa.array(whole[k])]
+                kind = arrow.field(6).type
+                ends = np.searchsorted(pairs // size, np.arange(n + 1)).astype(np.int32)
+                rare = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.StructArray.from_arrays(told, fields=list(kind.value_type)), type=kind
                 )
-                for i, place, c, spelled, of_class in told:
-                    word = words[place].decode("utf-8", "replace")
-                    rare[i].append({"word": word, "times": c, "spelled": spelled, "whole": of_class})
                 yield pa.RecordBatch.from_arrays([
                     part.column(3), part.column(0).cast(arrow.field(1).type), part.column(2),
                     pa.array(lengths + 1), pa.array(np.bincount(text[common], minlength=n)), pa.array(base),
-                    pa.array(rare, arrow.field(6).type), pa.array(score),
+                    rare, pa.array(score),
                 ], schema=arrow)
 
     numbered = docs.select(id_col, text_col, aside.alias("aside")).withColumn("row", F.monotonically_increasing_id())

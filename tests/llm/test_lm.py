@@ -1,4 +1,5 @@
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -106,6 +107,52 @@ def test_gradients_against_differences():
             assert abs((losses[0] - losses[1]) / 2e-4 - grad[name][at]) < 2e-3
 
 
+def test_gradients_of_many_windows_add_up():
+    """Windows worked on a few at a time give the gradients of all of them."""
+    layer, (inputs, wanted, _) = small_layer(), some_windows(3, 3 * lm.AT_ONCE * lm.SCORED)
+    assert len(wanted) > 3 * lm.AT_ONCE
+    loss, grad = layer.gradients(inputs, wanted)
+    n, slow = (wanted >= 0).sum(), {}
+    for w in range(len(wanted)):
+        own_loss, own = layer.gradients(inputs[:, [w]], wanted[[w]])
+        share = (wanted[w] >= 0).sum() / n
+        loss -= own_loss * share
+        for name, value in own.items():
+            slow[name] = slow.get(name, 0) + value * share
+    assert abs(loss) < 1e-9
+    assert all(np.allclose(grad[name], slow[name], atol=1e-9) for name in layer.p)
+
+
+def test_far_exponents_stay_finite():
+    layer, (inputs, wanted, _) = small_layer(), some_windows(4, 60)
+    layer.p = {k: (v * 20).astype(np.float32) for k, v in layer.p.items()}
+    assert np.isfinite(layer.log10(inputs, wanted, layer.tables())).all()
+    loss, grad = layer.gradients(inputs, wanted)
+    assert math.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_words_encoded_together_as_alone():
+    """White space inside words, marks and characters of many bytes cut no word elsewhere."""
+    some = ["the", "don't", "a\u00a0b", "\u3000", "\u00a0", "x\u2003", "\x1c", "漢字", "\U0001f600!?", "1,000.5", "\ufffd", "é", "-" * 90]
+    words = [w.encode() for w in some * 50 + ["plain"] * 300 + ["ê"]]
+    ids, lengths = lm.encoded(RANKS, words)
+    encode = lm.subwords(RANKS)[0]
+    assert [p.tolist() for p in np.split(ids, np.cumsum(lengths)[:-1])] == [encode(" " + w.decode()) for w in words]
+    assert [len(a) for a in lm.encoded(RANKS, [])] == [0, 0]
+
+
+def test_top_words_are_encoded_once_not_by_every_task(monkeypatch):
+    top = [b"the", b"a", b"cat"]
+    lexicon = lm.Lexicon(RANKS, top, np.array([1, 2, 3]), np.zeros((lm.subwords(RANKS)[1], lm.TOPICS), np.float32))
+    want = lexicon.places([[b"cat", b"new", b"the"]]).tolist(), lexicon.first.tolist(), lexicon.kind.tolist()
+    sent, asked = pickle.dumps(lexicon), []
+    whole = lm.encoded
+    monkeypatch.setattr(lm, "encoded", lambda ranks, words: asked.extend(words) or whole(ranks, words))
+    here = pickle.loads(sent)
+    assert (here.places([[b"cat", b"new", b"the"]]).tolist(), here.first.tolist(), here.kind.tolist()) == want
+    assert asked == [b"new"]
+
+
 def test_a_layer_learns_an_order():
     n = 4000
     kind = np.arange(n) % 7
