@@ -40,11 +40,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.bpe import read_ranks, slices, tokens_of
-from tallymark.llm.common import _arrow_schema, arrow_map, space_words, store
+from tallymark.llm.common import _arrow_schema, arrow_map, space_words, store  # noqa: F401
 from tallymark.llm.toxicity import Adam
 
 VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -243,9 +244,9 @@ class Spelling:
         chance = (times + self.rest[before] * self.alone[then]) / self.after[before]
         by_ids = np.bincount(owner, np.log10(chance), len(lengths))
         by_marks = np.full(len(words), -np.inf)
-        for i, word in enumerate(words):
-            core = word.strip(MARKS)
-            if core and len(core) < len(word) and (row := tops.get(core, len(self.word))) < len(self.word):
+        for i in [i for i, word in enumerate(words) if word[0] in MARKS or word[-1] in MARKS]:
+            word, core = words[i], words[i].strip(MARKS)
+            if core and (row := tops.get(core, len(self.word))) < len(self.word):
                 at = word.index(core)
                 around = self.marks[0, 0] + self.marks[1, 0]
                 for side, marks in enumerate((word[:at], word[at + len(core) :])):
@@ -306,6 +307,36 @@ def times(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ weights).reshape(*a.shape[:-1], weights.shape[1])
 
 
+class FlatAdam:
+    """``Adam`` with all parameters in one array, whose parts take the place of those given."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float) -> None:
+        self.names, self.rate, self.step = list(params), rate, 0
+        self.flat = np.concatenate([v.ravel() for v in params.values()])
+        self.first, self.second, self.spare = (np.zeros_like(self.flat) for _ in range(3))
+        at = 0
+        for name, v in params.items():
+            params[name] = self.flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+
+    def move(self, grad: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        lift = math.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        g, t = np.concatenate([grad[name].ravel() for name in self.names]), self.spare
+        np.subtract(g, self.first, out=t)
+        t *= 0.1
+        self.first += t
+        g *= g
+        g -= self.second
+        g *= 0.001
+        self.second += g
+        np.sqrt(self.second, out=t)
+        t += 1e-8
+        np.divide(self.first, t, out=t)
+        t *= self.rate * lift
+        self.flat -= t
+
+
 class AttentionLayer:
     """Causal self-attention and feed forward over windows; predicts the class of each wanted token."""
 
@@ -444,7 +475,7 @@ class AttentionLayer:
         d_x[:, CONTEXT:] += d_mixed.reshape(*wanted.shape, DIM)
         return float(told @ share), grad
 
-    def train(self, inputs: np.ndarray, wanted: np.ndarray, adam: Adam, draw: np.random.Generator) -> None:
+    def train(self, inputs: np.ndarray, wanted: np.ndarray, adam: Adam | FlatAdam, draw: np.random.Generator) -> None:
         """One step for each ``BATCH`` windows, in random order."""
         order = draw.permutation(len(wanted))
         for i in range(0, len(order), BATCH):
@@ -468,11 +499,21 @@ def held_out(key, folds: int, fold: int):
 
 def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts are worked on together; a very long text alone."""
-    sizes = [len(t.as_py() or "") for t in batch.column(column)]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for part in slices(list(range(batch.num_rows)), sizes, TEXT_BYTES):
         yield batch.slice(part[0], len(part))
 
 
+def split_texts(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the word at each place, words in each text), words as ``space_words`` has them."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.greater(pc.binary_length(words), 0)  # none before the first blank and after the last
+    words, owner = words.filter(real).dictionary_encode(), owner.filter(real).to_numpy()
+    distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    return distinct, words.indices.to_numpy().astype(np.int64), np.bincount(owner, minlength=len(texts))
+
+
 def signs_of(words: list[bytes]) -> np.ndarray:
     """The signature of each word alone: signs by the bits of its CRC32."""
     bits = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
@@ -487,20 +528,19 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
         rows, signs, sums = Numbered(), np.zeros((SIGNATURE, 0)), np.zeros((SIGNATURE + 1, 0))
         for batch in batches:
             for part in text_slices(batch, 0):
-                split = [space_words(t) for t in part.column(0).to_pylist()]
-                lengths, known = np.array([len(w) for w in split]), len(rows)
-                flat = itertools.chain.from_iterable(split)
-                at = np.fromiter(map(rows.__getitem__, flat), np.int64, int(lengths.sum()))
+                distinct, at, lengths = split_texts(part.column(0))
+                known = len(rows)
+                at = np.fromiter(map(rows.__getitem__, distinct), np.int64, len(distinct)).take(at)
                 n = len(rows)
                 if n > sums.shape[1]:  # room for as many again
                     room = ((0, 0), (0, 2 * n - sums.shape[1]))
                     signs, sums = np.pad(signs, room), np.pad(sums, room)
                 signs[:, known:n] = signs_of(list(itertools.islice(rows, known, None))).T
-                owner = np.repeat(np.arange(len(split)), lengths)
+                owner = np.repeat(np.arange(len(lengths)), lengths)
                 share = (1.0 / np.maximum(lengths - 1, 1))[owner]
                 for j in range(SIGNATURE):
                     own = signs[j].take(at)
-                    around = np.bincount(owner, own, len(split)).take(owner)
+                    around = np.bincount(owner, own, len(lengths)).take(owner)
                     around -= own
                     around *= share
                     sums[j, :n] += np.bincount(at, around, n)
@@ -616,11 +656,10 @@ def corpus_shape(counts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     return out[0], top.column("key").to_numpy(), top.column("n").to_numpy(), out[1], out[2]
 
 
-def stacked_windows(texts: list[str | None], lexicon: Lexicon):
+def stacked_windows(texts: pa.Array | list[str | None], lexicon: Lexicon):
     """(rows of all words, words in each text, inputs, wanted, owner) of many texts."""
-    split = [space_words(t) for t in texts]
-    at = lexicon.places(split)
-    lengths = np.array([len(w) for w in split], np.int64)
+    distinct, at, lengths = split_texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    at = lexicon.places([distinct]).take(at)
     windows = windows_of(lexicon.first[at], lexicon.last[at], lexicon.kind[at], lengths, TOPICS * BANDS)
     return at, lengths, *windows
 
@@ -634,7 +673,7 @@ def fit_layer(texts: DataFrame, text_col: str, key: str, lexicon: Lexicon, prior
     found = [r[0] for r in sample.select(text_col).collect()]
     if found:
         _, _, inputs, wanted, _ = stacked_windows(found, lexicon)
-        adam, draw = Adam(layer.p, 0.01), np.random.default_rng(7)
+        adam, draw = FlatAdam(layer.p, 0.01), np.random.default_rng(7)
         for _ in range(3):
             layer.train(inputs, wanted, adam, draw)
     sent = texts.sparkSession.sparkContext.broadcast((lexicon, layer.flat()))
@@ -645,10 +684,10 @@ def fit_layer(texts: DataFrame, text_col: str, key: str, lexicon: Lexicon, prior
         known, start = sent.value
         own, done = AttentionLayer(prior), 0
         own.load(start)
-        adam, draw = Adam(own.p, 0.002), np.random.default_rng(11)
+        adam, draw = FlatAdam(own.p, 0.002), np.random.default_rng(11)
         for batch in batches:
             for part in text_slices(batch, 0):
-                _, _, inputs, wanted, _ = stacked_windows(part.column(0).to_pylist(), known)
+                _, _, inputs, wanted, _ = stacked_windows(part.column(0), known)
                 own.train(inputs, wanted, adam, draw)
                 done += len(wanted)
         if done:
@@ -723,7 +762,7 @@ def score_texts(
         top_share = None
         for batch in batches:
             for part in text_slices(batch, 1):
-                at, lengths, inputs, wanted, owner = stacked_windows(part.column(1).to_pylist(), lexicon)
+                at, lengths, inputs, wanted, owner = stacked_windows(part.column(1), lexicon)
                 if top_share is None:
                     k = lexicon.kind[:n_top]
                     top_share = np.log10(top_c + 10.0 ** (left[k] + lexicon.spelled[:n_top])) - whole[k]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,23 @@ def test_gradients_of_many_windows_add_up():
     assert all(np.allclose(grad[name], slow[name], atol=1e-9) for name in layer.p)
 
 
+def test_flat_steps_equal_adam():
+    one, other, (inputs, wanted, _) = small_layer(), small_layer(), some_windows(5, 4000)
+    for layer, kind in ((one, Adam), (other, lm.FlatAdam)):
+        layer.train(inputs, wanted, kind(layer.p, 0.01), np.random.default_rng(1))
+    assert all(np.allclose(one.p[k], other.p[k], atol=1e-9) for k in one.p)
+    assert not np.allclose(one.p["out"], small_layer().p["out"])
+
+
+def test_texts_split_by_column_as_one_by_one():
+    texts = ["  The\tTHE\x0b\x0ccat \r\n", None, "", " ", "a\x1cb \xa0c É\u3000é", "the end"]
+    distinct, at, lengths = lm.split_texts(pa.array(texts, pa.string()))
+    want = [lm.space_words(t) for t in texts]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert [distinct[i] for i in at] == [w for words in want for w in words] and len(set(distinct)) == len(distinct)
+    assert [len(x) for x in lm.split_texts(pa.array([], pa.string()))] == [0, 0, 0]
+
+
 def test_far_exponents_stay_finite():
     layer, (inputs, wanted, _) = small_layer(), some_windows(4, 60)
     layer.p = {k: (v * 20).astype(np.float32) for k, v in layer.p.items()}
