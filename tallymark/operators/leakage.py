@@ -7,10 +7,13 @@ semi join, one row per file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ HASH_BITS = 64
 # Comparisons that one key or pair of trie nodes may take, and bits of a trie level.
 CROWDED, TRIE_BITS = 1 << 16, 8
 
+# Hashes of both sides that may meet in one group of a task, and comparisons made at once.
+GROUPED, AT_ONCE = 1 << 16, 1 << 20
+
 
 def _per_value(side: DataFrame, value: str, prefix: str, path: str) -> DataFrame:
     """(value, n_<prefix>, first_<prefix>_path), combined map-side."""
@@ -169,6 +175,86 @@ def choose_bands(
     return min(options, key=lambda bands: measured[bands])
 
 
+def _grouped_pairs(ev: DataFrame, tr: DataFrame, distance: int, grouped: int) -> DataFrame | None:
+    """(eval_hash, train_hash) within the distance, or nothing if a group has more than ``grouped`` hashes.
+
+    Of ``distance`` + 2 bands two must agree, and the lower one is none of the last: a hash goes to
+    a group for each of the first ``distance`` + 1 bands, however many hashes there are, and meets
+    the others of its group that agree in a later band, by sorted arrays inside the task. A pair is
+    kept where its two lowest agreeing bands meet, hence once. Rows hold a hash and two small
+    numbers. Runs a job, which counts the groups.
+    """
+    bands = distance + 2
+    masks = band_masks(bands)
+    bits = F.expr(f"hash & element_at(array({', '.join(f'bigint({chr(39)}{m}{chr(39)})' for m in masks)}), band + 1)")
+    sides = [
+        side.select(F.col(name).alias("hash"), F.lit(number).cast("tinyint").alias("side"))
+        for number, (side, name) in enumerate(((ev, "eval_hash"), (tr, "train_hash")))
+    ]
+    rows = sides[0].unionByName(sides[1]).select(
+        "hash", "side", F.explode(F.array(*(F.lit(b).cast("tinyint") for b in range(bands - 1)))).alias("band")
+    )
+    sizes = rows.groupBy("band", bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > grouped:
+        return None
+    at_once = AT_ONCE
+
+    def met(e: np.ndarray, t: np.ndarray, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for later in range(band + 1, bands):
+            kept = t & masks[later]
+            order = np.argsort(kept)
+            kept, ordered, wanted = kept[order], t[order], e & masks[later]
+            first = np.searchsorted(kept, wanted)
+            n = np.searchsorted(kept, wanted, "right") - first
+            part = np.cumsum(n) // at_once
+            for cut in np.split(np.arange(len(e)), np.flatnonzero(np.diff(part)) + 1):
+                some = n[cut]
+                at = np.arange(some.sum()) + np.repeat(first[cut] - np.cumsum(some) + some, some)
+                left, right = np.repeat(e[cut], some), ordered[at]
+                near = np.bitwise_count((left ^ right).view(np.uint64)) <= distance
+                left, right = left[near], right[near]
+                gap, lowest = left ^ right, np.ones(len(left), bool)
+                for b in range(later):
+                    if b != band:
+                        lowest &= (gap & masks[b]) != 0
+                yield left[lowest], right[lowest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.array(masks, np.int64)
+        held: list[np.ndarray] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            """The pairs of the group in hand: rows of hash, side and band."""
+            hashes, side, band = np.concatenate(held, axis=1)
+            e, t = hashes[side == 0], hashes[side == 1]
+            if len(e) and len(t):
+                for left, right in met(e, t, int(band[0])):
+                    if len(left):
+                        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["eval_hash", "train_hash"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            key = np.stack([columns[2], columns[0] & own[columns[2]]])
+            groups = np.split(columns, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, axis=1)
+            if held:
+                last = held[-1][:, -1]
+                if last[2] != key[0, 0] or last[0] & own[last[2]] != key[1, 0]:
+                    yield from done()
+                    held = []
+            for group in groups[:-1]:
+                held.append(group)
+                yield from done()
+                held = []
+            held.append(groups[-1])
+        if held:
+            yield from done()
+
+    dealt = rows.repartition("band", bits).sortWithinPartitions("band", bits, "side")
+    return dealt.mapInArrow(run, "eval_hash long, train_hash long")
+
+
 def near_hash_pairs(
     train: DataFrame,
     evaluation: DataFrame,
@@ -176,9 +262,14 @@ def near_hash_pairs(
     bands: int | None = None,
     path: str = "path",
     crowded: int = CROWDED,
+    grouped: int = GROUPED,
 ) -> DataFrame:
     """Pairs of distinct 64-bit hashes within ``distance``, with row counts on each side.
 
+    Unless bands are given, a hash is shuffled once for each of d + 1 groups, bare, and the rest of
+    the work is done inside the groups; counts and paths are joined to the pairs found. If more than
+    ``grouped`` hashes share a group, all go the other way:
+
     Two hashes that differ in at most d bits agree on at least b - d of b bands, so they meet in
     an equality join on some choice of b - d bands. Each pair is kept only at the choice made of
     its lowest agreeing bands, hence once, without a distinct. Rows without a hash are left out.
@@ -193,6 +284,9 @@ def near_hash_pairs(
     tr = _per_value(train, "phash", "train", path).withColumnRenamed("phash", "train_hash")
     if bands is None:
         ev, tr = materialize(ev), materialize(tr)
+        pairs = _grouped_pairs(ev, tr, distance, grouped) if distance + 2 <= HASH_BITS else None
+        if pairs is not None:
+            return _told(pairs.join(ev.hint("merge"), "eval_hash").join(tr.hint("merge"), "train_hash"))
         bands = choose_bands(
             ev.select(F.col("eval_hash").alias("phash")),
             tr.select(F.col("train_hash").alias("phash")),
@@ -218,6 +312,10 @@ def near_hash_pairs(
         # The chosen bands are the lowest agreeing ones: no other agrees below the highest.
         & (_intact_below(gap, "mask", bands) == bands - distance - 1)
     )
+    return _told(met)
+
+
+def _told(met: DataFrame) -> DataFrame:
     return met.select(
         "eval_hash",
         "train_hash",

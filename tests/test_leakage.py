@@ -147,6 +147,34 @@ def test_trie_nodes_stay_within_their_bound(spark):
     assert twice.isEmpty()
 
 
+@pytest.mark.parametrize("distance,n", [(6, 3000), (2, 200), (0, 50)])
+def test_groups_give_each_pair_once(spark, distance, n, monkeypatch):
+    """In groups over many batches, cut into few comparisons at once, and the other way: the same pairs."""
+    monkeypatch.setattr(lk, "AT_ONCE", 64)
+    train, ev = hash_rows(n, n, distance + 4)
+    ev += [0, -1, 1, train[0], None]
+    train += [0, -1, signed((1 << 63) | 1)]
+    t, e = frames(spark, train, ev)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, lk.near_hash_pairs(t, e, distance=distance).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert got == sorted(map(tuple, lk.near_hash_pairs(t, e, distance=distance, grouped=1).collect()))
+    assert len(got) == len({g[:2] for g in got}) >= n / 5
+
+
+def test_shuffled_rows_follow_the_hashes(spark, monkeypatch):
+    """However many hashes there are, each is shuffled for distance + 1 groups and nothing is keyed anew."""
+    monkeypatch.setattr(lk, "_keyed", None)
+    for n in (50, 20_000):
+        rng = random.Random(n)
+        train, ev = [rng.getrandbits(60) for _ in range(n)], [rng.getrandbits(60) for _ in range(n)]
+        pairs = lk.near_hash_pairs(*frames(spark, train, ev + train[:5]))
+        assert {r.eval_hash for r in pairs.where("hamming_distance = 0").collect()} >= set(train[:5])
+
+
 def listing(spark, rows):
     return spark.createDataFrame(rows, "path string, sha256 string, phash long")
 
