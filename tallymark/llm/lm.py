@@ -41,6 +41,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ class Lexicon:
         spelled = np.zeros(len(words))
         if self.spelling is not None:
             spelled = self.spelling.chances_of(words, ids, lengths, tops)
-        return [first % BUCKETS, last % BUCKETS, kinds, spelled]
+        return [(first % BUCKETS).astype(np.int16), (last % BUCKETS).astype(np.int16), kinds.astype(np.int16), spelled]
 
 
 def id_pairs(ids: list[list[int]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +264,7 @@ def windows_of(first: np.ndarray, last: np.ndarray, kind: np.ndarray, lengths: n
 
     Inputs are the words before: their first and last subwords and classes, then marks for the
     beginning and for no word. ``wanted`` holds classes, the ``end`` last, and -1 beyond a text.
+    Numbers are short ones, as windows show most words twice.
     """
     tokens = lengths + 1
     counts = -(-tokens // SCORED)
@@ -271,18 +273,18 @@ def windows_of(first: np.ndarray, last: np.ndarray, kind: np.ndarray, lengths: n
     total = int(padded.sum())
     at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at += np.repeat(start, lengths) + CONTEXT
-    flat = np.empty((3, total), np.int64)
+    flat = np.empty((3, total), np.int16)
     flat[0], flat[1], flat[2] = BUCKETS + 1, BUCKETS + 1, end + 2
     flat[:, start + CONTEXT] = [[BUCKETS], [BUCKETS], [end + 1]]
     flat[0, at + 1], flat[1, at + 1], flat[2, at + 1] = first, last, kind
-    target = np.full(total, -1, np.int64)
+    target = np.full(total, -1, np.int16)
     target[at] = kind
     target[start + CONTEXT + lengths] = end
     owner = np.repeat(np.arange(len(lengths)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = start[owner] + number * SCORED
-    spans = begin[:, None] + np.arange(WINDOW)
-    return flat[:, spans], target[spans[:, CONTEXT:]], owner
+    inputs = np.stack([sliding_window_view(row, WINDOW)[begin] for row in flat])
+    return inputs, sliding_window_view(target, SCORED)[begin + CONTEXT], owner
 
 
 #: 1 where a scored place may look, at itself and before.
@@ -517,7 +519,7 @@ def split_texts(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def signs_of(words: list[bytes]) -> np.ndarray:
     """The signature of each word alone: signs by the bits of its CRC32."""
     bits = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-    return ((bits[:, None] >> np.arange(SIGNATURE)) & 1) * 2.0 - 1.0
+    return (((bits[:, None] >> np.arange(SIGNATURE)) & 1) * 2 - 1).astype(np.int8)
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
@@ -525,29 +527,29 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     names = [f"s{j}" for j in range(SIGNATURE)]
 
     def run(batches):
-        rows, signs, sums = Numbered(), np.zeros((SIGNATURE, 0)), np.zeros((SIGNATURE + 1, 0))
+        rows, signs, sums = Numbered(), np.zeros((SIGNATURE, 0), np.int8), np.zeros((SIGNATURE + 1, 0))
         for batch in batches:
             for part in text_slices(batch, 0):
                 distinct, at, lengths = split_texts(part.column(0))
                 known = len(rows)
                 at = np.fromiter(map(rows.__getitem__, distinct), np.int64, len(distinct)).take(at)
                 n = len(rows)
-                if n > sums.shape[1]:  # room for as many again
-                    room = ((0, 0), (0, 2 * n - sums.shape[1]))
+                if n > sums.shape[1]:  # room for half as many again
+                    room = ((0, 0), (0, n + n // 2 - sums.shape[1]))
                     signs, sums = np.pad(signs, room), np.pad(sums, room)
                 signs[:, known:n] = signs_of(list(itertools.islice(rows, known, None))).T
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 share = (1.0 / np.maximum(lengths - 1, 1))[owner]
                 for j in range(SIGNATURE):
-                    own = signs[j].take(at)
-                    around = np.bincount(owner, own, len(lengths)).take(owner)
+                    own = signs[j].take(at).astype(np.float64)
+                    around = np.bincount(owner, own, len(lengths)).astype(np.float64).take(owner)
                     around -= own
                     around *= share
                     sums[j, :n] += np.bincount(at, around, n)
                 sums[SIGNATURE, :n] += np.bincount(at, minlength=n)
                 if n >= COUNTED:
                     yield told(rows, sums[:, :n])
-                    rows, signs, sums = Numbered(), np.zeros((SIGNATURE, 0)), np.zeros((SIGNATURE + 1, 0))
+                    rows, signs, sums = Numbered(), np.zeros((SIGNATURE, 0), np.int8), np.zeros((SIGNATURE + 1, 0))
         yield told(rows, sums[:, : len(rows)])
 
     def told(rows: dict[bytes, int], sums: np.ndarray) -> pa.RecordBatch:
@@ -591,10 +593,25 @@ def bands_of(topics: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return kinds
 
 
+def most_frequent(rows: DataFrame, count: str, order: str, n: int) -> pa.Table:
+    """The ``n`` rows of the largest ``count`` (1 or more), largest first, equal ones by ``order``.
+
+    Rows are counted by eighths of a doubling first. Only those that reach the last one needed are put
+    in order, so that no task holds ``n`` rows of its own for another to merge.
+    """
+    levels = rows.groupBy(F.floor(F.log2(count) * 8).alias("level")).agg(F.count("*").alias("n"), F.min(count).alias("least"))
+    held, least = 0, 1
+    for level in sorted(levels.collect(), reverse=True):  # a few hundred
+        held, least = held + level.n, level.least
+        if held >= n:
+            break
+    return rows.where(F.col(count) >= least).orderBy(F.desc(count), order).limit(n).toArrow()
+
+
 def make_lexicon(counts: DataFrame, ranks: bytes, top_words: int) -> tuple[Lexicon, np.ndarray]:
     """The lexicon of the most frequent words, and their counts."""
     short = counts.where(F.octet_length("word") <= TOP_BYTES)
-    top = short.orderBy(F.desc("c"), "word").limit(top_words).toArrow()  # bounded by top_words
+    top = most_frequent(short, "c", "word", top_words)
     words = [w.encode() for w in top.column("word").to_pylist()]
     c = top.column("c").to_numpy().astype(np.float64)
     signatures = np.stack([top.column(f"s{j}").to_numpy() for j in range(SIGNATURE)], axis=1).astype(np.float64)
@@ -652,7 +669,7 @@ def corpus_shape(counts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     what, key, n = (whole.column(c).to_numpy() for c in ("what", "key", "n"))
     for i, found in enumerate(out):
         found[key[what == i]] = n[what == i]
-    top = rows.where("what = 3").orderBy(F.desc("n"), "key").limit(TOP_PAIRS).toArrow()
+    top = most_frequent(rows.where("what = 3"), "n", "key", TOP_PAIRS)
     return out[0], top.column("key").to_numpy(), top.column("n").to_numpy(), out[1], out[2]
 
 
@@ -708,6 +725,7 @@ def fit_layer(texts: DataFrame, text_col: str, key: str, lexicon: Lexicon, prior
 
     schema = "slot long, n long, value binary"
     copies = store(arrow_map(rows, run, schema), "lm-copies")
+    sent.destroy()  # or executors hold it until the driver collects garbage
     for _ in range(4):
         if copies.limit(2).count() < 2:
             break
@@ -792,6 +810,7 @@ def score_texts(
 
     numbered = docs.select(id_col, text_col, aside.alias("aside")).withColumn("row", F.monotonically_increasing_id())
     scored = store(arrow_map(numbered, run, schema), "lm-scores")
+    shipped.destroy()
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*")
     met = rare.join(counts.select("word", "c"), "word", "left").groupBy("row")
     share = F.when(F.col("c").isNull(), F.col("spelled")).otherwise(F.log10(F.col("c") + F.pow(F.lit(10.0), "spelled")))

@@ -290,3 +290,33 @@ def test_string_ids(spark):
     assert {r.doc_id: r.n_tokens for r in lm.score_texts(docs).collect()} == {"a": 4, "b": 1, None: 2}
     alone = lm.score_texts(docs.where("doc_id = 'b'").repartition(1)).first()
     assert alone.n_tokens == 1 and math.isfinite(alone.score)
+
+
+def test_most_frequent_puts_few_rows_in_order(spark):
+    """The same rows as by sorting all; rows that cannot be among them are left out before the sort."""
+    rows = spark.range(20_000).selectExpr("id", "cast(20000 / (id * 7919 % 20000 + 1) as long) + 1 as c")
+    for n in (0, 1, 37, 800, 30_000):
+        want = sorted(((r.c, r.id) for r in rows.collect()), key=lambda x: (-x[0], x[1]))[:n]
+        got = lm.most_frequent(rows, "c", "id", n)
+        assert list(zip(got.column("c").to_pylist(), got.column("id").to_pylist())) == want
+    assert lm.most_frequent(rows.limit(0), "c", "id", 5).num_rows == 0
+
+
+def test_top_words_are_not_sorted_among_all(spark, monkeypatch):
+    """What is put in order is cut by count before; else each task holds as many rows as are wanted."""
+    sorted_rows = []
+    kept = type(spark.range(1)).orderBy
+    monkeypatch.setattr(type(spark.range(1)), "orderBy", lambda df, *by: sorted_rows.append(df.count()) or kept(df, *by))
+    names = [f"cast(id % 3 as float) as s{j}" for j in range(lm.SIGNATURE)]
+    counts = spark.range(5000).selectExpr("concat('w', id) as word", "cast(5000 / (id + 1) as long) + 1 as c", *names)
+    lexicon, c = lm.make_lexicon(counts, RANKS, 50)
+    assert lexicon.top[0] == b"w0" and len(c) == 50
+    assert sorted_rows and max(sorted_rows) < 100
+
+
+def test_windows_take_little_room():
+    """Windows of a million words: two bytes for each of a window's numbers."""
+    n = 1_000_000
+    word = np.zeros(n, np.int16)
+    inputs, wanted, _ = lm.windows_of(word, word, word, np.full(n // 500, 500), END)
+    assert inputs.nbytes + wanted.nbytes <= 2 * wanted.shape[0] * (3 * lm.WINDOW + lm.SCORED)
