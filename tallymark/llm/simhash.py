@@ -54,6 +54,8 @@ HOT_EVERY, HOT_LEAST, HOT_MOST = 32, 16, 100_000
 HELD, PART_BITS = 1 << 21, 12
 #: Shingles of a chunk of a candidate component.
 CHUNK = 250_000
+#: Places of a filter, at most: a bit each, in rows of ``F.bitmap_construct_agg``.
+PLACES = 1 << 25
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -462,6 +464,29 @@ def hot_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64))
 
 
+def marks(some: DataFrame, column: str) -> DataFrame:
+    """(part, bits): a filter in which each hash of the column sets a bit; 4 MB, however many they are."""
+    place = F.pmod(F.col(column), F.lit(PLACES)) + 1
+    places = some.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    parts = places.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return store(parts, "filter")
+
+
+def marked(rows: DataFrame, column: str, filters: DataFrame, flag: str) -> DataFrame:
+    """The rows with ``flag``: true where the column's hash is among those marked, false for nearly all others.
+
+    What is false can meet none of them, and need not be shuffled to find out.
+    """
+    place = F.pmod(F.col(column), F.lit(PLACES)) + 1
+    part, bits = unused(rows, "part"), unused(rows, "bits")
+    filters = F.broadcast(filters.select(F.col("part").alias(part), F.col("bits").alias(bits)))
+    bit = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.bit_get(byte, F.pmod(bit, F.lit(8))) == 1, F.lit(False))
+    met = rows.withColumn(part, F.bitmap_bucket_number(place)).join(filters, part, "left")
+    return met.select(*(F.col(c) for c in rows.columns), found.alias(flag))
+
+
 def near_groups(docs: DataFrame, shingle: int, words: int, radius: int) -> DataFrame:
     """(key, digest, component_id) of every row of ``docs`` (key, text, digest): the least key
     reachable over similarities of 0.8 or more between shingle sets."""
@@ -508,8 +533,8 @@ def near_groups(docs: DataFrame, shingle: int, words: int, radius: int) -> DataF
         ),
     ).otherwise(F.array(F.xxhash64("root")))
     met = hot_split_join(rooted, sums, ["root"], "m").withColumn("chunks", chunks)
-    met = met.withColumn("own", own).select("at", "node", others.alias("buckets"))
-    texts = docs.select("at", "text").join(met, "at")
+    met = store(met.withColumn("own", own).select("at", "node", others.alias("buckets")), "met")
+    texts = marked(docs.select("at", "text"), "at", marks(met, "at"), "may").where("may").join(met, "at")
     texts = texts.select(F.explode("buckets").alias("bucket"), "node", "text")
     texts = texts.repartition("bucket").sortWithinPartitions("bucket")
     known = _least_members(classes.select("node", "least_id", "n"), confirm_links(texts, shingle), "node")
@@ -529,17 +554,24 @@ def without_near_copies(
     Rows alike in id and text are one document. Rows without an id stay, unless alike in text to
     another row without one.
     """
-    digest, place = unused(docs, "digest"), unused(docs, "place")
+    digest, place, at, may = (unused(docs, name) for name in ("digest", "place", "at", "may"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(
         F.col(id_col).alias("key"), text.alias("text"), F.xxhash64(text).alias("digest")
     )
-    members = near_groups(narrow, shingle, words, radius)
-    gone = members.where("key IS NOT NULL AND key <> component_id")
-    gone = gone.select(F.col("key").alias(id_col), F.col("digest").alias(digest)).distinct()
-    rows = docs.withColumn(digest, F.xxhash64(text)).join(gone, [id_col, digest], "left_anti")
+    members = near_groups(narrow, shingle, words, radius).groupBy("key", "digest").agg(
+        F.count("*").alias("n"), F.coalesce(F.bool_or(F.expr("key <> component_id")), F.lit(False)).alias("gone")
+    )
+    # Most rows are alone and stay: they pass by the filter, and only the others are shuffled.
+    members = store(members.where("n > 1 OR gone").withColumn("at", F.xxhash64("key", "digest")), "not-alone")
+    gone = members.where("gone").select(F.col("key").alias(id_col), F.col("digest").alias(digest))
+    rows = docs.withColumn(digest, F.xxhash64(text)).withColumn(at, F.xxhash64(id_col, digest))
+    rows = marked(rows, at, marks(members, "at"), may)
     first = F.row_number().over(W.partitionBy(id_col, digest).orderBy(digest))
-    return rows.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)
+    looked_at = rows.where(may).join(gone, [id_col, digest], "left_anti").withColumn(place, first)
+    return rows.where(~F.col(may)).select(*docs.columns).union(
+        looked_at.where(F.col(place) == 1).select(*docs.columns)
+    )
 
 
 def _descending(column: str):

@@ -4,6 +4,8 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tallymark.llm import simhash
 from tallymark.llm.components import connected_components
 from tallymark.llm.simhash import BLOCK, block_forest, simhash_groups, within_radius, without_near_copies
@@ -184,3 +186,37 @@ def test_hot_shingles_are_counted_over_all_texts(spark, monkeypatch):
     want = simhash.shingle_hashes("a b c d e", 5)
     assert simhash.hot_shingles(docs, 5).tolist() == want.tolist()
     assert len(simhash.hot_shingles(docs.limit(0), 5)) == 0
+
+
+def test_filter_misses_none(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PLACES", 1 << 16)
+    rows = spark.range(-500, 3000).select("id", F.xxhash64("id").alias("bits"))
+    some = rows.where("id % 7 = 0")
+    found = simhash.marked(rows, "bits", simhash.marks(some, "bits"), "may")
+    assert found.columns == ["id", "bits", "may"]
+    may = {r.id for r in found.collect() if r.may}
+    want = {i for i in range(-500, 3000) if i % 7 == 0}
+    assert want <= may and len(may - want) < 100
+    none = simhash.marked(rows, "bits", simhash.marks(some.limit(0), "bits"), "may")
+    assert none.where("may").isEmpty() and none.count() == 3500
+
+
+def test_texts_that_are_alone_are_not_shuffled(spark, tmp_path):
+    """Of texts without copies hashes and sketches are shuffled, a part of their size."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(80))
+    rows = [(i, " ".join(word() for _ in range(120))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " x") for i in range(20)] + [rows[100], (None, rows[101][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    ids = sorted(r.doc_id for r in without_near_copies(docs).select("doc_id", "text").collect() if r.doc_id is not None)
+    assert ids == list(range(600))
+    assert written() - before < sum(len(t) for _, t in rows) / 2
