@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.session import fresh_path
-
-ROOT = str(Path(__file__).resolve().parents[2])
+from tallymark.session import fresh_path, workers_know
 
 #: ASCII lower case; every byte that is no letter, digit or part of a longer character is a space.
 WORD_TABLE = bytes(
@@ -63,14 +59,6 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def workers_know(spark: SparkSession) -> None:
-    """Put this repository on the module path of the Python workers to come."""
-    known = spark.sparkContext.environment
-    paths = known.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        known["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
-
-
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import leakage as lk
+from tallymark.operators import nearblocks
 from tallymark.plans.leakcheck import check_leakage
 
 
@@ -175,6 +177,76 @@ def test_shuffled_rows_follow_the_hashes(spark, monkeypatch):
         assert {r.eval_hash for r in pairs.where("hamming_distance = 0").collect()} >= set(train[:5])
 
 
+def crowd(rng, n, flips):
+    """Hashes around one, a few far from it and some twice, of both signs."""
+    middle, drawn = rng.getrandbits(64), [0, -1, None]
+    while len(drawn) < n:
+        value = middle
+        for _ in range(rng.randrange(flips + 1)):
+            value ^= 1 << rng.randrange(64)
+        drawn.append(signed(value if rng.random() < 0.9 else rng.getrandbits(64)))
+    return drawn + drawn[-5:]
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of the plan wrote when it ran."""
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            plans.append(plan.plan())
+        elif name == "Exchange":
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_near_pairs_of_a_crowd_are_not_shuffled(spark):
+    """Pairs grow with the square of a crowd; what is shuffled for them, with the crowd."""
+    rng = random.Random(4)
+    middle = rng.getrandbits(60)
+    train, ev = ([middle ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for _ in range(400)] for _ in range(2))
+    pairs = lk.near_hash_pairs(*frames(spark, train, ev), distance=4, bands=6, crowded=1 << 12)
+    assert len(pairs.collect()) == len(set(train)) * len(set(ev)) > 50_000
+    assert shuffled_rows(pairs) < 3 * (len(train) + len(ev))
+
+
+@pytest.mark.parametrize("distance,crowded,block", [(4, 1, 1), (4, 4096, 50), (6, 100, 1 << 12)])
+def test_blocks_and_groups_give_each_pair_once(spark, distance, crowded, block, monkeypatch):
+    """Crowded hashes in blocks, the others in buckets of groups: every pair once, with counts and paths."""
+    monkeypatch.setattr(nearblocks, "BLOCK", block)
+    monkeypatch.setattr(nearblocks, "BUCKET", 20)
+    monkeypatch.setattr(nearblocks, "CHUNK", 100)
+    rng = random.Random(block)
+    both = crowd(rng, 500, 5)
+    train, ev = frames(spark, both[::2] + both[:40], both[1::2] + both[:40])
+    # Some hashes have files without a path only.
+    train = train.withColumn("path", F.when(F.col("phash") % 7 != 0, F.col("path")))
+    got = lk.near_hash_pairs(train, ev, distance=distance, bands=distance + 2, crowded=crowded).collect()
+    told = [
+        {r.phash: (r.n, r.path) for r in side.where("phash IS NOT NULL").groupBy("phash").agg(F.count("*").alias("n"), F.min("path").alias("path")).collect()}
+        for side in (ev, train)
+    ]
+    want = {
+        (e, t, gap(e, t), e_n, t_n, e_path, t_path)
+        for e, (e_n, e_path) in told[0].items() for t, (t_n, t_path) in told[1].items() if gap(e, t) <= distance
+    }
+    assert len(got) == len(want) > 5000 and set(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("run", [1, 7, 16])
+def test_runs_lose_no_pair(run):
+    rng = np.random.default_rng(run)
+    e, t = (np.unique(rng.integers(-(1 << 63), 1 << 63, 1) ^ (1 << rng.integers(0, 63, (n, 4))).sum(axis=1)) for n in (300, 157))
+    t = np.unique(np.concatenate([t, e[::3] ^ 5]))
+    want = {(i, j) for i in range(len(e)) for j in range(len(t)) if gap(int(e[i]), int(t[j])) <= 4}
+    got = [pair for found in nearblocks.near_runs(e, t, 4, run) for pair in zip(*(part.tolist() for part in found))]
+    assert len(got) == len(want) > 100 and set(got) == want
+
+
 def listing(spark, rows):
     return spark.createDataFrame(rows, "path string, sha256 string, phash long")
 
